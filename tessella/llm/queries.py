@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import exact, langid, mixing, packing, quality, tokencount
+from tessella.llm import exact, langid, mixing, packing, quality, substring, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,11 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring.remove_repeats(_table(spark, sf_dir, "documents"), window=35)
+    return got.select(F.col("row_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents")).withColumnRenamed("row_id", "doc_id")
 
@@ -61,7 +66,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_source_mix, op6_exact_dedup, op7_quality, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_source_mix, op5_substring_dedup, op6_exact_dedup, op7_quality, op9_packing)}
 
 
 SQL: dict[str, str] = {
