@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import exact, langid, mixing, packing, quality, substring, tokencount
+from tessella.llm import exact, langid, mixing, ngram_join, packing, quality, substring, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,8 +65,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(_table(spark, sf_dir, "documents"), str(path), sequence=1024, end_id=0).withColumnRenamed("row_id", "doc_id")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), n=4, percent=85).withColumnRenamed("row_id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_source_mix, op5_substring_dedup, op6_exact_dedup, op7_quality, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_source_mix, op5_substring_dedup, op6_exact_dedup, op7_quality, op9_packing, op10_ngram_join)}
 
 
 SQL: dict[str, str] = {
