@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import exact, langid, mixing, ngram_join, packing, quality, substring, tokencount
+from tessella.llm import embed_dedup, exact, langid, mixing, ngram_join, packing, quality, substring, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_embeddings(_table(spark, sf_dir, "embeddings"), least=0.93, within="label").withColumnRenamed("row_id", "vec_id")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substring.remove_repeats(_table(spark, sf_dir, "documents"), window=35)
     return got.select(F.col("row_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
@@ -70,7 +74,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_source_mix, op5_substring_dedup, op6_exact_dedup, op7_quality, op9_packing, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_source_mix, op4_embedding_dedup, op5_substring_dedup, op6_exact_dedup, op7_quality, op9_packing, op10_ngram_join)}
 
 
 SQL: dict[str, str] = {
