@@ -16,8 +16,8 @@ from tessella.llm.common import blank_null, materialize
 
 #: Dimensions of the projected document vectors, and bits of each on the curve: keys of DIMS * BITS <= 60 bits.
 DIMS, BITS = 4, 12
-#: Bytes of token ids aimed at for one range of the curve, and segments that the encoder remembers.
-RANGE_BYTES, REMEMBERED = 16 << 20, 400_000
+#: Bytes of token ids aimed at for one range of the curve, tokens of a slice (rows of the range sort), segments remembered.
+RANGE_BYTES, SLICE, REMEMBERED = 16 << 20, 4096, 400_000
 
 
 class ByteEncoder:
@@ -144,16 +144,20 @@ def _encoded(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                packed, lengths, points = [], [], []
-                for data in enc.encode(part.column(1).to_pylist()):
+                slices, packed, lengths, points = [], [], [], []
+                for row, data in enumerate(enc.encode(part.column(1).to_pylist())):
                     ids = np.frombuffer(data + end, dtype="<u4")
                     points.append(sum(directions[ids[i : i + 65_536]].sum(axis=0) for i in range(0, len(ids), 65_536)) / np.sqrt(len(ids)))
-                    packed.append(ids.astype("<u2").tobytes() if small else ids.tobytes())
                     lengths.append(len(ids))
+                    for first in range(0, len(ids), SLICE):
+                        slices.append((row, first))
+                        packed.append(ids[first : first + SLICE].astype("<u2" if small else "<u4").tobytes())
                 cells = np.clip((np.arctan(np.asarray(points, dtype=np.float64)) / np.pi + 0.5) * (1 << BITS), 0, (1 << BITS) - 1)
+                rows = np.array([r for r, _ in slices], dtype=np.int64)
+                curve, lengths = hilbert_key(cells.astype(np.int64), BITS)[rows], np.array(lengths, dtype=np.int64)[rows]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(hilbert_key(cells.astype(np.int64), BITS)), pa.array(lengths, pa.int64()), pa.array(packed, pa.binary())],
-                    ["row_id", "curve", "doc_tokens", "ids"],
+                    [part.column(0).take(pa.array(rows)), pa.array(curve), pa.array([f for _, f in slices], pa.int64()), pa.array(lengths), pa.array(packed, pa.binary())],
+                    ["row_id", "curve", "first", "doc_tokens", "ids"],
                 )
 
     return run
@@ -163,18 +167,20 @@ def _packed(sequence: int, small: bool) -> Callable[[Iterator[pa.RecordBatch]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, filled = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
                 which, out = [], {k: [] for k in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
-                for row, (n, data) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                columns = (part.column(i).to_pylist() for i in (1, 2, 3))
+                for row, (begin, n, data) in enumerate(zip(*columns, strict=True)):
                     ids = np.frombuffer(data, dtype="<u2" if small else "<u4").astype("<u4")
-                    start = 0
-                    while start < n:
-                        length = min(n - start, sequence - filled % sequence)
+                    at = 0
+                    while at < len(ids):
+                        length = min(len(ids) - at, sequence - filled % sequence)
                         which.append(row)
-                        for k, v in (("start", start), ("length", length), ("ids_crc32", zlib.crc32(ids[start : start + length])), ("doc_tokens", n), ("sequence_id", first + filled // sequence), ("offset", filled % sequence)):
+                        piece = (begin + at, length, zlib.crc32(ids[at : at + length]), n, first + filled // sequence, filled % sequence)
+                        for k, v in zip(out, piece, strict=True):
                             out[k].append(v)
-                        start, filled = start + length, filled + length
+                        at, filled = at + length, filled + length
                 arrays = [part.column(0).take(pa.array(which, pa.int64())), *(pa.array(v, pa.int64()) for v in out.values())]
                 yield pa.RecordBatch.from_arrays(arrays, ["row_id", *out])
 
@@ -188,19 +194,20 @@ def pack_sequences(
 
     Each document is its token ids, then end_id; a null text is an empty one, which leaves end_id alone. Document vectors
     (sums of hashed token directions, scaled by length) are projected to DIMS dimensions and keyed by their place on a
-    Hilbert curve. Documents are range-sorted by (key, id): equal keys, such as copies, split over ranges by their ids.
-    Each range is laid end to end in that order and cut every `sequence` tokens, so only its last sequence may need padding.
-    Null ids are kept and sort first; repeated ids are packed row by row; an empty table gives no piece.
+    Hilbert curve. Documents are range-sorted by (key, id) in slices of SLICE tokens: equal keys, such as copies,
+    split over ranges by their ids, and ranges get like numbers of tokens however long the documents are. Each range is laid end to end in that order and cut every `sequence` tokens, so only its last sequence may need padding.
+    Null ids are kept and sort first; of repeated ids each row is packed, their slices in turn; an empty table gives no piece.
 
     Token ids are written once, in two bytes where the vocabulary allows, and move once, in the range sort.
     """
     kind = docs.select(F.col(id_col).alias("row_id")).schema["row_id"].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("row_id"), blank_null(F.col(text_col)).alias("text"))
     encoded = materialize(
-        rows.mapInArrow(_encoded(tokenizer_path, end_id), f"row_id {kind}, curve bigint, doc_tokens bigint, ids binary"), "pack-encoded"
+        rows.mapInArrow(_encoded(tokenizer_path, end_id), f"row_id {kind}, curve bigint, first bigint, doc_tokens bigint, ids binary"), "pack-encoded"
     )
     small = encoder(tokenizer_path).exact.get_vocab_size(with_added_tokens=True) <= 1 << 16
-    total = encoded.agg(F.coalesce(F.sum("doc_tokens"), F.lit(0)).alias("n")).first()["n"] * (2 if small else 4)
-    ranges = encoded.repartitionByRange(max(1, -(-total // RANGE_BYTES)), "curve", "row_id").sortWithinPartitions("curve", "row_id")
+    total = encoded.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("n")).first()["n"]
+    order = ("curve", "row_id", "first")
+    ranges = encoded.repartitionByRange(max(1, -(-total // RANGE_BYTES)), *order).sortWithinPartitions(*order)
     schema = f"row_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return ranges.select("row_id", "doc_tokens", "ids").mapInArrow(_packed(sequence, small), schema)
+    return ranges.select("row_id", "first", "doc_tokens", "ids").mapInArrow(_packed(sequence, small), schema)
