@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import embed_dedup, exact, langid, mixing, ngram_join, packing, quality, substring, tokencount
+from tessella.llm import embed_dedup, exact, langid, mixing, ngram_join, packing, pii, quality, substring, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents"))
+    kinds = list(pii.PATTERNS)
+    return found.select(
+        F.col("row_id").alias("doc_id"), *(F.size(k).cast("long").alias(f"n_{k}") for k in kinds), F.sha2(pii.listed(kinds), 256).alias("base_sha256"),
+        pii.listed([*kinds, "term"]).alias("spans"), F.size("term").cast("long").alias("n_term"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack_sequences(_table(spark, sf_dir, "documents"), str(path), sequence=1024, end_id=0).withColumnRenamed("row_id", "doc_id")
@@ -74,7 +83,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_source_mix, op4_embedding_dedup, op5_substring_dedup, op6_exact_dedup, op7_quality, op9_packing, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_source_mix, op4_embedding_dedup, op5_substring_dedup, op6_exact_dedup, op7_quality, op8_personal_data, op9_packing, op10_ngram_join)}
 
 
 SQL: dict[str, str] = {
