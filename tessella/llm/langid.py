@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -182,3 +183,24 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
     kind = rows.schema["row_id"].dataType.simpleString()
     return rows.mapInArrow(_predicted(model), f"row_id {kind}, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose whole text has a language that is neither undetermined nor ambiguous.
+
+    Rows are filtered where they stand, by a vectorised predicate on the text: nothing is joined or shuffled, so null or
+    repeated ids don't matter. If no language was learned, no row is identified.
+    """
+
+    @F.pandas_udf("boolean")
+    def identified(texts: pd.Series) -> pd.Series:
+        margins, known = np.zeros((len(texts), model.weights.shape[1])), np.zeros(len(texts), dtype=bool)
+        for i, text in enumerate(texts):
+            codes = letter_codes(text or "")
+            if len(codes) and model.languages:
+                known[i], margins[i] = True, model.margins(codes)
+        if known.any():
+            known[known] = ~model.decode(margins[known])[2]
+        return pd.Series(known)
+
+    return docs.filter(identified(F.col(text_col)))

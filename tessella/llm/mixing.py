@@ -98,6 +98,13 @@ def mix_sources(
     )
 
 
+def take_mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs as often as mix_sources takes them, with the columns of docs."""
+    mixed = mix_sources(docs, **options).filter("mix_copies > 0")
+    repeated = mixed.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
+    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def _keys(id_col: str, text_col: str, source_col: str, seed: str, short_words: int) -> dict[str, Column]:
     """size: words. shortness: 10000 for an empty text, 5000 at short_words words, towards 0. draw: 52 random bits."""
     size = F.regexp_count(blank_null(F.col(text_col)), F.lit(WORD)).cast("long")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import join_groups, materialize
+from tessella.llm.common import join_groups, join_small, materialize
 from tessella.llm.components import connected_components
 from tessella.llm.substring import Block
 
@@ -175,3 +175,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     named = join_groups(placed, names, "root", "k", rows.count()).select("row_id", "v", "component_id")
     sized = named.join(classes.select("v", "n_shingles").hint("merge"), "v").select("row_id", "n_shingles", "component_id")
     return sized.unionByName(rows.filter("n_shingles = 0").select("row_id", "n_shingles", F.col("row_id").alias("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each group the document with the smallest id. Rows without an id stay."""
+    found = near_duplicates(docs, n, percent, id_col, text_col)
+    gone = materialize(found.filter("row_id <> component_id").select(F.col("row_id").alias(id_col)).distinct(), "ngram-gone")
+    return join_small(docs, gone, id_col, "left_anti")
