@@ -5,13 +5,14 @@ ceil(t n) of them shared, two similar documents share at least l members of thei
 for every l. So:
 
 1. Documents with the same words form a class, whose first document stands for it.
-2. Stars: classes with equal minima of a few hash orders are compared with the group's first class. That finds the links
-   of most groups at linear cost and loses nothing, as only links that hold are kept.
+2. Large groups: for prefix members that many classes share, one of each magnitude for a class, classes are dealt in chunks
+   of bounded size; sketches are compared within a chunk, and a spanning forest of what looks alike is verified. That
+   joins large groups at linear cost and loses nothing, as only links that hold are kept.
 3. Prefixes: for each prefix member the number of documents of other groups that share it is its cost. A member of great
    cost isn't used to find candidates; the document's prefix is lengthened by one for each such member, and by more the
    more candidates are estimated, so that correspondingly more members must be shared (need). A pair is a candidate if it shares
-   `need` usable members within the shorter of both lengthenings. Documents whose lengthening runs out are joined among
-   themselves on their plain prefixes.
+   `need` usable members within the shorter of both lengthenings. Documents whose lengthening runs out, since most of them
+   is common, are joined among themselves on prefixes of their whole sets in the order of frequency.
 4. Candidates of different groups are verified on their whole sets.
 """
 
@@ -22,16 +23,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import join_groups, join_small, materialize
 from tessella.llm.components import connected_components
 from tessella.llm.substring import Block
 
-#: Hash orders whose minima name the stars, the most members by which a prefix is lengthened, average candidates of a
-#: prefix member above which it isn't used, members of a star that one task verifies at a time.
-ORDERS, LONGEST, COSTLY, CHUNK = 4, 48, 8, 128
+#: Classes that share a member from which it is dealt by, hashes of a sketch, classes of a chunk, the most members by
+#: which a prefix is lengthened, average candidates of a prefix member above which it isn't used.
+MANY, SKETCH, CHUNK, LONGEST, COSTLY = 16, 32, 256, 24, 8
+#: Classes that share a member above which they are compared in blocks of CHUNK instead of pair by pair.
+BLOCKED = 32
 
 
 def shingles(words: list[bytes], n: int) -> np.ndarray:
@@ -48,25 +51,68 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _orders(members: np.ndarray) -> list[int]:
-    return [int((members * np.uint64(2 * 0x51ED2701 + 4 * i + 1) ^ (members >> np.uint64(29 + i))).min().view(np.int64)) for i in range(ORDERS)]
-
-
 def _prefixes(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                keys, sizes, orders, prefixes = [], [], [], []
+                keys, sizes, prefixes = [], [], []
                 for text in part.column(2):
                     words = _words(text.as_py())
                     members = shingles(words, n)
                     keys.append(hashlib.md5(b" ".join(words)).digest())
                     sizes.append(len(members))
-                    orders.append(_orders(members) if len(members) else [])
                     prefixes.append(members[: len(members) - -(-percent * len(members) // 100) + LONGEST].view(np.int64))
-                columns = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(orders, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["row_id", "text_hash", "key", "n_shingles", "orders", "prefix"])
+                columns = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["row_id", "text_hash", "key", "n_shingles", "prefix"])
+
+    return run
+
+
+def _alike(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """A spanning forest of one chunk's classes whose sketches (their smallest hashes) share nearly as much as links would."""
+    least = percent / 100 - 0.15
+
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("v").to_numpy())
+        v = rows.column("v").to_numpy()[order]
+        sketches = rows.column("sketch").combine_chunks().take(pa.array(order))
+        owner = np.repeat(np.arange(len(v)), np.diff(sketches.offsets.to_numpy()))
+        values = np.unique(sketches.flatten().to_numpy(), return_inverse=True)[1]
+        held = np.zeros((len(v), int(values.max(initial=0)) + 1), dtype=np.float32)
+        held[owner, values] = 1
+        sizes = held.sum(axis=1)
+        shared = np.triu(held @ held.T, 1)
+        root = list(range(len(v)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        a, b = [], []
+        for i, j in zip(*np.nonzero(shared >= np.maximum(1, least * np.minimum(sizes[:, None], sizes[None, :]))), strict=True):
+            x, y = find(int(i)), find(int(j))
+            if x != y:
+                root[y] = x
+                a.append(int(v[i]))
+                b.append(int(v[j]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _members(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each member of the whole sets of documents whose text has the wanted key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for v, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words = _words(text.as_py())
+                if hashlib.md5(b" ".join(words)).digest() == key:
+                    members = shingles(words, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), v)), pa.array(members.view(np.int64))], ["v", "member"])
 
     return run
 
@@ -90,6 +136,12 @@ def _verified(n: int, percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def _texts(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """wanted (text_hash, row_id and more) with texts. Rows that repeat an id and text come several times."""
+    wanted = materialize(wanted.withColumnRenamed("row_id", "wanted_id"), name)
+    return join_small(docs, wanted, "text_hash", "inner").filter(F.col("row_id").eqNullSafe(F.col("wanted_id")))
+
+
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a: centre, b) that are similar enough. Texts go to the tasks that compare them, once for each chunk of a star."""
     pairs = materialize(pairs, "ngram-pairs")
@@ -99,41 +151,105 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percen
     others = join_groups(pairs, sizes, "a", "n", pairs.count())
     others = others.select(F.col("b").alias("v"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
     wanted = centres.unionByName(others).join(classes.select("v", "row_id", "text_hash", "key").hint("merge"), "v")
-    wanted = materialize(wanted.withColumnRenamed("row_id", "wanted_id"), "ngram-wanted")
-    few = wanted.limit(100_001).count() <= 100_000
-    found = docs.join(F.broadcast(wanted) if few else wanted.hint("merge"), ["text_hash"]).filter(F.col("row_id").eqNullSafe(F.col("wanted_id")))
-    found = found.select("v", "centre", "chunk", "key", "text").groupBy("centre", "chunk")
+    found = _texts(docs, wanted, "ngram-wanted").select("v", "centre", "chunk", "key", "text").groupBy("centre", "chunk")
     return materialize(found.applyInArrow(_verified(n, percent), "a bigint, b bigint"), "ngram-links")
 
 
-def _candidates(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different groups that may be linked. members: v, component, n_shingles, member, layer."""
-    by_group = members.groupBy("member", "component").agg(F.count("*").alias("k"))
+def _pairs(rows: DataFrame, columns: list[str], percent: int, within: str = "true") -> DataFrame:
+    """Rows of two classes of different groups that share a member and may be similar by their sizes."""
+    x, y = (rows.select("member", *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in ("x", "y"))
+    alike = f"v_x < v_y AND component_x <> component_y AND 100 * least(n_shingles_x, n_shingles_y) >= {percent} * greatest(n_shingles_x, n_shingles_y)"
+    return x.hint("merge").join(y, "member").filter(f"{alike} AND {within}")
+
+
+def _blocked(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links between the classes of two blocks (side 0 and 1) or of one (side 2), as a spanning forest, by a product of their sets."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        v, side = rows.column("v").to_numpy(), rows.column("side").to_numpy()
+        sets = rows.column("set").combine_chunks()
+        owner = np.repeat(np.arange(len(v)), np.diff(sets.offsets.to_numpy()))
+        _, numbers, often = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        sizes = np.bincount(owner, minlength=len(v)).astype(np.float32)
+        kept = often[numbers] > 1  # members of one class alone add nothing to an intersection
+        owner, numbers = owner[kept], np.unique(numbers[kept], return_inverse=True)[1]
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        shared = np.zeros((len(v), len(v)), dtype=np.float32)
+        for at in range(0, int(numbers.max(initial=-1)) + 1, 8192):
+            part = (numbers >= at) & (numbers < at + 8192)
+            held = np.zeros((len(v), 8192), dtype=np.float32)
+            held[owner[part], numbers[part] - at] = 1
+            shared[np.ix_(left, right)] += held[left] @ held[right].T
+        alike = (100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)) & (shared > 0)
+        root, a, b = list(range(len(v))), [], []
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, j in zip(*np.nonzero(alike), strict=True):
+            x, y = find(int(i)), find(int(j))
+            if x != y:
+                root[y] = x
+                a.append(int(v[i]))
+                b.append(int(v[j]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _block_links(rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Links among classes that share a member (rows: v, member, often), block by block."""
+    sets = whole.groupBy("v").agg(F.collect_list("member").alias("set"))
+    blocks = F.ceil(F.col("often") / CHUNK).cast("int")
+    rows = rows.select("v", "member", blocks.alias("blocks"), F.pmod(F.xxhash64("v", "member"), blocks).cast("int").alias("block"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        "v", "member", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
+    )
+    return rows.join(sets.hint("merge"), "v").groupBy("member", "low", "high").applyInArrow(_blocked(percent), "a bigint, b bigint")
+
+
+def _candidates(docs: DataFrame, classes: DataFrame, groups: DataFrame, shared: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs of classes in different groups that may be linked, links found block by block). groups: v, component, n_shingles; shared: v, member, layer."""
+    grouped = materialize(shared.join(groups.hint("merge"), "v"), "ngram-grouped")
+    by_group = grouped.groupBy("member", "component").agg(F.count("*").alias("k"))
     costs = by_group.groupBy("member").agg(F.sum("k").alias("all"), (F.sum("k") - F.sum(F.col("k") * F.col("k")) / F.sum("k")).alias("partners"))
-    costs = materialize(costs, "ngram-costs")
-    costed = materialize(join_groups(members, costs, "member", "all", members.count()), "ngram-costed").drop("all")
+    costs = materialize(costs.filter("partners > 0"), "ngram-costs")
+    costed = materialize(join_groups(grouped, costs, "member", "all", grouped.count()).drop("all"), "ngram-costed")
 
     usable = F.col("partners") <= COSTLY
     each = costed.groupBy("v", "n_shingles").agg(F.collect_list(F.when(~usable, F.col("layer"))).alias("costly"), F.sum(F.when(usable, F.col("partners"))).alias("expected"))
     need = 1 + (F.col("expected") > 4).cast("int") + (F.col("expected") > 16).cast("int") + (F.col("expected") > 64).cast("int")
     each = each.withColumn("need", F.coalesce(need, F.lit(1))).withColumn("most", F.least(F.lit(LONGEST), F.ceil(percent * F.col("n_shingles") / 100)).cast("int"))
     enough = F.expr("filter(sequence(1, most), l -> size(filter(costly, x -> x <= l)) <= l - least(need, most))")
-    each = materialize(each.select("v", "need", F.try_element_at(enough, F.lit(1)).alias("length"), F.least("need", "most").alias("must")), "ngram-lengths")
+    each = materialize(each.select("v", F.try_element_at(enough, F.lit(1)).alias("length"), F.least("need", "most").alias("must")), "ngram-lengths")
 
-    rows = costed.join(each.select("v", "length", "must").hint("merge"), "v")
-    light = rows.filter(usable & (F.col("layer") <= F.coalesce("length", F.lit(LONGEST))))
-    dense = rows.filter("length IS NULL AND layer = 1")
-    x = light.select("member", *(F.col(c).alias(f"{c}_x") for c in ("v", "component", "n_shingles", "layer", "length", "must")))
-    y = light.select("member", *(F.col(c).alias(f"{c}_y") for c in ("v", "component", "n_shingles", "layer", "length", "must")))
-    alike = f"v_x < v_y AND component_x <> component_y AND 100 * least(n_shingles_x, n_shingles_y) >= {percent} * greatest(n_shingles_x, n_shingles_y)"
-    within = "greatest(layer_x, layer_y) <= least(length_x, length_y)"
+    light = costed.filter(usable).drop("partners").join(each.hint("merge"), "v").filter(F.col("layer") <= F.coalesce("length", F.lit(LONGEST)))
     must = F.expr("CASE WHEN length_y IS NULL OR length_x < length_y THEN must_x WHEN length_x IS NULL OR length_y < length_x THEN must_y ELSE greatest(must_x, must_y) END")
-    pairs = x.hint("merge").join(y, "member").filter(f"{alike} AND {within}").withColumn("must", must)
+    columns = ["v", "component", "n_shingles", "layer", "length", "must"]
+    pairs = _pairs(light, columns, percent, "greatest(layer_x, layer_y) <= least(length_x, length_y)").withColumn("must", must)
     pairs = pairs.groupBy("v_x", "v_y").agg(F.count("*").alias("shared"), F.max("must").alias("must")).filter("shared >= must")
-    p = dense.select("member", *(F.col(c).alias(f"{c}_x") for c in ("v", "component", "n_shingles")))
-    q = dense.select("member", *(F.col(c).alias(f"{c}_y") for c in ("v", "component", "n_shingles")))
-    plain = p.hint("merge").join(q, "member").filter(alike).select("v_x", "v_y")
-    return pairs.select("v_x", "v_y").unionByName(plain).distinct().select(F.col("v_x").alias("a"), F.col("v_y").alias("b"))
+
+    dense = classes.select("v", "row_id", "text_hash", "key").join(each.filter("length IS NULL").select("v").hint("merge"), "v")
+    whole = _texts(docs, dense, "ngram-dense").select("v", "key", "text").mapInArrow(_members(n), "v bigint, member bigint").distinct()
+    whole = materialize(whole, "ngram-whole")
+    frequency = whole.groupBy("member").agg(F.count("*").alias("all"))
+    ordered = join_groups(whole, materialize(frequency, "ngram-frequency"), "member", "all", whole.count())
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("all", "member"))
+    plain = ordered.withColumn("rank", rank).join(groups.hint("merge"), "v")
+    plain = plain.filter(F.col("rank") <= F.col("n_shingles") - F.ceil(percent * F.col("n_shingles") / 100) + 1).filter("all > 1")
+    plain = materialize(plain.select("v", "member", "component", "n_shingles"), "ngram-plain")
+    many = plain.groupBy("member").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
+    many = materialize(many.filter("low < high").select("member", "often"), "ngram-many")
+    plain = materialize(join_groups(plain, many, "member", "often", plain.count()), "ngram-often")
+    found = _block_links(plain.filter(F.col("often") > BLOCKED), whole, percent)
+    plain = _pairs(plain.filter(F.col("often") <= BLOCKED), ["v", "component", "n_shingles"], percent)
+    pairs = pairs.select("v_x", "v_y").unionByName(plain.select("v_x", "v_y")).distinct()
+    return pairs.select(F.col("v_x").alias("a"), F.col("v_y").alias("b")), materialize(found.distinct(), "ngram-blocks")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,7 +262,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     """
     plain = docs.select(F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kind = plain.schema["row_id"].dataType.simpleString()
-    schema = f"row_id {kind}, text_hash bigint, key binary, n_shingles bigint, orders array<bigint>, prefix array<bigint>"
+    schema = f"row_id {kind}, text_hash bigint, key binary, n_shingles bigint, prefix array<bigint>"
     rows = materialize(plain.mapInArrow(_prefixes(n, percent), schema).withColumn("row_no", F.monotonically_increasing_id()), "ngram-rows")
     full = rows.filter("n_shingles > 0")
     groups = materialize(full.groupBy("key").agg(F.min("row_no").alias("v"), F.count("*").alias("copies")), "ngram-classes")
@@ -154,20 +270,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     classes = full.join(groups.select(F.col("v").alias("row_no")).hint("merge"), "row_no", "left_semi").withColumnRenamed("row_no", "v")
     classes = materialize(classes, "ngram-firsts")
 
-    stars = classes.select("v", F.explode("orders").alias("least"))
-    centres = materialize(stars.groupBy("least").agg(F.min("v").alias("a"), F.count("*").alias("k")).filter("k > 1"), "ngram-centres")
-    pairs = join_groups(stars, centres, "least", "k", stars.count()).filter("v <> a").select("a", F.col("v").alias("b")).distinct()
-    links = _links(plain, classes, pairs, n, percent)
-    first = materialize(connected_components(links), "ngram-stars-groups")
-
-    grouped = classes.select("v", "n_shingles", "prefix").join(first.hint("merge"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     plain_length = F.col("n_shingles") - F.ceil(percent * F.col("n_shingles") / 100) + 1
-    prefix = grouped.select("v", "component", "n_shingles", F.posexplode("prefix").alias("at", "member"))
-    prefix = prefix.select("v", "component", "n_shingles", "member", F.greatest(F.lit(1), F.col("at") + 2 - plain_length).cast("int").alias("layer"))
-    across = prefix.groupBy("member").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("member")
-    across = materialize(prefix.join(across.hint("merge"), "member"), "ngram-across")
-    more = _links(plain, classes, _candidates(across, percent), n, percent)
-    final = connected_components(links.unionByName(more))
+    prefix = classes.select("v", plain_length.alias("plain"), F.posexplode("prefix").alias("at", "member"))
+    prefix = prefix.select("v", "member", F.greatest(F.lit(1), F.col("at") + 2 - F.col("plain")).cast("short").alias("layer"))
+    often = prefix.groupBy("member").agg(F.count("*").alias("all")).filter("all > 1")
+    shared = materialize(prefix.join(often.hint("merge"), "member"), "ngram-shared")
+
+    dealt = shared.filter(F.col("all") >= MANY).groupBy("v", F.floor(F.log2("all")).alias("magnitude")).agg(F.min(F.struct("member", "all")).alias("d"))
+    dealt = dealt.select("v", "d.member", F.pmod(F.xxhash64("v", "d.member"), F.ceil(F.col("d.all") / CHUNK)).alias("chunk"))
+    dealt = dealt.join(classes.select("v", F.slice("prefix", 1, SKETCH).alias("sketch")).hint("merge"), "v")
+    pairs = dealt.groupBy("member", "chunk").applyInArrow(_alike(percent), "a bigint, b bigint").distinct()
+    links = _links(plain, classes, pairs, n, percent)
+    first = materialize(connected_components(links), "ngram-first-groups")
+    groups = classes.select("v", "n_shingles").join(first.hint("merge"), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    groups = materialize(groups, "ngram-groups")
+    pairs, blocks = _candidates(plain, classes, groups, shared.drop("all"), n, percent)
+    final = connected_components(links.unionByName(blocks).unionByName(_links(plain, classes, pairs, n, percent)))
 
     placed = members.join(final.hint("merge"), "v", "left").select("row_id", "v", F.coalesce("component", "v").alias("root"))
     placed = materialize(placed, "ngram-placed")
