@@ -120,7 +120,7 @@ def revealing_terms(found: DataFrame, texts: DataFrame, support: int, share: flo
     if wanted.isEmpty():
         return wanted
     held = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = join_small(held, wanted, "term", "inner").groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = held.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted.hint("merge"), "term")
     total = texts.count()
     scored = pairs.join(counts.hint("merge"), "term")
     chance = F.col("n_te") / F.greatest("n_t", "n_te")
