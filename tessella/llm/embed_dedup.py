@@ -13,7 +13,7 @@ from tessella.llm.common import join_groups, materialize
 from tessella.llm.components import connected_components
 
 #: Vectors aimed at for a cell, most cells, vectors that the cells are fitted on (those with the smallest id hashes), rounds.
-CELL_ROWS, MAX_CELLS, MAX_FIT, ROUNDS = 1024, 1024, 20_000, 12
+CELL_ROWS, MAX_CELLS, MAX_FIT, ROUNDS = 16_384, 1024, 20_000, 12
 #: Rows of a block; a cell of more rows is cut into blocks, each pair of which is a task's unit of work.
 BLOCK_ROWS = 1024
 
@@ -36,6 +36,13 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit rows of a column of vectors of one length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _placed(centres: np.ndarray, reach: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A row for a vector's own cell (home), and one for each later cell that may hold a vector within reach of it.
 
@@ -48,7 +55,7 @@ def _placed(centres: np.ndarray, reach: float) -> Callable[[Iterator[pa.RecordBa
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                x = _unit(part.column(2).to_pylist())
+                x = _matrix(part.column(2))
                 near = x @ centres.T
                 home = near.argmax(axis=1)
                 close = near[np.arange(len(x)), home][:, None] - near <= gaps[home]
@@ -75,7 +82,7 @@ def _compared(least: float) -> Callable[[pa.Table], pa.Table]:
         number = rows.column("v").to_numpy()
         copies = rows.column("copies").to_numpy()
         home = rows.column("home").to_numpy(zero_copy_only=False)
-        x = _unit(rows.column("embedding").to_pylist())
+        x = _matrix(rows.column("embedding"))
         left = np.flatnonzero(side != 1)
         right = left if same else np.flatnonzero(side != 0)
         links, root = np.zeros(len(x), dtype=np.int64), list(range(len(x)))
