@@ -22,6 +22,14 @@ def read_minutes(spark: SparkSession, path: str, region: str = r"/([^/]+)/[^/]+$
     return rows.withColumn("region_code", F.regexp_extract("path", region, 1)).withColumn("reject_reason", reject_reason(F.col("_corrupt"), F.col("DOCID"), F.col("MINTS_HTML")))
 
 
+def read_minutes_lines(spark: SparkSession, path: str, region: str = r"/([^/]+)/[^/]+$") -> DataFrame:
+    """As read_minutes, for files with one record on each line."""
+    schema = T.StructType([*MINUTES.fields, T.StructField("_corrupt", T.StringType())])
+    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).json(path)
+    rows = rows.withColumn("path", F.col("_metadata.file_path"))
+    return rows.withColumn("region_code", F.regexp_extract("path", region, 1)).withColumn("reject_reason", reject_reason(F.col("_corrupt"), F.col("DOCID"), F.col("MINTS_HTML")))
+
+
 def reject_reason(corrupt: Column, docid: Column, html: Column) -> Column:
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     return F.when(corrupt.isNotNull(), "invalid_json").when(blank(docid), "missing_docid").when(blank(html), "missing_html")

@@ -33,6 +33,13 @@ def current(spark: SparkSession, target: str) -> DataFrame | None:
     return spark.read.parquet(f"{target}/v={versions[-1]}") if versions else None
 
 
+def newest_only(rows: DataFrame, table: DataFrame | None, keys: Sequence[str], newest: Sequence[Column]) -> DataFrame:
+    """Of a batch and the table's rows of the same keys the newest, so that batches may come in any order."""
+    if table is not None:
+        rows = rows.unionByName(table.join(rows.select(*keys).distinct(), list(keys), "left_semi"))
+    return rows
+
+
 def ingest(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], newest: Sequence[Column], transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Upsert a stream into a versioned Parquet table, then stop when all that is there has been read.
 
@@ -44,7 +51,8 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str],
         spark = rows.sparkSession
         rows = transform(rows) if transform else rows
         earlier = [v for v in _versions(spark, target) if v <= batch_id]
-        table = upsert(spark.read.parquet(f"{target}/v={earlier[-1]}"), rows, keys, newest) if earlier else upsert(rows.limit(0), rows, keys, newest)
+        before = spark.read.parquet(f"{target}/v={earlier[-1]}") if earlier else rows.limit(0)
+        table = upsert(before, newest_only(rows, before if earlier else None, keys, newest), keys, newest)
         table.write.mode("overwrite").parquet(f"{target}/v={batch_id + 1}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
