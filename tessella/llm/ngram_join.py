@@ -32,7 +32,7 @@ from tessella.llm.substring import Block
 
 #: Classes that share a member from which it is dealt by, hashes of a sketch, classes of a chunk, the most members by
 #: which a prefix is lengthened, average candidates of a prefix member above which it isn't used.
-MANY, SKETCH, CHUNK, LONGEST, COSTLY = 16, 32, 256, 24, 8
+MANY, SKETCH, CHUNK, LONGEST, COSTLY = 16, 32, 256, 48, 8
 #: Classes that share a member above which they are compared in blocks of CHUNK instead of pair by pair.
 BLOCKED = 32
 
