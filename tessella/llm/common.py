@@ -15,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more than 1/HOT_SHARE of all rows counts as hot, so at most HOT_SHARE keys can be hot.
 HOT_SHARE = 1000
 
+#: Spark's setting by which a query's shuffle files go when it ends, not when the driver happens to collect its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir where set, else a folder of this machine (local mode)."""
@@ -28,13 +31,34 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared scratch folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet in the shared scratch folder and read it back: cuts lineage, survives lost executors.
+
+    The write's shuffle files go when it is done, as the table stands for them.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and that nothing will read any more. Other tables stay."""
+    for table in tables:
+        spark, files = table.sparkSession, table.inputFiles()
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        root = hadoop.Path(scratch_root(spark))
+        system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for folder in {f.rsplit("/", 1)[0] for f in files}:
+            path = system.makeQualified(hadoop.Path(folder))
+            if path.getParent().equals(system.makeQualified(root)):
+                system.delete(path, True)
+
+
 def blank_null(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import join_groups, join_small, materialize
+from tessella.llm.common import join_groups, join_small, materialize, release
 from tessella.llm.components import connected_components
 from tessella.llm.substring import Block
 
@@ -143,8 +143,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
 
 
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a: centre, b) that are similar enough. Texts go to the tasks that compare them, once for each chunk of a star."""
-    pairs = materialize(pairs, "ngram-pairs")
+    """The pairs (a: centre, b) that are similar enough. Texts go to the tasks that compare them, once for each chunk of a star. pairs: a table."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.count("*").alias("n"))
     sizes = materialize(sizes, "ngram-stars")
     centres = sizes.select(F.col("a").alias("v"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
@@ -152,7 +151,9 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percen
     others = others.select(F.col("b").alias("v"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
     wanted = centres.unionByName(others).join(classes.select("v", "row_id", "text_hash", "key").hint("merge"), "v")
     found = _texts(docs, wanted, "ngram-wanted").select("v", "centre", "chunk", "key", "text").groupBy("centre", "chunk")
-    return materialize(found.applyInArrow(_verified(n, percent), "a bigint, b bigint"), "ngram-links")
+    links = materialize(found.applyInArrow(_verified(n, percent), "a bigint, b bigint"), "ngram-links")
+    release(pairs, sizes)
+    return links
 
 
 def _pairs(rows: DataFrame, columns: list[str], percent: int, within: str = "true") -> DataFrame:
@@ -214,12 +215,17 @@ def _block_links(rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, classes: DataFrame, groups: DataFrame, shared: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs of classes in different groups that may be linked, links found block by block). groups: v, component, n_shingles; shared: v, member, layer."""
-    grouped = materialize(shared.join(groups.hint("merge"), "v"), "ngram-grouped")
+    """Tables of pairs of classes in different groups that may be linked, and of links found block by block.
+
+    groups: v, component, n_shingles; shared: v, member, layer, all, a table that is released.
+    """
+    grouped = materialize(shared.drop("all").join(groups.hint("merge"), "v"), "ngram-grouped")
+    release(shared)
     by_group = grouped.groupBy("member", "component").agg(F.count("*").alias("k"))
     costs = by_group.groupBy("member").agg(F.sum("k").alias("all"), (F.sum("k") - F.sum(F.col("k") * F.col("k")) / F.sum("k")).alias("partners"))
     costs = materialize(costs.filter("partners > 0"), "ngram-costs")
     costed = materialize(join_groups(grouped, costs, "member", "all", grouped.count()).drop("all"), "ngram-costed")
+    release(grouped, costs)
 
     usable = F.col("partners") <= COSTLY
     each = costed.groupBy("v", "n_shingles").agg(F.collect_list(F.when(~usable, F.col("layer"))).alias("costly"), F.sum(F.when(usable, F.col("partners"))).alias("expected"))
@@ -238,18 +244,24 @@ def _candidates(docs: DataFrame, classes: DataFrame, groups: DataFrame, shared:
     whole = _texts(docs, dense, "ngram-dense").select("v", "key", "text").mapInArrow(_members(n), "v bigint, member bigint").distinct()
     whole = materialize(whole, "ngram-whole")
     frequency = whole.groupBy("member").agg(F.count("*").alias("all"))
-    ordered = join_groups(whole, materialize(frequency, "ngram-frequency"), "member", "all", whole.count())
+    frequency = materialize(frequency, "ngram-frequency")
+    ordered = join_groups(whole, frequency, "member", "all", whole.count())
     rank = F.row_number().over(Window.partitionBy("v").orderBy("all", "member"))
     plain = ordered.withColumn("rank", rank).join(groups.hint("merge"), "v")
     plain = plain.filter(F.col("rank") <= F.col("n_shingles") - F.ceil(percent * F.col("n_shingles") / 100) + 1).filter("all > 1")
     plain = materialize(plain.select("v", "member", "component", "n_shingles"), "ngram-plain")
     many = plain.groupBy("member").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
     many = materialize(many.filter("low < high").select("member", "often"), "ngram-many")
-    plain = materialize(join_groups(plain, many, "member", "often", plain.count()), "ngram-often")
-    found = _block_links(plain.filter(F.col("often") > BLOCKED), whole, percent)
-    plain = _pairs(plain.filter(F.col("often") <= BLOCKED), ["v", "component", "n_shingles"], percent)
-    pairs = pairs.select("v_x", "v_y").unionByName(plain.select("v_x", "v_y")).distinct()
-    return pairs.select(F.col("v_x").alias("a"), F.col("v_y").alias("b")), materialize(found.distinct(), "ngram-blocks")
+    often = materialize(join_groups(plain, many, "member", "often", plain.count()), "ngram-often")
+    release(frequency, plain, many)
+    found = _block_links(often.filter(F.col("often") > BLOCKED), whole, percent)
+    found = materialize(found.distinct(), "ngram-blocks")
+    release(whole)
+    common = _pairs(often.filter(F.col("often") <= BLOCKED), ["v", "component", "n_shingles"], percent)
+    pairs = pairs.select("v_x", "v_y").unionByName(common.select("v_x", "v_y")).distinct()
+    pairs = materialize(pairs.select(F.col("v_x").alias("a"), F.col("v_y").alias("b")), "ngram-pairs")
+    release(costed, each, often)
+    return pairs, found
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,9 +278,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     rows = materialize(plain.mapInArrow(_prefixes(n, percent), schema).withColumn("row_no", F.monotonically_increasing_id()), "ngram-rows")
     full = rows.filter("n_shingles > 0")
     groups = materialize(full.groupBy("key").agg(F.min("row_no").alias("v"), F.count("*").alias("copies")), "ngram-classes")
-    members = materialize(join_groups(full.select("key", "row_id"), groups, "key", "copies", rows.count()).select("row_id", "v"), "ngram-members")
+    total = rows.count()
+    members = materialize(join_groups(full.select("key", "row_id"), groups, "key", "copies", total).select("row_id", "v"), "ngram-members")
     classes = full.join(groups.select(F.col("v").alias("row_no")).hint("merge"), "row_no", "left_semi").withColumnRenamed("row_no", "v")
     classes = materialize(classes, "ngram-firsts")
+    empty = materialize(rows.filter("n_shingles = 0").select("row_id", "n_shingles", F.col("row_id").alias("component_id")), "ngram-empty")
+    release(rows, groups)
 
     plain_length = F.col("n_shingles") - F.ceil(percent * F.col("n_shingles") / 100) + 1
     prefix = classes.select("v", plain_length.alias("plain"), F.posexplode("prefix").alias("at", "member"))
@@ -280,19 +295,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     dealt = dealt.select("v", "d.member", F.pmod(F.xxhash64("v", "d.member"), F.ceil(F.col("d.all") / CHUNK)).alias("chunk"))
     dealt = dealt.join(classes.select("v", F.slice("prefix", 1, SKETCH).alias("sketch")).hint("merge"), "v")
     pairs = dealt.groupBy("member", "chunk").applyInArrow(_alike(percent), "a bigint, b bigint").distinct()
+    pairs = materialize(pairs, "ngram-pairs")
     links = _links(plain, classes, pairs, n, percent)
     first = materialize(connected_components(links), "ngram-first-groups")
     groups = classes.select("v", "n_shingles").join(first.hint("merge"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     groups = materialize(groups, "ngram-groups")
-    pairs, blocks = _candidates(plain, classes, groups, shared.drop("all"), n, percent)
+    pairs, blocks = _candidates(plain, classes, groups, shared, n, percent)
     final = connected_components(links.unionByName(blocks).unionByName(_links(plain, classes, pairs, n, percent)))
 
     placed = members.join(final.hint("merge"), "v", "left").select("row_id", "v", F.coalesce("component", "v").alias("root"))
     placed = materialize(placed, "ngram-placed")
     names = materialize(placed.groupBy("root").agg(F.min("row_id").alias("component_id"), F.count("*").alias("k")), "ngram-names")
-    named = join_groups(placed, names, "root", "k", rows.count()).select("row_id", "v", "component_id")
+    named = join_groups(placed, names, "root", "k", total).select("row_id", "v", "component_id")
     sized = named.join(classes.select("v", "n_shingles").hint("merge"), "v").select("row_id", "n_shingles", "component_id")
-    return sized.unionByName(rows.filter("n_shingles = 0").select("row_id", "n_shingles", F.col("row_id").alias("component_id")))
+    return sized.unionByName(empty)
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

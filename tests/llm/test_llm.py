@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -49,6 +50,18 @@ def test_nulls_empty_long_and_clashing_names(spark, rows):
     assert packed["n"] >= n
 
 
+def test_release_deletes_scratch_tables_only(spark, tmp_path):
+    spark.range(3).write.parquet(path := str(tmp_path / "kept"))
+    mine, own = common.materialize(spark.range(5).groupBy("id").count(), "test"), spark.read.parquet(path)
+    empty = common.materialize(spark.range(0), "test-empty")
+    assert mine.count() == 5
+    assert empty.count() == 0
+    files = mine.inputFiles() + empty.inputFiles()
+    common.release(mine, empty, own)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert own.count() == 3
+
+
 def test_exact_groups_when_hashes_collide(spark):
     texts = ["a  b", "a b", "a\tb ", "c", None, "", "d d", "a b"]
     got = {r.row_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact.exact_groups(frame(spark, texts), content_hash=lambda c: F.substring(F.md5(c), 1, 0)).collect()}
