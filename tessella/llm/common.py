@@ -63,6 +63,12 @@ def blank_null(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs as a table with a number for each row, and the number's column, whose name is longer than any other."""
+    column = "row_no".ljust(1 + max(map(len, docs.columns), default=0), "_")
+    return materialize(docs.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
 def join_small(left: DataFrame, right: DataFrame, on: str, how: str, max_rows: int = 100_000) -> DataFrame:
     """Join with a side that is broadcast only when a count proves it small; a shuffled merge join beyond that.
 

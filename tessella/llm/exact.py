@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE_RUN, blank_null, join_groups, join_small, materialize
+from tessella.llm.common import SPACE_RUN, blank_null, join_groups, join_small, materialize, numbered
 
 
 def normal_text(text: str | Column) -> Column:
@@ -27,11 +27,16 @@ def exact_groups(
     Rows shuffle as hashes. Full texts move once, only those whose hash repeats and after a map-side combine, to
     prove that each hash group holds one text. Groups in which two texts collide are regrouped by the texts themselves.
     """
+    marked = _marked(docs, F.monotonically_increasing_id(), id_col, text_col, content_hash)
+    return marked.select("row_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _marked(docs: DataFrame, number: Column, id_col: str, text_col: str, content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
+    """exact_groups with row_no, each row's number."""
     text = normal_text(F.col(text_col))
-    plain = docs.select(F.col(id_col).alias("row_id"), text.alias("t")).select(
-        "row_id", content_hash(F.col("t")).alias("h"), F.sha2("t", 256).alias("text_sha256")
-    )
-    rows = materialize(plain.withColumn("row_no", F.monotonically_increasing_id()), "exact-rows")
+    plain = docs.select(F.col(id_col).alias("row_id"), number.alias("row_no"), text.alias("t"))
+    hashed = plain.select("row_id", "row_no", content_hash(F.col("t")).alias("h"), F.sha2("t", 256).alias("text_sha256"))
+    rows = materialize(hashed, "exact-rows")
     groups = materialize(_grouped(rows), "exact-groups")
 
     repeated = groups.filter("group_size > 1").select("h")
@@ -39,14 +44,14 @@ def exact_groups(
     texts = texts.groupBy("h", "t").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("texts"))
     collided = materialize(texts.filter("texts > 1").select("h"), "exact-collided")
     if not collided.isEmpty():
-        again = docs.select(F.col(id_col).alias("row_id"), text.alias("t")).withColumn("h", content_hash(F.col("t")))
-        again = join_small(again, collided, "h", "left_semi").select("row_id", F.concat(F.lit("text:"), "t").alias("h"), F.sha2("t", 256).alias("text_sha256"))
-        again = materialize(again.withColumn("row_no", F.monotonically_increasing_id()), "exact-again")
+        again = plain.withColumn("h", content_hash(F.col("t")))
+        again = join_small(again, collided, "h", "left_semi").select("row_id", "row_no", F.concat(F.lit("text:"), "t").alias("h"), F.sha2("t", 256).alias("text_sha256"))
+        again = materialize(again, "exact-again")
         rows = join_small(rows, collided, "h", "left_anti").unionByName(again)
         groups = materialize(_grouped(rows), "exact-groups")
     marked = join_groups(rows, groups, "h", "group_size", rows.count())
     return marked.select(
-        "row_id", F.col("first.row_id").alias("keep_id"), "group_size", (F.col("row_no") == F.col("first.row_no")).alias("kept"), "text_sha256"
+        "row_id", F.col("first.row_id").alias("keep_id"), "group_size", (F.col("row_no") == F.col("first.row_no")).alias("kept"), "text_sha256", "row_no"
     )
 
 
@@ -58,6 +63,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their columns. Ids must be unique for this form; rows without an id stay."""
-    gone = materialize(exact_groups(docs, id_col, text_col).filter("NOT kept AND row_id IS NOT NULL").select(F.col("row_id").alias(id_col)), "exact-gone")
-    return join_small(docs, gone, id_col, "left_anti")
+    """The rows of docs that stay, with their columns: of equal texts one row, as in exact_groups. Ids may be null or repeat."""
+    rows, number = numbered(docs, "exact-docs")
+    gone = _marked(rows, F.col(number), id_col, text_col).filter("NOT kept").select(F.col("row_no").alias(number))
+    return join_small(rows, materialize(gone, "exact-gone"), number, "left_anti").drop(number)

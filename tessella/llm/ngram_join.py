@@ -23,10 +23,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import join_groups, join_small, materialize, release
+from tessella.llm.common import join_groups, join_small, materialize, numbered, release
 from tessella.llm.components import connected_components
 from tessella.llm.substring import Block
 
@@ -64,7 +64,8 @@ def _prefixes(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     sizes.append(len(members))
                     prefixes.append(members[: len(members) - -(-percent * len(members) // 100) + LONGEST].view(np.int64))
                 columns = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["row_id", "text_hash", "key", "n_shingles", "prefix"])
+                names = ["row_id", "text_hash", "row_no", "key", "n_shingles", "prefix"]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), *columns], names)
 
     return run
 
@@ -272,17 +273,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     text have an empty set and link with nothing. Ids may be null (they name no component unless all of one are) or repeat.
     An empty table gives no row. Other columns of docs don't matter.
     """
-    plain = docs.select(F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return _numbered_groups(docs, F.monotonically_increasing_id(), n, percent, id_col, text_col).select("row_id", "n_shingles", "component_id")
+
+
+def _numbered_groups(docs: DataFrame, number: Column, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates with row_no, each row's number, and root, its group's (null for an empty set)."""
+    columns = [F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")]
+    plain = docs.select(*columns)
     kind = plain.schema["row_id"].dataType.simpleString()
-    schema = f"row_id {kind}, text_hash bigint, key binary, n_shingles bigint, prefix array<bigint>"
-    rows = materialize(plain.mapInArrow(_prefixes(n, percent), schema).withColumn("row_no", F.monotonically_increasing_id()), "ngram-rows")
+    schema = f"row_id {kind}, text_hash bigint, row_no bigint, key binary, n_shingles bigint, prefix array<bigint>"
+    rows = materialize(docs.select(*columns, number.alias("row_no")).mapInArrow(_prefixes(n, percent), schema), "ngram-rows")
     full = rows.filter("n_shingles > 0")
     groups = materialize(full.groupBy("key").agg(F.min("row_no").alias("v"), F.count("*").alias("copies")), "ngram-classes")
     total = rows.count()
-    members = materialize(join_groups(full.select("key", "row_id"), groups, "key", "copies", total).select("row_id", "v"), "ngram-members")
+    members = materialize(join_groups(full.select("key", "row_id", "row_no"), groups, "key", "copies", total).select("row_id", "row_no", "v"), "ngram-members")
     classes = full.join(groups.select(F.col("v").alias("row_no")).hint("merge"), "row_no", "left_semi").withColumnRenamed("row_no", "v")
     classes = materialize(classes, "ngram-firsts")
-    empty = materialize(rows.filter("n_shingles = 0").select("row_id", "n_shingles", F.col("row_id").alias("component_id")), "ngram-empty")
+    empty = materialize(rows.filter("n_shingles = 0").select("row_id", "n_shingles", F.col("row_id").alias("component_id"), "row_no", F.lit(None).cast("bigint").alias("root")), "ngram-empty")
     release(rows, groups)
 
     plain_length = F.col("n_shingles") - F.ceil(percent * F.col("n_shingles") / 100) + 1
@@ -303,16 +310,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     pairs, blocks = _candidates(plain, classes, groups, shared, n, percent)
     final = connected_components(links.unionByName(blocks).unionByName(_links(plain, classes, pairs, n, percent)))
 
-    placed = members.join(final.hint("merge"), "v", "left").select("row_id", "v", F.coalesce("component", "v").alias("root"))
+    placed = members.join(final.hint("merge"), "v", "left").select("row_id", "row_no", "v", F.coalesce("component", "v").alias("root"))
     placed = materialize(placed, "ngram-placed")
     names = materialize(placed.groupBy("root").agg(F.min("row_id").alias("component_id"), F.count("*").alias("k")), "ngram-names")
-    named = join_groups(placed, names, "root", "k", total).select("row_id", "v", "component_id")
-    sized = named.join(classes.select("v", "n_shingles").hint("merge"), "v").select("row_id", "n_shingles", "component_id")
+    named = join_groups(placed, names, "root", "k", total).select("row_id", "row_no", "root", "v", "component_id")
+    sized = named.join(classes.select("v", "n_shingles").hint("merge"), "v").select("row_id", "n_shingles", "component_id", "row_no", "root")
     return sized.unionByName(empty)
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each group the document with the smallest id. Rows without an id stay."""
-    found = near_duplicates(docs, n, percent, id_col, text_col)
-    gone = materialize(found.filter("row_id <> component_id").select(F.col("row_id").alias(id_col)).distinct(), "ngram-gone")
-    return join_small(docs, gone, id_col, "left_anti")
+    """The rows of docs that stay: of each group the row with the smallest id (null last), one row where that repeats."""
+    rows, number = numbered(docs, "ngram-docs")
+    found = _numbered_groups(rows, F.col(number), n, percent, id_col, text_col).filter("root IS NOT NULL")
+    found = materialize(found.select("root", "row_id", "row_no"), "ngram-found")
+    first = F.min(F.struct(F.col("row_id").isNull().alias("no_id"), "row_id", "row_no"))
+    groups = materialize(found.groupBy("root").agg(first.alias("first"), F.count("*").alias("k")).filter("k > 1"), "ngram-kept")
+    gone = join_groups(found, groups, "root", "k", found.count()).filter("row_no <> first.row_no").select(F.col("row_no").alias(number))
+    return join_small(rows, materialize(gone, "ngram-gone"), number, "left_anti").drop(number)

@@ -50,6 +50,22 @@ def test_nulls_empty_long_and_clashing_names(spark, rows):
     assert packed["n"] >= n
 
 
+def test_dropped_duplicates_leave_one_row_of_each_text(spark):
+    d = docs(spark)
+    rows = [(r.doc_id, r.text) for r in exact.drop_exact_duplicates(d).collect()]
+    assert sorted(rows) == [(1, ""), (2, "der Hund und die Katze"), (3, "x" * 40_000), (4, "   ")]
+    rows = [(r.doc_id, r.text) for r in ngram_join.drop_near_duplicates(d).collect()]
+    assert sorted(rows, key=repr) == sorted([(None, None), (1, ""), (2, "der Hund und die Katze"), (3, "x" * 40_000), (4, "   ")], key=repr)
+
+
+def test_dropped_duplicates_go_by_row_not_by_id(spark):
+    rows = [(7, "a b c"), (7, "d e f"), (5, "d e f"), (None, "g h i"), (None, "g h i"), (7, "j k l"), (None, "j k l")]
+    kept = [("None", "g h i"), ("5", "d e f"), ("7", "a b c"), ("7", "j k l")]
+    for drop in (exact.drop_exact_duplicates, ngram_join.drop_near_duplicates):
+        got = drop(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((str(r.doc_id), r.text) for r in got) == sorted(kept)
+
+
 def test_release_deletes_scratch_tables_only(spark, tmp_path):
     spark.range(3).write.parquet(path := str(tmp_path / "kept"))
     mine, own = common.materialize(spark.range(5).groupBy("id").count(), "test"), spark.read.parquet(path)
