@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import blank_null, join_small, materialize
+from tessella.llm.exact import normal_text
 
 #: Patterns of the base kinds, in the order of results. Quantifiers are possessive where that changes no match, and a
 #: match of emails and addresses starts at a run's start or where the last match ended, so long runs cost linear time.
@@ -22,8 +23,8 @@ PATTERNS = {
 }
 _HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Characters on either side of an entity in which its terms stand, and what a term is.
-CONTEXT, TERM = 96, r"\p{L}{4,}"
+#: A word, and what of words may be a term: three letters, any number in scripts without case, or two with a capital.
+LETTERS, TERM = r"\p{L}+", r"\p{L}{3,}|\p{Lo}+|\p{Lu}\p{L}"
 _SPANS = "array<struct<start:int,stop:int,match:string>>"
 
 
@@ -98,34 +99,53 @@ def base_spans(docs: DataFrame, text: str) -> DataFrame:
     return docs
 
 
-def revealing_terms(found: DataFrame, texts: DataFrame, support: int, share: float, bits: float) -> DataFrame:
-    """term: words that reveal an entity. found: text and base spans; texts: all texts (column text).
+def _distinct_texts(texts: DataFrame) -> tuple[DataFrame, int]:
+    """key, text: one of each normalised text (the least of its copies), and their number."""
+    keyed = texts.select("text", F.unhex(F.md5(normal_text("text"))).alias("key"))
+    keys = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")), "pii-keys")
+    repeated = keys.filter("n > 1").select("key")
+    copied = join_small(keyed, repeated, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    return join_small(keyed, repeated, "key", "left_anti").select("key", "text").unionByName(copied), keys.count()
 
-    A term stands near an entity, within CONTEXT characters. Let n(t, e) be the number of different contexts in which t
-    stands near e, n(t) and n(e) those of documents that hold t anywhere and of e, N all documents. The term reveals
-    e if it has at least `support` contexts, n(t, e) / n(t) >= share, and log2(n(t, e) N / (n(t) n(e))) >= bits. Contexts count
-    once however often a text was copied. Counts cover all documents.
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0)))
+
+
+def revealing_terms(texts: DataFrame, support: int, share: float, bits: float) -> DataFrame:
+    """term: words that reveal an entity. texts: all texts (column text).
+
+    All counts are of distinct normalised texts, so copies count once. Let n(t, e) be the number of those that hold the term t
+    (outside e-mail addresses) and the entity e, wherever they stand, n(t) and n(e) of those that hold either, N of all. The
+    term reveals e if n(t, e) >= support, n(t, e) / n(t) >= share, and log2(n(t, e) N / (n(t) n(e))) >= bits.
+
+    As n(t, e) is at most n(t) and n(e), only terms and entities of at least `support` and at most N / 2^bits texts can pass,
+    and only with n(t) share <= n(e). So others are left out before terms meet entities.
     """
-    each = found.select("text", F.explode(F.concat(*(F.col(f"_{k}") for k in PATTERNS))).alias("s"))
-    left = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("s.start") + 1 - CONTEXT), F.least(F.lit(CONTEXT), F.col("s.start")))
-    left = F.when(F.col("s.start") > CONTEXT, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.regexp_replace(F.substring(F.col("text"), F.col("s.stop") + 1, F.lit(CONTEXT)), r"\p{L}+$", "")
-    near = each.select(F.lower("s.match").alias("entity"), F.lower(F.concat(left, F.lit(" | "), right)).alias("context")).distinct()
-    near = materialize(near, "pii-contexts")
-    entities = near.groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = near.select("entity", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term"))
-    pairs = terms.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
-    pairs = materialize(pairs.join(entities.hint("merge"), "entity"), "pii-pairs")
-    wanted = materialize(pairs.select("term").distinct(), "pii-terms")
-    if wanted.isEmpty():
-        return wanted
-    held = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = held.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted.hint("merge"), "term")
-    total = texts.count()
-    scored = pairs.join(counts.hint("merge"), "term")
-    chance = F.col("n_te") / F.greatest("n_t", "n_te")
-    scored = scored.filter((chance >= share) & (F.log2(chance * total / F.col("n_e")) >= bits))
-    return materialize(scored.select("term").distinct(), "pii-revealing")
+    once, total = _distinct_texts(texts)
+    most = total / 2**bits
+    plain = F.when(F.col("text").contains("@"), F.regexp_replace("text", PATTERNS["email"], " ")).otherwise(F.col("text"))
+    entities = F.array_distinct(F.transform(F.concat(*(F.col(f"_{k}") for k in PATTERNS)), lambda s: F.lower(s["match"])))
+    terms = F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(TERM), F.lit(0)), F.lower))
+    some = base_spans(once.filter(F.col("text").rlike("[0-9@]")), "text").filter(" OR ".join(f"size(_{k}) > 0" for k in PATTERNS))
+    held = materialize(some.select("key", entities.alias("entities"), terms.alias("terms")), "pii-held")
+
+    named = held.select("key", F.explode("entities").alias("entity"))
+    often = named.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e").between(support, most))
+    often = materialize(often, "pii-entities")
+    largest = often.agg(F.max("n_e")).first()[0]
+    if largest is None:
+        return often.select(F.col("entity").alias("term"))
+    counts = once.select(F.explode(_words(plain)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = counts.filter(F.col("n_t").between(support, most) & (F.col("n_t") * share <= largest))
+    counts = materialize(counts, "pii-terms")
+    named = named.join(often.hint("merge"), "entity")
+    near = held.select("key", F.explode("terms").alias("term")).join(counts.hint("merge"), "term")
+    pairs = near.join(named.hint("merge"), "key").filter(F.col("n_t") * share <= F.col("n_e"))
+    pairs = pairs.groupBy("entity", "term", "n_t", "n_e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
+    chance = F.col("n_te") / F.col("n_t")
+    pairs = pairs.filter((chance >= share) & (F.log2(chance * total / F.col("n_e")) >= bits))
+    return materialize(pairs.select("term").distinct(), "pii-revealing")
 
 
 def find_personal_data(
@@ -139,12 +159,10 @@ def find_personal_data(
     """
     plain = docs.select(F.col(id_col).alias("row_id"), blank_null(F.col(text_col)).alias("text"))
     based = base_spans(plain, "text")
-    some = base_spans(plain.filter(F.col("text").rlike("[0-9@]")), "text")
-    some = some.filter(" OR ".join(f"size(_{k}) > 0" for k in PATTERNS))
-    terms = revealing_terms(some, plain, support, share, bits)
+    terms = revealing_terms(plain, support, share, bits)
     out = based.withColumn("_words", F.lit(None).cast("array<string>"))
     if not terms.isEmpty():
-        words = plain.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+        words = plain.select(F.xxhash64("text").alias("h"), F.explode(_words(F.col("text"))).alias("term"))
         words = join_small(words, terms, "term", "inner").distinct().groupBy("h").agg(F.sort_array(F.collect_list("term")).alias("_words"))
         words = materialize(words, "pii-words")
         out = join_small(based.withColumn("h", F.xxhash64("text")), words, "h", "left")

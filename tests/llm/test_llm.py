@@ -276,6 +276,20 @@ def test_revealing_terms_are_found_and_generalised(spark):
     assert pii.sanitise(found.filter("row_id = 0")).first()["clean_text"] == "Kontakt zu [TERM] bitte an [EMAIL] heute melden"
 
 
+@pytest.mark.parametrize(
+    ("texts", "names"),
+    [
+        ([f"Zebrafink zu bob@x.org {w} melden" for w in ("heute", "morgen", "dienstag", "mittwoch") for _ in range(3)], {"Zebrafink"}),
+        ([f"Zebrafink {'melden und bitte kontakt ' * 9} bob@x.org {w}" for w in ("heute", "morgen", "dienstag")], {"Zebrafink"}),
+        ([f"Bo 김민 Kim zu bob@x.org {w} melden" for w in ("heute", "morgen", "dienstag")], {"Bo", "김민", "Kim"}),
+    ],
+    ids=["copies", "far", "short"],
+)
+def test_revealing_terms_of_copies_far_and_short(spark, texts, names):
+    found = pii.find_personal_data(frame(spark, texts + [f"ganz andere Worte {i} ueber melden und bitte kontakt" for i in range(600)]))
+    assert [{s.match for s in r.term} for r in found.filter(f"row_id < {len(texts)}").collect()] == [names] * len(texts)
+
+
 def test_held_out_languages_and_quality(spark):
     folder = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
