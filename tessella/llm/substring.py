@@ -4,12 +4,15 @@
    have equal anchors at equal places, so only about every fourteenth word starts an anchor (for 35 and 8). An anchor and
    all windows that chose it form a context. Anchors that occur once prove their windows unique.
 2. Confirmation. An anchor that always stands in one context confirms all its windows at once. Where contexts differ, the
-   windows themselves are counted, as 64-bit hashes next to the anchor's 64 bits.
-3. Location. Documents are dealt into shards of a few megabytes. Each shard gets what was confirmed for it, compiles the
-   recurring passages into automata of bounded size, and streams all its documents through them; every word inside an
-   occurrence is removed.
-
-What is shuffled besides the texts (twice) are hashes; a passage of all documents costs a row for each shard, not for each pair.
+   windows themselves are counted, by two 64-bit hashes: the anchor's and the window's. Each also gets a checksum of the
+   places of its anchor: neighbouring windows with equal checksums occur together everywhere and form one passage.
+3. Dictionary. One shard of documents, the first that holds a passage, hands out its words: the dictionary has each
+   recurring passage once, as text. It is dealt to the shards whose documents hold the passage somewhere.
+4. Location. Each shard compiles what it was dealt into automata of bounded size and streams its documents through them,
+   word for word; every word inside an occurrence is removed.
+
+What is shuffled besides the texts (three times) are hashes and the dictionary; a passage of all documents costs a row for
+each shard, not for each pair.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.llm.common import blank_null, materialize
+from tessella.llm.common import blank_null, materialize, release
 
 #: Bytes of text for a shard, of a hashed block, words of one automaton, words of a block (anchors are found within it).
 SHARD_BYTES, BLOCK_BYTES, AUTOMATON_WORDS, BLOCK_WORDS = 4 << 20, 1 << 19, 250_000, 1 << 18
@@ -144,10 +147,23 @@ def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
     return np.unique(column.to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+def _paired(anchors: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Pairs as records, which sort and compare by both."""
+    out = np.empty(len(anchors), dtype=[("anchor", "<u8"), ("key", "<u8")])
+    out["anchor"], out["key"] = anchors, keys
+    return out
+
+
+def _position(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where each of x is in the sorted array known, -1 if nowhere."""
     if not len(known):
-        return np.zeros(len(x), dtype=bool)
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[at] == x, at, -1)
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return _position(x, known) >= 0
 
 
 def _slices(texts: pa.ChunkedArray | pa.Array, n_bytes: int = 1 << 20) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -179,27 +195,102 @@ def _anchors(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 
 def _count_windows(window: int, gram: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A shard's windows under the wanted anchors: how often each occurs, and the checksum of the places of its anchor."""
+
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-        known, found = _unsigned(wanted.column("anchor")), [np.zeros(0, dtype=np.uint64)]
+        known = _unsigned(wanted.column("anchor"))
+        shard = (docs.column("shard") if docs.num_rows else wanted.column("shard"))[0].as_py()
+        none, seen = np.zeros(0, dtype=np.uint64), 0
+        anchors, windows, places = [none], [none], [none]
         if len(known):
             for _, words_of in _slices(docs.column("text")):
                 for block, _ in _blocks(words_of, window):
                     first, last, keys, _ = block.runs(window, gram)
                     some = _among(keys, known)
-                    found.append(block.windows(first[some], last[some], keys[some], window)[1])
-        keys, n = np.unique(np.concatenate(found), return_counts=True)
-        shard = (docs.column("shard") if docs.num_rows else wanted.column("shard"))[0].as_py()
-        return pa.table([pa.array(np.full(len(keys), shard), pa.int32()), _signed(keys), pa.array(n, pa.int64())], names=["shard", "key", "n"])
+                    first, last, keys = first[some], last[some], keys[some]
+                    sizes = last - first + 1
+                    windows.append(block.windows(first, last, keys, window)[1])
+                    anchors.append(np.repeat(keys, sizes))
+                    place = (np.uint64(shard) << np.uint64(40)) + np.arange(seen, seen + len(keys), dtype=np.uint64)
+                    places.append(np.repeat(_mix(place), sizes))
+                    seen += len(keys)
+        anchor, key, place = map(np.concatenate, (anchors, windows, places))
+        order = np.lexsort((key, anchor))
+        anchor, key, place = anchor[order], key[order], place[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (anchor[1:] != anchor[:-1])
+        heads = np.flatnonzero(new)
+        sums = np.bitwise_xor.reduceat(place, heads) if len(heads) else place
+        n = np.diff(np.append(heads, len(key)))
+        columns = [pa.array(np.full(len(heads), shard), pa.int32()), _signed(anchor[heads]), _signed(key[heads]), pa.array(n, pa.int64()), _signed(sums)]
+        return pa.table(columns, names=["shard", "anchor", "key", "n", "places"])
 
     return run
 
 
-def _automata(passages: set[tuple[int, ...]]) -> Iterator:
+def _passages(window: int, gram: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The words of the passages that a shard is asked for: whole contexts (places null), and windows, joined where neighbours have equal checksums.
+
+    A passage is keyed by its anchor and its context or its first window.
+    """
+
+    def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
+        asked = _paired(*(wanted.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("anchor", "key")))
+        order = np.argsort(asked, order=("anchor", "key"))
+        asked = asked[order]
+        single = wanted.column("places").is_valid().to_numpy()[order]
+        places = wanted.column("places").fill_null(0).to_numpy().astype(np.int64)[order]
+        times = wanted.column("n").to_numpy()[order]
+        given, anchors = np.zeros(len(asked), dtype=bool), np.unique(asked["anchor"])
+        out: tuple[list, list, list] = ([], [], [])
+
+        def hand_out(at: int, text: bytes) -> None:
+            for column, value in zip(out, (int(asked["anchor"][at].view(np.int64)), int(asked["key"][at].view(np.int64)), text), strict=True):
+                column.append(value)
+
+        for _, words_of in _slices(docs.column("text")) if len(asked) else ():
+            for block, owners in _blocks(words_of, window):
+                first, last, keys, contexts = block.runs(window, gram)
+                some = np.flatnonzero(_among(keys, anchors))
+                part_start = np.searchsorted(block.doc, np.arange(len(owners)))
+
+                def words(a: int, b: int, block: Block = block, owners: list = owners, part_start: np.ndarray = part_start, words_of: list = words_of) -> bytes:
+                    i, offset = owners[block.doc[a]]
+                    at = int(a - part_start[block.doc[a]]) + offset
+                    return b" ".join(words_of[i][at : at + int(b - a) + window])
+
+                whole = _position(_paired(keys[some], contexts[some]), asked)
+                for run_at, at in zip(some[whole >= 0], whole[whole >= 0], strict=True):
+                    if not given[at] and not single[at]:
+                        given[at] = True
+                        hand_out(at, words(first[run_at], last[run_at]))
+                starts, window_keys = block.windows(first[some], last[some], keys[some], window)
+                sizes = (last - first + 1)[some]
+                owner = np.repeat(some, sizes)
+                at = _position(_paired(np.repeat(keys[some], sizes), window_keys), asked)
+                new = np.flatnonzero((at >= 0) & single[at] & ~given[at])
+                # Of windows that the block holds several times, the first stays.
+                new = new[np.sort(np.unique(at[new], return_index=True)[1])]
+                given[at[new]] = True
+                if not len(new):
+                    continue
+                places_of, times_of = places[at[new]], times[at[new]]
+                head = np.ones(len(new), dtype=bool)
+                head[1:] = (new[1:] != new[:-1] + 1) | (owner[new[1:]] != owner[new[:-1]]) | (places_of[1:] != places_of[:-1]) | (times_of[1:] != times_of[:-1])
+                heads = np.flatnonzero(head)
+                for a, b in zip(new[heads], new[np.append(heads[1:], len(new)) - 1], strict=True):
+                    hand_out(at[a], words(starts[a], starts[b]))
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["anchor", "key", "passage"])
+
+    return run
+
+
+def _automata(passages: list[tuple[int, ...]]) -> Iterator:
     """Automata over word numbers, each of at most AUTOMATON_WORDS words or one passage."""
     import ahocorasick
 
     made, size = None, 0
-    for p in sorted(passages):
+    for p in passages:
         if made is not None and size + len(p) > AUTOMATON_WORDS:
             made.make_automaton()
             yield made
@@ -213,33 +304,14 @@ def _automata(passages: set[tuple[int, ...]]) -> Iterator:
         yield made
 
 
-def _remove(window: int, gram: int, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
+def _remove(window: int, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Each document of a shard with the words removed that lie in an occurrence of a passage dealt to the shard."""
+
+    def run(docs: pa.Table, dealt: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        known = _unsigned(confirmed.column("key"))
         numbers: dict[bytes, int] = {}
-        passages: set[tuple[int, ...]] = set()
-        if len(known):
-            for _, words_of in _slices(docs.column("text")):
-                for block, owners in _blocks(words_of, window):
-                    first, last, keys, contexts = block.runs(window, gram)
-                    whole = _among(contexts, known)
-                    split_starts, split_keys = block.windows(first[~whole], last[~whole], keys[~whole], window)
-                    starts = np.sort(np.concatenate([block.windows(first[whole], last[whole], keys[whole], window)[0], split_starts[_among(split_keys, known)]]))
-                    if not len(starts):
-                        continue
-                    head = np.ones(len(starts), dtype=bool)
-                    head[1:] = (starts[1:] != starts[:-1] + 1) | (block.doc[starts[1:]] != block.doc[starts[:-1]])
-                    heads = np.flatnonzero(head)
-                    tails = np.append(heads[1:], len(starts)) - 1
-                    part_start = np.searchsorted(block.doc, np.arange(len(owners)))
-                    for a, b in zip(starts[heads], starts[tails], strict=True):
-                        part = block.doc[a]
-                        i, offset = owners[part]
-                        at = int(a - part_start[part]) + offset
-                        words = words_of[i][at : at + int(b - a) + window]
-                        passages.add(tuple(numbers.setdefault(w, len(numbers) + 1) for w in words))
+        passages = sorted({tuple(numbers.setdefault(w, len(numbers) + 1) for w in p.as_py().split(b" ")) for p in dealt.column("passage")})
         automata = list(_automata(passages))
         del passages
         out: dict[str, list] = {"n_words": [], "n_removed": [], "removed": [], "kept_sha256": []}
@@ -276,23 +348,29 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8, id_col: str
     text = blank_null(F.col(text_col))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-total // SHARD_BYTES))
-    rows = docs.select(F.col(id_col).alias("row_id"), text.alias("text"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("row_id", "text"), F.lit(shards)).cast("int"))
+    rows = docs.select(F.col(id_col).alias("row_id"), text.alias("text"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"))
+    rows = materialize(rows, "repeats-rows")
 
     anchors = rows.select("text", "shard").mapInArrow(_anchors(window, gram), "anchor bigint, context bigint, shard int")
     anchors = materialize(anchors, "repeats-anchors")
-    contexts = anchors.groupBy("anchor", "context").agg(F.count("*").alias("n"))
-    recurring = contexts.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("contexts")).filter("n > 1")
-    recurring = materialize(recurring.select("anchor", "contexts"), "repeats-recurring")
+    contexts = anchors.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("shard").alias("shard"))
+    recurring = contexts.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"), F.min("context").alias("key"), F.min("shard").alias("first_shard"))
+    recurring = materialize(recurring.filter("n > 1"), "repeats-recurring")
 
     # A row for each anchor and shard at most on the left: no anchor is hot. Merge joins, as these sizes can't be guessed.
-    varied = anchors.groupBy("anchor", "shard").agg(F.count("*").alias("n")).join(recurring.filter("contexts > 1").hint("merge"), "anchor")
-    counted = rows.groupBy("shard").cogroup(varied.select("shard", "anchor").groupBy("shard"))
-    windows = materialize(counted.applyInArrow(_count_windows(window, gram), "shard int, key bigint, n bigint"), "repeats-windows")
-    repeated = windows.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
-    whole = anchors.groupBy("anchor", "context", "shard").agg(F.count("*").alias("n")).join(recurring.filter("contexts = 1").hint("merge"), "anchor")
-    confirmed = whole.select("shard", F.col("context").alias("key")).unionByName(windows.join(repeated.hint("merge"), "key").select("shard", "key"))
-    confirmed = materialize(confirmed, "repeats-confirmed")
+    held = anchors.select("anchor", "shard").distinct()
+    varied = held.join(recurring.filter("contexts > 1").select("anchor").hint("merge"), "anchor")
+    counted = rows.groupBy("shard").cogroup(varied.groupBy("shard"))
+    windows = materialize(counted.applyInArrow(_count_windows(window, gram), "shard int, anchor bigint, key bigint, n bigint, places bigint"), "repeats-windows")
+    repeated = windows.groupBy("anchor", "key").agg(F.sum("n").alias("n"), F.bit_xor("places").alias("places"), F.min("shard").alias("shard"))
+    whole = recurring.filter("contexts = 1").select(F.col("first_shard").alias("shard"), "anchor", "key", "n", F.lit(None).cast("bigint").alias("places"))
+    asked = repeated.filter("n > 1").select("shard", "anchor", "key", "n", "places").unionByName(whole)
+
+    handed = rows.select("shard", "text").groupBy("shard").cogroup(asked.groupBy("shard"))
+    passages = materialize(handed.applyInArrow(_passages(window, gram), "anchor bigint, key bigint, passage binary"), "repeats-passages")
+    holders = windows.select("anchor", "key", "shard").unionByName(held.join(whole.select("anchor", "key").hint("merge"), "anchor").select("anchor", "key", "shard"))
+    dealt = materialize(holders.join(passages.hint("merge"), ["anchor", "key"]).select("shard", "passage"), "repeats-dealt")
+    release(anchors, recurring, windows, passages)
 
     out = f"row_id {rows.schema['row_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, removed array<struct<start:int,stop:int>>, kept_sha256 string"
     schema = pa.schema(
@@ -301,4 +379,4 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8, id_col: str
             pa.field("removed", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.field("kept_sha256", pa.string()),
         ]
     )
-    return rows.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(_remove(window, gram, schema), out)
+    return rows.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(_remove(window, schema), out)
