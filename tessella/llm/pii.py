@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import blank_null, join_small, materialize
+from tessella.llm.common import blank_null, join_small, materialize, release
 from tessella.llm.exact import normal_text
 
 #: Patterns of the base kinds, in the order of results. Quantifiers are possessive where that changes no match, and a
@@ -23,8 +23,13 @@ PATTERNS = {
 }
 _HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: A word, and what of words may be a term: three letters, any number in scripts without case, or two with a capital.
-LETTERS, TERM = r"\p{L}+", r"\p{L}{3,}|\p{Lo}+|\p{Lu}\p{L}"
+#: A word: a run of letters and figures with a letter. What of words may be a term: three characters, any number in scripts
+#: without case, or two letters with a capital.
+HELD = r"[\p{L}\p{N}]"
+LETTERS = r"(?=\p{N}*+\p{L})" + HELD + "++"
+TERM = rf"(?<!{HELD})(?:(?=\p{{N}}*+\p{{L}}){HELD}{{3,}}+|\p{{Lo}}++|\p{{Lu}}\p{{L}})(?!{HELD})"
+#: The class of all protected entities, beside the classes of each kind.
+ANY = "any"
 _SPANS = "array<struct<start:int,stop:int,match:string>>"
 
 
@@ -112,44 +117,69 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0)))
 
 
-def revealing_terms(texts: DataFrame, support: int, share: float, bits: float) -> DataFrame:
-    """term: words that reveal an entity. texts: all texts (column text).
+def _assured(k: Column, n: Column, sure: float) -> Column:
+    """The lower end of Wilson's interval of a share k / n, `sure` standard deviations wide."""
+    z = sure * sure
+    p = k / n
+    return (p + z / (2 * n) - sure * F.sqrt(p * (1 - p) / n + z / (4 * n * n))) / (1 + z / n)
+
+
+def revealing_terms(texts: DataFrame, support: int, share: float, bits: float, class_share: float = 0.3, class_bits: float = 2.0, sure: float = 3.0) -> DataFrame:
+    """term: words that reveal an entity, or that some entity of a class stands there. texts: all texts (column text).
 
     All counts are of distinct normalised texts, so copies count once. Let n(t, e) be the number of those that hold the term t
     (outside e-mail addresses) and the entity e, wherever they stand, n(t) and n(e) of those that hold either, N of all. The
     term reveals e if n(t, e) >= support, n(t, e) / n(t) >= share, and log2(n(t, e) N / (n(t) n(e))) >= bits.
 
-    As n(t, e) is at most n(t) and n(e), only terms and entities of at least `support` and at most N / 2^bits texts can pass,
-    and only with n(t) share <= n(e). So others are left out before terms meet entities.
+    Classes are the kinds and all of them together; e is then any entity of the class. As these are frequent, chance is
+    guarded against by the lower end L of the share's interval (`sure` standard deviations): the term reveals the class if
+    n(t, e) >= support, L >= class_share and log2(L N / n(e)) >= class_bits.
+
+    As n(t, e) is at most n(t) and n(e), only terms and entities of at least `support` texts can pass, entities only up to
+    N / 2^bits texts, terms only with n(t) times the share at most n(e). So others are left out before terms meet entities.
     """
     once, total = _distinct_texts(texts)
     most = total / 2**bits
     plain = F.when(F.col("text").contains("@"), F.regexp_replace("text", PATTERNS["email"], " ")).otherwise(F.col("text"))
     entities = F.array_distinct(F.transform(F.concat(*(F.col(f"_{k}") for k in PATTERNS)), lambda s: F.lower(s["match"])))
     terms = F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(TERM), F.lit(0)), F.lower))
+    classes = F.array_compact(F.array(F.lit(ANY), *(F.when(F.size(f"_{k}") > 0, F.lit(k)) for k in PATTERNS)))
     some = base_spans(once.filter(F.col("text").rlike("[0-9@]")), "text").filter(" OR ".join(f"size(_{k}) > 0" for k in PATTERNS))
-    held = materialize(some.select("key", entities.alias("entities"), terms.alias("terms")), "pii-held")
+    held = materialize(some.select("key", entities.alias("entities"), classes.alias("classes"), terms.alias("terms")), "pii-held")
 
     named = held.select("key", F.explode("entities").alias("entity"))
     often = named.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e").between(support, most))
     often = materialize(often, "pii-entities")
-    largest = often.agg(F.max("n_e")).first()[0]
-    if largest is None:
-        return often.select(F.col("entity").alias("term"))
+    largest = often.agg(F.max("n_e")).first()[0] or 0
+    sizes = {r["class"]: r["n"] for r in held.select(F.explode("classes").alias("class")).groupBy("class").agg(F.count("*").alias("n")).collect()}
     counts = once.select(F.explode(_words(plain)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    counts = counts.filter(F.col("n_t").between(support, most) & (F.col("n_t") * share <= largest))
-    counts = materialize(counts, "pii-terms")
-    named = named.join(often.hint("merge"), "entity")
-    near = held.select("key", F.explode("terms").alias("term")).join(counts.hint("merge"), "term")
-    pairs = near.join(named.hint("merge"), "key").filter(F.col("n_t") * share <= F.col("n_e"))
-    pairs = pairs.groupBy("entity", "term", "n_t", "n_e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
-    chance = F.col("n_te") / F.col("n_t")
-    pairs = pairs.filter((chance >= share) & (F.log2(chance * total / F.col("n_e")) >= bits))
-    return materialize(pairs.select("term").distinct(), "pii-revealing")
+    by_entity, by_class = (F.col("n_t") <= most) & (F.col("n_t") * share <= largest), F.col("n_t") * class_share <= sizes.get(ANY, 0)
+    counts = materialize(counts.filter((F.col("n_t") >= support) & (by_entity | by_class)), "pii-terms")
+    near = held.select("key", "classes", F.explode("terms").alias("term")).join(counts.hint("merge"), "term")
+    near = materialize(near, "pii-near")
+
+    n_te = F.col("n_te")
+    pairs = near.filter(by_entity).join(named.join(often.hint("merge"), "entity").hint("merge"), "key").filter(F.col("n_t") * share <= F.col("n_e"))
+    pairs = pairs.groupBy("entity", "term", "n_t", "n_e").agg(F.count("*").alias("n_te")).filter(n_te >= support)
+    chance = n_te / F.col("n_t")
+    found = pairs.filter((chance >= share) & (F.log2(chance * total / F.col("n_e")) >= bits)).select("term")
+    with_class = near.groupBy("term", "n_t").agg(*(F.count_if(F.array_contains("classes", c)).alias(f"n_{c}") for c in (*PATTERNS, ANY)))
+
+    def reveals(c: str) -> Column:
+        least = _assured(F.col(f"n_{c}"), F.col("n_t"), sure)
+        return (F.col(f"n_{c}") >= support) & (least >= class_share) & (F.log2(least * total / sizes[c]) >= class_bits)
+
+    telling = [reveals(c) for c in sizes]
+    if telling:
+        found = found.unionByName(with_class.filter(F.greatest(*telling, F.lit(False))).select("term"))
+    out = materialize(found.distinct(), "pii-revealing")
+    release(held, often, counts, near)
+    return out
 
 
 def find_personal_data(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, share: float = 0.5, bits: float = 6.0
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, share: float = 0.5, bits: float = 6.0,
+    class_share: float = 0.3, class_bits: float = 2.0, sure: float = 3.0,
 ) -> DataFrame:
     """One row per document: row_id, text, email, ip, card, phone, term (span arrays: start, stop in code points, match).
 
@@ -159,14 +189,14 @@ def find_personal_data(
     """
     plain = docs.select(F.col(id_col).alias("row_id"), blank_null(F.col(text_col)).alias("text"))
     based = base_spans(plain, "text")
-    terms = revealing_terms(plain, support, share, bits)
+    terms = revealing_terms(plain, support, share, bits, class_share, class_bits, sure)
     out = based.withColumn("_words", F.lit(None).cast("array<string>"))
     if not terms.isEmpty():
         words = plain.select(F.xxhash64("text").alias("h"), F.explode(_words(F.col("text"))).alias("term"))
         words = join_small(words, terms, "term", "inner").distinct().groupBy("h").agg(F.sort_array(F.collect_list("term")).alias("_words"))
         words = materialize(words, "pii-words")
         out = join_small(based.withColumn("h", F.xxhash64("text")), words, "h", "left")
-    either = F.concat(F.lit(r"(?i)(?u)(?<!\p{L})(?:"), F.array_join("_words", "|"), F.lit(r")(?!\p{L})"))
+    either = F.concat(F.lit(rf"(?i)(?u)(?<!{HELD})(?:"), F.array_join("_words", "|"), F.lit(rf")(?!{HELD})"))
     out = out.withColumn("_either", F.coalesce(either, F.lit("(?!)"))).withColumn("_term", F.when(F.col("_words").isNotNull(), spans("text", F.col("_either"))))
     return out.select("row_id", "text", *(F.col(f"_{k}").alias(k) for k in PATTERNS), F.coalesce("_term", F.array().cast(_SPANS)).alias("term"))
 
