@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from tessella.llm.common import join_groups, materialize
 from tessella.llm.components import connected_components
 
-#: Vectors aimed at for a cell, most cells, vectors that the cells are fitted on (those with the smallest id hashes), rounds.
-CELL_ROWS, MAX_CELLS, MAX_FIT, ROUNDS = 16_384, 1024, 20_000, 12
+#: Vectors aimed at for a cell, least vectors for a cell of a small table, which has up to SMALL_CELLS, most cells, vectors
+#: that the cells are fitted on (those with the smallest id hashes), rounds.
+CELL_ROWS, SMALL_ROWS, SMALL_CELLS, MAX_CELLS, MAX_FIT, ROUNDS = 16_384, 64, 3, 4096, 20_000, 12
 #: Rows of a block; a cell of more rows is cut into blocks, each pair of which is a task's unit of work.
 BLOCK_ROWS = 1024
 
@@ -31,16 +32,16 @@ def spherical_kmeans(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed:
     return centres
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, dtype=np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at unit length. Each is scaled by its greatest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Unit rows of a column of vectors of one length."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
 
 
 def _placed(centres: np.ndarray, reach: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -169,9 +170,9 @@ def near_embeddings(
 def _links(firsts: DataFrame, least: float) -> DataFrame:
     """Edges (a, b, 0) of spanning forests, and counts (a, null, n)."""
     total = firsts.count()
-    cells = max(1, min(MAX_CELLS, total // CELL_ROWS))
+    cells = max(1, min(MAX_CELLS, max(total // CELL_ROWS, min(SMALL_CELLS, total // SMALL_ROWS))))
     sample = firsts.orderBy(F.xxhash64("v"), "v").limit(MAX_FIT).select("v", "embedding").toPandas().sort_values("v")
-    centres = spherical_kmeans(_unit(sample["embedding"].tolist()), cells)
+    centres = spherical_kmeans(_unit(np.array(sample["embedding"].tolist(), dtype=np.float64)), cells)
     reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
     schema = "v bigint, label string, embedding array<double>, copies bigint, cell int, home boolean"
     placed = materialize(firsts.select("v", "label", "embedding", "copies").mapInArrow(_placed(centres, reach), schema), "vectors-cells")
