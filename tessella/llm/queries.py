@@ -123,6 +123,44 @@ runs AS (SELECT *, sum(words) OVER (PARTITION BY source_key ORDER BY rnk, mark,
 picked AS (SELECT source_key, rnk, mark, size FROM runs WHERE upto - words / 2.0::DOUBLE <= to_sample)
 SELECT r.doc_id, r.size, r.source_size, r.target, ((r.whole + CASE WHEN p.mark IS NULL THEN 0 ELSE 1 END) * r.size)::BIGINT AS taken
 FROM ranked r LEFT JOIN picked p ON r.source_key = p.source_key AND r.rnk = p.rnk AND r.mark = p.mark AND r.size = p.size""",
+    "op4_embedding_dedup": r"""
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM sound x JOIN sound y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE CASE WHEN len(x.e) = len(y.e) THEN list_cosine_similarity(x.e, y.e) >= 0.93::DOUBLE ELSE false END),
+reached(v, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT b, c FROM reached JOIN links ON a = v),
+named AS (SELECT v, min(c) AS component_id FROM reached GROUP BY v),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, v = component_id AS kept FROM named LEFT JOIN counted ON a = v""",
+    "op5_substring_dedup": r"""
+WITH lists AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM lists),
+two AS (SELECT *, word || ' ' || lead(word) OVER o AS s2, lead(word, 34) OVER o AS s1 FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+four AS (SELECT *, s2 || ' ' || lead(s2, 2) OVER o AS s4, lead(s2, 32) OVER o AS t2 FROM two WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+eight AS (SELECT *, s4 || ' ' || lead(s4, 4) OVER o AS s8 FROM four WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+sixteen AS (SELECT *, s8 || ' ' || lead(s8, 8) OVER o AS s16 FROM eight WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+windows AS (SELECT doc_id, i, word, s16 || ' ' || lead(s16, 16) OVER o || ' ' || t2 || ' ' || s1 AS s35 FROM sixteen WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+counted AS (SELECT doc_id, i, word, CASE WHEN s35 IS NOT NULL AND count(*) OVER (PARTITION BY s35) > 1 THEN i END AS head FROM windows),
+covered AS (SELECT doc_id, i, word, coalesce(i - max(head) OVER (PARTITION BY doc_id ORDER BY i) < 35, false) AS gone FROM counted),
+kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS said FROM covered GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
+    "op10_ngram_join": r"""
+WITH RECURSIVE lists AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM lists),
+spans AS (SELECT doc_id, n, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o AS s FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+members AS (
+  SELECT DISTINCT doc_id, s FROM spans WHERE s IS NOT NULL
+  UNION SELECT doc_id, array_to_string(w, ' ') FROM lists WHERE len(w) BETWEEN 1 AND 3),
+sizes AS (SELECT doc_id, count(*) AS n FROM members GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM members x JOIN members y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reached(v, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, c FROM reached JOIN links ON a = v),
+named AS (SELECT v, min(c) AS component_id FROM reached GROUP BY v)
+SELECT v AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM named LEFT JOIN sizes ON sizes.doc_id = v""",
     "op6_exact_dedup": r"""
 WITH plain AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

@@ -251,6 +251,16 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, rows, block):
     assert sorted((r.row_id, r.n_links, r.component_id, r.kept) for r in got) == sorted((v, n[v], find(v), find(v) == v) for v, _, _ in made)
 
 
+def test_embeddings_of_odd_rows_and_sizes(spark):
+    schema = "vec_id long, embedding array<double>, label string, row_id int, v int, key string"
+    assert embed_dedup.near_embeddings(spark.createDataFrame([], schema)).collect() == []
+    rows = [(1, [1e200] * 4), (2, [2e200] * 4), (3, [1e-200, 0.0, 0.0, 0.0]), (4, [0.0, 1e-200, 0.0, 0.0]), (5, [1e-310] * 4), (5, [3.0] * 4), (None, [1.0] * 4), (6, None), (6, []), (7, [0.0] * 4)]
+    got = embed_dedup.near_embeddings(spark.createDataFrame([(i, e, "a", 0, 0, "k") for i, e in rows], schema)).collect()
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    want = [(1, 4, 1, True), (2, 4, 1, False), (5, 4, 1, False), (5, 4, 1, False), (None, 4, 1, False), (3, 0, 3, True), (4, 0, 4, True), (6, 0, 6, True), (6, 0, 6, True), (7, 0, 7, True)]
+    assert sorted(map(key, got)) == sorted(map(key, want))
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -290,16 +300,72 @@ def test_revealing_terms_of_copies_far_and_short(spark, texts, names):
     assert [{s.match for s in r.term} for r in found.filter(f"row_id < {len(texts)}").collect()] == [names] * len(texts)
 
 
+def brute_terms(texts, support=3, share=0.5, bits=6.0, class_share=0.3, class_bits=2.0, sure=3.0):
+    once = {}
+    for t in texts:
+        key = re.sub(r"[\x20\x09-\x0d]+", " ", t or "")
+        once[key] = min(once.get(key, t or ""), t or "")
+    n_t, n_e, n_te = collections.Counter(), collections.Counter(), collections.Counter()
+    word = re.compile(r"[^\W_]*[^\W\d_][^\W_]*")
+    for t in once.values():
+        found = {(k, m.group().lower()) for k, p in PLAIN.items() for m in re.finditer(p, t) if passes(k, m.group())}
+        named = {("entity", m) for _, m in found} | {("class", k) for k, _ in found} | ({("class", "any")} if found else set())
+        words = word.findall(re.sub(PLAIN["email"], " ", t))
+        terms = {w.lower() for w in words if len(w) > 2 or (len(w) == 2 and w[0].isupper())}
+        n_t.update({w.lower() for w in words})
+        n_e.update(named)
+        n_te.update((w, e) for w in terms for e in named)
+    out = set()
+    for (w, e), k in n_te.items():
+        n, p, z = n_t[w], k / n_t[w], sure * sure
+        low = (p + z / (2 * n) - sure * np.sqrt(p * (1 - p) / n + z / (4 * n * n))) / (1 + z / n)
+        limit, least, b = (p, share, bits) if e[0] == "entity" else (low, class_share, class_bits)
+        if k >= support and limit >= least and np.log2(limit * len(once) / n_e[e]) >= b:
+            out.add(w)
+    return out
+
+
+def test_revealing_terms_equal_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    texts = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect()]
+    texts += [f"Zebrafink {w} bob@x.org" for w in ("heute", "morgen", "dienstag")] + [f"konto77 {i} an a{i}@b{i}.de" for i in range(9)]
+    got = {r.term for r in pii.revealing_terms(frame(spark, texts), 3, 0.5, 6.0).collect()}
+    assert got == brute_terms(texts) and {"zebrafink", "konto77", "token"} <= got
+
+
+def test_label_words_of_secrets_are_found(spark):
+    folder = "/root/testdata/sf0.01"
+    got = registered.op8_personal_data(spark, folder).filter("n_term > 0").select("doc_id").collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    planted = {k for k, t in texts.items() if re.search(r"\btoken\b", t)}
+    assert planted and planted == {r.doc_id for r in got}
+
+
 def test_held_out_languages_and_quality(spark):
     folder = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     got = registered.op1_language_id(spark, folder).filter("held_out").join(d.select("doc_id", "lang"), "doc_id").collect()
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.98
-    scores = registered.op7_quality(spark, folder).join(labels, "doc_id").collect()
+    scores = registered.op7_quality(spark, folder).filter("held_out").join(labels, "doc_id").collect()
     good, bad = [r.score for r in scores if r.quality == 1], [r.score for r in scores if r.quality == 0]
     assert np.mean([g > b for g in good for b in bad]) > 0.95
 
 
+def test_a_text_of_two_languages_is_ambiguous(spark):
+    rng = random.Random(8)
+    say = lambda words: " ".join(rng.choice(words) for _ in range(40))
+    german, english = ["der", "und", "nicht", "ich", "auch"], ["the", "of", "with", "this", "you"]
+    model = langid.fit_languages(spark.createDataFrame([(say(german), "de") for _ in range(20)] + [(say(english), "en") for _ in range(20)], "text string, lang string"))
+    margins = lambda t: model.margins(langid.letter_codes(t))
+    a, b = margins(" ".join(german)), margins(" ".join(english))
+    texts = [" ".join(german * 9), " ".join(english * 9)] + [" ".join(german * i + english * j) for i in range(1, 30) for j in range(1, 30)]
+    got = {r.row_id: r for r in langid.predict_languages(frame(spark, texts), model).collect()}
+    assert (got[0].lang_pred, got[0].ambiguous, got[1].lang_pred, got[1].ambiguous) == ("de", False, "en", False)
+    assert a[0] * b[0] < 0 and any(r.ambiguous for r in got.values())
+    kept = {r.doc_id for r in langid.keep_identified(frame(spark, texts), model).collect()}
+    assert kept == {k for k, r in got.items() if not r.ambiguous}
+
+
 def test_language_codes_keep_rows_apart():
     for n in (2, 3, 4, 5, 20):
         code = langid.codewords(n)
