@@ -7,15 +7,14 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hashed n-gram features (2**FEATURE_BITS each for orders 1 to 3 together) and bits of a codeword.
 FEATURE_BITS, ORDERS = 14, (1, 2, 3)
-#: Characters handled at once; more languages than this can't be learned.
-BLOCK, MAX_LANGUAGES = 1 << 18, 1000
+#: Characters handled at once, texts decoded at once; more languages than this can't be learned.
+BLOCK, PREDICTED, MAX_LANGUAGES = 1 << 18, 256, 1000
 UNDETERMINED = "und"
 
 
@@ -153,22 +152,28 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield from rows()
 
 
+def _predictions(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Each text's language, its share, and whether it is ambiguous or undetermined."""
+    n = len(texts)
+    known, margins = np.zeros(n, dtype=bool), np.zeros((n, model.weights.shape[1]))
+    for i, text in enumerate(texts):
+        codes = letter_codes(text.as_py() or "")
+        if len(codes) and model.languages:
+            known[i], margins[i] = True, model.margins(codes)
+    lang, share, unsure = [UNDETERMINED] * n, np.zeros(n), np.ones(n, dtype=bool)
+    if known.any():
+        best, share[known], unsure[known] = model.decode(margins[known])
+        for i, b in zip(np.flatnonzero(known), best, strict=True):
+            lang[i] = model.languages[b]
+    return lang, share, unsure
+
+
 def _predicted(model: LanguageModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                known, margins = np.zeros(part.num_rows, dtype=bool), np.zeros((part.num_rows, model.weights.shape[1]))
-                for i, text in enumerate(part.column(1)):
-                    codes = letter_codes(text.as_py() or "")
-                    if len(codes) and model.languages:
-                        known[i], margins[i] = True, model.margins(codes)
-                lang, share, unsure = [UNDETERMINED] * part.num_rows, np.zeros(part.num_rows), np.ones(part.num_rows, dtype=bool)
-                if known.any():
-                    best, top, close = model.decode(margins[known])
-                    for i, b in zip(np.flatnonzero(known), best, strict=True):
-                        lang[i] = model.languages[b]
-                    share[known], unsure[known] = top, close
+            for at in range(0, batch.num_rows, PREDICTED):
+                part = batch.slice(at, PREDICTED)
+                lang, share, unsure = _predictions(model, part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(share), pa.array(unsure)], ["row_id", "lang_pred", "score", "ambiguous"])
 
     return run
@@ -185,22 +190,22 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     return rows.mapInArrow(_predicted(model), f"row_id {kind}, lang_pred string, score double, ambiguous boolean")
 
 
+def _identified(model: LanguageModel, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows, by PREDICTED at a time, whose text in column `at` is identified."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, PREDICTED):
+                part = batch.slice(first, PREDICTED)
+                yield part.filter(pa.array(~_predictions(model, part.column(at))[2]))
+
+    return run
+
+
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose whole text has a language that is neither undetermined nor ambiguous.
 
-    Rows are filtered where they stand, by a vectorised predicate on the text: nothing is joined or shuffled, so null or
-    repeated ids don't matter. If no language was learned, no row is identified.
+    Rows are filtered where they stand: nothing is joined or shuffled, so null or repeated ids don't matter. If no language
+    was learned, no row is identified. An empty table stays empty.
     """
-
-    @F.pandas_udf("boolean")
-    def identified(texts: pd.Series) -> pd.Series:
-        margins, known = np.zeros((len(texts), model.weights.shape[1])), np.zeros(len(texts), dtype=bool)
-        for i, text in enumerate(texts):
-            codes = letter_codes(text or "")
-            if len(codes) and model.languages:
-                known[i], margins[i] = True, model.margins(codes)
-        if known.any():
-            known[known] = ~model.decode(margins[known])[2]
-        return pd.Series(known)
-
-    return docs.filter(identified(F.col(text_col)))
+    return docs.mapInArrow(_identified(model, docs.columns.index(text_col)), docs.schema)
