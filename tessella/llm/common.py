@@ -63,13 +63,25 @@ def blank_null(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """docs as a table with a number for each row, and the number's column, whose name is longer than any other."""
-    column = "row_no".ljust(1 + max(map(len, docs.columns), default=0), "_")
-    return materialize(docs.withColumn(column, F.monotonically_increasing_id()), name), column
+def row_keys(id_col: str, text_col: str, columns: list[str]) -> dict[str, Column]:
+    """Two columns that tell rows apart by id (null as itself) and text; their names are longer than any of columns."""
+    pad = max(map(len, columns), default=0)
+    return {"by_id".ljust(pad, "_") + "_1": F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n")), "by_text".ljust(pad, "_") + "_2": F.xxhash64(text_col)}
 
 
-def join_small(left: DataFrame, right: DataFrame, on: str, how: str, max_rows: int = 100_000) -> DataFrame:
+def without_rows(docs: DataFrame, keys: dict[str, Column], gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs without rows whose keys stand in gone, and with one row for keys that stand in repeated (tables with the columns of keys).
+
+    Only rows of repeated keys are shuffled; the others are filtered where they stand. Nothing of docs is written.
+    """
+    on, rows = list(keys), join_small(docs.withColumns(keys), gone, list(keys), "left_anti")
+    if repeated.isEmpty():
+        return rows.drop(*on)
+    once = join_small(rows, repeated, on, "left_semi").dropDuplicates(on)
+    return join_small(rows, repeated, on, "left_anti").unionByName(once).drop(*on)
+
+
+def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str, max_rows: int = 100_000) -> DataFrame:
     """Join with a side that is broadcast only when a count proves it small; a shuffled merge join beyond that.
 
     right should be materialised: its rows are counted first. AQE splits skewed partitions of the merge join.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE_RUN, blank_null, join_groups, join_small, materialize, numbered
+from tessella.llm.common import SPACE_RUN, blank_null, join_groups, join_small, materialize, release, row_keys, without_rows
 
 
 def normal_text(text: str | Column) -> Column:
@@ -32,7 +32,7 @@ def exact_groups(
 
 
 def _marked(docs: DataFrame, number: Column, id_col: str, text_col: str, content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
-    """exact_groups with row_no, each row's number."""
+    """exact_groups with row_no, which tells rows apart that share an id: rows with equal ids and numbers fare alike."""
     text = normal_text(F.col(text_col))
     plain = docs.select(F.col(id_col).alias("row_id"), number.alias("row_no"), text.alias("t"))
     hashed = plain.select("row_id", "row_no", content_hash(F.col("t")).alias("h"), F.sha2("t", 256).alias("text_sha256"))
@@ -51,7 +51,7 @@ def _marked(docs: DataFrame, number: Column, id_col: str, text_col: str, content
         groups = materialize(_grouped(rows), "exact-groups")
     marked = join_groups(rows, groups, "h", "group_size", rows.count())
     return marked.select(
-        "row_id", F.col("first.row_id").alias("keep_id"), "group_size", (F.col("row_no") == F.col("first.row_no")).alias("kept"), "text_sha256", "row_no"
+        "row_id", F.col("first.row_id").alias("keep_id"), "group_size", (F.col("row_id").eqNullSafe(F.col("first.row_id")) & (F.col("row_no") == F.col("first.row_no"))).alias("kept"), "text_sha256", "row_no"
     )
 
 
@@ -63,7 +63,14 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their columns: of equal texts one row, as in exact_groups. Ids may be null or repeat."""
-    rows, number = numbered(docs, "exact-docs")
-    gone = _marked(rows, F.col(number), id_col, text_col).filter("NOT kept").select(F.col("row_no").alias(number))
-    return join_small(rows, materialize(gone, "exact-gone"), number, "left_anti").drop(number)
+    """The rows of docs that stay, with their columns: of equal texts one row, as in exact_groups. Ids may be null or repeat.
+
+    Rows are told apart by id and text; of rows that repeat both one stays.
+    """
+    keys = row_keys(id_col, text_col, docs.columns)
+    marked = materialize(_marked(docs, F.xxhash64(text_col), id_col, text_col).filter("group_size > 1").select("row_id", "row_no", "kept"), "exact-marked")
+    named = marked.select("kept", F.coalesce(F.concat(F.lit("i"), F.col("row_id").cast("string")), F.lit("n")).alias(list(keys)[0]), F.col("row_no").alias(list(keys)[1]))
+    gone = materialize(named.filter("NOT kept").drop("kept").distinct(), "exact-gone")
+    repeated = materialize(named.filter("kept").groupBy(*keys).agg(F.count("*").alias("kept")).filter("kept > 1").drop("kept"), "exact-repeated")
+    release(marked)
+    return without_rows(docs, keys, gone, repeated)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import join_groups, join_small, materialize, numbered, release
+from tessella.llm.common import join_groups, join_small, materialize, release, row_keys, without_rows
 from tessella.llm.components import connected_components
 from tessella.llm.substring import Block
 
@@ -273,23 +273,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     text have an empty set and link with nothing. Ids may be null (they name no component unless all of one are) or repeat.
     An empty table gives no row. Other columns of docs don't matter.
     """
-    return _numbered_groups(docs, F.monotonically_increasing_id(), n, percent, id_col, text_col).select("row_id", "n_shingles", "component_id")
+    return _groups(docs, n, percent, id_col, text_col)[0].select("row_id", "n_shingles", "component_id")
 
 
-def _numbered_groups(docs: DataFrame, number: Column, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """near_duplicates with row_no, each row's number, and root, its group's (null for an empty set)."""
+def _groups(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """near_duplicates with text_hash and root, the number of a row's group (null for an empty set); and the tables that it reads."""
     columns = [F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")]
     plain = docs.select(*columns)
     kind = plain.schema["row_id"].dataType.simpleString()
     schema = f"row_id {kind}, text_hash bigint, row_no bigint, key binary, n_shingles bigint, prefix array<bigint>"
-    rows = materialize(docs.select(*columns, number.alias("row_no")).mapInArrow(_prefixes(n, percent), schema), "ngram-rows")
+    rows = materialize(docs.select(*columns, F.monotonically_increasing_id().alias("row_no")).mapInArrow(_prefixes(n, percent), schema), "ngram-rows")
     full = rows.filter("n_shingles > 0")
     groups = materialize(full.groupBy("key").agg(F.min("row_no").alias("v"), F.count("*").alias("copies")), "ngram-classes")
     total = rows.count()
-    members = materialize(join_groups(full.select("key", "row_id", "row_no"), groups, "key", "copies", total).select("row_id", "row_no", "v"), "ngram-members")
+    members = materialize(join_groups(full.select("key", "row_id", "text_hash"), groups, "key", "copies", total).select("row_id", "text_hash", "v"), "ngram-members")
     classes = full.join(groups.select(F.col("v").alias("row_no")).hint("merge"), "row_no", "left_semi").withColumnRenamed("row_no", "v")
     classes = materialize(classes, "ngram-firsts")
-    empty = materialize(rows.filter("n_shingles = 0").select("row_id", "n_shingles", F.col("row_id").alias("component_id"), "row_no", F.lit(None).cast("bigint").alias("root")), "ngram-empty")
+    empty = materialize(rows.filter("n_shingles = 0").select("row_id", "n_shingles", F.col("row_id").alias("component_id"), "text_hash", F.lit(None).cast("bigint").alias("root")), "ngram-empty")
     release(rows, groups)
 
     plain_length = F.col("n_shingles") - F.ceil(percent * F.col("n_shingles") / 100) + 1
@@ -304,26 +304,42 @@ def _numbered_groups(docs: DataFrame, number: Column, n: int, percent: int, id_c
     pairs = dealt.groupBy("member", "chunk").applyInArrow(_alike(percent), "a bigint, b bigint").distinct()
     pairs = materialize(pairs, "ngram-pairs")
     links = _links(plain, classes, pairs, n, percent)
-    first = materialize(connected_components(links), "ngram-first-groups")
+    found = connected_components(links)
+    first = materialize(found, "ngram-first-groups")
+    release(found)
     groups = classes.select("v", "n_shingles").join(first.hint("merge"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     groups = materialize(groups, "ngram-groups")
     pairs, blocks = _candidates(plain, classes, groups, shared, n, percent)
-    final = connected_components(links.unionByName(blocks).unionByName(_links(plain, classes, pairs, n, percent)))
+    more = _links(plain, classes, pairs, n, percent)
+    final = connected_components(links.unionByName(blocks).unionByName(more))
 
-    placed = members.join(final.hint("merge"), "v", "left").select("row_id", "row_no", "v", F.coalesce("component", "v").alias("root"))
+    placed = members.join(final.hint("merge"), "v", "left").select("row_id", "text_hash", "v", F.coalesce("component", "v").alias("root"))
     placed = materialize(placed, "ngram-placed")
+    release(members, links, blocks, more, first, groups, final)
     names = materialize(placed.groupBy("root").agg(F.min("row_id").alias("component_id"), F.count("*").alias("k")), "ngram-names")
-    named = join_groups(placed, names, "root", "k", total).select("row_id", "row_no", "root", "v", "component_id")
-    sized = named.join(classes.select("v", "n_shingles").hint("merge"), "v").select("row_id", "n_shingles", "component_id", "row_no", "root")
-    return sized.unionByName(empty)
+    sizes = materialize(classes.select("v", "n_shingles"), "ngram-sizes")
+    release(classes)
+    named = join_groups(placed, names, "root", "k", total).select("row_id", "text_hash", "root", "v", "component_id")
+    sized = named.join(sizes.hint("merge"), "v").select("row_id", "n_shingles", "component_id", "text_hash", "root")
+    return sized.unionByName(empty), [placed, names, sizes, empty]
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each group the row with the smallest id (null last), one row where that repeats."""
-    rows, number = numbered(docs, "ngram-docs")
-    found = _numbered_groups(rows, F.col(number), n, percent, id_col, text_col).filter("root IS NOT NULL")
-    found = materialize(found.select("root", "row_id", "row_no"), "ngram-found")
-    first = F.min(F.struct(F.col("row_id").isNull().alias("no_id"), "row_id", "row_no"))
-    groups = materialize(found.groupBy("root").agg(first.alias("first"), F.count("*").alias("k")).filter("k > 1"), "ngram-kept")
-    gone = join_groups(found, groups, "root", "k", found.count()).filter("row_no <> first.row_no").select(F.col("row_no").alias(number))
-    return join_small(rows, materialize(gone, "ngram-gone"), number, "left_anti").drop(number)
+    """The rows of docs that stay: of each group the row with the smallest id (null last), one row where that repeats.
+
+    Rows are told apart by id and text. Documents without words stay.
+    """
+    keys = row_keys(id_col, text_col, docs.columns)
+    by_id, by_text = keys
+    found, read = _groups(docs, n, percent, id_col, text_col)
+    found = found.filter("root IS NOT NULL").groupBy("root", "row_id", "text_hash").agg(F.count("*").alias("n"))
+    found = materialize(found, "ngram-found")
+    first = F.min(F.struct(F.col("row_id").isNull().alias("no_id"), "row_id", "text_hash"))
+    groups = materialize(found.groupBy("root").agg(first.alias("first"), F.sum("n").alias("k"), F.count("*").alias("rows")).filter("k > 1"), "ngram-kept")
+    named = join_groups(found, groups, "root", "rows", found.count())
+    named = named.withColumn("kept", F.col("row_id").eqNullSafe(F.col("first.row_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    named = named.withColumn(by_id, F.coalesce(F.concat(F.lit("i"), F.col("row_id").cast("string")), F.lit("n"))).withColumn(by_text, F.col("text_hash"))
+    gone = materialize(named.filter("NOT kept").select(*keys), "ngram-gone")
+    repeated = materialize(named.filter("kept AND n > 1").select(*keys), "ngram-repeated")
+    release(found, groups, *read)
+    return without_rows(docs, keys, gone, repeated)
