@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,6 +69,14 @@ def episode_summaries(signals: DataFrame, doc_col: str, paragraph_col: str, issu
     return grouped.withColumn("stance", stance(F.col("_polarities"))).withColumn("confidence", F.round(sure, 2)).drop("_polarities")
 
 
+def stages_and_categories(signals: DataFrame, doc_col: str, text_col: str, issue_col: str, categories: Mapping[str, str], stages: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """Per (document, episode): procedure_stage, the first stage that any signal's text has a term of, and the sorted categories of its issues."""
+    rank = F.coalesce(*(F.when(F.greatest(*(F.contains(F.coalesce(text_col, F.lit("")), F.lit(t)) for t in terms), F.lit(False)), i) for i, (_, terms) in enumerate(stages)))
+    category = F.coalesce(*(F.when(F.col(issue_col) == k, F.lit(v)) for k, v in categories.items()))
+    rows = signals.groupBy(doc_col, "episode").agg(F.min(rank).alias("_stage"), F.array_sort(F.collect_set(category)).alias("categories"))
+    return rows.withColumn("procedure_stage", F.get(F.array(*(F.lit(name) for name, _ in stages)), F.col("_stage"))).drop("_stage")
+
+
 def with_fallback_signals(signals: DataFrame, labelled: DataFrame, sentences: DataFrame, key: str, order_col: str) -> DataFrame:
     """signals and, for labelled paragraphs without one, their first sentence (origin: signal or label)."""
     missing = labelled.select(key).distinct().join(signals.select(key).distinct(), key, "left_anti")

@@ -50,8 +50,9 @@ def in_order(columns: Sequence[str]) -> dict[str, Column]:
     return {f"{a}_AFTER_{b}".upper(): F.col(a) > F.col(b) for a, b in zip(columns, columns[1:], strict=False)}
 
 
-def differs(a: Column, b: Column, share: float = 0.03) -> Column:
-    return F.abs(a - b) > share * F.greatest(F.abs(a), F.abs(b))
+def differs(given: Column, calculated: Column, share: float = 0.03, least: float = 0.01) -> Column:
+    """Whether a calculated value is off the given one by more than a share of it, or by more than `least` if that is more."""
+    return F.abs(calculated - given) > F.greatest(F.lit(least), given * share)
 
 
 def facts(rows: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
@@ -92,6 +93,21 @@ def checklist_status(columns: Sequence[str]) -> Column:
     return F.when(known == 0, "not_started").when(known == len(columns), "completed").otherwise("in_progress")
 
 
+def risk_status(complaint: Column, consent_required: Column) -> Column:
+    """By whether a complaint was reported (boolean or null), else whether consent is needed."""
+    return F.when(complaint, "reported").when(~complaint, "none_reported").when(consent_required, "under_consultation").otherwise("unknown")
+
+
+def connection_status(operating_since: Column, connection_point: Column) -> Column:
+    return F.when(operating_since.isNotNull(), "connected").when(F.coalesce(connection_point, F.lit("")) != "", "planned").otherwise("unknown")
+
+
+def risk_flags(rows: DataFrame, key: str, flags: Sequence[tuple[str, str, Column]]) -> DataFrame:
+    """key, code, severity: a row for each flag (code, severity, condition) whose condition holds; unknown conditions don't."""
+    made = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for code, severity, c in flags)))
+    return rows.select(key, F.explode(made).alias("f")).select(key, "f.*")
+
+
 def nested_facts(rows: DataFrame, key: str, attachments: str) -> DataFrame:
     """Facts inside attachments: key, attachment number, document_type, field_name, value, source_page, confidence."""
     each = rows.select(key, F.posexplode(attachments).alias("attachment", "a"))

@@ -88,6 +88,30 @@ def compacted(items: DataFrame, key: str, order: Sequence[Column], text: str, li
     return items.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).withColumn(text, F.substring(text, 1, longest))
 
 
+#: Parts of a prompt, the most items of each, and the longest quote.
+PROMPT_PARTS = {"reason": 5, "quote": 1, "timeline": 6, "permit": 3}
+QUOTE = 220
+
+
+def prompt_pack(reasons: DataFrame, quotes: DataFrame, timeline: DataFrame, permits: DataFrame, key: str, reason: str, limits: Mapping[str, int] = PROMPT_PARTS, longest: int = QUOTE) -> DataFrame:
+    """key, part, reason, rank, text: what a prompt may hold of each part.
+
+    All tables have key, place (their order) and text; reasons and quotes also have `reason`. The first reasons of a key, the
+    first quotes of each of those (cut to `longest` characters), the first timeline entries and permits.
+    """
+    def first(rows: DataFrame, part: str, within: Sequence[str]) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*within).orderBy("place", "text"))
+        return rows.withColumn("rank", rank).filter(F.col("rank") <= limits[part]).withColumn("part", F.lit(part))
+
+    kept = first(reasons, "reason", [key])
+    quoted = first(quotes.join(kept.select(key, reason), [key, reason], "left_semi"), "quote", [key, reason]).withColumn("text", F.substring("text", 1, longest))
+    parts = [kept, quoted, first(timeline, "timeline", [key]), first(permits, "permit", [key])]
+    out = None
+    for p in (part.drop("place") for part in parts):
+        out = p if out is None else out.unionByName(p, allowMissingColumns=True)
+    return out.select(key, "part", reason, "rank", "text")
+
+
 def evidence_links(packs: DataFrame, key: str, evidence: str) -> DataFrame:
     """A row for each piece of evidence of a complaint with its first rank."""
     return packs.select(key, F.posexplode(evidence).alias("i", "evidence_id")).groupBy(key, "evidence_id").agg((F.min("i") + 1).alias("rank"))

@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.search import term_hits
+
 #: Fixed value: radius of the earth in metres.
 EARTH = 6_371_000
 
@@ -49,21 +51,34 @@ def nearest_first(rows: DataFrame, key: str, distance: str, date: str, tie: str,
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
-def link_by_area(permits: DataFrame, segments: DataFrame, permit_id: str, area: str, sub_area: str, segment_id: str, text_col: str, date: str, issues: str, per_permit: int = 12) -> DataFrame:
+def link_by_area(
+    permits: DataFrame, segments: DataFrame, permit_id: str, area: str, sub_area: str, segment_id: str, text_col: str, date: str, issues: str, per_permit: int = 12,
+    related: Column | None = None, admin_only: Column | None = None, token: str = r"[\p{L}\p{N}]+",
+) -> DataFrame:
     """permit, segment, relation, score, rank: passages that name the permit's sub-area (1.0), area (0.86) or neither (0.62).
 
-    Plus 0.02 for each issue, 0.08 at most; the best `per_permit` for each. Ranked for distinct areas first: their number is
-    what segments are compared with, and permits only join the short lists.
+    Plus 0.02 for each issue, 0.08 at most; the best `per_permit` for each. Only passages that are `related` (subject and signal
+    terms) count, and administrative ones (`admin_only`) don't. Passages that name a place are found by its tokens; of the
+    others, which score below all of those, only the first 2 * per_permit of all can be among an area's best, so each
+    distinct area meets those alone. Permits join the short lists.
     """
-    areas = permits.select(area, sub_area).distinct()
-    names = F.coalesce(F.col(sub_area), F.lit("")), F.coalesce(F.col(area), F.lit(""))
-    kind = F.when((names[0] != "") & F.contains(text_col, names[0]), "same_sub_area").when((names[1] != "") & F.contains(text_col, names[1]), "same_area").otherwise("general")
-    scored = segments.crossJoin(F.broadcast(areas))
-    scored = scored.withColumn("relation", kind)
-    base = F.when(F.col("relation") == "same_sub_area", 1.0).when(F.col("relation") == "same_area", 0.86).otherwise(0.62)
-    scored = scored.withColumn("score", F.round(base + F.least(F.lit(0.08), 0.02 * F.coalesce(F.col(issues), F.lit(0))), 4))
-    rank = F.row_number().over(Window.partitionBy(area, sub_area).orderBy(F.desc("score"), date, segment_id))
-    best = scored.withColumn("rank", rank).filter(F.col("rank") <= per_permit).select(F.col(area).alias("_a"), F.col(sub_area).alias("_s"), segment_id, "relation", "score", "rank")
+    rows = segments if related is None else segments.filter(related)
+    rows = rows if admin_only is None else rows.filter(~F.coalesce(admin_only, F.lit(False)))
+    bonus = F.least(F.lit(0.08), 0.02 * F.coalesce(F.col(issues), F.lit(0)))
+    plain = rows.select(F.col(segment_id), F.col(date).alias("_date"), bonus.alias("_bonus"))
+    areas = permits.select(F.col(area).alias("_a"), F.col(sub_area).alias("_s")).distinct()
+    kinds = F.array(F.struct(F.col("_s").alias("_name"), F.lit("same_sub_area").alias("relation"), F.lit(1.0).alias("_base")), F.struct(F.col("_a").alias("_name"), F.lit("same_area").alias("relation"), F.lit(0.86).alias("_base")))
+    wanted = areas.select("_a", "_s", F.explode(kinds).alias("k")).select("_a", "_s", "k.*").filter("_name <> ''")
+    names = wanted.select(F.col("_name").alias("request_id"), F.col("_name").alias("term")).distinct()
+    said = term_hits(rows, names, segment_id, text_col, token).select(F.col("request_id").alias("_name"), segment_id)
+    said = said.hint("merge").join(rows.select(segment_id, text_col), segment_id).filter(F.contains(text_col, "_name")).select("_name", segment_id)
+    local = wanted.hint("merge").join(said, "_name").select("_a", "_s", segment_id, "relation", "_base")
+    general = plain.orderBy(F.desc("_bonus"), "_date", segment_id).limit(2 * per_permit).select(segment_id, F.lit("general").alias("relation"), F.lit(0.62).alias("_base"))
+    both = local.unionByName(areas.crossJoin(F.broadcast(general)))
+    both = both.groupBy("_a", "_s", segment_id).agg(F.max_by("relation", "_base").alias("relation"), F.max("_base").alias("_base"))
+    both = both.hint("merge").join(plain, segment_id).withColumn("score", F.round(F.col("_base") + F.col("_bonus"), 4))
+    rank = F.row_number().over(Window.partitionBy("_a", "_s").orderBy(F.desc("score"), "_date", segment_id))
+    best = both.withColumn("rank", rank).filter(F.col("rank") <= per_permit).select("_a", "_s", segment_id, "relation", "score", "rank")
     return permits.join(best, F.col(area).eqNullSafe(F.col("_a")) & F.col(sub_area).eqNullSafe(F.col("_s"))).select(permit_id, segment_id, "relation", "score", "rank")
 
 

@@ -61,6 +61,18 @@ def ratio_checks(rows: DataFrame, key: str, ratio: Column, low: float, high: flo
     return r.select(key, F.round("_ratio", 4).alias("observed_value"), F.explode(checks).alias("c")).select(key, "observed_value", "c.*")
 
 
+def area_checks(rows: DataFrame, key: str, site: str, installed: str) -> DataFrame:
+    """Check rows of areas: the installed one within the site's (needs both), the share of the site (needs both, not 0), and a missing site area."""
+    s, i = F.col(site).cast("double"), F.col(installed).cast("double")
+    share = i / F.when(s != 0, s)
+    relation = F.struct(F.lit("area_relation").alias("check"), i.alias("observed_value"), F.when(i <= s, "pass").otherwise("fail").alias("status"))
+    missing = F.struct(F.lit("site_area_required").alias("check"), F.lit(None).cast("double").alias("observed_value"), F.lit("check_required").alias("status"))
+    coverage = F.struct(F.lit("site_coverage").alias("check"), F.round(share, 3).alias("observed_value"), F.when(share <= 1, "pass").otherwise("fail").alias("status"))
+    first = F.when(s.isNotNull() & i.isNotNull(), relation).when(s.isNull(), missing)
+    checks = F.array_compact(F.array(first, F.when(share.isNotNull() & (i != 0), coverage)))
+    return rows.select(key, F.explode(checks).alias("c")).select(key, "c.*")
+
+
 def layer_checks(rows: DataFrame, key: str, names: str, groups: Mapping[str, Sequence[str]]) -> DataFrame:
     """Per key and group of patterns: whether one of the feature names (array) matches; unknown where there are no features."""
     hit = lambda patterns: F.exists(names, lambda n: n.rlike("|".join(patterns)))

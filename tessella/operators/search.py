@@ -19,14 +19,41 @@ def token_table(segments: DataFrame, key: str, text_col: str, token: str = r"\p{
     return segments.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(token), F.lit(0)))).alias("token"))
 
 
-def shortlist(segments: DataFrame, terms: DataFrame, key: str, text_col: str, title_col: str, token: str = r"\p{L}+") -> DataFrame:
-    """request_id, key: passages with a token equal to a term, or a title or text that contains it; each pair once.
+def _grams(c: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
+
 
-    terms (request_id, term) is a batch of requests and broadcast for the substring branches; the token branch is an equi-join.
+def term_hits(segments: DataFrame, terms: DataFrame, key: str, text_col: str, token: str = r"\p{L}+", gram: int = 3) -> DataFrame:
+    """request_id, term, key: each passage whose lower-case text contains a request's term (request_id, term); once each.
+
+    A term has one token or more; one without any, or a null, finds nothing. Joins are all on equal keys. Terms meet the
+    corpus's vocabulary, not its texts: the longest token of a term and the words that contain it share that token's first
+    `gram` letters as a gram (shorter ones are their own). A term that is one token stands where such a word does; of others the
+    candidates' texts are looked at.
     """
-    by_token = token_table(segments, key, text_col, token).join(terms.withColumn("token", F.lower("term")), "token").select("request_id", key)
-    inside = segments.join(F.broadcast(terms), F.expr(f"contains(lower({text_col}), lower(term)) OR contains(lower({title_col}), lower(term))")).select("request_id", key)
-    return by_token.union(inside).distinct()
+    terms = terms.select("request_id", F.lower("term").alias("term")).distinct()
+    pieces = F.regexp_extract_all("term", F.lit(token), F.lit(0))
+    longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    said = terms.select("term").distinct().filter(F.size(pieces) > 0).withColumn("piece", longest)
+    said = said.withColumn("width", F.least(F.lit(gram), F.length("piece"))).withColumn("gram", F.expr("substring(piece, 1, width)"))
+    index = token_table(segments, key, text_col, token)
+    words = index.select("token").distinct()
+    words = words.select("token", F.explode(F.flatten(F.array(*(F.when(F.length("token") >= n, _grams(F.col("token"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, gram + 1))))).alias("gram"))
+    within = said.hint("merge").join(words, "gram").filter(F.contains("token", "piece")).select("term", "piece", "token")
+    found = within.hint("merge").join(index, "token").select("term", "piece", key).distinct()
+    alone = found.filter(F.col("term") == F.col("piece")).select("term", key)
+    longer = found.filter(F.col("term") != F.col("piece")).hint("merge").join(segments.select(key, text_col), key)
+    longer = longer.filter(F.contains(F.lower(text_col), "term")).select("term", key)
+    return alone.unionByName(longer).hint("merge").join(terms, "term").select("request_id", "term", key)
+
+
+def shortlist(segments: DataFrame, terms: DataFrame, key: str, text_col: str, title_col: str, token: str = r"\p{L}+") -> DataFrame:
+    """request_id, key: passages whose text or title contains a term (request_id, term), each pair once. A token equal to a term is contained in the text too."""
+    by_text = term_hits(segments, terms, key, text_col, token).select("request_id", key)
+    titles = segments.select(key, title_col).filter(F.col(title_col).isNotNull())
+    named = titles.select(F.col(title_col).alias("_title")).distinct()
+    by_title = term_hits(named, terms, "_title", "_title", token).hint("merge").join(titles, F.col("_title") == F.col(title_col)).select("request_id", key)
+    return by_text.unionByName(by_title).distinct()
 
 
 def recency(date: Column, as_of: Column, days: int = 3650, least: float = 0.1) -> Column:
@@ -61,25 +88,40 @@ def ranked(rows: DataFrame, request: str, order: Sequence[Column], limit: int) -
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(request).orderBy(*order))).filter(F.col("rank") <= limit)
 
 
+def text_key(text: Column) -> Column:
+    """What equal texts have in common: a hash of the text with blanks collapsed; null for an empty one."""
+    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.when(plain != "", F.md5(plain))
+
+
 def diversified(rows: DataFrame, request: str, text: str, meeting: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
-    """In rank order the first of equal texts, then the first of each meeting, `limit` at most. Empty texts aren't compared."""
-    key = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    rows = rows.withColumn("_key", key).withColumn("_t", F.row_number().over(Window.partitionBy(request, key).orderBy(*order)))
-    rows = rows.filter((F.col("_t") == 1) | (F.col("_key") == ""))
+    """In rank order the first of equal texts (column text holds their text_key), then the first of each meeting, `limit` at most. Empty texts aren't compared."""
+    rows = rows.withColumn("_t", F.row_number().over(Window.partitionBy(request, text).orderBy(*order)))
+    rows = rows.filter((F.col("_t") == 1) | F.col(text).isNull())
     rows = rows.withColumn("_m", F.row_number().over(Window.partitionBy(request, *meeting).orderBy(*order))).filter("_m = 1")
-    return ranked(rows.drop("_key", "_t", "_m"), request, order, limit)
+    return ranked(rows.drop("_t", "_m"), request, order, limit)
 
 
-def search(requests: DataFrame, segments: DataFrame, key: str, text_col: str, date: str, as_of: Column, meeting: Sequence[str], spatial: Column | None = None, source: Column | None = None, limit: int = 10) -> DataFrame:
-    """request_id, key, score, rank: the best passages for each request (request_id, terms array), diverse by text and meeting.
+def scored_passages(
+    requests: DataFrame, segments: DataFrame, key: str, text_col: str, date: str, as_of: Column, spatial: Column, source: Column, eligible: Column | None = None, token: str = r"\p{L}+",
+) -> DataFrame:
+    """requests x passages with a hit: the columns of both but the passage's text, text_key, hits, score.
 
-    The batch of requests is broadcast: a batch is bounded by its caller, passages aren't, and each passage is read once for all.
+    requests (request_id, terms array, any others). spatial, source and eligible are over columns of both, the text included;
+    pairs that aren't eligible (issue, review, place) drop out. Nothing is compared that shares no term.
     """
-    hits = F.size(F.filter("terms", lambda t: F.contains(F.lower(text_col), F.lower(t))))
-    rows = segments.crossJoin(F.broadcast(requests)).withColumn("hits", hits).filter("hits > 0")
-    score = hybrid_score(keyword_score(F.col("hits"), F.size("terms")), F.lit(0.0) if spatial is None else spatial, recency(F.col(date), as_of), F.lit(1.0) if source is None else source)
-    rows = rows.withColumn("score", F.round(score, 6))
-    return diversified(rows, "request_id", text_col, meeting, [F.desc("score"), F.col(key)], limit).select("request_id", key, "hits", "score", "rank")
+    hits = term_hits(segments, requests.select("request_id", F.explode("terms").alias("term")), key, text_col, token)
+    hits = hits.groupBy("request_id", key).agg(F.count("*").alias("hits"))
+    rows = hits.hint("merge").join(segments.withColumn("text_key", text_key(F.col(text_col))), key).hint("merge").join(requests, "request_id")
+    rows = rows if eligible is None else rows.filter(eligible)
+    score = hybrid_score(keyword_score(F.col("hits"), F.size("terms")), spatial, recency(F.col(date), as_of), source)
+    return rows.withColumn("score", F.round(score, 6)).drop(text_col)
+
+
+def search(requests: DataFrame, segments: DataFrame, key: str, text_col: str, date: str, as_of: Column, meeting: Sequence[str], spatial: Column, source: Column, eligible: Column | None = None, limit: int = 10) -> DataFrame:
+    """request_id, key, hits, score, rank: the best of scored_passages for each request, diverse by text and meeting."""
+    rows = scored_passages(requests, segments, key, text_col, date, as_of, spatial, source, eligible)
+    return diversified(rows, "request_id", "text_key", meeting, [F.desc("score"), F.col(key)], limit).select("request_id", key, "hits", "score", "rank")
 
 
 def case_groups(results: DataFrame, request: str, case: str, episode: str, evidence: str) -> DataFrame:

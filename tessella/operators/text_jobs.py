@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
 
@@ -13,49 +12,63 @@ from pyspark.sql import functions as F
 from tessella.functions import text as X
 
 
-class _Speakers(HTMLParser):
-    """Text inside the outermost speaker elements, and text outside them."""
+#: Elements of HTML without content: they are over where they start.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
+class _SpeechText(HTMLParser):
+    """Text of a page by owner: each speech has a number from 1, 0 owns what is outside all of them.
+
+    `path` holds the open elements with the owner of the text in them. An end tag closes the nearest element of its name
+    and all that was left open inside it; one without a start does nothing. What a page leaves open ends with the page.
+    """
 
     def __init__(self, element: str) -> None:
-        super().__init__()
-        self.element, self.depth, self.kind = element, 0, None
-        self.held: list[str] = []
-        self.outside: list[str] = []
-        self.blocks: list[tuple[str | None, str]] = []
+        super().__init__(convert_charrefs=True)
+        self.element, self.path = element, [("", 0)]
+        self.kinds: list[str | None] = [None]
+        self.said: list[list[str]] = [[]]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.depth:
-            self.depth += 1
-        elif tag == self.element:
-            self.depth, self.kind, self.held = 1, dict(attrs).get("class"), []
+        owner = self.path[-1][1]
+        if tag in VOID:
+            self.said[owner].append("\n")
+            return
+        if tag == self.element:
+            owner = len(self.kinds)
+            self.kinds.append(dict(attrs).get("class"))
+            self.said.append([])
+        self.path.append((tag, owner))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if not self.depth:
-            self.outside.append("\n")
+        self.said[self.path[-1][1]].append("\n")
 
     def handle_endtag(self, tag: str) -> None:
-        if self.depth:
-            self.depth -= 1
-            if not self.depth:
-                self.blocks.append((self.kind, "".join(self.held)))
+        opened = max((i for i, (name, _) in enumerate(self.path) if name == tag), default=0)
+        if opened:
+            del self.path[opened:]
 
     def handle_data(self, data: str) -> None:
-        (self.held if self.depth else self.outside).append(data)
+        self.said[self.path[-1][1]].append(data)
+
+    @classmethod
+    def read(cls, markup: str, element: str) -> tuple[str, list[dict]]:
+        page = cls(element)
+        page.feed(markup)
+        page.close()
+        outside, *speeches = map("".join, page.said)
+        return outside, [{"kind": k, "text": t} for k, t in zip(page.kinds[1:], speeches, strict=True)]
 
 
 def html_segments(pages: DataFrame, id_col: str, html_col: str, element: str = "spk", shortest: int = 12) -> DataFrame:
-    """id, ordinal, segment_type, speaker_class, text: speaker blocks and the paragraphs outside them (those come first).
+    """id, ordinal, segment_type, speaker_class, text: a row for each speech and for each paragraph outside them (those come first).
 
-    Markup may nest, so pages are parsed in Arrow batches; cleaning, paragraphs and masking are expressions.
+    A speech inside a speech has its own row. Void and unclosed elements lose no text. Markup may nest, so pages are parsed in Arrow batches; cleaning, paragraphs and masking are expressions.
     """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for key, markup in zip(frame["key"], frame["html"], strict=True):
-                parser = _Speakers(element)
-                parser.feed(markup or "")
-                rows.append((key, "".join(parser.outside), [{"kind": k, "text": t} for k, t in parser.blocks]))
+            rows = [(key, *_SpeechText.read(markup or "", element)) for key, markup in zip(frame["key"], frame["html"], strict=True)]
             yield pd.DataFrame(rows, columns=["key", "outside", "blocks"])
 
     kind = pages.schema[id_col].dataType.simpleString()
@@ -85,15 +98,21 @@ def mentions(texts: DataFrame, keys: Sequence[str], text_col: str, terms: DataFr
     bounded by its author, not by the data.
     """
     base = F.lit(0) if base_col is None else base_col
-    characters = F.transform(F.split(X.text_or_empty(F.col(text_col)), ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    kept = F.filter(characters, lambda x: ~x["c"].rlike(r"(?U)^\s?$"))
-    rows = texts.select(*keys, base.alias("_base"), F.transform(kept, lambda x: x["i"]).alias("_at"), F.array_join(F.transform(kept, lambda x: x["c"]), "").alias("_tight"))
+    c = X.text_or_empty(F.col(text_col))
+    words, gaps = F.regexp_extract_all(c, F.lit(r"(?U)\S+"), F.lit(0)), F.split(c, r"(?U)\S+", -1)
+    rows = texts.select(*keys, base.alias("_base"), words.alias("_words"), gaps.alias("_gaps"))
+    steps = F.transform("_words", lambda w, i: F.length(w) + F.length(F.get("_gaps", i)))
+    rows = rows.withColumn("_before", X.sums_before(steps)).withColumn("_tight", F.array_join("_words", ""))
+
+    def places(w: Column, i: Column) -> Column:
+        start = F.get("_before", i) + F.length(F.get("_gaps", i))
+        return F.sequence(start, start + F.length(w) - 1)
+
+    rows = rows.withColumn("_at", F.flatten(F.transform("_words", places))).drop("_words", "_gaps", "_before")
     rows = rows.join(F.broadcast(terms.withColumn("_term", F.regexp_replace("term", r"(?U)\s+", ""))), F.expr("_term <> '' AND contains(_tight, _term)"))
     gaps = F.split("_tight", F.concat(F.lit(r"\Q"), F.col("_term"), F.lit(r"\E")), -1)
-    starts = F.aggregate(
-        F.slice(gaps, 1, F.size(gaps) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda s, g: F.struct((s["at"] + F.length(g) + F.length("_term")).alias("at"), F.array_append(s["out"], s["at"] + F.length(g)).alias("out")),
-    )["out"]
+    whole = F.transform(F.slice(gaps, 1, F.size(gaps) - 1), lambda g: F.length(g) + F.length("_term"))
+    starts = F.transform(X.sums_before(whole), lambda at, i: at + F.get(whole, i) - F.length("_term"))
     rows = rows.withColumn("_start", F.explode(starts))
     first, last = F.get("_at", F.col("_start")), F.get("_at", F.col("_start") + F.length("_term") - 1)
     return rows.select(*keys, *terms.columns, (F.col("_base") + first).alias("start_offset"), (F.col("_base") + last + 1).alias("end_offset"))
@@ -110,13 +129,17 @@ def issue_labels(
     """
     c = F.col(text_col)
     none = F.array().cast("array<string>")
-    opposed, favoured = F.size(X.active_hits(c, negative, **negation)) > 0, F.size(X.active_hits(c, positive, **negation)) > 0
-    polarity = F.when(opposed & favoured, "mixed").when(opposed, "opposition").when(favoured, "support").otherwise("neutral")
+    hits = lambda terms: X.active_hits(c, terms, tight=F.col("_tight"), **negation)
+    # Columns of their own are computed once, however often the rules look at them.
+    out = rows.withColumn("_tight", X.compact(c)).withColumns({"_against": hits(negative), "_favour": hits(positive)})
+    opposed, favoured = F.size("_against") > 0, F.size("_favour") > 0
+    out = out.withColumn("_polarity", F.when(opposed & favoured, "mixed").when(opposed, "opposition").when(favoured, "support").otherwise("neutral"))
+    for i, rule in enumerate(rules):
+        out = out.withColumns({f"_{k}{i}": hits(rule.get(k, ())) for k in ("high", "context", "harm")})
     found = []
-    for rule in rules:
-        high, context = X.active_hits(c, rule.get("high", ()), **negation), X.active_hits(c, rule.get("context", ()), **negation)
+    for i, rule in enumerate(rules):
+        polarity, high, context, harm = F.col("_polarity"), F.col(f"_high{i}"), F.col(f"_context{i}"), F.col(f"_harm{i}")
         single = rule.get("single_context_terms", rule.get("context", ())) if rule.get("single_context") else ()
-        harm = X.active_hits(c, rule["harm"], **negation) if rule.get("harm") else none
         has_high = F.size(high) > 0
         alone = F.lit(bool(rule.get("standalone"))) & has_high
         for word in rule.get("excluded", ()):
@@ -135,7 +158,7 @@ def issue_labels(
             F.when(reason == "subject_and_term", F.lit(0.79)).otherwise(sure).alias("confidence"), reason.alias("reason"), matched.alias("matched"),
         )
         found.append(F.when(reason.isNotNull(), issue))
-    return rows.withColumn("_issue", F.explode(F.array_compact(F.array(*found)))).select(*rows.columns, "_issue.*")
+    return out.withColumn("_issue", F.explode(F.array_compact(F.array(*found)))).select(*rows.columns, "_issue.*")
 
 
 def paragraph_labels(issues: DataFrame, keys: Sequence[str], order_col: str, text_col: str) -> DataFrame:
@@ -198,17 +221,11 @@ def running_offsets(parts: DataFrame, keys: Sequence[str], order: Sequence[str],
     return parts.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length(text_col))
 
 
-def flatten_elements(roots: DataFrame, keys: Sequence[str], kids_col: str, depth: int) -> DataFrame:
-    """All elements of a tree of nested arrays of structs (field `kids`), level by level to a fixed depth: keys, path, element."""
+def flatten_elements(roots: DataFrame, keys: Sequence[str], kids_col: str) -> DataFrame:
+    """All elements of a tree of nested arrays of structs (field `kids`), level by level as deep as the type goes: keys, path, text, page."""
     level = roots.select(*keys, F.posexplode(kids_col).alias("_i", "element")).select(*keys, F.format_string("%05d", "_i").alias("path"), "element")
     found = level.select(*keys, "path", F.col("element.text").alias("text"), F.col("element.page").alias("page"))
-    for _ in range(depth - 1):
-        if "kids" not in [f.name for f in level.schema["element"].dataType.fields]:
-            break
+    while "kids" in level.schema["element"].dataType.fieldNames():
         level = level.select(*keys, "path", F.posexplode("element.kids").alias("_i", "element")).select(*keys, F.concat_ws(".", "path", F.format_string("%05d", "_i")).alias("path"), "element")
         found = found.unionByName(level.select(*keys, "path", F.col("element.text").alias("text"), F.col("element.page").alias("page")))
     return found
-
-
-def escaped(terms: Sequence[str]) -> str:
-    return "|".join(map(re.escape, terms))

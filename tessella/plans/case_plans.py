@@ -54,6 +54,16 @@ def _(t: Tables) -> DataFrame:
     return out.select("user_id", "episode", "paragraph_start", "paragraph_end", F.array_join("issue_types", ",").alias("issue_types"), "weakest_link", "signals", "stance", "confidence")
 
 
+STAGES = [("sold", ("\"k\": 1", "\"k\": 2")), ("seen", ("\"k\": 3",)), ("known", ("\"k\": ",))]
+
+
+@query("w3_stages_and_categories", f"""WITH {SIGNALS} SELECT user_id, episode, CASE WHEN bool_or(contains(props, '"k": 1') OR contains(props, '"k": 2')) THEN 'sold' WHEN bool_or(contains(props, '"k": 3')) THEN 'seen' WHEN bool_or(contains(props, '"k": ')) THEN 'known' END AS procedure_stage,
+ concat_ws(',', CASE WHEN bool_or(event_type = 'error') THEN 'fault' END, CASE WHEN bool_or(event_type IN ('purchase', 'click')) THEN 'interest' END) AS categories FROM grouped GROUP BY ALL""")
+def _(t: Tables) -> DataFrame:
+    out = episodes.stages_and_categories(grouped(t), "user_id", "props", "event_type", {"error": "fault", "purchase": "interest", "click": "interest"}, STAGES)
+    return out.select("user_id", "episode", "procedure_stage", F.array_join("categories", ",").alias("categories"))
+
+
 @query("w4_fallback_signals", """WITH s AS (SELECT doc_id, source FROM documents WHERE contains(text, 'tion')), f AS (SELECT d.doc_id, string_split(coalesce(d.text, ''), chr(10))[1] AS line FROM documents d WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT doc_id FROM s))
 SELECT doc_id, 'signal' AS origin FROM s UNION ALL SELECT doc_id, 'label' FROM f""")
 def _(t: Tables) -> DataFrame:
@@ -223,14 +233,18 @@ def _(t: Tables) -> DataFrame:
     return near.withColumn("distance_m", F.round("distance_m", 3))
 
 
-@query("j7_area_links", """WITH p AS (SELECT c_custkey, n_name AS area, 'tion' AS sub FROM customer JOIN nation ON n_nationkey = c_nationkey), a AS (SELECT DISTINCT area, sub FROM p), s AS (SELECT item_id, text FROM benchmark),
-x AS (SELECT area, sub, item_id, CASE WHEN contains(text, sub) THEN 'same_sub_area' WHEN contains(text, area) THEN 'same_area' ELSE 'general' END AS relation, item_id % 7 AS issues FROM a, s),
+@query("j7_area_links", """WITH p AS (SELECT c_custkey, lower(n_name[1:3]) AS area, lower(c_mktsegment[1:3]) AS sub FROM customer JOIN nation ON n_nationkey = c_nationkey), a AS (SELECT DISTINCT area, sub FROM p),
+s AS (SELECT doc_id, text, doc_id % 7 AS issues, doc_id % 90 AS day FROM documents WHERE (contains(text, 'en') OR contains(text, 'th')) AND contains(text, 'e') AND NOT coalesce(starts_with(text, 'Copyright'), false)),
+x AS (SELECT area, sub, doc_id, day, CASE WHEN contains(text, sub) THEN 'same_sub_area' WHEN contains(text, area) THEN 'same_area' ELSE 'general' END AS relation, issues FROM a, s),
 y AS (SELECT *, round(CASE relation WHEN 'same_sub_area' THEN 1.0::DOUBLE WHEN 'same_area' THEN 0.86::DOUBLE ELSE 0.62::DOUBLE END + least(0.08::DOUBLE, 0.02::DOUBLE * issues), 4) AS score FROM x),
-z AS (SELECT *, row_number() OVER (PARTITION BY area, sub ORDER BY score DESC, item_id)::INT AS rank FROM y) SELECT c_custkey, item_id, relation, score, rank FROM p JOIN z USING (area, sub) WHERE rank <= 12""")
+z AS (SELECT *, row_number() OVER (PARTITION BY area, sub ORDER BY score DESC, day, doc_id)::INT AS rank FROM y) SELECT c_custkey, doc_id, relation, score, rank FROM p JOIN z USING (area, sub) WHERE rank <= 12""")
 def _(t: Tables) -> DataFrame:
-    p = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("area"), F.lit("tion").alias("sub"))
-    s = t.benchmark.withColumn("issues", F.col("item_id") % 7).withColumn("day", F.lit(0))
-    return permits.link_by_area(p, s, "c_custkey", "area", "sub", "item_id", "text", "day", "issues")
+    three = lambda c: F.lower(F.substring(c, 1, 3))
+    p = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", three("n_name").alias("area"), three("c_mktsegment").alias("sub"))
+    s = t.documents.withColumn("issues", F.col("doc_id") % 7).withColumn("day", F.col("doc_id") % 90)
+    text = F.col("text")
+    related = (text.contains("en") | text.contains("th")) & text.contains("e")
+    return permits.link_by_area(p, s, "c_custkey", "area", "sub", "doc_id", "text", "day", "issues", related=related, admin_only=text.startswith("Copyright"))
 
 
 @query("a6_permit_summary", """SELECT o_custkey, count(*) AS permits, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total_capacity, count(*) FILTER (contains(o_orderpriority, 'M') AND NOT contains(o_orderpriority, 'LOW')) AS operating,
@@ -247,6 +261,16 @@ def _(t: Tables) -> DataFrame:
     return permits.percentiles_by_scope(t.part, F.col("p_retailprice") / F.col("p_size"), ["p_brand", "p_type"], {"p10": 0.1, "median": 0.5, "p90": 0.9}, 2, 600, 30)
 
 
+@query("a7_benchmark_for", """WITH r AS (SELECT p_brand, p_type, p_retailprice / p_size AS ratio FROM part WHERE p_retailprice / p_size BETWEEN 2 AND 600), s AS (SELECT 'p_type' AS scope, p_type AS value, ratio FROM r UNION ALL SELECT 'p_brand', p_brand, ratio FROM r UNION ALL SELECT 'all', '', ratio FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY scope, value ORDER BY ratio) AS k, count(*) OVER (PARTITION BY scope, value) AS sample_size FROM s),
+b AS (SELECT scope, value, sample_size, min(ratio) FILTER (k = round_even(0.5::DOUBLE * (sample_size - 1), 0) + 1) AS median FROM n WHERE sample_size >= 50 GROUP BY 1, 2, 3)
+SELECT p_partkey, coalesce(x.scope, y.scope, z.scope) AS scope, coalesce(x.sample_size, y.sample_size, z.sample_size) AS sample_size, coalesce(x.median, y.median, z.median) AS median
+FROM part LEFT JOIN b x ON x.scope = 'p_type' AND x.value = p_type LEFT JOIN b y ON y.scope = 'p_brand' AND y.value = p_brand LEFT JOIN b z ON z.scope = 'all'""")
+def _(t: Tables) -> DataFrame:
+    found = permits.percentiles_by_scope(t.part, F.col("p_retailprice") / F.col("p_size"), ["p_type", "p_brand"], {"median": 0.5}, 2, 600, 50)
+    return permits.benchmark_for(t.part, found, ["p_type", "p_brand"]).select("p_partkey", "scope", "sample_size", "median")
+
+
 @query("a8_area_rollup", """SELECT CASE grouping(c_mktsegment) + 2 * grouping(c_nationkey) WHEN 3 THEN 'total' WHEN 1 THEN 'area' ELSE 'sub_area' END AS level, c_nationkey, c_mktsegment, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS "n_O", count(*) FILTER (o_orderstatus = 'F') AS "n_F",
  sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS capacity, max(o_orderdate) AS latest FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ROLLUP (c_nationkey, c_mktsegment)""")
 def _(t: Tables) -> DataFrame:
@@ -351,23 +375,23 @@ def _(t: Tables) -> DataFrame:
     return registers.quality_summary(rows, "flag", "o_orderdate", F.col("o_custkey") % 3 > 0, "o_orderdate")
 
 
-CANDIDATES = "cand AS (SELECT p_brand, p_size, string_agg(DISTINCT p_type, '; ' ORDER BY p_type) AS candidates, count(DISTINCT p_type) AS candidate_count FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2)"
+CANDIDATES = "cand AS (SELECT p_brand, p_size, string_agg(DISTINCT p_type, '; ' ORDER BY p_type) AS candidates, count(DISTINCT p_type) AS candidate_count FROM part GROUP BY 1, 2)"
 
 
 @query("a15_candidates", f"WITH {CANDIDATES} SELECT * FROM cand")
 def _(t: Tables) -> DataFrame:
-    return registers.candidates_by_area(t.part.filter("p_partkey % 2 = 0"), ["p_brand", "p_size"], "p_type")
+    return registers.candidates_by_area(t.part, ["p_brand", "p_size"], "p_type")
 
 
 @query("j12_register_candidates", f"WITH {CANDIDATES} SELECT p_partkey, candidates, coalesce(candidate_count, 0) AS candidate_count FROM part LEFT JOIN cand USING (p_brand, p_size)")
 def _(t: Tables) -> DataFrame:
-    cand = registers.candidates_by_area(t.part.filter("p_partkey % 2 = 0"), ["p_brand", "p_size"], "p_type")
+    cand = registers.candidates_by_area(t.part, ["p_brand", "p_size"], "p_type")
     return registers.with_candidates(t.part, cand, ["p_brand", "p_size"]).select("p_partkey", "candidates", "candidate_count")
 
 
 @query("v9_mapping_status", f"WITH {CANDIDATES} SELECT p_partkey, CASE coalesce(candidate_count, 0) WHEN 0 THEN 'none' WHEN 1 THEN 'single' ELSE 'multiple' END AS mapping_status FROM part LEFT JOIN cand USING (p_brand, p_size)")
 def _(t: Tables) -> DataFrame:
-    cand = registers.candidates_by_area(t.part.filter("p_partkey % 2 = 0"), ["p_brand", "p_size"], "p_type")
+    cand = registers.candidates_by_area(t.part, ["p_brand", "p_size"], "p_type")
     return registers.with_candidates(t.part, cand, ["p_brand", "p_size"]).select("p_partkey", "mapping_status")
 
 

@@ -65,10 +65,19 @@ def _(t: Tables) -> DataFrame:
     return rules.ratio_checks(rows, "p_partkey", F.col("p_retailprice") / F.col("p_size"), 10, 300, "p10", "p90")
 
 
-@query("g5_layer_checks", """WITH n AS (SELECT l_orderkey, string_agg(DISTINCT l_returnflag || l_linestatus, ',') AS names FROM lineitem WHERE l_orderkey % 5 > 0 GROUP BY 1), o AS (SELECT o_orderkey, names FROM orders LEFT JOIN n ON l_orderkey = o_orderkey)
+@query("g4_area_checks", """WITH r AS (SELECT l_orderkey * 8 + l_linenumber AS line_id, CASE WHEN l_partkey % 9 > 0 THEN l_quantity::DOUBLE END AS site, CASE WHEN l_suppkey % 4 > 0 THEN l_extendedprice::DOUBLE / 1500 END AS installed FROM lineitem)
+SELECT line_id, 'area_relation' AS "check", installed AS observed_value, CASE WHEN installed <= site THEN 'pass' ELSE 'fail' END AS status FROM r WHERE site IS NOT NULL AND installed IS NOT NULL
+UNION ALL SELECT line_id, 'site_area_required', NULL, 'check_required' FROM r WHERE site IS NULL UNION ALL SELECT line_id, 'site_coverage', round(installed / site, 3), CASE WHEN installed / site <= 1 THEN 'pass' ELSE 'fail' END FROM r WHERE site <> 0 AND installed <> 0""")
+def _(t: Tables) -> DataFrame:
+    site, installed = F.when(F.col("l_partkey") % 9 > 0, F.col("l_quantity").cast("double")), F.when(F.col("l_suppkey") % 4 > 0, F.col("l_extendedprice").cast("double") / 1500)
+    rows = t.lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_id"), site.alias("site"), installed.alias("installed"))
+    return rules.area_checks(rows, "line_id", "site", "installed")
+
+
+@query("g5_layer_checks", """WITH n AS (SELECT l_orderkey, string_agg(DISTINCT l_returnflag || l_linestatus, ',') AS names FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey, names FROM orders LEFT JOIN n ON l_orderkey = o_orderkey)
 SELECT o_orderkey, c AS "check", CASE WHEN names IS NULL THEN 'check_required' WHEN c = 'farmland' AND regexp_matches(names, '(^|,)R') THEN 'fail' WHEN c = 'forest' AND regexp_matches(names, '(AF|NO)') THEN 'fail' ELSE 'pass' END AS status FROM o, (VALUES ('farmland'), ('forest')) v(c)""")
 def _(t: Tables) -> DataFrame:
-    names = t.lineitem.filter("l_orderkey % 5 > 0").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.concat("l_returnflag", "l_linestatus")).alias("names"))
+    names = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.concat("l_returnflag", "l_linestatus")).alias("names"))
     return rules.layer_checks(t.orders.select("o_orderkey").join(names, "o_orderkey", "left"), "o_orderkey", "names", {"farmland": ["^R"], "forest": ["AF", "NO"]})
 
 
@@ -120,6 +129,19 @@ def _(t: Tables) -> DataFrame:
     return out.select("o_orderkey", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
 
 
+@query("i2_capacity_mismatch", "SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_quantity::DOUBLE * (1 + l_tax::DOUBLE) - l_quantity::DOUBLE) > greatest(0.01::DOUBLE, l_quantity::DOUBLE * 0.03) THEN 'CAPACITY_MISMATCH' ELSE '' END AS errors FROM lineitem")
+def _(t: Tables) -> DataFrame:
+    given = F.col("l_quantity").cast("double")
+    out = intake.validate(t.lineitem, {"CAPACITY_MISMATCH": intake.differs(given, given * (1 + F.col("l_tax").cast("double")))})
+    return out.select("l_orderkey", "l_linenumber", F.array_join("errors", ",").alias("errors"))
+
+
+@query("i3_fact_values", f"""WITH {RAW}, {TYPED} SELECT o_orderkey, 'capacity' AS field_name, capacity::VARCHAR AS value FROM typed WHERE capacity IS NOT NULL UNION ALL SELECT o_orderkey, 'consent', consent::VARCHAR FROM typed WHERE consent IS NOT NULL
+ UNION ALL SELECT o_orderkey, 'applied', applied::VARCHAR FROM typed WHERE applied IS NOT NULL UNION ALL SELECT o_orderkey, 'note', note FROM typed WHERE note IS NOT NULL""")
+def _(t: Tables) -> DataFrame:
+    return intake.facts(intake.normalise(raw(t), "o_orderkey", KINDS), "o_orderkey", KINDS).select("o_orderkey", "field_name", intake.fact_value().alias("value"))
+
+
 @query("i3_facts", f"""WITH {RAW}, {TYPED}, f AS (SELECT o_orderkey, 'capacity' AS field_name, 'number' AS value_type, capacity AS value_numeric, NULL AS value_text, NULL::DATE AS value_date, NULL::BOOLEAN AS value_boolean FROM typed WHERE capacity IS NOT NULL
  UNION ALL SELECT o_orderkey, 'consent', 'boolean', NULL, NULL, NULL, consent FROM typed WHERE consent IS NOT NULL UNION ALL SELECT o_orderkey, 'applied', 'date', NULL, NULL, applied, NULL FROM typed WHERE applied IS NOT NULL UNION ALL SELECT o_orderkey, 'note', 'text', NULL, note, NULL, NULL FROM typed WHERE note IS NOT NULL) SELECT * FROM f""")
 def _(t: Tables) -> DataFrame:
@@ -144,6 +166,13 @@ def _(t: Tables) -> DataFrame:
     return shipments(t).select("o_orderkey", status.alias("schedule"), intake.checklist_status(["o_orderdate", "first_ship", "last_ship"]).alias("checklist"))
 
 
+@query("i6_risk_and_connection", f"WITH {SHIP} SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'reported' WHEN 'O' THEN 'none_reported' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'under_consultation' ELSE 'unknown' END END AS risk, CASE WHEN last_ship IS NOT NULL THEN 'connected' WHEN o_orderpriority <> '1-URGENT' THEN 'planned' ELSE 'unknown' END AS connection FROM ship")
+def _(t: Tables) -> DataFrame:
+    complaint = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)
+    point = F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderpriority"))
+    return shipments(t).select("o_orderkey", intake.risk_status(complaint, F.col("o_orderkey") % 2 == 0).alias("risk"), intake.connection_status(F.col("last_ship"), point).alias("connection"))
+
+
 @query("i7_nested_facts", "SELECT l_orderkey, 'shipment' AS document_type, 'quantity' AS field_name, l_quantity AS value FROM lineitem UNION ALL SELECT l_orderkey, 'shipment', 'tax', l_tax FROM lineitem")
 def _(t: Tables) -> DataFrame:
     fact = lambda n, c: F.struct(F.lit(n).alias("field_name"), F.col(c).alias("value"))
@@ -159,6 +188,14 @@ def _(t: Tables) -> DataFrame:
     return out.withColumn("missing", F.array_join("missing", ","))
 
 
+@query("i8_risk_flags", """SELECT o_orderkey, 'historical_complaint_reported' AS code, 'high' AS severity FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'resident_consent_unconfirmed', 'high' FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority <> '5-LOW'
+ UNION ALL SELECT o_orderkey, 'environmental_review_required', 'medium' FROM orders WHERE o_totalprice > 150000""")
+def _(t: Tables) -> DataFrame:
+    s = F.col("o_orderstatus")
+    flags = [("historical_complaint_reported", "high", s == "F"), ("resident_consent_unconfirmed", "high", (s == "O") & (F.col("o_orderpriority") != "5-LOW")), ("environmental_review_required", "medium", F.col("o_totalprice") > 150000)]
+    return intake.risk_flags(t.orders, "o_orderkey", flags)
+
+
 @query("i9_fingerprints", """SELECT o_orderkey, o_custkey, sha1('project|' || o_orderkey || '|' || o_custkey) AS project_id, sha256('{"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}') AS fingerprint FROM orders""")
 def _(t: Tables) -> DataFrame:
     return intake.fingerprints(t.orders, ["o_orderkey", "o_custkey"], ["o_orderstatus", "o_orderpriority"])
@@ -193,16 +230,17 @@ def _(t: Tables) -> DataFrame:
     return search.base_segments(rows, "text", F.coalesce(F.col("quality") == 1, F.lit(False)), "day", F.lit(100)).select("doc_id")
 
 
-TERMS = "SELECT item_id AS request_id, lower(unnest(list_distinct(regexp_extract_all(text, '[a-z]{9,}')))) AS term FROM benchmark WHERE item_id % 4 = 0"
+TERMS = "SELECT item_id AS request_id, lower(unnest(list_distinct(regexp_extract_all(text, '[a-z]{9,}')))) AS term FROM benchmark UNION ALL SELECT item_id, 'src' || item_id % 30 FROM benchmark"
 
 
 def batch_terms(t: Tables) -> DataFrame:
-    return t.benchmark.filter("item_id % 4 = 0").select(F.col("item_id").alias("request_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{9,}"), F.lit(0)))).alias("term"))
+    words = t.benchmark.select(F.col("item_id").alias("request_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{9,}"), F.lit(0)))).alias("term"))
+    return words.unionByName(t.benchmark.select(F.col("item_id").alias("request_id"), F.concat(F.lit("src"), (F.col("item_id") % 30).cast("string")).alias("term")))
 
 
 @query("p2_shortlist", f"WITH q AS ({TERMS}) SELECT DISTINCT request_id, doc_id FROM documents JOIN q ON contains(lower(text), term) OR contains(lower(source), term)")
 def _(t: Tables) -> DataFrame:
-    return search.shortlist(t.documents, batch_terms(t), "doc_id", "text", "source")
+    return search.shortlist(t.documents, batch_terms(t), "doc_id", "text", "source", token=r"[\p{L}0-9]+")
 
 
 @query("o5_candidate_union", "SELECT doc_id FROM labels WHERE quality = 0 UNION SELECT doc_id FROM documents WHERE lang = 'de'")
@@ -216,10 +254,12 @@ def _(t: Tables) -> DataFrame:
     return t.documents.filter(ok).select("doc_id")
 
 
-@query("p4_review_mode", "WITH l AS (SELECT doc_id, bool_or(quality = 1) AS e, bool_or(quality = 0 AND toxic = 0) AS n FROM labels GROUP BY 1) SELECT doc_id FROM documents LEFT JOIN l USING (doc_id) WHERE l.doc_id IS NULL OR e OR n")
+@query("p4_review_mode", """WITH l AS (SELECT doc_id, bool_or(quality = 1) AS e, bool_or(quality = 0 AND toxic = 0) AS n FROM labels GROUP BY 1)
+SELECT 'all' AS mode, doc_id FROM documents LEFT JOIN l USING (doc_id) WHERE l.doc_id IS NULL OR e OR n UNION ALL SELECT 'eligible', doc_id FROM l JOIN documents USING (doc_id) WHERE e UNION ALL SELECT 'needs_review', doc_id FROM l JOIN documents USING (doc_id) WHERE n""")
 def _(t: Tables) -> DataFrame:
     links = t.labels.withColumn("decision", F.when(F.col("quality") == 1, "eligible").when(F.col("toxic") == 0, "needs_review").otherwise("rejected"))
-    return search.by_review_mode(t.documents, links, "doc_id", "decision", "all").select("doc_id")
+    modes = [search.by_review_mode(t.documents, links, "doc_id", "decision", m).select(F.lit(m).alias("mode"), "doc_id") for m in ("all", "eligible", "needs_review")]
+    return modes[0].unionByName(modes[1]).unionByName(modes[2])
 
 
 @query("p6_coordinate_bounds", "SELECT c_custkey, CASE WHEN 30 + c_custkey % 15 BETWEEN 32 AND 39 THEN (30 + c_custkey % 15)::DOUBLE END AS lat FROM customer")
@@ -245,35 +285,51 @@ def _(t: Tables) -> DataFrame:
     return joined.select("l_orderkey", "l_linenumber", "o_orderdate", "c_name")
 
 
-SCORED = """q AS (SELECT item_id AS request_id, list_sort(list_distinct(regexp_extract_all(text, '[a-z]{6,}')))[1:4] AS terms FROM benchmark WHERE item_id % 4 = 0),
-s AS (SELECT d.doc_id, coalesce(text, '') AS text, source, DATE '2020-01-01' + (doc_id % 2000)::INT AS day FROM documents d),
-h AS (SELECT request_id, terms, doc_id, text, source, day, len(list_filter(terms, lambda x: contains(lower(text), lower(x)))) AS hits FROM s, q),
-r AS (SELECT *, round(0.38::DOUBLE * least(1.0::DOUBLE, hits / greatest(1, least(3, len(terms)))) + 0.32::DOUBLE * 0.0::DOUBLE + 0.20::DOUBLE * greatest(0.1::DOUBLE, 1.0::DOUBLE - least(greatest(0, DATE '2026-01-01' - day), 3650) / 3650) + 0.10::DOUBLE * 1.0::DOUBLE, 6) AS score FROM h WHERE hits > 0)"""
+SCORED = """q AS (SELECT item_id AS request_id, list_distinct(regexp_extract_all(text, '[a-z]{6,}')) AS terms, 'src' || item_id % 30 AS region, CASE item_id % 3 WHEN 0 THEN ['de', 'fr'] ELSE []::VARCHAR[] END AS codes FROM benchmark),
+l AS (SELECT doc_id, bool_or(quality = 1) AS e, bool_or(quality = 0 AND toxic = 0) AS n FROM labels GROUP BY 1),
+s AS (SELECT d.doc_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low, source, lang, DATE '2020-01-01' + (doc_id % 2000)::INT AS day FROM documents d LEFT JOIN l USING (doc_id) WHERE l.doc_id IS NULL OR e OR n),
+h AS (SELECT q.*, s.* EXCLUDE (low), len(list_filter(terms, lambda x: contains(low, x))) AS hits FROM s, q WHERE len(codes) = 0 OR (list_contains(codes, lang) AND (contains(text, 'keit') OR contains(text, 'ment')))),
+r AS (SELECT *, round(0.38::DOUBLE * least(1.0::DOUBLE, hits / greatest(1, least(3, len(terms)))) + 0.32::DOUBLE * CASE WHEN source = region THEN 1.0::DOUBLE WHEN source[1:4] = region[1:4] THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END
+ + 0.20::DOUBLE * greatest(0.1::DOUBLE, 1.0::DOUBLE - least(greatest(0, DATE '2026-01-01' - day), 3650) / 3650) + 0.10::DOUBLE * CASE lang WHEN 'en' THEN 1.0::DOUBLE WHEN 'de' THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END, 6) AS score FROM h WHERE hits > 0)"""
 
 
-def scored_search(t: Tables, limit: int) -> DataFrame:
-    q = t.benchmark.filter("item_id % 4 = 0").select(F.col("item_id").alias("request_id"), F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{6,}"), F.lit(0)))), 1, 4).alias("terms"))
-    s = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", F.expr("date_add(DATE '2020-01-01', cast(doc_id % 2000 AS int))").alias("day"))
-    return search.search(q, s, "doc_id", "text", "day", F.to_date(F.lit("2026-01-01")), ["source"], limit=limit)
+def request_batch(t: Tables) -> DataFrame:
+    k = F.col("item_id")
+    terms = F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{6,}"), F.lit(0)))
+    codes = F.when(k % 3 == 0, F.array(F.lit("de"), F.lit("fr"))).otherwise(F.array().cast("array<string>"))
+    return t.benchmark.select(k.alias("request_id"), terms.alias("terms"), F.concat(F.lit("src"), (k % 30).cast("string")).alias("region"), codes.alias("codes"))
+
+
+def search_inputs(t: Tables) -> dict:
+    """Requests, reviewed passages, and the place, source and issue parts of the search."""
+    links = t.labels.withColumn("decision", F.when(F.col("quality") == 1, "eligible").when(F.col("toxic") == 0, "needs_review").otherwise("rejected"))
+    s = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang", F.expr("date_add(DATE '2020-01-01', cast(doc_id % 2000 AS int))").alias("day"))
+    place = F.when(F.col("source") == F.col("region"), 1.0).when(F.substring("source", 1, 4) == F.substring("region", 1, 4), 0.25).otherwise(0.0)
+    return {
+        "requests": request_batch(t), "segments": search.by_review_mode(s, links, "doc_id", "decision", "all"), "key": "doc_id", "text_col": "text", "date": "day", "as_of": F.to_date(F.lit("2026-01-01")),
+        "spatial": place, "source": F.when(F.col("lang") == "en", 1.0).when(F.col("lang") == "de", 0.8).otherwise(0.6),
+        "eligible": search.issue_matches(F.col("codes"), F.array("lang"), F.col("text"), F.array(F.lit("keit"), F.lit("ment"))),
+    }
 
 
-@query("r1_hybrid_scores", f"WITH {SCORED}, a AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, doc_id) AS k FROM r) SELECT request_id, doc_id, score FROM a WHERE k = 1")
+@query("r1_hybrid_scores", f"WITH {SCORED} SELECT request_id, doc_id, hits, score FROM r")
 def _(t: Tables) -> DataFrame:
-    return scored_search(t, 1).select("request_id", "doc_id", "score")
+    return search.scored_passages(**search_inputs(t)).select("request_id", "doc_id", "hits", "score")
 
 
 DIVERSE = SCORED + """, k AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS key FROM r), u AS (SELECT *, row_number() OVER (PARTITION BY request_id, key ORDER BY score DESC, doc_id) AS n FROM k),
 m AS (SELECT *, row_number() OVER (PARTITION BY request_id, source ORDER BY score DESC, doc_id) AS m FROM u WHERE n = 1 OR key = ''), z AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, doc_id)::INT AS rank FROM m WHERE m = 1)"""
 
 
-@query("r2_search", f"WITH {DIVERSE} SELECT request_id, doc_id, hits::INT AS hits, score, rank FROM z WHERE rank <= 10")
+@query("r2_search", f"WITH {DIVERSE} SELECT request_id, doc_id, hits, score, rank FROM z WHERE rank <= 10")
 def _(t: Tables) -> DataFrame:
-    return scored_search(t, 10)
+    return search.search(**search_inputs(t), meeting=["source"], limit=10)
 
 
-@query("w10_diversified", f"WITH {DIVERSE} SELECT request_id, doc_id, rank FROM z WHERE rank <= 5")
+@query("w10_diversified", f"WITH {DIVERSE} SELECT request_id, doc_id, rank FROM z")
 def _(t: Tables) -> DataFrame:
-    return scored_search(t, 5).select("request_id", "doc_id", "rank")
+    rows = search.scored_passages(**search_inputs(t))
+    return search.diversified(rows, "request_id", "text_key", ["source"], [F.desc("score"), F.col("doc_id")], 1 << 30).select("request_id", "doc_id", "rank")
 
 
 @query("o1_ranked_results", "WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus DESC, o_totalprice DESC, o_orderdate DESC, o_orderkey)::INT AS rank FROM orders) SELECT * FROM r WHERE rank <= 100")
@@ -338,6 +394,20 @@ def _(t: Tables) -> DataFrame:
     return pack.compacted(t.conversations, "conv_id", [F.col("turn")], "text", 5, 220).select("conv_id", "turn", "text", "rank")
 
 
+@query("r9_prompt_pack", """WITH o AS (SELECT o_custkey, o_orderkey, o_orderpriority, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, strftime(o_orderdate, '%Y-%m-%d'), o_orderkey) AS d FROM orders),
+q AS (SELECT o_custkey, o_orderkey, repeat(l_returnflag || l_linestatus || ' ', 99)[1:220] AS text, row_number() OVER (PARTITION BY o_custkey, o_orderkey ORDER BY l_linenumber, l_returnflag || l_linestatus) AS k FROM o JOIN lineitem ON l_orderkey = o_orderkey WHERE n <= 5)
+SELECT o_custkey, 'reason' AS part, o_orderkey AS reason, n::INT AS rank, o_orderpriority AS text FROM o WHERE n <= 5 UNION ALL SELECT o_custkey, 'quote', o_orderkey, 1, text FROM q WHERE k = 1
+UNION ALL SELECT o_custkey, 'timeline', NULL, d::INT, strftime(o_orderdate, '%Y-%m-%d') FROM o WHERE d <= 6 UNION ALL SELECT o_custkey, 'permit', NULL, n::INT, o_orderkey::VARCHAR FROM o WHERE n <= 3""")
+def _(t: Tables) -> DataFrame:
+    o = t.orders.withColumnRenamed("o_orderkey", "reason")
+    reasons = o.select("o_custkey", "reason", F.col("reason").alias("place"), F.col("o_orderpriority").alias("text"))
+    lines = t.lineitem.withColumnRenamed("l_orderkey", "reason").join(o.select("reason", "o_custkey"), "reason")
+    quotes = lines.select("o_custkey", "reason", F.col("l_linenumber").alias("place"), F.expr("repeat(l_returnflag || l_linestatus || ' ', 99)").alias("text"))
+    timeline = o.select("o_custkey", F.col("o_orderdate").alias("place"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("text"))
+    permits = o.select("o_custkey", F.col("reason").alias("place"), F.col("reason").cast("string").alias("text"))
+    return pack.prompt_pack(reasons, quotes, timeline, permits, "o_custkey", "reason")
+
+
 @query("r10_evidence_links", "WITH o AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) SELECT l_orderkey, l_partkey AS evidence_id, min(n)::INT AS rank FROM o GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
     packs = t.lineitem.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("e"))
@@ -455,6 +525,8 @@ def _(t: Tables) -> DataFrame:
 def scratch(t: Tables) -> str:
     """A new folder in the shared checkpoint folder where one is set, else of this machine."""
     root = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not t.spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="spark-")
 
 
@@ -600,9 +672,9 @@ def _(t: Tables) -> DataFrame:
     return tables.artifact_lineage(t.pages, "page_id", [("original", "url"), ("text", "html")]).drop("uri")
 
 
-@query("j10_address_cache", "WITH c AS (SELECT DISTINCT c_mktsegment AS a FROM customer WHERE c_custkey % 50 = 1 AND c_mktsegment < 'H') SELECT CASE WHEN a IS NULL THEN 'pending' ELSE 'resolved' END AS geocode_status, count(*) AS n FROM customer LEFT JOIN c ON a = c_mktsegment GROUP BY 1")
+@query("j10_address_cache", "WITH c AS (SELECT DISTINCT c_mktsegment AS a FROM customer WHERE c_mktsegment < 'H') SELECT CASE WHEN a IS NULL THEN 'pending' ELSE 'resolved' END AS geocode_status, count(*) AS n FROM customer LEFT JOIN c ON a = c_mktsegment GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    cache = t.customer.filter("c_custkey % 50 = 1 AND c_mktsegment < 'H'").select("c_mktsegment").distinct().withColumn("geocode_status", F.lit("resolved"))
+    cache = t.customer.filter("c_mktsegment < 'H'").select("c_mktsegment").distinct().withColumn("geocode_status", F.lit("resolved"))
     return tables.address_cache(t.customer, cache, "c_mktsegment")[2]
 
 
@@ -623,3 +695,11 @@ def _(t: Tables) -> DataFrame:
     stream = jobs.record_stream(t.spark, f"{path}/in", rows.schema)
     jobs.intake(stream, f"{path}/log", f"{path}/state", ["conv_id", "turn"], "at", "3650 days").awaitTermination()
     return t.spark.read.schema(rows.schema).parquet(f"{path}/log").select("conv_id", "turn", "role")
+
+
+@query("x2_refreshed_context", """WITH r AS (SELECT conv_id, turn, role, substr(text, 1, 500) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id, string_agg(turn || ':' || role || ':' || coalesce(text, ''), '|' ORDER BY turn) AS turns FROM r WHERE n <= 6 GROUP BY 1""")
+def _(t: Tables) -> DataFrame:
+    out = jobs.refreshed_context(t.conversations, "conv_id", "turn", "role", "text")
+    said = F.transform("turns", lambda x: F.concat_ws(":", x["turn"].cast("string"), x["role"], F.coalesce(x["text"], F.lit(""))))
+    return out.select("conv_id", F.array_join(said, "|").alias("turns"))

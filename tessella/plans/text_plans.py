@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import places, process, text_jobs
+from tessella.operators import cases, places, process, text_jobs
 from tessella.plans.registry import Tables, query
 
 LINES = "lines AS (SELECT doc_id, lang, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS idx FROM documents)"
@@ -46,9 +46,10 @@ def _(t: Tables) -> DataFrame:
 
 @query("t2_clean_text", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(coalesce(text, ''),
  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&middot;', '·'), '&amp;', '&'),
- '[ \t\r\f\v]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM documents""")
+ '[ \t\r\f\v]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || ' café – A© <' || doc_id || '>' AS cleaned FROM documents""")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" x caf&eacute; &#8211; &#x41;&copy; &lt;"), F.col("doc_id").cast("string"), F.lit("&gt; "))
+    return t.documents.select("doc_id", F.regexp_replace(X.clean_text(X.unescaped(said)), r" ?x (caf\S+ . \S+ <\d+>)$", " $1").alias("cleaned"))
 
 
 @query("t3_paragraphs")
@@ -198,6 +199,31 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", kind.alias("facility_type"), X.group_or_null(F.col("text"), r"([A-Z][a-z]{2,12}) (?:of|der|de)\b").alias("project_name"))
 
 
+ENTITY_PARTS = r"""parts AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Z][a-z]{5,}') AS places, CASE WHEN contains(text, 'keit') THEN 'quality' WHEN contains(text, 'ment') THEN 'institution' ELSE 'general' END AS facility,
+ nullif(regexp_extract(text, '([A-Z][a-z]{2,12}) (?:of|der|de)\b', 1), '') AS project FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"""
+
+
+def entity_parts(t: Tables) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    facility = X.first_match(F.col("text"), [("keit", "quality"), ("ment", "institution")], "general")
+    return t.documents.select("doc_id", F.regexp_extract_all(text, F.lit("[A-Z][a-z]{5,}"), F.lit(0)).alias("places"), facility.alias("facility"), X.group_or_null(F.col("text"), r"([A-Z][a-z]{2,12}) (?:of|der|de)\b").alias("project"))
+
+
+@query("t16_entity_keys", f"""WITH {ENTITY_PARTS} SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_transform(places, lambda p: 'place:' || p), CASE WHEN facility <> 'general' THEN ['facility:' || facility] ELSE [] END,
+ CASE WHEN project IS NOT NULL THEN ['project:' || project] ELSE [] END))), ',') AS keys FROM parts""")
+def _(t: Tables) -> DataFrame:
+    keys = X.entity_keys(F.col("places"), F.col("facility"), "general", F.col("project"))
+    return entity_parts(t).select("doc_id", F.array_join(keys, ",").alias("keys"))
+
+
+@query("a3_cases_by_identity", f"""WITH {ENTITY_PARTS}, k AS (SELECT doc_id, facility, coalesce(nullif(concat_ws('|', 'place:' || places[1], 'project:' || project), ''), 'episode:' || doc_id) AS case_key FROM parts)
+SELECT case_key, min(doc_id) AS started_on, max(doc_id) AS ended_on, array_to_string(list_sort(list(DISTINCT facility)), ',') AS issue_types, count(*) AS episodes FROM k GROUP BY 1""")
+def _(t: Tables) -> DataFrame:
+    rows = entity_parts(t).withColumn("case_key", cases.case_key(F.get("places", F.lit(0)), F.col("project"), F.col("doc_id")))
+    out = cases.case_rollup(rows, "case_key", "doc_id", "doc_id", "doc_id", "facility")
+    return out.select("case_key", "started_on", "ended_on", F.array_join("issue_types", ",").alias("issue_types"), "episodes")
+
+
 @query("t17_snippets")
 def _(t: Tables) -> DataFrame:
     return text_jobs.snippets(t.documents, ["doc_id"], "text", ["tion", "keit", "ment", "the"], generic=["the"])
@@ -235,7 +261,7 @@ def _(t: Tables) -> DataFrame:
     kids = kids.select("l_orderkey", F.transform("k", lambda x: F.struct(x["l_returnflag"].alias("text"), x["l_linenumber"].alias("page"))).alias("kids"))
     tree = t.orders.join(kids, F.col("o_orderkey") == F.col("l_orderkey"))
     tree = tree.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.col("o_orderstatus").alias("text"), F.lit(0).alias("page"), "kids"))).alias("kids"))
-    return text_jobs.flatten_elements(tree, ["o_custkey"], "kids", 2)
+    return text_jobs.flatten_elements(tree, ["o_custkey"], "kids")
 
 
 @query("w15_running_offsets", f"""WITH {LINES}, placed AS (SELECT doc_id, idx, length(line) AS n, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start FROM lines)

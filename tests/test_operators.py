@@ -71,6 +71,7 @@ def test_diversified_equals_one_pass(spark):
     random.seed(6)
     rows = [(1, i, random.choice(["a", "b", "c", ""]), random.choice("mno"), random.random()) for i in range(40)]
     df = spark.createDataFrame(rows, "r int, i int, t string, m string, s double")
+    df = df.withColumn("t", search.text_key(F.col("t")))
     got = [x.i for x in search.diversified(df, "r", "t", ["m"], [F.desc("s"), F.col("i")], 10).orderBy("rank").collect()]
     texts, meetings, want = set(), set(), []
     for _, i, t, m, _ in sorted(rows, key=lambda x: (-x[4], x[1])):
@@ -82,3 +83,21 @@ def test_diversified_equals_one_pass(spark):
         meetings.add(m)
         want.append(i)
     assert got == want[:10]
+
+
+def test_term_hits_equal_containment(spark):
+    random.seed(9)
+    word = lambda: "".join(random.choice("abcé") for _ in range(random.randint(1, 5)))
+    texts = [None, "", "...", "1 2"] + [" ".join(word().capitalize() if random.random() < 0.2 else word() for _ in range(random.randint(1, 8))) for _ in range(60)]
+    terms = [None, "", "!", "a", "ab"] + [word() for _ in range(40)] + [f"{word()} {word()}" for _ in range(20)] + ["B, a", "ab"]
+    segments = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = search.term_hits(segments, spark.createDataFrame([(i % 3, t) for i, t in enumerate(terms)], "request_id int, term string"), "k", "t")
+    wanted = {(i % 3, t.lower(), k) for i, t in enumerate(terms) if t and any(c.isalpha() for c in t) for k, x in enumerate(texts) if x and t.lower() in x.lower()}
+    rows = [tuple(r) for r in got.select("request_id", "term", "k").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == wanted
+
+
+def test_layers_and_candidates_without_a_match(spark):
+    orders = spark.createDataFrame([(1, ["AF"]), (2, None), (3, []), (4, ["RX", None])], "k int, names array<string>")
+    got = {(r.k, r.check): r.status for r in rules.layer_checks(orders, "k", "names", {"farmland": ["^R"], "forest": ["AF"]}).collect()}
+    assert got == {(1, "farmland"): "pass", (1, "forest"): "fail", (2, "farmland"): "check_required", (2, "forest"): "check_required", (3, "farmland"): "check_required", (3, "forest"): "check_required", (4, "farmland"): "fail", (4, "forest"): "pass"}

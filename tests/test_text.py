@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
@@ -91,3 +92,27 @@ def test_process_events_of_a_paragraph(spark):
     assert got["complaint_received"] == ("2024-03-05", "reported", "confirmed", 0.86)
     assert got["investigation_or_review"] == ("2024-01-01", "completed", "confirmed", 0.86)
     assert got["resident_consultation"] == ("2024-01-01", "planned", "inferred", 0.72)
+
+
+@pytest.mark.parametrize(
+    ("html", "speeches", "outside"),
+    [
+        ("<spk class='a'>first speaker<br>says this</spk><p>outside text</p><spk class='b'>second speaker</spk>", [("a", "first speaker\nsays this"), ("b", "second speaker")], ["outside text"]),
+        ("<spk class='a'>one <img src='x'> two<hr>three", [("a", "one \n two\nthree")], []),
+        ("<div><spk class='a'>left <b>open</div><p>after it all</p>", [("a", "left open")], ["after it all"]),
+        ("<spk class='a'>outer <spk class='b'>inner</spk> again</spk></i>plain words here", [("a", "outer again"), ("b", "inner")], ["plain words here"]),
+        ("<spk/>self-closed paragraph", [], ["self-closed paragraph"]),
+        ("", [], []),
+    ],
+)
+def test_no_speech_is_lost_or_merged(spark, html, speeches, outside):
+    rows = text_jobs.html_segments(spark.createDataFrame([(1, html)], "id int, html string"), "id", "html").orderBy("ordinal").collect()
+    plain = lambda t: " ".join(t.split())
+    assert [(r.speaker_class, plain(r.text)) for r in rows if r.segment_type == "speech"] == [(k, plain(t)) for k, t in speeches]
+    assert [r.text for r in rows if r.segment_type != "speech"] == outside
+
+
+def test_long_texts_have_all_sentence_offsets(spark):
+    text = "Ein Satz. " * 3000 + "ohne Ende"
+    rows = text_jobs.sentences(spark.createDataFrame([(1, text), (2, ""), (3, None)], "k int, t string"), ["k"], "t").orderBy("sentence_order").collect()
+    assert len(rows) == 3001 and all(text[r.char_start : r.char_end] == r.text for r in rows)
