@@ -18,9 +18,10 @@ each shard, not for each pair.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import compress, repeat
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tessella.llm.common import blank_null, materialize, release
 
 #: Bytes of text for a shard, of a hashed block, words of one automaton, words of a block (anchors are found within it).
-SHARD_BYTES, BLOCK_BYTES, AUTOMATON_WORDS, BLOCK_WORDS = 4 << 20, 1 << 19, 250_000, 1 << 18
+SHARD_BYTES, BLOCK_BYTES, AUTOMATON_WORDS, BLOCK_WORDS = 4 << 20, 1 << 19, 400_000, 1 << 18
 _INDEX_BITS = 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -285,20 +286,27 @@ def _passages(window: int, gram: int) -> Callable[[pa.Table, pa.Table], pa.Table
     return run
 
 
-def _automata(passages: list[tuple[int, ...]]) -> Iterator:
-    """Automata over word numbers, each of at most AUTOMATON_WORDS words or one passage."""
+def _codes(words: set[bytes]) -> dict[bytes, str]:
+    """Two characters for each word, from two alphabets: an automaton's state then has few ways on, and words stay aligned. b"" is any other word."""
+    base = isqrt(len(words)) + 1
+    return {w: chr(1 + i // base) + chr(1 + 2 * base + i % base) for i, w in enumerate((b"", *sorted(words)))}
+
+
+def _automata(passages: Iterable[str]) -> Iterator:
+    """Automata over words' codes, each of at most AUTOMATON_WORDS words or one passage; a match's value is its number of words."""
     import ahocorasick
 
     made, size = None, 0
     for p in passages:
-        if made is not None and size + len(p) > AUTOMATON_WORDS:
+        n = len(p) // 2
+        if made is not None and size + n > AUTOMATON_WORDS:
             made.make_automaton()
             yield made
             made, size = None, 0
         if made is None:
-            made = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        made.add_word(p, len(p))
-        size += len(p)
+            made = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        made.add_word(p, n)
+        size += n
     if made is not None:
         made.make_automaton()
         yield made
@@ -310,21 +318,20 @@ def _remove(window: int, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa
     def run(docs: pa.Table, dealt: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        numbers: dict[bytes, int] = {}
-        passages = sorted({tuple(numbers.setdefault(w, len(numbers) + 1) for w in p.as_py().split(b" ")) for p in dealt.column("passage")})
-        automata = list(_automata(passages))
-        del passages
+        said = sorted(set(dealt.column("passage").to_pylist()))
+        codes = _codes({w for p in said for w in p.split(b" ")})
+        automata = list(_automata("".join(map(codes.__getitem__, p.split(b" "))) for p in said))
+        del said
         out: dict[str, list] = {"n_words": [], "n_removed": [], "removed": [], "kept_sha256": []}
         for _, words_of in _slices(docs.column("text")):
             for words in words_of:
                 n = len(words)
                 edges = np.zeros(n + 1, dtype=np.int64)
                 if automata and n >= window:
-                    line = tuple(map(numbers.get, words, repeat(0)))
-                    for automaton in automata:
-                        for end, length in automaton.iter(line):
-                            edges[end + 1 - length] += 1
-                            edges[end + 1] -= 1
+                    line = "".join(map(codes.get, words, repeat(codes[b""])))
+                    hits = np.array([hit for automaton in automata for hit in automaton.iter(line)], dtype=np.int64).reshape(-1, 2)
+                    ends = (hits[:, 0] + 1) // 2
+                    edges = np.bincount(ends - hits[:, 1], minlength=n + 1) - np.bincount(ends, minlength=n + 1)
                 gone = np.cumsum(edges[:-1]) > 0
                 kept = list(compress(words, (~gone).tolist())) if gone.any() else words
                 flips = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
