@@ -18,6 +18,10 @@ HOT_SHARE = 1000
 #: Spark's setting by which a query's shuffle files go when it ends, not when the driver happens to collect its garbage.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Spark's setting for the rows of a batch to a Python worker; batches of whole texts take TEXT_ROWS.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 512
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir where set, else a folder of this machine (local mode)."""
@@ -30,19 +34,23 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back: cuts lineage, survives lost executors.
 
-    The write's shuffle files go when it is done, as the table stands for them.
+    The write's shuffle files go when it is done, as the table stands for them. Python workers get `batch_rows` rows at a
+    time, Spark's own number if None.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    wanted = {SHUFFLE_CLEANUP: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -198,6 +198,7 @@ def _identified(model: LanguageModel, at: int) -> Callable[[Iterator[pa.RecordBa
             for first in range(0, batch.num_rows, PREDICTED):
                 part = batch.slice(first, PREDICTED)
                 yield part.filter(pa.array(~_predictions(model, part.column(at))[2]))
+        pa.default_memory_pool().release_unused()
 
     return run
 

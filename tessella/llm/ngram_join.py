@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import join_groups, join_small, materialize, release, row_keys, without_rows
+from tessella.llm.common import TEXT_ROWS, join_groups, join_small, materialize, release, row_keys, without_rows
 from tessella.llm.components import connected_components
 from tessella.llm.substring import Block
 
@@ -66,6 +66,7 @@ def _prefixes(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 columns = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
                 names = ["row_id", "text_hash", "row_no", "key", "n_shingles", "prefix"]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), *columns], names)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -152,7 +153,7 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percen
     others = others.select(F.col("b").alias("v"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
     wanted = centres.unionByName(others).join(classes.select("v", "row_id", "text_hash", "key").hint("merge"), "v")
     found = _texts(docs, wanted, "ngram-wanted").select("v", "centre", "chunk", "key", "text").groupBy("centre", "chunk")
-    links = materialize(found.applyInArrow(_verified(n, percent), "a bigint, b bigint"), "ngram-links")
+    links = materialize(found.applyInArrow(_verified(n, percent), "a bigint, b bigint"), "ngram-links", TEXT_ROWS)
     release(pairs, sizes)
     return links
 
@@ -243,7 +244,7 @@ def _candidates(docs: DataFrame, classes: DataFrame, groups: DataFrame, shared:
 
     dense = classes.select("v", "row_id", "text_hash", "key").join(each.filter("length IS NULL").select("v").hint("merge"), "v")
     whole = _texts(docs, dense, "ngram-dense").select("v", "key", "text").mapInArrow(_members(n), "v bigint, member bigint").distinct()
-    whole = materialize(whole, "ngram-whole")
+    whole = materialize(whole, "ngram-whole", TEXT_ROWS)
     frequency = whole.groupBy("member").agg(F.count("*").alias("all"))
     frequency = materialize(frequency, "ngram-frequency")
     ordered = join_groups(whole, frequency, "member", "all", whole.count())
@@ -282,7 +283,7 @@ def _groups(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     plain = docs.select(*columns)
     kind = plain.schema["row_id"].dataType.simpleString()
     schema = f"row_id {kind}, text_hash bigint, row_no bigint, key binary, n_shingles bigint, prefix array<bigint>"
-    rows = materialize(docs.select(*columns, F.monotonically_increasing_id().alias("row_no")).mapInArrow(_prefixes(n, percent), schema), "ngram-rows")
+    rows = materialize(docs.select(*columns, F.monotonically_increasing_id().alias("row_no")).mapInArrow(_prefixes(n, percent), schema), "ngram-rows", TEXT_ROWS)
     full = rows.filter("n_shingles > 0")
     groups = materialize(full.groupBy("key").agg(F.min("row_no").alias("v"), F.count("*").alias("copies")), "ngram-classes")
     total = rows.count()
