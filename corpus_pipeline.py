@@ -3,17 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import exact, langid, mixing, ngram_join, packing
-from tessella.llm.common import materialize
+from tessella.llm.common import BATCH_ROWS, TEXT_ROWS, materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def whole_texts(stage: Stage) -> Stage:
+    """The stage in a session whose Python workers get TEXT_ROWS rows at a time, as each row brings a whole text.
+
+    Batches of Spark's usual 10,000 texts, held on both sides of the worker's pipe, took most of an executor's memory
+    beside its heap. The setting stays, since the stage's result is computed after it returns; results don't depend on it.
+    """
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCH_ROWS, str(TEXT_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@whole_texts
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language is undetermined (no letter) or ambiguous; learn from three quarters of the labelled."""
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4
@@ -21,21 +38,25 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return langid.keep_identified(docs, model)
 
 
+@whole_texts
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the smallest id stays."""
     return exact.drop_exact_duplicates(docs)
 
 
+@whole_texts
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five-word shingles, Jaccard 0.8 or more."""
     return ngram_join.drop_near_duplicates(docs, n=5, percent=80)
 
 
+@whole_texts
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix to target weights takes it."""
     return mixing.take_mix(docs)
 
 
+@whole_texts
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of at most 1024 tokens."""
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
