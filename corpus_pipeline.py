@@ -18,7 +18,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def whole_texts(stage: Stage) -> Stage:
     """The stage in a session whose Parquet reader and Python workers take TEXT_ROWS rows at a time, as each row brings a whole text.
 
-    Spark's usual batches are of 4,096 and 10,000 rows. The settings stay, since the stage's result is computed after it
+    Spark's usual batches are of 4,096 and 10,000 rows. Vectored reads are off, as the file system's reading threads keep
+    direct buffers as long as whole columns of texts. The settings stay, since the stage's result is computed after it
     returns; results don't depend on them.
     """
 
@@ -26,6 +27,7 @@ def whole_texts(stage: Stage) -> Stage:
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for setting in (BATCH_ROWS, "spark.sql.parquet.columnarReaderBatchSize"):
             spark.conf.set(setting, str(TEXT_ROWS))
+        spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
         return stage(spark, docs, sf_dir)
 
     return run
