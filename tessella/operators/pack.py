@@ -55,11 +55,13 @@ def conclusion(failed: Column, severe_repeated: Column, events: Column, unknown:
 
 def location_context(rows: DataFrame, targets: DataFrame, key: str, area: str, score: str, name: str, others: int = 3, limit: int = 8) -> DataFrame:
     """Per target the rows of its own area and the best `others` of the rest, `limit` at most, own ones first."""
-    best = rows.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(score), name))).filter(F.col("_r") <= others + limit).drop("_r")
-    own = targets.join(rows, area).select(key, name, score, F.lit(True).alias("is_own"))
-    rest = targets.withColumnRenamed(area, "_own").join(F.broadcast(best), F.col(area) != F.col("_own")).select(key, name, score, F.lit(False).alias("is_own"))
-    rest = rest.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), name))).filter(F.col("_n") <= others).drop("_n")
-    w = Window.partitionBy(key).orderBy(F.desc("is_own"), F.desc(score), name)
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(area).orderBy(F.desc(score), name)))
+    best = ranked.filter(F.col("_n") <= others).orderBy(F.desc(score), name, area).limit(2 * others).drop("_n")
+    columns = [key, area, name, score]
+    own = targets.join(ranked.filter(F.col("_n") <= limit), area).select(*columns, F.lit(True).alias("is_own"))
+    rest = targets.withColumnRenamed(area, "_own").join(F.broadcast(best), F.col(area) != F.col("_own")).select(*columns, F.lit(False).alias("is_own"))
+    rest = rest.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), name, area))).filter(F.col("_n") <= others).drop("_n")
+    w = Window.partitionBy(key).orderBy(F.desc("is_own"), F.desc(score), name, area)
     return own.unionByName(rest).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 

@@ -200,10 +200,10 @@ def _(t: Tables) -> DataFrame:
     return places.resolve_region(rows, t.nation.select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("value")), ["assembly", "city"], "region_name").select("c_custkey", "region_name")
 
 
-@query("s7_region_aliases", """WITH n AS (SELECT DISTINCT n_name FROM nation), h AS (SELECT n_name, r_regionkey, row_number() OVER (PARTITION BY n_name ORDER BY length(r_name) DESC, r_regionkey) AS k FROM n LEFT JOIN region ON contains(n_name, substr(r_name, 1, 1))) SELECT n_name, r_regionkey AS region_code FROM h WHERE k = 1""")
+@query("s7_region_aliases", """WITH h AS (SELECT p_partkey, p_name, r_regionkey, row_number() OVER (PARTITION BY p_partkey, p_name ORDER BY length(r_name) DESC, r_regionkey) AS k FROM part LEFT JOIN region ON contains(p_name, lower(substr(r_name, 1, 1)))) SELECT p_partkey, p_name, r_regionkey AS region_code FROM h WHERE k = 1""")
 def _(t: Tables) -> DataFrame:
-    aliases = t.region.select(F.substring("r_name", 1, 1).alias("alias"), F.length("r_name").alias("specificity"), F.col("r_regionkey").alias("region_code"))
-    return places.regions_by_alias(t.nation.select("n_name").distinct(), "n_name", aliases)
+    aliases = t.region.select(F.lower(F.substring("r_name", 1, 1)).alias("alias"), F.length("r_name").alias("specificity"), F.col("r_regionkey").alias("region_code"))
+    return places.regions_by_alias(t.part.select("p_partkey", "p_name"), "p_name", aliases)
 
 
 COORDS = "33 + ({k} * 7919 % 60000) / 10000.0::DOUBLE AS lat, 125 + ({k} * 104729 % 60000) / 10000.0::DOUBLE AS lon"
@@ -442,9 +442,10 @@ def _(t: Tables) -> DataFrame:
     return t.lineitem.select("l_returnflag", "l_linestatus", "l_linenumber").dropDuplicates()
 
 
-@query("r7_location_context", """WITH a AS (SELECT n_regionkey AS area, n_name AS name, n_nationkey AS score FROM nation), own AS (SELECT r_regionkey, name, score, true AS is_own FROM region JOIN a ON area = r_regionkey), best AS (SELECT * FROM a ORDER BY score DESC, name LIMIT 11),
-rest AS (SELECT * FROM (SELECT r_regionkey, name, score, false AS is_own, row_number() OVER (PARTITION BY r_regionkey ORDER BY score DESC, name) AS n FROM region JOIN best ON area <> r_regionkey) WHERE n <= 3),
-u AS (SELECT * FROM own UNION ALL SELECT r_regionkey, name, score, is_own FROM rest), k AS (SELECT *, row_number() OVER (PARTITION BY r_regionkey ORDER BY is_own DESC, score DESC, name)::INT AS rank FROM u) SELECT * FROM k WHERE rank <= 8""")
+@query("r7_location_context", """WITH a AS (SELECT c_nationkey AS area, c_mktsegment AS name, count(*) AS score FROM customer GROUP BY 1, 2), t AS (SELECT s_suppkey, s_nationkey AS mine FROM supplier),
+own AS (SELECT s_suppkey, area, name, score, true AS is_own FROM t JOIN a ON area = mine),
+rest AS (SELECT s_suppkey, area, name, score, false AS is_own FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, name, area) AS n FROM t JOIN a ON area <> mine) WHERE n <= 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY is_own DESC, score DESC, name, area)::INT AS rank FROM (SELECT * FROM own UNION ALL SELECT * FROM rest)) SELECT * FROM k WHERE rank <= 8""")
 def _(t: Tables) -> DataFrame:
-    rows = t.nation.select(F.col("n_regionkey").alias("area"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("score"))
-    return pack.location_context(rows, t.region.select("r_regionkey", F.col("r_regionkey").alias("area")), "r_regionkey", "area", "score", "name")
+    rows = t.customer.groupBy(F.col("c_nationkey").alias("area"), F.col("c_mktsegment").alias("name")).agg(F.count("*").alias("score"))
+    return pack.location_context(rows, t.supplier.select("s_suppkey", F.col("s_nationkey").alias("area")), "s_suppkey", "area", "score", "name")

@@ -566,11 +566,11 @@ def _(t: Tables) -> DataFrame:
     return readers.pages_from_paragraphs(lines, "doc_id", "page", "idx", "line")
 
 
-@query("s6_snapshot_table", "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey = 2")
+@query("s6_snapshot_table", "SELECT p_partkey, p_name, p_size FROM part WHERE p_size < 25")
 def _(t: Tables) -> DataFrame:
     path = scratch(t)
-    tables.write_csv(t.nation, path)
-    return readers.read_table(t.spark, path, "n_nationkey int, n_name string, n_regionkey int", F.col("n_regionkey") == 2).select("n_name", "n_regionkey")
+    tables.write_csv(t.part.select("p_partkey", "p_name", "p_size"), path)
+    return readers.read_table(t.spark, path, "p_partkey long, p_name string, p_size int", F.col("p_size") < 25)
 
 
 @query("s8_first_seen", "WITH s AS (SELECT l_suppkey, l_partkey, arg_min(l_returnflag, l_orderkey * 10 + l_linenumber) AS first_query, min(l_orderkey * 10 + l_linenumber) AS first_order FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY first_order, l_partkey)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 20")
@@ -644,11 +644,12 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.schema("status string, n bigint").json(path)
 
 
-@query("k10_csv_tables", "SELECT n_nationkey, n_name FROM nation")
+@query("k10_csv_tables", "SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders")
 def _(t: Tables) -> DataFrame:
     path = scratch(t)
-    tables.write_csv(t.nation.select("n_nationkey", "n_name"), path)
-    return t.spark.read.schema("n_nationkey int, n_name string").option("header", True).csv(path)
+    rows = t.orders.select("o_orderkey", "o_orderpriority", "o_orderdate")
+    tables.write_csv(rows, path)
+    return t.spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
 @query("k11_pruned_cases", "SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 OR c_custkey IN (SELECT o_custkey FROM orders)")
@@ -662,9 +663,11 @@ def _(t: Tables) -> DataFrame:
     return tables.log_entries(t.conversations, "search", ["conv_id", "turn"], F.lit("2024-01-01").cast("timestamp")).drop("logged_at")
 
 
-@query("k13_archive", """SELECT n_regionkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}') AS sha256, strlen('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}')::INT AS size_bytes FROM nation""")
+@query("k13_archive", """WITH a AS (SELECT c_nationkey, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}' AS payload FROM customer) SELECT c_nationkey, payload, sha256(payload) AS sha256, strlen(payload)::INT AS size_bytes FROM a""")
 def _(t: Tables) -> DataFrame:
-    return tables.archived(t.nation, "n_regionkey", ["n_nationkey", "n_name"]).select("n_regionkey", "sha256", "size_bytes")
+    path = scratch(t)
+    tables.write_archive(tables.archived(t.customer, "c_nationkey", ["c_name", "c_custkey"]), path, "c_nationkey")
+    return t.spark.read.schema("payload string, sha256 string, size_bytes int, c_nationkey int").json(path).select("c_nationkey", "payload", "sha256", "size_bytes")
 
 
 @query("k14_artifact_lineage", """WITH a AS (SELECT page_id, 'original' AS role, url AS uri, NULL AS parent_id FROM pages WHERE url IS NOT NULL UNION ALL SELECT page_id, 'text', html, CASE WHEN url IS NOT NULL THEN sha1('artifact|' || page_id || '|original') END FROM pages WHERE html IS NOT NULL) SELECT sha1('artifact|' || page_id || '|' || role) AS artifact_id, page_id, role, parent_id FROM a""")

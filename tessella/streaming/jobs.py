@@ -18,19 +18,24 @@ def record_stream(spark: SparkSession, path: str, schema: T.StructType, files: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(kind).load(path)
 
 
-def _versions(spark: SparkSession, target: str) -> list[int]:
+def _buckets(spark: SparkSession, target: str, upto: int | None = None) -> dict[int, list[tuple[int, str]]]:
+    """For each bucket the complete versions (number, folder) of at most `upto`, oldest first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    done = [s.getPath() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(p.getName().removeprefix("v=")) for p in done if p.getName().startswith("v="))
+    found: dict[int, list[tuple[int, str]]] = {}
+    for version in fs.listStatus(path) if fs.exists(path) else []:
+        at, name = version.getPath(), version.getPath().getName()
+        if name.startswith("v=") and (upto is None or int(name[2:]) <= upto) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")):
+            for folder in fs.listStatus(at):
+                if folder.getPath().getName().startswith("_bucket="):
+                    found.setdefault(int(folder.getPath().getName()[8:]), []).append((int(name[2:]), folder.getPath().toString()))
+    return {bucket: sorted(folders) for bucket, folders in found.items()}
 
 
 def current(spark: SparkSession, target: str) -> DataFrame | None:
-    """The newest complete version of a table that ingest() keeps."""
-    versions = _versions(spark, target)
-    return spark.read.parquet(f"{target}/v={versions[-1]}") if versions else None
+    """The table that ingest() keeps: the newest complete version of each bucket."""
+    folders = [versions[-1][1] for versions in _buckets(spark, target).values()]
+    return spark.read.parquet(*folders) if folders else None
 
 
 def newest_only(rows: DataFrame, table: DataFrame | None, keys: Sequence[str], newest: Sequence[Column]) -> DataFrame:
@@ -40,20 +45,29 @@ def newest_only(rows: DataFrame, table: DataFrame | None, keys: Sequence[str], n
     return rows
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], newest: Sequence[Column], transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Upsert a stream into a versioned Parquet table, then stop when all that is there has been read.
+def ingest(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], newest: Sequence[Column], transform: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 64) -> StreamingQuery:
+    """Upsert a stream into a Parquet table in buckets of keys, then stop when all that is there has been read.
 
-    Each batch writes version batch id + 1 from the newest earlier one, so a batch that is repeated after a failure writes
-    the same again; the checkpoint is where a restart goes on.
+    Each batch rewrites only the buckets that its keys fall into, as version batch id + 1, from their newest earlier
+    versions; a batch that is repeated after a failure writes the same again. Versions older than those are deleted then, so
+    a bucket has two at most. The checkpoint is where a restart goes on. One task writes a bucket: choose `buckets`, which
+    must stay the same for a table, so that one fits.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
         rows = transform(rows) if transform else rows
-        earlier = [v for v in _versions(spark, target) if v <= batch_id]
-        before = spark.read.parquet(f"{target}/v={earlier[-1]}") if earlier else rows.limit(0)
-        table = upsert(before, newest_only(rows, before if earlier else None, keys, newest), keys, newest)
-        table.write.mode("overwrite").parquet(f"{target}/v={batch_id + 1}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        touched = [row[0] for row in rows.select(bucket).distinct().collect()]
+        if not touched:
+            return
+        kept = {b: versions for b, versions in _buckets(spark, target, batch_id).items() if b in touched}
+        before = spark.read.schema(rows.schema).parquet(*(versions[-1][1] for versions in kept.values())) if kept else rows.limit(0)
+        table = upsert(before, newest_only(rows, before if kept else None, keys, newest), keys, newest)
+        table.withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{target}/v={batch_id + 1}")
+        for _, folder in (old for versions in kept.values() for old in versions[:-1]):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -72,8 +86,3 @@ def intake(messages: DataFrame, log: str, checkpoint: str, keys: Sequence[str],
 def refreshed_context(log: DataFrame, key: str, order: str, role: str, text: str) -> DataFrame:
     """Each conversation's last turns, from the message log."""
     return last_turns(log, key, order, role, text)
-
-
-def windowed_counts(stream: DataFrame, at: str, keys: Sequence[str], width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
-    """Rows per event-time window and keys; a window closes once the watermark has passed it."""
-    return stream.withWatermark(at, delay).groupBy(F.window(at, width), *keys).agg(F.count("*").alias("n"))
