@@ -89,10 +89,12 @@ def fill_shortfall(candidates: DataFrame, have: DataFrame, region: str, order: S
 
 
 def candidate_export(rows: DataFrame, region: str, doc: str, episode: str, confidence: str) -> DataFrame:
-    """Per region its documents with any episode: doc, episodes, best confidence, in order of confidence."""
-    each = rows.groupBy(region, doc).agg(F.count_distinct(episode).alias("episodes"), F.max(confidence).alias("confidence")).filter("episodes > 0")
-    packed = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("less"), doc, "episodes", "confidence")))
-    return each.groupBy(region).agg(packed.alias("documents"), F.count("*").alias("n"))
+    """A row for each document of a region with any episode: episodes, best confidence.
+
+    Sorted by region, then falling confidence, so a region's list is read off in order; no region is collected.
+    """
+    each = rows.groupBy(region, doc).agg(F.count_distinct(episode).alias("episodes"), F.max(confidence).alias("confidence"))
+    return each.filter("episodes > 0").orderBy(region, F.desc("confidence"), doc)
 
 
 def id_sets(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

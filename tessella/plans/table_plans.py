@@ -510,10 +510,9 @@ def _(t: Tables) -> DataFrame:
     return audit.fill_shortfall(t.customer, have, "c_nationkey", [F.desc("c_acctbal"), F.col("c_custkey")], 10).select("c_nationkey", "c_custkey", "rank")
 
 
-@query("a25_candidate_export", "WITH e AS (SELECT o_orderstatus, o_custkey, count(DISTINCT o_orderkey) AS episodes, max(o_totalprice) AS confidence FROM orders GROUP BY 1, 2) SELECT o_orderstatus, count(*) AS n, arg_max(o_custkey, (confidence, -o_custkey)) AS best FROM e GROUP BY 1")
+@query("a25_candidate_export", "SELECT o_orderstatus, o_custkey, count(DISTINCT o_orderkey) AS episodes, max(o_totalprice) AS confidence FROM orders GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    out = audit.candidate_export(t.orders, "o_orderstatus", "o_custkey", "o_orderkey", "o_totalprice")
-    return out.select("o_orderstatus", "n", F.col("documents")[0]["o_custkey"].alias("best"))
+    return audit.candidate_export(t.orders, "o_orderstatus", "o_custkey", "o_orderkey", "o_totalprice")
 
 
 @query("o7_id_sets", "SELECT doc_id, 'both' AS side FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'left' FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)")

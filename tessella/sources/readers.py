@@ -48,8 +48,13 @@ def content_key(columns: Sequence[str]) -> Column:
 
 
 def read_permit_csv(spark: SparkSession, path: str, scope: str | None = None, encodings: Sequence[str] = ("UTF-8", "x-windows-949", "EUC-KR")) -> DataFrame:
-    """The official CSV under the first encoding in which its required columns show; rows of the scope (address text) with keys."""
+    """The official CSV under the first encoding in which its required columns show; rows of the scope (address text) with keys.
+
+    Korean code pages beyond Spark's own list need spark.sql.legacy.javaCharsets, which stays set once one is tried.
+    """
     for encoding in encodings:
+        if not encoding.upper().startswith("UTF-"):
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         rows = spark.read.option("header", True).option("encoding", encoding).csv(path)
         names = {c.lstrip("﻿").strip(): c for c in rows.columns}
         if set(PERMIT_COLUMNS) <= set(names):
