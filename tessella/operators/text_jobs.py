@@ -87,7 +87,9 @@ def html_segments(pages: DataFrame, id_col: str, html_col: str, element: str = "
 
 def sentences(texts: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
     """keys, sentence_order (from 1), text, char_start, char_end."""
-    spans = texts.select(*keys, F.posexplode(X.sentence_spans(F.col(text_col))).alias("i", "s"))
+    cut = texts.select(*keys, X.sentence_pieces(F.col(text_col)).alias("_pieces"))
+    cut = cut.select(*keys, "_pieces", F.transform("_pieces", F.length).alias("_sizes"))
+    spans = cut.select(*keys, F.posexplode(X.sentence_spans(F.col("_pieces"), F.col("_sizes"))).alias("i", "s"))
     return spans.select(*keys, (F.col("i") + 1).alias("sentence_order"), "s.*")
 
 
@@ -102,17 +104,17 @@ def mentions(texts: DataFrame, keys: Sequence[str], text_col: str, terms: DataFr
     words, gaps = F.regexp_extract_all(c, F.lit(r"(?U)\S+"), F.lit(0)), F.split(c, r"(?U)\S+", -1)
     rows = texts.select(*keys, base.alias("_base"), words.alias("_words"), gaps.alias("_gaps"))
     steps = F.transform("_words", lambda w, i: F.length(w) + F.length(F.get("_gaps", i)))
-    rows = rows.withColumn("_before", X.sums_before(steps)).withColumn("_tight", F.array_join("_words", ""))
+    rows = rows.withColumn("_steps", steps).withColumn("_before", X.sums_before(F.col("_steps"))).withColumn("_tight", F.array_join("_words", ""))
 
     def places(w: Column, i: Column) -> Column:
         start = F.get("_before", i) + F.length(F.get("_gaps", i))
         return F.sequence(start, start + F.length(w) - 1)
 
-    rows = rows.withColumn("_at", F.flatten(F.transform("_words", places))).drop("_words", "_gaps", "_before")
+    rows = rows.withColumn("_at", F.flatten(F.transform("_words", places))).drop("_words", "_gaps", "_steps", "_before")
     rows = rows.join(F.broadcast(terms.withColumn("_term", F.regexp_replace("term", r"(?U)\s+", ""))), F.expr("_term <> '' AND contains(_tight, _term)"))
-    gaps = F.split("_tight", F.concat(F.lit(r"\Q"), F.col("_term"), F.lit(r"\E")), -1)
-    whole = F.transform(F.slice(gaps, 1, F.size(gaps) - 1), lambda g: F.length(g) + F.length("_term"))
-    starts = F.transform(X.sums_before(whole), lambda at, i: at + F.get(whole, i) - F.length("_term"))
+    rows = rows.withColumn("_parts", F.split("_tight", F.concat(F.lit(r"\Q"), F.col("_term"), F.lit(r"\E")), -1)).drop("_tight")
+    rows = rows.withColumn("_whole", F.transform(F.slice("_parts", 1, F.size("_parts") - 1), lambda g: F.length(g) + F.length("_term")))
+    starts = F.transform(X.sums_before(F.col("_whole")), lambda at, i: at + F.get("_whole", i) - F.length("_term"))
     rows = rows.withColumn("_start", F.explode(starts))
     first, last = F.get("_at", F.col("_start")), F.get("_at", F.col("_start") + F.length("_term") - 1)
     return rows.select(*keys, *terms.columns, (F.col("_base") + first).alias("start_offset"), (F.col("_base") + last + 1).alias("end_offset"))
