@@ -89,7 +89,7 @@ def sentences(texts: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame
     """keys, sentence_order (from 1), text, char_start, char_end."""
     cut = texts.select(*keys, X.sentence_pieces(F.col(text_col)).alias("_pieces"))
     cut = cut.select(*keys, "_pieces", F.transform("_pieces", F.length).alias("_sizes"))
-    spans = cut.select(*keys, F.posexplode(X.sentence_spans(F.col("_pieces"), F.col("_sizes"))).alias("i", "s"))
+    spans = cut.select(*keys, F.posexplode(X.spans_of(F.col("_pieces"), F.col("_sizes"))).alias("i", "s"))
     return spans.select(*keys, (F.col("i") + 1).alias("sentence_order"), "s.*")
 
 
