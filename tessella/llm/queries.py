@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import embed_dedup, exact, langid, mixing, ngram_join, packing, pii, quality, substring, tokencount
+from tessella.llm import embed_dedup, exact, hard_negatives, langid, mixing, ngram_join, packing, periodic, pii, quality, secrets, substring, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,8 +82,53 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), n=4, percent=85).withColumnRenamed("row_id", "doc_id")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, secrets.fit_secrets(secrets.labelled_samples(docs)))
+    base, spans = list(secrets.PATTERNS), F.col("spans")
+    count = {k: secrets.number_of(spans, k).alias(f"n_{k}") for k in (*base, secrets.RANDOM)}
+    return found.select(
+        F.col("row_id").alias("doc_id"), *(count[k] for k in base), F.sha2(secrets.listed(spans, base), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"), count[secrets.RANDOM]
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, negatives=5, percent=80)
+
+
+def repeating_words(docs: DataFrame) -> DataFrame:
+    """doc_id, text: the contract's texts of op13. In a tenth of the documents the words from some place on repeat a stretch that begins there."""
+    h, n, g = F.crc32(F.col("doc_id").cast("string")), F.size("w"), F.floor(F.col("h") / 10)
+    words = docs.select("doc_id", "text", h.alias("h"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w")).filter((F.col("h") % 10 == 0) & (n > 0))
+    words = words.select("doc_id", "w", (g % n).cast("int").alias("a"), g.alias("g"))
+    words = words.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    stretch = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    repeated = words.select("doc_id", F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(stretch, F.lit(1), n - F.col("a"))), " ").alias("text"))
+    others = docs.filter(F.coalesce(h % 10 != 0, F.lit(True)) | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return others.select("doc_id", "text").unionByName(repeated)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(repeating_words(_table(spark, sf_dir, "documents")))
+    # The greatest exact length / period: of two runs, length times the other's period decides.
+    best = F.expr("aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>), (b, r) -> CASE WHEN b IS NULL OR r.length * b.period > b.length * r.period THEN r ELSE b END)")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
+    found = found.withColumn("best", best).withColumn("lines", lines)
+    return found.select(
+        F.col("row_id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), "collapsed_sha256",
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_source_mix, op4_embedding_dedup, op5_substring_dedup, op6_exact_dedup, op7_quality, op8_personal_data, op9_packing, op10_ngram_join)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_language_id, op2_token_counts, op3_source_mix, op4_embedding_dedup, op5_substring_dedup, op6_exact_dedup, op7_quality, op8_personal_data, op9_packing, op10_ngram_join,
+            op11_secrets, op12_hard_negatives, op13_periodic_runs,
+        )
+    }
 
 
 SQL: dict[str, str] = {
@@ -161,6 +206,18 @@ links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y
 reached(v, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, c FROM reached JOIN links ON a = v),
 named AS (SELECT v, min(c) AS component_id FROM reached GROUP BY v)
 SELECT v AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM named LEFT JOIN sizes ON sizes.doc_id = v""",
+    "op12_hard_negatives": r"""
+WITH sound AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, r.id, a.label = r.label AS same, list_inner_product(a.e, r.e)::BIGINT AS score
+  FROM sound a JOIN sound r ON a.id % 100 = 0 AND a.id <> r.id AND len(a.e) = len(r.e)),
+near AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+windows AS (
+  SELECT anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM near JOIN scored s USING (anchor_id) WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM windows WHERE rank <= 5""",
     "op6_exact_dedup": r"""
 WITH plain AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
