@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes: groups of near-duplicate documents, no link lost.
 
-A document's set is its distinct word n-grams, as 64-bit hashes, in the order of the hashes. With n members and at least
+A document's set is its distinct word n-grams, as 64-bit hashes of their words' hashes, in the order of the hashes. With n members and at least
 ceil(t n) of them shared, two similar documents share at least l members of their prefixes of n - ceil(t n) + l members,
 for every l. So:
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +29,25 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import TEXT_ROWS, join_groups, join_small, materialize, release, row_keys, without_rows
 from tessella.llm.components import connected_components
-from tessella.llm.substring import Block
+from tessella.llm.substring import folded_hashes, word_hashes, word_slices
 
 #: Classes that share a member from which it is dealt by, hashes of a sketch, classes of a chunk, the most members by
 #: which a prefix is lengthened, average candidates of a prefix member above which it isn't used.
 MANY, SKETCH, CHUNK, LONGEST, COSTLY = 16, 32, 256, 48, 8
-#: Classes that share a member above which they are compared in blocks of CHUNK instead of pair by pair.
+#: Classes of other groups that a class meets by a member, on average, above which they are compared in blocks of CHUNK
+#: instead of pair by pair.
 BLOCKED = 32
 
 
-def shingles(words: list[bytes], n: int) -> np.ndarray:
-    """The sorted distinct hashes of n-word sequences; of all words as one sequence if there are fewer."""
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    block = Block(b" ".join(words))
-    count = max(1, len(words) - n + 1)
-    first = np.arange(count)
-    return np.unique(block.hashes(first, np.minimum(first + n, len(words)) - 1))
+def shingle_sets(texts_words: list[list[bytes]], n: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its n-word sequences; of all its words as one sequence if there are fewer."""
+    values = word_hashes(list(chain.from_iterable(texts_words)))
+    folded, at, out = folded_hashes(values, n), 0, []
+    for words in texts_words:
+        k = len(words)
+        out.append(np.unique(folded[at : at + k - n + 1] if k >= n else folded_hashes(values[at : at + k], k)))
+        at += k
+    return out
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -54,16 +57,12 @@ def _words(text: str | None) -> list[bytes]:
 def _prefixes(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                keys, sizes, prefixes = [], [], []
-                for text in part.column(2):
-                    words = _words(text.as_py())
-                    members = shingles(words, n)
-                    keys.append(hashlib.md5(b" ".join(words)).digest())
-                    sizes.append(len(members))
-                    prefixes.append(members[: len(members) - -(-percent * len(members) // 100) + LONGEST].view(np.int64))
-                columns = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+            for at, words_of in word_slices(batch.column(2), lower=True):
+                part = batch.slice(at, len(words_of))
+                sets = shingle_sets(words_of, n)
+                keys = [hashlib.md5(b" ".join(words)).digest() for words in words_of]
+                prefixes = [s[: len(s) - -(-percent * len(s) // 100) + LONGEST].view(np.int64) for s in sets]
+                columns = [pa.array(keys, pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
                 names = ["row_id", "text_hash", "row_no", "key", "n_shingles", "prefix"]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), *columns], names)
         pa.default_memory_pool().release_unused()
@@ -113,7 +112,7 @@ def _members(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             for v, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = _words(text.as_py())
                 if hashlib.md5(b" ".join(words)).digest() == key:
-                    members = shingles(words, n)
+                    members = shingle_sets([words], n)[0]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), v)), pa.array(members.view(np.int64))], ["v", "member"])
 
     return run
@@ -127,7 +126,7 @@ def _verified(n: int, percent: int) -> Callable[[pa.Table], pa.Table]:
         for v, key, text in zip(rows.column("v").to_pylist(), rows.column("key").to_pylist(), rows.column("text"), strict=True):
             words = _words(text.as_py())
             if v not in sets and hashlib.md5(b" ".join(words)).digest() == key:
-                sets[v] = shingles(words, n)
+                sets[v] = shingle_sets([words], n)[0]
         mine, found = sets.pop(centre), []
         for v, theirs in sets.items():
             shared = len(np.intersect1d(mine, theirs, assume_unique=True))
@@ -158,11 +157,28 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percen
     return links
 
 
+def _largest(rows: DataFrame, name: str) -> DataFrame:
+    """member, all (classes that share it), partners (those of other groups that a class meets on average), largest (its largest group).
+
+    A table, without members of one group only. rows: member, component.
+    """
+    by_group = rows.groupBy("member", "component").agg(F.count("*").alias("k"))
+    k = F.col("k")
+    found = by_group.groupBy("member").agg(F.sum(k).alias("all"), (F.sum(k) - F.sum(k * k) / F.sum(k)).alias("partners"), F.max_by("component", F.struct("k", "component")).alias("largest"))
+    return materialize(found.filter("partners > 0"), name)
+
+
 def _pairs(rows: DataFrame, columns: list[str], percent: int, within: str = "true") -> DataFrame:
-    """Rows of two classes of different groups that share a member and may be similar by their sizes."""
-    x, y = (rows.select("member", *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in ("x", "y"))
-    alike = f"v_x < v_y AND component_x <> component_y AND 100 * least(n_shingles_x, n_shingles_y) >= {percent} * greatest(n_shingles_x, n_shingles_y)"
-    return x.hint("merge").join(y, "member").filter(f"{alike} AND {within}")
+    """Pairs of classes of different groups that share a member and may be similar by their sizes, v_x the smaller.
+
+    Of two such classes one at least isn't of the member's largest group: only those are joined with all, so classes of
+    one large group don't meet each other. rows: member, largest, and the columns, of which `within` may use both sides'.
+    """
+    x = rows.filter("component <> largest").select("member", *(F.col(c).alias(f"{c}_x") for c in columns))
+    y = rows.select("member", (F.col("component") == F.col("largest")).alias("in_largest"), *(F.col(c).alias(f"{c}_y") for c in columns))
+    alike = f"(in_largest OR v_x < v_y) AND component_x <> component_y AND 100 * least(n_shingles_x, n_shingles_y) >= {percent} * greatest(n_shingles_x, n_shingles_y)"
+    found = x.hint("merge").join(y, "member").filter(f"{alike} AND {within}")
+    return found.withColumns({"v_x": F.least("v_x", "v_y"), "v_y": F.greatest("v_x", "v_y")})
 
 
 def _blocked(percent: int) -> Callable[[pa.Table], pa.Table]:
@@ -204,11 +220,18 @@ def _blocked(percent: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def _block_links(rows: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Links among classes that share a member (rows: v, member, often), block by block."""
+    """Links among classes that share a member (rows: v, member, component, largest, all), block by block.
+
+    Classes of the member's largest group have blocks of their own, which meet the other blocks, not each other.
+    """
     sets = whole.groupBy("v").agg(F.collect_list("member").alias("set"))
-    blocks = F.ceil(F.col("often") / CHUNK).cast("int")
-    rows = rows.select("v", "member", blocks.alias("blocks"), F.pmod(F.xxhash64("v", "member"), blocks).cast("int").alias("block"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("v", "member", (F.col("component") == F.col("largest")).alias("major"))
+    sizes = rows.groupBy("member").agg(*(F.ceil(F.count_if(c) / CHUNK).cast("int").alias(n) for c, n in ((~F.col("major"), "minors"), (F.col("major"), "majors"))))
+    rows = join_groups(rows, materialize(rows.groupBy("member").agg(F.count("*").alias("often")).join(sizes.hint("merge"), "member"), "ngram-blocked"), "member", "often", rows.count())
+    # Blocks below `minors` are of other groups. Such a block meets itself and all others; a block of the largest group those.
+    own = F.pmod(F.xxhash64("v", "member"), F.when(F.col("major"), F.col("majors")).otherwise(F.col("minors"))).cast("int")
+    rows = rows.withColumn("block", own + F.when(F.col("major"), F.col("minors")).otherwise(0))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("minors") - 1 + F.when(F.col("major"), 0).otherwise(F.col("majors")))))
     rows = rows.select(
         "v", "member", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
@@ -223,9 +246,7 @@ def _candidates(docs: DataFrame, classes: DataFrame, groups: DataFrame, shared:
     """
     grouped = materialize(shared.drop("all").join(groups.hint("merge"), "v"), "ngram-grouped")
     release(shared)
-    by_group = grouped.groupBy("member", "component").agg(F.count("*").alias("k"))
-    costs = by_group.groupBy("member").agg(F.sum("k").alias("all"), (F.sum("k") - F.sum(F.col("k") * F.col("k")) / F.sum("k")).alias("partners"))
-    costs = materialize(costs.filter("partners > 0"), "ngram-costs")
+    costs = _largest(grouped, "ngram-costs")
     costed = materialize(join_groups(grouped, costs, "member", "all", grouped.count()).drop("all"), "ngram-costed")
     release(grouped, costs)
 
@@ -252,14 +273,13 @@ def _candidates(docs: DataFrame, classes: DataFrame, groups: DataFrame, shared:
     plain = ordered.withColumn("rank", rank).join(groups.hint("merge"), "v")
     plain = plain.filter(F.col("rank") <= F.col("n_shingles") - F.ceil(percent * F.col("n_shingles") / 100) + 1).filter("all > 1")
     plain = materialize(plain.select("v", "member", "component", "n_shingles"), "ngram-plain")
-    many = plain.groupBy("member").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
-    many = materialize(many.filter("low < high").select("member", "often"), "ngram-many")
-    often = materialize(join_groups(plain, many, "member", "often", plain.count()), "ngram-often")
+    many = _largest(plain, "ngram-many")
+    often = materialize(join_groups(plain, many, "member", "all", plain.count()), "ngram-often")
     release(frequency, plain, many)
-    found = _block_links(often.filter(F.col("often") > BLOCKED), whole, percent)
+    found = _block_links(often.filter(F.col("partners") > BLOCKED), whole, percent)
     found = materialize(found.distinct(), "ngram-blocks")
     release(whole)
-    common = _pairs(often.filter(F.col("often") <= BLOCKED), ["v", "component", "n_shingles"], percent)
+    common = _pairs(often.filter(F.col("partners") <= BLOCKED), ["v", "component", "n_shingles"], percent)
     pairs = pairs.select("v_x", "v_y").unionByName(common.select("v_x", "v_y")).distinct()
     pairs = materialize(pairs.select(F.col("v_x").alias("a"), F.col("v_y").alias("b")), "ngram-pairs")
     release(costed, each, often)

@@ -4,7 +4,7 @@
    have equal anchors at equal places, so only about every fourteenth word starts an anchor (for 35 and 8). An anchor and
    all windows that chose it form a context. Anchors that occur once prove their windows unique.
 2. Confirmation. An anchor that always stands in one context confirms all its windows at once. Where contexts differ, the
-   windows themselves are counted, by two 64-bit hashes: the anchor's and the window's. Each also gets a checksum of the
+   windows themselves are counted, by their own 64-bit hash under that of the anchor. Each also gets a checksum of the
    places of its anchor: neighbouring windows with equal checksums occur together everywhere and form one passage.
 3. Dictionary. One shard of documents, the first that holds a passage, hands out its words: the dictionary has each
    recurring passage once, as text. It is dealt to the shards whose documents hold the passage somewhere.
@@ -19,22 +19,28 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
-from itertools import compress, repeat
+from itertools import chain, compress, repeat
 from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.llm.common import blank_null, materialize, release
 
-#: Bytes of text for a shard, of a hashed block, words of one automaton, words of a block (anchors are found within it).
-SHARD_BYTES, BLOCK_BYTES, AUTOMATON_WORDS, BLOCK_WORDS = 4 << 20, 1 << 19, 400_000, 1 << 18
+#: Bytes of text for a shard, words of a block of several documents, of one automaton, of any block (anchors are found within it).
+SHARD_BYTES, SHARED_WORDS, AUTOMATON_WORDS, BLOCK_WORDS = 4 << 20, 1 << 16, 400_000, 1 << 18
 _INDEX_BITS = 20
-_MULTIPLIER = 0x9E3779B97F4A7C15
+#: Bytes above which a word is hashed by itself.
+LONG_WORD = 256
+
+
+#: A factor for each place of a sequence: odd numbers drawn once. Words are hashed whole before, so that texts can't be
+#: made to fit the factors; powers of one base would stand in a relation that texts can use.
+_FACTORS = np.random.default_rng(35).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -45,53 +51,60 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    return np.random.default_rng(35).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-_powers: dict[str, np.ndarray] = {}
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word: eight bytes at a time, mixed after each; of long words at once by xxhash."""
+    data = b" ".join(words)
+    raw = np.frombuffer(data, dtype=np.uint8)
+    gaps = np.flatnonzero(raw == 32)
+    starts, ends = np.concatenate(([0], gaps + 1)), np.append(gaps, len(raw))
+    eights = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=data + bytes(8), strides=(1,))
+    left = (ends - starts).astype(np.int64) if words else np.zeros(0, dtype=np.int64)
+    out = left.astype(np.uint64) * _FACTORS[62]
+    some = np.flatnonzero(left <= LONG_WORD)
+    at, left = starts[some], left[some]
+    while len(some):
+        chunk = eights[at] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * np.clip(left, 1, 8).astype(np.uint64)))
+        out[some] = _mix((out[some] ^ chunk) * _FACTORS[63])
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist() if words else ():
+        out[i] = xxhash.xxh3_64_intdigest(words[i], seed=35)
+    return out
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, BLOCK_BYTES + (1 << 16))
-        for k, base in (("up", _MULTIPLIER), ("down", pow(_MULTIPLIER, -1, 1 << 64))):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+def folded_hashes(values: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each `size` values in a row, size at most 60; none of size 0."""
+    n = len(values) - size + 1 if size else 0
+    total = np.zeros(max(0, n), dtype=np.uint64)
+    for k in range(size if n > 0 else 0):
+        total += values[k : k + n] * _FACTORS[k]
+    return _mix(total)
 
 
 class Block:
-    """Word positions and hashes of a block: documents joined by line feeds, their words by single spaces."""
-
-    def __init__(self, data: bytes) -> None:
-        raw = np.frombuffer(data, dtype=np.uint8)
-        up, self._down = _power(len(raw) + 1)
-        self._sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(_byte_values()[raw] * up[: len(raw)], out=self._sums[1:])
-        gaps = np.flatnonzero((raw == 32) | (raw == 10))
-        self.starts = np.concatenate(([0], gaps + 1))
-        self.ends = np.append(gaps, len(raw))
-        self.doc = np.concatenate(([0], np.cumsum(raw[gaps] == 10)))
-
-    def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Of the bytes from the start of word `first` to the end of word `last`."""
-        at = self.starts[first]
-        return _mix((self._sums[self.ends[last]] - self._sums[at]) * self._down[at])
-
-    def runs(self, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the word sequences of a block: some documents' words, one after the other."""
+
+    def __init__(self, parts: list[list[bytes]], gram: int) -> None:
+        sizes = [len(p) for p in parts]
+        self.n, self.gram = sum(sizes), gram
+        self.doc = np.repeat(np.arange(len(parts)), sizes)
+        self.grams = folded_hashes(word_hashes(list(chain.from_iterable(parts))), gram)
+
+    def hashes(self, first: np.ndarray, size: int) -> np.ndarray:
+        """Of `size` words from the words `first` on, by the grams that cover them."""
+        total = np.zeros(len(first), dtype=np.uint64)
+        for k, at in enumerate([*range(0, size - self.gram, self.gram), size - self.gram]):
+            total += self.grams[first + at] * _FACTORS[k]
+        return _mix(total)
+
+    def runs(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Runs of windows with one anchor: first and last window start, the anchor's key, the context's key."""
-        n, wide = len(self.starts), window - gram + 1
+        n, grams, wide = self.n, self.grams, window - self.gram + 1
         none = np.zeros(0, dtype=np.int64)
         if n < window:
             return none, none, none.astype(np.uint64), none.astype(np.uint64)
-        at = np.arange(n - gram + 1)
-        grams = self.hashes(at, at + gram - 1)
         low = np.uint64((1 << _INDEX_BITS) - 1)
-        order = (grams & ~low) | at.astype(np.uint64)
+        order = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
         span = 1
         while span * 2 <= wide:
             order = np.minimum(order[:-span], order[span:])
@@ -107,37 +120,38 @@ class Block:
             return none, none, none.astype(np.uint64), none.astype(np.uint64)
         first, last = starts[heads], starts[np.append(heads[1:], len(starts)) - 1]
         keys = grams[anchor[heads]]
-        return first, last, keys, _mix(self.hashes(first, last + window - 1) ^ keys * np.uint64(5))
+        # Two windows cover a run's words, as no run has more windows than a window has words.
+        ends = self.hashes(first, window) * _FACTORS[0] + self.hashes(last, window) * _FACTORS[1] + (last - first).astype(np.uint64)
+        return first, last, keys, _mix(ends ^ keys * np.uint64(5))
 
     def windows(self, first: np.ndarray, last: np.ndarray, keys: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
         """The windows of some runs: their starts and keys."""
         sizes = last - first + 1
         starts = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return starts, _mix(self.hashes(starts, starts + window - 1) ^ np.repeat(keys, sizes) * np.uint64(11))
+        return starts, _mix(self.hashes(starts, window) ^ np.repeat(keys, sizes) * np.uint64(11))
 
 
-def _blocks(words_of: list[list[bytes]], window: int) -> Iterator[tuple[Block, list[tuple[int, int]]]]:
+def _blocks(words_of: list[list[bytes]], window: int, gram: int) -> Iterator[tuple[Block, list[tuple[int, int]]]]:
     """Blocks of documents with at least a window of words, each with (document, its first word) of its parts.
 
     A document of more than BLOCK_WORDS words spreads over parts that share window - 1 words: each window is in one part.
     """
-    parts: list[bytes] = []
+    parts: list[list[bytes]] = []
     owners: list[tuple[int, int]] = []
-    size = count = 0
+    count = 0
     for i, words in enumerate(words_of):
         for at in range(0, max(1, len(words) - window + 1), BLOCK_WORDS - window + 1):
             if len(words) < window:
                 continue
             part = words[at : at + BLOCK_WORDS]
-            data = b" ".join(part)
-            if parts and (size + len(data) > BLOCK_BYTES or count + len(part) > BLOCK_WORDS):
-                yield Block(b"\n".join(parts)), owners
-                parts, owners, size, count = [], [], 0, 0
-            parts.append(data)
+            if parts and count + len(part) > SHARED_WORDS:
+                yield Block(parts, gram), owners
+                parts, owners, count = [], [], 0
+            parts.append(part)
             owners.append((i, at))
-            size, count = size + len(data) + 1, count + len(part)
+            count += len(part)
     if parts:
-        yield Block(b"\n".join(parts)), owners
+        yield Block(parts, gram), owners
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -167,13 +181,13 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return _position(x, known) >= 0
 
 
-def _slices(texts: pa.ChunkedArray | pa.Array, n_bytes: int = 1 << 20) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Words of some documents at a time, with the first one's row."""
+def word_slices(texts: pa.ChunkedArray | pa.Array, n_bytes: int = 1 << 20, lower: bool = False) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Words of some documents at a time, with the first one's row; A to Z in lower case if asked."""
     held: list[list[bytes]] = []
     size = at = 0
     for i, text in enumerate(texts):
         data = (text.as_py() or "").encode()
-        held.append(data.split())
+        held.append((data.lower() if lower else data).split())
         size += len(data)
         if size > n_bytes:
             yield at, held
@@ -186,9 +200,9 @@ def _anchors(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shards = batch.column(1).to_numpy()
-            for at, words_of in _slices(batch.column(0)):
-                for block, owners in _blocks(words_of, window):
-                    first, _, keys, contexts = block.runs(window, gram)
+            for at, words_of in word_slices(batch.column(0)):
+                for block, owners in _blocks(words_of, window, gram):
+                    first, _, keys, contexts = block.runs(window)
                     shard = np.array([shards[at + i] for i, _ in owners], dtype=np.int32)[block.doc[first]]
                     yield pa.RecordBatch.from_arrays([_signed(keys), _signed(contexts), pa.array(shard, pa.int32())], ["anchor", "context", "shard"])
 
@@ -204,9 +218,9 @@ def _count_windows(window: int, gram: int) -> Callable[[pa.Table, pa.Table], pa.
         none, seen = np.zeros(0, dtype=np.uint64), 0
         anchors, windows, places = [none], [none], [none]
         if len(known):
-            for _, words_of in _slices(docs.column("text")):
-                for block, _ in _blocks(words_of, window):
-                    first, last, keys, _ = block.runs(window, gram)
+            for _, words_of in word_slices(docs.column("text")):
+                for block, _ in _blocks(words_of, window, gram):
+                    first, last, keys, _ = block.runs(window)
                     some = _among(keys, known)
                     first, last, keys = first[some], last[some], keys[some]
                     sizes = last - first + 1
@@ -249,9 +263,9 @@ def _passages(window: int, gram: int) -> Callable[[pa.Table, pa.Table], pa.Table
             for column, value in zip(out, (int(asked["anchor"][at].view(np.int64)), int(asked["key"][at].view(np.int64)), text), strict=True):
                 column.append(value)
 
-        for _, words_of in _slices(docs.column("text")) if len(asked) else ():
-            for block, owners in _blocks(words_of, window):
-                first, last, keys, contexts = block.runs(window, gram)
+        for _, words_of in word_slices(docs.column("text")) if len(asked) else ():
+            for block, owners in _blocks(words_of, window, gram):
+                first, last, keys, contexts = block.runs(window)
                 some = np.flatnonzero(_among(keys, anchors))
                 part_start = np.searchsorted(block.doc, np.arange(len(owners)))
 
@@ -323,7 +337,7 @@ def _remove(window: int, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa
         automata = list(_automata("".join(map(codes.__getitem__, p.split(b" "))) for p in said))
         del said
         out: dict[str, list] = {"n_words": [], "n_removed": [], "removed": [], "kept_sha256": []}
-        for _, words_of in _slices(docs.column("text")):
+        for _, words_of in word_slices(docs.column("text")):
             for words in words_of:
                 n = len(words)
                 edges = np.zeros(n + 1, dtype=np.int64)

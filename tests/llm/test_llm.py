@@ -170,9 +170,9 @@ def test_repeats_equal_brute_force(spark):
 def test_long_documents_are_hashed_in_parts(spark, monkeypatch):
     monkeypatch.setattr(substring, "BLOCK_WORDS", 50)
     words = [[b"%d" % (i % 60) for i in range(200)]]
-    first = {k for block, _ in substring._blocks(words, 35) for f, la, keys, _ in [block.runs(35, 8)] for k in block.windows(f, la, keys, 35)[1].tolist()}
+    first = {k for block, _ in substring._blocks(words, 35, 8) for f, la, keys, _ in [block.runs(35)] for k in block.windows(f, la, keys, 35)[1].tolist()}
     monkeypatch.setattr(substring, "BLOCK_WORDS", 1 << 18)
-    whole = {k for block, _ in substring._blocks(words, 35) for f, la, keys, _ in [block.runs(35, 8)] for k in block.windows(f, la, keys, 35)[1].tolist()}
+    whole = {k for block, _ in substring._blocks(words, 35, 8) for f, la, keys, _ in [block.runs(35)] for k in block.windows(f, la, keys, 35)[1].tolist()}
     assert first == whole and len(whole) == 60
 
 
