@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.ranges import UNIT, unit_join
+
 
 def case_rollup(rows: DataFrame, key: str, start: str, end: str, confidence: str, issues: str) -> DataFrame:
     """Per case: first start, last end, greatest confidence, all issue types, episodes."""
@@ -51,20 +55,46 @@ def evidence_view(evidence: DataFrame, cases: DataFrame, places: DataFrame, case
     return joined.withColumn("position", F.row_number().over(Window.partitionBy(case).orderBy(rank, *keys)))
 
 
-def weighted_pairs(rows: DataFrame, key: str, block: str, features: Mapping[str, tuple[Column, float]], low: float, high: float) -> DataFrame:
+def _sufficient(weights: Mapping[str, float], low: float) -> list[tuple[str, ...]]:
+    """The smallest sets of features whose weights reach `low` (rounded as scores are): each pair that scores enough has all of one of them."""
+    found: list[tuple[str, ...]] = []
+    for size in range(len(weights) + 1):
+        for some in combinations(weights, size):
+            if round(sum(weights[n] for n in some), 4) >= low and not any(set(f) <= set(some) for f in found):
+                found.append(some)
+    return found
+
+
+def weighted_pairs(rows: DataFrame, key: str, block: str, features: Mapping[str, tuple[Column, float]], low: float, high: float, unit: int = UNIT) -> DataFrame:
     """left, right, score: pairs of one block with low <= score < high. features: per name a row value and a weight.
 
-    A feature counts where both rows have it and it is equal (arrays: where they overlap). An equi-join on the block; its
-    size is the sum of the blocks' squares, so blocks must be selective.
+    A feature counts where both rows have it and it is equal (arrays: where they overlap). Rows don't meet all others of
+    their block: for each smallest set of features that is enough for `low`, those meet that have these features in common,
+    and a pair is kept from the first such set. Of a value that very many rows of a block share, no task gets more than `unit`
+    rows of a side (unit_join). Only with low <= 0 whole blocks are compared.
     """
     names = {n: f"_f{i}" for i, n in enumerate(features)}
     plain = rows.select(F.col(key).alias("_id"), F.col(block).alias("_block"), *(features[n][0].alias(c) for n, c in names.items())).filter(F.col("_block").isNotNull())
-    left, right = plain.alias("l"), plain.alias("r")
     arrays = {c for c in names.values() if plain.schema[c].dataType.typeName() == "array"}
-    same = lambda c: F.arrays_overlap(f"l.{c}", f"r.{c}") if c in arrays else F.col(f"l.{c}") == F.col(f"r.{c}")
+    mine = plain.select("_block", *(F.col(c).alias(f"{c}_l") for c in ("_id", *names.values())))
+    theirs = plain.select("_block", *(F.col(c).alias(f"{c}_r") for c in ("_id", *names.values())))
+    same = lambda c: F.coalesce(F.arrays_overlap(f"{c}_l", f"{c}_r") if c in arrays else F.col(f"{c}_l") == F.col(f"{c}_r"), F.lit(False))
     score = F.round(F.least(F.lit(1.0), sum((F.when(same(c), features[n][1]).otherwise(0.0) for n, c in names.items()), F.lit(0.0))), 4)
-    pairs = left.join(right, (F.col("l._block") == F.col("r._block")) & (F.col("l._id") < F.col("r._id")))
-    return pairs.select(F.col("l._id").alias("left"), F.col("r._id").alias("right"), score.alias("score")).filter((F.col("score") >= low) & (F.col("score") < high))
+    sets, out = [[names[n] for n in some] for some in _sufficient({n: w for n, (_, w) in features.items()}, low)], None
+    for at, some in enumerate(sets):
+        l, r = mine, theirs
+        for c in some:
+            value = lambda side, c=c: F.explode(F.array_distinct(f"{c}_{side}")) if c in arrays else F.col(f"{c}_{side}")
+            l, r = l.withColumn(f"_on{c}", value("l")), r.withColumn(f"_on{c}", value("r"))
+        pairs = unit_join(l, r, ["_block", *(f"_on{c}" for c in some)], unit).filter(F.col("_id_l") < F.col("_id_r"))
+        for c in some:
+            if c in arrays:  # of several common elements the least brings the pair
+                pairs = pairs.filter(F.col(f"_on{c}") == F.array_min(F.array_intersect(f"{c}_l", f"{c}_r")))
+        for earlier in sets[:at]:
+            pairs = pairs.filter(~reduce(lambda a, b: a & b, (same(c) for c in earlier)))
+        found = pairs.select(F.col("_id_l").alias("left"), F.col("_id_r").alias("right"), score.alias("score")).filter((F.col("score") >= low) & (F.col("score") < high))
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else plain.select(F.col("_id").alias("left"), F.col("_id").alias("right"), F.lit(0.0).alias("score")).filter(F.lit(False))
 
 
 def location_candidates(links: DataFrame, case: str, place: str, precision: str, relation: str, by_precision: Mapping[str, float], by_relation: Mapping[str, float], coordinates: Column, bonus: float = 0.08) -> DataFrame:

@@ -7,46 +7,61 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.ranges import Stretches, by_key_size
+
 # Weights of what two neighbouring signals have in common, the widest gap, and the score that joins them.
 WEIGHTS = {"document": 0.25, "agenda": 0.20, "issue": 0.15, "entity": 0.30, "near": 0.10, "close": 0.05}
 NEAR, CLOSE, JOINED = 2, 5, 0.55
+#: Rows up to which a document is one window of one task.
+WHOLE = 1_000_000
 
 
-def break_counts(paragraphs: DataFrame, doc_col: str, order_col: str, is_break: Column) -> DataFrame:
+def break_counts(paragraphs: DataFrame, doc_col: str, order_col: str, is_break: Column, most: int = WHOLE) -> DataFrame:
     """paragraphs with breaks_upto: breaks in the document up to and with this paragraph.
 
-    Two paragraphs have a break between them, right one included, where their counts differ.
+    Two paragraphs have a break between them, right one included, where their counts differ. Documents of more than `most`
+    paragraphs are counted over many tasks.
     """
     w = Window.partitionBy(doc_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    return paragraphs.withColumn("breaks_upto", F.sum(is_break.cast("int")).over(w))
+    value = is_break.cast("int")
+    usual, large = by_key_size(paragraphs, doc_col, most)
+    out = usual.withColumn("breaks_upto", F.sum(value).over(w))
+    return out if large is None else out.unionByName(Stretches(large, doc_col, [order_col]).with_sum(value, "breaks_upto").done())
 
 
 def episodes(
     signals: DataFrame, doc_col: str, order: Sequence[str], paragraph_col: str, agenda: Column, issues: Column, entities: Column,
-    breaks_upto: Column | None = None, sentence_breaks: Column | None = None, weights: dict[str, float] = WEIGHTS, joined: float = JOINED,
+    breaks_upto: Column | None = None, sentence_breaks: Column | None = None, weights: dict[str, float] = WEIGHTS, joined: float = JOINED, most: int = WHOLE,
 ) -> DataFrame:
     """signals with link_score (to the one before) and episode (number in the document, from 1).
 
     A signal continues the episode if its score with the previous signal is at least `joined`; breaks and gaps above
-    CLOSE score 0. issues and entities are arrays. One window over the document's signals, so a document is a task's unit.
+    CLOSE score 0. issues and entities are arrays. A document of more than `most` signals is cut over many tasks
+    (ranges.Stretches), the others are windows.
     """
-    w = Window.partitionBy(doc_col).orderBy(*order)
     zero = F.lit(0)
-    rows = signals.withColumns({"_agenda": agenda, "_issues": issues, "_entities": entities, "_breaks": zero if breaks_upto is None else breaks_upto})
-    rows = rows.withColumn("_gap", F.col(paragraph_col) - F.lag(paragraph_col).over(w))
-    both = lambda c: F.coalesce(F.arrays_overlap(F.col(c), F.lag(c).over(w)), F.lit(False))
-    part = lambda ok, k: F.when(ok, weights[k]).otherwise(0.0)
-    score = (
-        F.lit(weights["document"]) + part(F.col("_agenda").eqNullSafe(F.lag("_agenda").over(w)), "agenda") + part(both("_issues"), "issue") + part(both("_entities"), "entity")
-        + F.when(F.col("_gap") <= NEAR, weights["near"]).otherwise(weights["close"])
-    )
-    cut = (F.col("_gap") > CLOSE) | (F.col("_breaks") != F.lag("_breaks").over(w))
-    if sentence_breaks is not None:
-        cut = cut | sentence_breaks
-    rows = rows.withColumn("link_score", F.when(F.col("_gap").isNull(), None).when(cut, 0.0).otherwise(F.round(score, 2)))
+    rows = signals.withColumns({"_agenda": agenda, "_issues": issues, "_entities": entities, "_breaks": zero if breaks_upto is None else breaks_upto, "_cut": F.lit(False) if sentence_breaks is None else sentence_breaks, "_paragraph": F.col(paragraph_col)})
+    compared = ["_agenda", "_issues", "_entities", "_breaks", "_paragraph"]
+
+    def scored(part: DataFrame) -> DataFrame:
+        gap = F.col("_paragraph") - F.col("previous__paragraph")
+        both = lambda c: F.coalesce(F.arrays_overlap(c, f"previous_{c}"), F.lit(False))
+        weight = lambda ok, k: F.when(ok, weights[k]).otherwise(0.0)
+        score = F.lit(weights["document"]) + weight(F.col("_agenda").eqNullSafe(F.col("previous__agenda")), "agenda") + weight(both("_issues"), "issue") + weight(both("_entities"), "entity")
+        score = score + F.when(gap <= NEAR, weights["near"]).otherwise(weights["close"])
+        cut = (gap > CLOSE) | (F.col("_breaks") != F.col("previous__breaks")) | F.col("_cut")
+        return part.withColumn("link_score", F.when(gap.isNull(), None).when(cut, 0.0).otherwise(F.round(score, 2)))
+
+    w = Window.partitionBy(doc_col).orderBy(*order)
     new = F.when(F.coalesce(F.col("link_score") < joined, F.lit(True)), 1).otherwise(0)
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_new", new).withColumn("episode", F.sum("_new").over(running)).drop("_agenda", "_issues", "_entities", "_breaks", "_gap", "_new")
+    kept = [*signals.columns, "link_score", "episode"]
+    usual, large = by_key_size(rows, doc_col, most)
+    out = scored(usual.select("*", *(F.lag(c).over(w).alias(f"previous_{c}") for c in compared)))
+    out = out.withColumn("_new", new).withColumn("episode", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).select(*kept)
+    if large is None:
+        return out
+    stretches = Stretches(large, doc_col, order).with_previous(compared)
+    return out.unionByName(stretches.apply(scored).with_sum(new, "episode").done().select(*kept))
 
 
 def stance(polarities: Column) -> Column:
@@ -81,11 +96,11 @@ def with_fallback_signals(signals: DataFrame, labelled: DataFrame, sentences: Da
     """signals and, for labelled paragraphs without one, their first sentence (origin: signal or label)."""
     missing = labelled.select(key).distinct().join(signals.select(key).distinct(), key, "left_anti")
     first = F.row_number().over(Window.partitionBy(key).orderBy(order_col))
-    extra = sentences.join(missing, key, "left_semi").withColumn("_n", first).filter("_n = 1").drop("_n")
+    extra = sentences.hint("merge").join(missing, key, "left_semi").withColumn("_n", first).filter("_n = 1").drop("_n")
     return signals.withColumn("origin", F.lit("signal")).unionByName(extra.withColumn("origin", F.lit("label")), allowMissingColumns=True)
 
 
 def context_paragraphs(ranges: DataFrame, paragraphs: DataFrame, doc_col: str, index_col: str, start_col: str, end_col: str, margin: int = 1) -> DataFrame:
     """Each range with the paragraphs from `margin` before to `margin` after it: an equi-join on exploded indexes."""
     wanted = ranges.withColumn(index_col, F.explode(F.sequence(F.col(start_col) - margin, F.col(end_col) + margin)))
-    return wanted.join(paragraphs, [doc_col, index_col]).withColumn("role", F.when(F.col(index_col).between(F.col(start_col), F.col(end_col)), "core").otherwise("context"))
+    return wanted.hint("merge").join(paragraphs, [doc_col, index_col]).withColumn("role", F.when(F.col(index_col).between(F.col(start_col), F.col(end_col)), "core").otherwise("context"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import address_parts, stable_id, within_bounds
+from tessella.operators.ranges import UNIT, unit_join
 
 # Words for yes and no.
 YES, NO = ("1", "true", "yes", "y", "예", "있음", "필요", "o"), ("0", "false", "no", "n", "아니오", "없음", "불필요", "x")
@@ -148,13 +149,16 @@ def revisions(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     return rows.withColumn("revision", F.row_number().over(w)).withColumn("status", F.when(F.lead(tie).over(w).isNull(), "current").otherwise("superseded"))
 
 
-def historical_matches(projects: DataFrame, cases: DataFrame, project: str, case: str, city: str, features: Mapping[str, tuple[Column, float]], least: float = 0.35, match: Sequence[str] = ()) -> DataFrame:
+def historical_matches(projects: DataFrame, cases: DataFrame, project: str, case: str, city: str, features: Mapping[str, tuple[Column, float]], least: float = 0.35, match: Sequence[str] = (), unit: int = UNIT) -> DataFrame:
     """project, case, score, match_type: cases of the project's city (by either of the case's two city columns), score >= least.
 
     features: per name a condition over both sides and a weight, in order; of one (name before a colon) family the first
     that holds counts. match: the names that tell how the location matched, best first.
     """
-    both = projects.join(cases, F.col(city) == F.col("municipality")).unionByName(projects.join(cases, F.col(city) == F.col("place_city"))).dropDuplicates([project, case])
+    # A pair that both columns bring is kept from the first; hot cities are joined in units of bounded size.
+    first = unit_join(projects, cases.withColumn(city, F.col("municipality")), [city], unit)
+    second = unit_join(projects, cases.withColumn(city, F.col("place_city")), [city], unit).filter(~F.coalesce(F.col("municipality") == F.col(city), F.lit(False)))
+    both = first.unionByName(second)
     families: dict[str, list[tuple[str, Column, float]]] = {}
     for name, (ok, weight) in features.items():
         families.setdefault(name.split(":")[0], []).append((name, ok, weight))
@@ -162,4 +166,4 @@ def historical_matches(projects: DataFrame, cases: DataFrame, project: str, case
     for members in families.values():
         score = score + F.coalesce(*(F.when(ok, weight) for _, ok, weight in members), F.lit(0.0))
     kind = F.coalesce(*(F.when(features[m][0], F.lit(m)) for m in match), F.lit("none"))
-    return both.select(project, case, F.round(F.least(F.lit(1.0), score), 4).alias("score"), kind.alias("match_type")).filter(F.col("score") >= least)
+    return both.select(project, case, F.round(F.least(F.lit(1.0), score), 4).alias("score"), kind.alias("match_type")).filter(F.col("score") >= least).dropDuplicates([project, case])

@@ -8,7 +8,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.ranges import PARTS, UNIT, divided_seats, nearest_ranks, running_rank, unit_join
 from tessella.operators.search import term_hits
+from tessella.operators.text_index import TextIndex
 
 #: Fixed value: radius of the earth in metres.
 EARTH = 6_371_000
@@ -19,20 +21,42 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * EARTH * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, lat: str = "lat", lon: str = "lon", most_latitude: float = 60.0) -> DataFrame:
-    """Pairs within `radius` metres with distance_m; right's columns get the prefix r_. Rows without coordinates match nothing.
+def _bands(radius: float) -> tuple[float, int]:
+    """The radius in degrees, a little more, and the number of bands of latitude at least as high."""
+    degrees = math.degrees(radius / EARTH) * (1 + 1e-9)
+    return degrees, max(1, math.floor(180 / degrees)) if degrees else 1 << 20
 
-    An equi-join on grid cells: right stays in its cell, left visits its own and the eight around. Cells are as high as the
-    radius and as wide as it is at `most_latitude`, the highest latitude of the data, everywhere.
+
+def _reach(latitude: Column, degrees: float) -> Column:
+    """The most degrees of longitude by which a point within the radius can differ; 180 where a pole is within it."""
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(degrees))) / F.cos(F.radians(latitude)))))
+    return F.when(F.abs(latitude) + degrees >= 90, 180.0).otherwise(wide * (1 + 1e-9) + 1e-9)
+
+
+def radius_join(left: DataFrame, right: DataFrame, radius: float, lat: str = "lat", lon: str = "lon", unit: int = UNIT) -> DataFrame:
+    """Pairs within `radius` metres with distance_m; right's columns get the prefix r_. Anywhere: across longitude 180 and the poles too.
+
+    An equi-join on cells. Bands of latitude are as high as the radius, and each is cut into as many cells as its own
+    latitude allows, around the whole circle. right stays in its cell; left visits the cells of its and the neighbouring
+    bands that its radius may touch, counted around the circle. Crowded cells are cut by the number of their rows
+    (unit_join). Rows without coordinates, or with a latitude beyond 90 degrees, match nothing.
     """
-    height = math.degrees(radius / EARTH)
-    width = math.degrees(2 * math.asin(min(1.0, math.sin(min(radius / (2 * EARTH), math.pi / 2)) / math.cos(math.radians(most_latitude)))))
-    cell = lambda a, b: (F.floor(F.col(a) / height).alias("_y"), F.floor(F.col(b) / width).alias("_x"))
-    near = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
-    l = left.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select("*", *cell(lat, lon)).withColumn("_d", F.explode(near))
-    l = l.withColumn("_y", F.col("_y") + F.col("_d.dy")).withColumn("_x", F.col("_x") + F.col("_d.dx")).drop("_d")
-    r = right.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*(F.col(c).alias(f"r_{c}") for c in right.columns), *cell(lat, lon))
-    pairs = l.join(r, ["_y", "_x"]).withColumn("distance_m", haversine(F.col(lat), F.col(lon), F.col(f"r_{lat}"), F.col(f"r_{lon}")))
+    degrees, bands = _bands(radius)
+    y = F.least(F.floor((F.col(lat) + 90) / 180 * bands), F.lit(bands - 1)).cast("int")
+
+    def cells(band: Column) -> Column:
+        edge = F.greatest(F.abs(band / bands * 180 - 90), F.abs((band + 1) / bands * 180 - 90))
+        return F.greatest(F.lit(1), F.floor(360 / _reach(edge, degrees))).cast("bigint")
+
+    at = lambda x, band: F.floor((x + 180) / 360 * cells(band)).cast("bigint")
+    located = lambda df: df.filter(F.col(lat).between(-90, 90) & F.col(lon).isNotNull() & ~F.isnan(F.col(lon).cast("double")))
+    visits = located(left).withColumn("_y", F.explode(F.filter(F.array(y - 1, y, y + 1), lambda b: (b >= 0) & (b < bands))))
+    own = _reach(F.col(lat), degrees)
+    visits = visits.withColumn("_n", cells(F.col("_y"))).withColumn("_from", at(F.col(lon) - own, F.col("_y"))).withColumn("_to", F.least(at(F.col(lon) + own, F.col("_y")), F.col("_from") + F.col("_n") - 1))
+    visits = visits.withColumn("_x", F.explode(F.sequence("_from", "_to"))).withColumn("_x", F.pmod("_x", "_n")).drop("_n", "_from", "_to")
+    homes = located(right).withColumn("_y", y).withColumn("_x", F.pmod(at(F.col(lon), F.col("_y")), cells(F.col("_y"))))
+    homes = homes.select(*(F.col(c).alias(f"r_{c}") for c in right.columns), "_y", "_x")
+    pairs = unit_join(visits, homes, ["_y", "_x"], unit).withColumn("distance_m", haversine(F.col(lat), F.col(lon), F.col(f"r_{lat}"), F.col(f"r_{lon}")))
     return pairs.filter(F.col("distance_m") <= radius).drop("_y", "_x")
 
 
@@ -53,7 +77,7 @@ def nearest_first(rows: DataFrame, key: str, distance: str, date: str, tie: str,
 
 def link_by_area(
     permits: DataFrame, segments: DataFrame, permit_id: str, area: str, sub_area: str, segment_id: str, text_col: str, date: str, issues: str, per_permit: int = 12,
-    related: Column | None = None, admin_only: Column | None = None, token: str = r"[\p{L}\p{N}]+",
+    related: Column | None = None, admin_only: Column | None = None, index: TextIndex | None = None,
 ) -> DataFrame:
     """permit, segment, relation, score, rank: passages that name the permit's sub-area (1.0), area (0.86) or neither (0.62).
 
@@ -70,7 +94,7 @@ def link_by_area(
     kinds = F.array(F.struct(F.col("_s").alias("_name"), F.lit("same_sub_area").alias("relation"), F.lit(1.0).alias("_base")), F.struct(F.col("_a").alias("_name"), F.lit("same_area").alias("relation"), F.lit(0.86).alias("_base")))
     wanted = areas.select("_a", "_s", F.explode(kinds).alias("k")).select("_a", "_s", "k.*").filter("_name <> ''")
     names = wanted.select(F.col("_name").alias("request_id"), F.col("_name").alias("term")).distinct()
-    said = term_hits(rows, names, segment_id, text_col, token).select(F.col("request_id").alias("_name"), segment_id)
+    said = term_hits(rows, names, segment_id, text_col, index).select(F.col("request_id").alias("_name"), segment_id)
     said = said.hint("merge").join(rows.select(segment_id, text_col), segment_id).filter(F.contains(text_col, "_name")).select("_name", segment_id)
     local = wanted.hint("merge").join(said, "_name").select("_a", "_s", segment_id, "relation", "_base")
     general = plain.orderBy(F.desc("_bonus"), "_date", segment_id).limit(2 * per_permit).select(segment_id, F.lit("general").alias("relation"), F.lit(0.62).alias("_base"))
@@ -95,21 +119,17 @@ def permit_summary(rows: DataFrame, key: str, capacity: Column, status: str, ope
     return rows.withColumn("operating_rate", F.round(F.col("operating") / F.col("permits"), 4)).withColumn("data_origin", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise("mixed")).drop("_low", "_high")
 
 
-def percentiles_by_scope(rows: DataFrame, ratio: Column, scopes: Sequence[str], fractions: Mapping[str, float], low: float, high: float, least: int) -> DataFrame:
+def percentiles_by_scope(rows: DataFrame, ratio: Column, scopes: Sequence[str], fractions: Mapping[str, float], low: float, high: float, least: int, parts: int = PARTS) -> DataFrame:
     """Exact nearest-rank percentiles of a clipped ratio for every value of each scope column and for all rows (scope `all`).
 
     scope, value, sample_size and a column for each fraction; scopes with fewer than `least` rows have none. The value at
-    rank bround(f * (n - 1)) + 1 of each scope's rows.
+    rank bround(f * (n - 1)) + 1 of each scope's rows. No task orders a whole scope (ranges.nearest_ranks).
     """
     kept = rows.withColumn("_ratio", ratio).filter(F.col("_ratio").between(low, high))
     each = F.array(*(F.struct(F.lit(s).alias("scope"), F.col(s).cast("string").alias("value")) for s in scopes), F.struct(F.lit("all").alias("scope"), F.lit("").alias("value")))
     scoped = kept.select("_ratio", F.explode(each).alias("s")).select("_ratio", "s.*").filter("value IS NOT NULL")
-    # Equal ratios are counted before they are ordered, so a scope's order is over its distinct values.
     values = scoped.groupBy("scope", "value", "_ratio").agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy("scope", "value").orderBy("_ratio"))
-    values = values.withColumn("_upto", upto).withColumn("sample_size", F.sum("_n").over(Window.partitionBy("scope", "value"))).filter(F.col("sample_size") >= least)
-    at = lambda f: F.bround(F.lit(f) * (F.col("sample_size") - 1)) + 1
-    return values.groupBy("scope", "value", "sample_size").agg(*(F.min(F.when(F.col("_upto") >= at(f), F.col("_ratio"))).alias(k) for k, f in fractions.items()))
+    return nearest_ranks(values, ["scope", "value"], "_ratio", "_n", fractions, parts).filter(F.col("sample_size") >= least)
 
 
 def benchmark_for(targets: DataFrame, percentiles: DataFrame, scopes: Sequence[str]) -> DataFrame:
@@ -142,8 +162,8 @@ def histogram_maps(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def ranked_counts(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    return counted.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), name)))
+    """keys, n, rank: the keys by falling number of rows, then name."""
+    return running_rank(rows.groupBy(*keys).agg(F.count("*").alias("n")), [F.desc("n"), name], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def latest_per(rows: DataFrame, keys: Sequence[str], newest: Sequence[Column]) -> DataFrame:
@@ -152,20 +172,8 @@ def latest_per(rows: DataFrame, keys: Sequence[str], newest: Sequence[Column]) -
 
 
 def proportional_seats(groups: DataFrame, name: str, size: str, target: int) -> DataFrame:
-    """Each group's seats: one each, the rest to the greatest size / (seats + 1), then the most left, then the name, as in
-    turn; never more than a group's size. If there are more groups than seats, the first by name get one each.
-
-    All quotients compete at once: seat k of a group of n has quotient n / k, and the best ones win.
-    """
-    counted = groups.select(name, size).filter(F.col(size) > 0)
-    n = counted.agg(F.count("*").alias("groups"), F.coalesce(F.sum(size), F.lit(0)).alias("all")).first()
-    target = min(target, n["all"])
-    if target <= n["groups"]:
-        return counted.orderBy(name).limit(target).withColumn("seats", F.lit(1).cast("long"))
-    more = counted.filter(F.col(size) > 1).withColumn("_k", F.explode(F.sequence(F.lit(2).cast("long"), F.least(F.col(size).cast("long"), F.lit(target).cast("long")))))
-    best = more.orderBy(F.desc(F.col(size) / F.col("_k")), F.desc(F.col(size) - F.col("_k") + 1), F.desc(name)).limit(target - n["groups"])
-    won = best.groupBy(name).agg(F.count("*").alias("_won"))
-    return counted.join(won, name, "left").select(name, size, (1 + F.coalesce("_won", F.lit(0))).alias("seats"))
+    """Each group's seats in proportion to its size, one at least: see ranges.divided_seats."""
+    return divided_seats(groups, name, size, target)
 
 
 def evenly_selected(rows: DataFrame, group: str, order: Sequence[str | Column], seats: DataFrame, seats_col: str = "seats", spread: int = 6) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.text_index import TextIndex, create_index, index_hits
+from tessella.sources.scratch import scratch_folder, settled
+
 
 def base_segments(segments: DataFrame, text_col: str, relevant: Column, date: str, from_date: Column | None = None) -> DataFrame:
     """Relevant or non-empty passages, from a date on if one is given (those without a date stay)."""
@@ -14,45 +17,23 @@ def base_segments(segments: DataFrame, text_col: str, relevant: Column, date: st
     return rows if from_date is None else rows.filter(F.col(date).isNull() | (F.col(date) >= from_date))
 
 
-def token_table(segments: DataFrame, key: str, text_col: str, token: str = r"\p{L}+") -> DataFrame:
-    """Distinct lower-case tokens of each passage: an inverted index to join requests' terms with."""
-    return segments.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(token), F.lit(0)))).alias("token"))
-
-
-def _grams(c: Column, n: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
-
-
-def term_hits(segments: DataFrame, terms: DataFrame, key: str, text_col: str, token: str = r"\p{L}+", gram: int = 3) -> DataFrame:
+def term_hits(segments: DataFrame, terms: DataFrame, key: str, text_col: str, index: TextIndex | None = None) -> DataFrame:
     """request_id, term, key: each passage whose lower-case text contains a request's term (request_id, term); once each.
 
-    A term has one token or more; one without any, or a null, finds nothing. Joins are all on equal keys. Terms meet the
-    corpus's vocabulary, not its texts: the longest token of a term and the words that contain it share that token's first
-    `gram` letters as a gram (shorter ones are their own). A term that is one token stands where such a word does; of others the
-    candidates' texts are looked at.
+    index: one over these passages or more; without one, they are indexed for this search alone. See text_index.index_hits.
     """
-    terms = terms.select("request_id", F.lower("term").alias("term")).distinct()
-    pieces = F.regexp_extract_all("term", F.lit(token), F.lit(0))
-    longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
-    said = terms.select("term").distinct().filter(F.size(pieces) > 0).withColumn("piece", longest)
-    said = said.withColumn("width", F.least(F.lit(gram), F.length("piece"))).withColumn("gram", F.expr("substring(piece, 1, width)"))
-    index = token_table(segments, key, text_col, token)
-    words = index.select("token").distinct()
-    words = words.select("token", F.explode(F.flatten(F.array(*(F.when(F.length("token") >= n, _grams(F.col("token"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, gram + 1))))).alias("gram"))
-    within = said.hint("merge").join(words, "gram").filter(F.contains("token", "piece")).select("term", "piece", "token")
-    found = within.hint("merge").join(index, "token").select("term", "piece", key).distinct()
-    alone = found.filter(F.col("term") == F.col("piece")).select("term", key)
-    longer = found.filter(F.col("term") != F.col("piece")).hint("merge").join(segments.select(key, text_col), key)
-    longer = longer.filter(F.contains(F.lower(text_col), "term")).select("term", key)
-    return alone.unionByName(longer).hint("merge").join(terms, "term").select("request_id", "term", key)
-
-
-def shortlist(segments: DataFrame, terms: DataFrame, key: str, text_col: str, title_col: str, token: str = r"\p{L}+") -> DataFrame:
+    if index is None:
+        index = create_index(segments, scratch_folder(segments.sparkSession, "index"), key, text_col)
+        return index_hits(index, terms, segments, key, text_col)
+    return index_hits(index, terms, segments, key, text_col).hint("merge").join(segments.select(key), key, "left_semi")
+
+
+def shortlist(segments: DataFrame, terms: DataFrame, key: str, text_col: str, title_col: str, index: TextIndex | None = None) -> DataFrame:
     """request_id, key: passages whose text or title contains a term (request_id, term), each pair once. A token equal to a term is contained in the text too."""
-    by_text = term_hits(segments, terms, key, text_col, token).select("request_id", key)
+    by_text = term_hits(segments, terms, key, text_col, index).select("request_id", key)
     titles = segments.select(key, title_col).filter(F.col(title_col).isNotNull())
     named = titles.select(F.col(title_col).alias("_title")).distinct()
-    by_title = term_hits(named, terms, "_title", "_title", token).hint("merge").join(titles, F.col("_title") == F.col(title_col)).select("request_id", key)
+    by_title = term_hits(named, terms, "_title", "_title").hint("merge").join(titles, F.col("_title") == F.col(title_col)).select("request_id", key)
     return by_text.unionByName(by_title).distinct()
 
 
@@ -102,26 +83,58 @@ def diversified(rows: DataFrame, request: str, text: str, meeting: Sequence[str]
     return ranked(rows.drop("_t", "_m"), request, order, limit)
 
 
+def _scored(hits: DataFrame, passages: DataFrame, requests: DataFrame, key: str, date: str, as_of: Column, spatial: Column, source: Column) -> DataFrame:
+    rows = hits.hint("merge").join(passages, key).hint("merge").join(requests, "request_id")
+    score = hybrid_score(keyword_score(F.col("hits"), F.size("terms")), spatial, recency(F.col(date), as_of), source)
+    return rows.withColumn("score", F.round(score, 6))
+
+
+def _hits(requests: DataFrame, segments: DataFrame, key: str, text_col: str, index: TextIndex | None) -> DataFrame:
+    found = term_hits(segments, requests.select("request_id", F.explode("terms").alias("term")), key, text_col, index)
+    return found.groupBy("request_id", key).agg(F.count("*").alias("hits"))
+
+
 def scored_passages(
-    requests: DataFrame, segments: DataFrame, key: str, text_col: str, date: str, as_of: Column, spatial: Column, source: Column, eligible: Column | None = None, token: str = r"\p{L}+",
+    requests: DataFrame, segments: DataFrame, key: str, text_col: str, date: str, as_of: Column, spatial: Column, source: Column, eligible: Column | None = None, index: TextIndex | None = None,
 ) -> DataFrame:
     """requests x passages with a hit: the columns of both but the passage's text, text_key, hits, score.
 
     requests (request_id, terms array, any others). spatial, source and eligible are over columns of both, the text included;
     pairs that aren't eligible (issue, review, place) drop out. Nothing is compared that shares no term.
     """
-    hits = term_hits(segments, requests.select("request_id", F.explode("terms").alias("term")), key, text_col, token)
-    hits = hits.groupBy("request_id", key).agg(F.count("*").alias("hits"))
-    rows = hits.hint("merge").join(segments.withColumn("text_key", text_key(F.col(text_col))), key).hint("merge").join(requests, "request_id")
-    rows = rows if eligible is None else rows.filter(eligible)
-    score = hybrid_score(keyword_score(F.col("hits"), F.size("terms")), spatial, recency(F.col(date), as_of), source)
-    return rows.withColumn("score", F.round(score, 6)).drop(text_col)
+    rows = _scored(_hits(requests, segments, key, text_col, index), segments.withColumn("text_key", text_key(F.col(text_col))), requests, key, date, as_of, spatial, source)
+    return (rows if eligible is None else rows.filter(eligible)).drop(text_col)
+
 
+def search(
+    requests: DataFrame, segments: DataFrame, key: str, text_col: str, date: str, as_of: Column, meeting: Sequence[str], spatial: Column, source: Column, eligible: Column | None = None, limit: int = 10,
+    index: TextIndex | None = None, ahead: int = 8,
+) -> DataFrame:
+    """request_id, key, hits, score, rank: the best of scored_passages for each request, diverse by text and meeting.
 
-def search(requests: DataFrame, segments: DataFrame, key: str, text_col: str, date: str, as_of: Column, meeting: Sequence[str], spatial: Column, source: Column, eligible: Column | None = None, limit: int = 10) -> DataFrame:
-    """request_id, key, hits, score, rank: the best of scored_passages for each request, diverse by text and meeting."""
-    rows = scored_passages(requests, segments, key, text_col, date, as_of, spatial, source, eligible)
-    return diversified(rows, "request_id", "text_key", meeting, [F.desc("score"), F.col(key)], limit).select("request_id", key, "hits", "score", "rank")
+    The index gives the hits and so the scores of all pairs (spatial and source mustn't use the text). Texts are read for
+    the first `ahead` * limit pairs of each request by score. Where these give `limit` results the request is done, as every
+    other pair scores below them; for the other requests the texts of all pairs are read.
+    """
+    order = [F.desc("score"), F.col(key)]
+    hits = settled(_hits(requests, segments, key, text_col, index), "search-hits")
+
+    def scores(some: DataFrame) -> DataFrame:
+        return _scored(hits, segments.drop(text_col), some, key, date, as_of, spatial, source).select("request_id", key, "hits", "score")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        texts = pairs.hint("merge").join(segments, key).hint("merge").join(requests, "request_id")
+        rows = (texts if eligible is None else texts.filter(eligible)).withColumn("text_key", text_key(F.col(text_col)))
+        return diversified(rows, "request_id", "text_key", meeting, order, limit).select("request_id", key, "hits", "score", "rank")
+
+    first = settled(ranked(scores(requests), "request_id", order, ahead * limit).drop("rank"), "search-first")
+    found = settled(best(first), "search-best")
+    full = first.groupBy("request_id").agg(F.count("*").alias("_n")).filter(F.col("_n") == ahead * limit).select("request_id")
+    few = full.join(found.groupBy("request_id").agg(F.count("*").alias("_k")).hint("merge"), "request_id", "left").filter(F.coalesce("_k", F.lit(0)) < limit)
+    few = settled(few.select("request_id"), "search-few")
+    if few.isEmpty():
+        return found
+    return found.join(few.hint("merge"), "request_id", "left_anti").unionByName(best(scores(requests.join(few.hint("merge"), "request_id", "left_semi"))))
 
 
 def case_groups(results: DataFrame, request: str, case: str, episode: str, evidence: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import cases, episodes, pack, permits, places, process, registers
-from tessella.plans.registry import Tables, query
+from tessella.plans.registry import Tables, document_index, query
 
 # A signal is an event of a user (document), in order of its id; paragraph: its number in the user's events, stretched by the value.
 SIGNALS = """numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -218,7 +218,7 @@ def located(df: DataFrame, key: str) -> DataFrame:
 @query("j4_radius_join", f"""WITH c AS (SELECT c_custkey, {COORDS.format(k='c_custkey')} FROM customer), s AS (SELECT s_suppkey, {COORDS.format(k='s_suppkey')} FROM supplier)
 SELECT c_custkey, s_suppkey, round({HAVERSINE}, 3) AS distance_m FROM c a, s b WHERE {HAVERSINE} <= 20000""")
 def _(t: Tables) -> DataFrame:
-    pairs = permits.radius_join(located(t.customer, "c_custkey"), located(t.supplier, "s_suppkey"), 20_000, most_latitude=39.0)
+    pairs = permits.radius_join(located(t.customer, "c_custkey"), located(t.supplier, "s_suppkey"), 20_000)
     return pairs.select("c_custkey", F.col("r_s_suppkey").alias("s_suppkey"), F.round("distance_m", 3).alias("distance_m"))
 
 
@@ -229,7 +229,7 @@ UNION ALL SELECT c_custkey, s_suppkey, NULL, 'unknown' FROM c a JOIN s b ON a.ar
 def _(t: Tables) -> DataFrame:
     known = F.col("c_custkey") % 3 > 0
     sites = located(t.customer, "c_custkey").select("c_custkey", F.col("c_nationkey").alias("area"), F.when(known, F.col("lat")).alias("lat"), F.when(known, F.col("lon")).alias("lon"))
-    near = permits.nearby_or_same_area(sites, located(t.supplier, "s_suppkey").withColumnRenamed("s_nationkey", "area"), "c_custkey", "s_suppkey", "area", 15_000, most_latitude=39.0)
+    near = permits.nearby_or_same_area(sites, located(t.supplier, "s_suppkey").withColumnRenamed("s_nationkey", "area"), "c_custkey", "s_suppkey", "area", 15_000)
     return near.withColumn("distance_m", F.round("distance_m", 3))
 
 
@@ -244,7 +244,7 @@ def _(t: Tables) -> DataFrame:
     s = t.documents.withColumn("issues", F.col("doc_id") % 7).withColumn("day", F.col("doc_id") % 90)
     text = F.col("text")
     related = (text.contains("en") | text.contains("th")) & text.contains("e")
-    return permits.link_by_area(p, s, "c_custkey", "area", "sub", "doc_id", "text", "day", "issues", related=related, admin_only=text.startswith("Copyright"))
+    return permits.link_by_area(p, s, "c_custkey", "area", "sub", "doc_id", "text", "day", "issues", related=related, admin_only=text.startswith("Copyright"), index=document_index(t))
 
 
 @query("a6_permit_summary", """SELECT o_custkey, count(*) AS permits, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total_capacity, count(*) FILTER (contains(o_orderpriority, 'M') AND NOT contains(o_orderpriority, 'LOW')) AS operating,

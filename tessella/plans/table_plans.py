@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 from tessella.operators import audit, intake, pack, rules, search
-from tessella.plans.registry import Tables, query
+from tessella.plans.registry import Tables, document_index, query
 from tessella.sources import readers, tables
+from tessella.sources.scratch import scratch_folder
 from tessella.streaming import jobs
 
 RULES = [
@@ -240,7 +238,7 @@ def batch_terms(t: Tables) -> DataFrame:
 
 @query("p2_shortlist", f"WITH q AS ({TERMS}) SELECT DISTINCT request_id, doc_id FROM documents JOIN q ON contains(lower(text), term) OR contains(lower(source), term)")
 def _(t: Tables) -> DataFrame:
-    return search.shortlist(t.documents, batch_terms(t), "doc_id", "text", "source", token=r"[\p{L}0-9]+")
+    return search.shortlist(t.documents, batch_terms(t), "doc_id", "text", "source", index=document_index(t))
 
 
 @query("o5_candidate_union", "SELECT doc_id FROM labels WHERE quality = 0 UNION SELECT doc_id FROM documents WHERE lang = 'de'")
@@ -308,7 +306,7 @@ def search_inputs(t: Tables) -> dict:
     return {
         "requests": request_batch(t), "segments": search.by_review_mode(s, links, "doc_id", "decision", "all"), "key": "doc_id", "text_col": "text", "date": "day", "as_of": F.to_date(F.lit("2026-01-01")),
         "spatial": place, "source": F.when(F.col("lang") == "en", 1.0).when(F.col("lang") == "de", 0.8).otherwise(0.6),
-        "eligible": search.issue_matches(F.col("codes"), F.array("lang"), F.col("text"), F.array(F.lit("keit"), F.lit("ment"))),
+        "eligible": search.issue_matches(F.col("codes"), F.array("lang"), F.col("text"), F.array(F.lit("keit"), F.lit("ment"))), "index": document_index(t),
     }
 
 
@@ -522,11 +520,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def scratch(t: Tables) -> str:
-    """A new folder in the shared checkpoint folder where one is set, else of this machine."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not t.spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="spark-")
+    return scratch_folder(t.spark)
 
 
 @query("s1_minutes_files", "SELECT CASE WHEN doc_id % 7 > 0 THEN doc_id::VARCHAR ELSE '' END AS docid, lang AS region_code, CASE WHEN doc_id % 7 = 0 THEN 'missing_docid' WHEN trim(coalesce(text, '')) = '' OR doc_id % 5 = 0 THEN 'missing_html' END AS reject_reason FROM documents")
