@@ -121,7 +121,7 @@ def mentions(texts: DataFrame, keys: Sequence[str], text_col: str, terms: DataFr
 
 
 def issue_labels(
-    rows: DataFrame, text_col: str, related: Column, rules: Sequence[Mapping], negative: Sequence[str], positive: Sequence[str], **negation: str
+    rows: DataFrame, text_col: str, related: Column, rules: Sequence[Mapping], negative: Sequence[str], positive: Sequence[str], **negation: str | Sequence[str]
 ) -> DataFrame:
     """rows with a row per emitted issue: issue_code, category, polarity, confidence, reason, matched.
 

@@ -10,7 +10,7 @@ from tessella.operators import cases, places, process, text_jobs
 from tessella.plans.registry import Tables, query
 
 LINES = "lines AS (SELECT doc_id, lang, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS idx FROM documents)"
-TERMS, BEFORE, AFTER = ("the", "wh er", "ing", "der", "les"), "no|un", "ly|er"
+TERMS, BEFORE, AFTER = ("the", "wh er", "ing", "der", "les"), "no|un", ("ly", "er")
 TOPICS, CONTEXTS, ACTIVATORS = ("tion",), ("ent",), ("est", "and")
 RULES = (
     {"code": "land", "category": "siting", "high": ("tion of", "ierung"), "context": ("the", "der", "les"), "single_context": True, "single_context_terms": ("der",)},
@@ -32,7 +32,7 @@ def _hit(term: str, text: str = "text") -> str:
 
 def _active(term: str, text: str = "text") -> str:
     tight = "".join(term.split())
-    return f"({_hit(term, text)} AND NOT regexp_matches(regexp_replace({text}, '\\s+', '', 'g'), '(?:{BEFORE}){tight}|{tight}(?:{AFTER})'))"
+    return f"({_hit(term, text)} AND NOT regexp_matches(regexp_replace({text}, '\\s+', '', 'g'), '(?:{BEFORE}){tight}|{tight}(?:{'|'.join(AFTER)})'))"
 
 
 def _list(terms: tuple[str, ...], test=_active, text: str = "text") -> str:
@@ -159,11 +159,11 @@ ADDRESS = "concat(CASE c_custkey % 3 WHEN 0 THEN '전남 ' WHEN 1 THEN '경기
 @query("t13_addresses", f"""WITH a AS (SELECT c_custkey, regexp_replace(trim({ADDRESS}), '(^| )전남( |$)', '\\1전라남도\\2') AS normalized FROM customer),
 p AS (SELECT *, nullif(regexp_extract(normalized, '(전라남도|경기도)', 1), '') AS province FROM a),
 q AS (SELECT *, CASE WHEN province IS NOT NULL THEN ltrim(substr(normalized, length(province) + 1)) ELSE normalized END AS rest FROM p),
-r AS (SELECT *, nullif(regexp_extract(rest, '([가-힣]+(?:시|군|구))(?:\\s|$)', 1), '') AS city_county, nullif(regexp_extract(normalized, '([가-힣0-9]+(?:읍|면|동))(?:\\s|$)', 1), '') AS eup_myeon, nullif(regexp_extract(normalized, '([가-힣0-9]+리)(?:\\s|$)', 1), '') AS ri FROM q)
+r AS (SELECT * EXCLUDE (province), coalesce(province, CASE nullif(regexp_extract(rest, '([가-힣]+(?:시|군|구))(?:\\s|$)', 1), '') WHEN '영암군' THEN '전라남도' WHEN '고양시' THEN '경기도' END) AS province, nullif(regexp_extract(rest, '([가-힣]+(?:시|군|구))(?:\\s|$)', 1), '') AS city_county, nullif(regexp_extract(normalized, '([가-힣0-9]+(?:읍|면|동))(?:\\s|$)', 1), '') AS eup_myeon, nullif(regexp_extract(normalized, '([가-힣0-9]+리)(?:\\s|$)', 1), '') AS ri FROM q)
 SELECT c_custkey, normalized, province, city_county, eup_myeon, ri, CASE WHEN regexp_matches(normalized, '[0-9]') AND regexp_matches(normalized, '로|길') THEN 'road_address' WHEN ri IS NOT NULL THEN 'ri' WHEN eup_myeon IS NOT NULL THEN 'eup_myeon'
  WHEN city_county IS NOT NULL THEN 'city_county' WHEN province IS NOT NULL THEN 'province' ELSE 'unknown' END AS precision FROM r""")
 def _(t: Tables) -> DataFrame:
-    parts = X.address_parts(F.expr(ADDRESS), {"전남": "전라남도", "경기": "경기도"})
+    parts = X.address_parts(F.expr(ADDRESS), {"전남": "전라남도", "경기": "경기도"}, {"영암군": "전라남도", "고양시": "경기도"})
     return t.customer.select("c_custkey", parts.alias("a")).select("c_custkey", "a.*")
 
 

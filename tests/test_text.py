@@ -50,9 +50,47 @@ def test_paragraphs_are_packed_greedily(spark):
     assert all(len(p) <= 20 for p in got) and got[-1] == "짧다" and " ".join(got[:-1]).split() == ["가나."] * 20
 
 
-def test_addresses(spark):
-    a = one(spark, "전남  영암군 삼호읍 용앙리 12", lambda c: X.address_parts(c, {"전남": "전라남도"}))
-    assert (a.province, a.city_county, a.eup_myeon, a.ri, a.precision) == ("전라남도", "영암군", "삼호읍", "용앙리", "ri")
+PROVINCES = {"전남": "전라남도", "광주": "광주광역시"}
+PROVINCE_OF = {"광양시": "전라남도", "영암군": "전라남도", "광산구": "광주광역시", "동구": "광주광역시"}
+
+
+@pytest.mark.parametrize(
+    ("address", "want"),
+    [
+        ("전남  영암군 삼호읍 용앙리 12", ("전라남도 영암군 삼호읍 용앙리 12", "전라남도", "영암군", "삼호읍", "용앙리", "ri")),
+        ("전라남도영암군 덕진면", ("전라남도영암군 덕진면", "전라남도", "영암군", "덕진면", None, "eup_myeon")),
+        ("두통합시 광양시", ("두통합시 광양시", "전라남도", "광양시", None, None, "city_county")),
+        ("두통합시 없는시", ("두통합시 없는시", "전라남도", "없는시", None, None, "city_county")),
+        ("광주광역시 동구", ("광주광역시 동구", "광주광역시", "동구", None, None, "city_county")),
+        ("광산구", ("광산구", "광주광역시", "광산구", None, None, "city_county")),
+        ("영암군 중앙로 12", ("영암군 중앙로 12", "전라남도", "영암군", None, None, "road_address")),
+        ("강릉시", ("강릉시", None, "강릉시", None, None, "city_county")),
+        ("전남", ("전라남도", "전라남도", None, None, None, "province")),
+        ("1동 산12리", ("1동 산12리", None, None, "1동", "산12리", "ri")),
+        ("", ("", None, None, None, None, "unknown")), (None, ("", None, None, None, None, "unknown")), ("12 somewhere", ("12 somewhere", None, None, None, None, "unknown")),
+    ],
+)
+def test_addresses(spark, address, want):
+    assert tuple(one(spark, address, lambda c: X.address_parts(c, PROVINCES, PROVINCE_OF, {"두통합시": "전라남도"}))) == want
+
+
+def test_long_paragraphs_fill_lines_in_turn(spark):
+    random.seed(3)
+    texts = ["".join(random.choice(["가다. ", "요 ", "ab! ", "c", "길이가 있다 ", "\n\n", "x" * 30 + ". "]) for _ in range(random.randint(0, 300))) for _ in range(60)] + ["", "다. " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", X.paragraphs(F.col("t"), longest=40).alias("p"))
+    for r in df.collect():
+        want = []
+        for part in re.split(X.PARAGRAPH_END, r.t):
+            part = re.sub(r"[ \t\r\f\x0B]+", " ", part).strip()
+            line = ""
+            for piece in [part] if len(part) <= 40 else re.split(X.CUT_WITHIN, part):
+                if line and len(line) + 1 + len(piece) > 40:
+                    want.append(line)
+                    line = piece
+                else:
+                    line = f"{line} {piece}".strip()
+            want += [line] if line else []
+        assert r.p == want
 
 
 def test_units(spark):
