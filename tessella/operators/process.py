@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import first_match, text_or_empty
+from tessella.operators.vocabulary import with_patterns
 
 # Outcomes in order of precedence as (pattern, outcome, certainty, event types or none for all).
 OUTCOMES = (
@@ -49,11 +50,11 @@ def process_events(
 ) -> DataFrame:
     """keys, event_type, pattern, event_date, actor, outcome, certainty, confidence and the sentence as evidence.
 
-    patterns (event_type, priority, pattern) is a vocabulary and broadcast; the first pattern of a type that a sentence
-    matches counts, and a type once for each different sentence text of the keys.
+    patterns (event_type, priority, pattern): the first pattern of a type that a sentence matches counts, and a type once for
+    each different sentence text of the keys. A sentence is passed once for all patterns (vocabulary.with_patterns).
     """
     kept = sentences.select(*keys, F.col(text_col).alias("evidence_text"), fallback_date.alias("_fallback"), (F.lit(None).cast("string") if speaker is None else speaker).alias("_speaker")).distinct()
-    hits = kept.join(F.broadcast(patterns), F.expr("evidence_text rlike pattern"))
+    hits = with_patterns(kept, "evidence_text", patterns)
     hits = hits.groupBy(*keys, "evidence_text", "_fallback", "_speaker", "event_type").agg(F.min_by("pattern", "priority").alias("pattern"))
     c = F.col("evidence_text")
     rows = hits.withColumn("_o", outcome(F.col("event_type"), c, outcomes))
@@ -66,7 +67,7 @@ def process_events(
 
 def attach_to_cases(events: DataFrame, evidence: DataFrame, paragraph: str, origin: Column) -> DataFrame:
     """Events at the cases and episodes whose evidence holds their paragraph, with a stable id and the data's origin."""
-    joined = evidence.join(events, paragraph)
+    joined = evidence.hint("merge").join(events, paragraph)
     return joined.withColumn("data_origin", F.coalesce(F.when(origin, "synthetic"), F.lit("meeting_record")))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
+from tessella.operators.ranges import small_join
+from tessella.operators.vocabulary import with_hits, with_terms
 
 
 #: Elements of HTML without content: they are over where they start.
@@ -96,8 +98,7 @@ def sentences(texts: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame
 def mentions(texts: DataFrame, keys: Sequence[str], text_col: str, terms: DataFrame, base_col: Column | None = None) -> DataFrame:
     """keys, term, start_offset, end_offset and the columns of `terms` (term, ...): each occurrence, white space ignored.
 
-    Occurrences of different terms may overlap; those of one term don't. `terms` is a vocabulary and broadcast: it is
-    bounded by its author, not by the data.
+    Occurrences of different terms may overlap; those of one term don't. A text is passed once for the whole vocabulary.
     """
     base = F.lit(0) if base_col is None else base_col
     c = X.text_or_empty(F.col(text_col))
@@ -111,13 +112,15 @@ def mentions(texts: DataFrame, keys: Sequence[str], text_col: str, terms: DataFr
         return F.sequence(start, start + F.length(w) - 1)
 
     rows = rows.withColumn("_at", F.flatten(F.transform("_words", places))).drop("_words", "_gaps", "_steps", "_before")
-    rows = rows.join(F.broadcast(terms.withColumn("_term", F.regexp_replace("term", r"(?U)\s+", ""))), F.expr("_term <> '' AND contains(_tight, _term)"))
-    rows = rows.withColumn("_parts", F.split("_tight", F.concat(F.lit(r"\Q"), F.col("_term"), F.lit(r"\E")), -1)).drop("_tight")
-    rows = rows.withColumn("_whole", F.transform(F.slice("_parts", 1, F.size("_parts") - 1), lambda g: F.length(g) + F.length("_term")))
-    starts = F.transform(X.sums_before(F.col("_whole")), lambda at, i: at + F.get("_whole", i) - F.length("_term"))
-    rows = rows.withColumn("_start", F.explode(starts))
-    first, last = F.get("_at", F.col("_start")), F.get("_at", F.col("_start") + F.length("_term") - 1)
-    return rows.select(*keys, *terms.columns, (F.col("_base") + first).alias("start_offset"), (F.col("_base") + last + 1).alias("end_offset"))
+    vocabulary = terms.withColumn("_term", F.regexp_replace("term", r"(?U)\s+", ""))
+    rows = with_hits(rows, "_tight", vocabulary, "_term", "_hits")
+
+    def span(h: Column) -> Column:
+        first, last = F.get("_at", h["start"]), F.get("_at", h["start"] + F.length(h["term"]) - 1)
+        return F.struct(h["term"].alias("_term"), (F.col("_base") + first).alias("start_offset"), (F.col("_base") + last + 1).alias("end_offset"))
+
+    found = rows.select(*keys, F.explode(F.transform("_hits", span)).alias("s")).select(*keys, "s.*")
+    return small_join(found, vocabulary, ["_term"]).select(*keys, *terms.columns, "start_offset", "end_offset")
 
 
 def issue_labels(
@@ -209,7 +212,7 @@ def snippets(texts: DataFrame, keys: Sequence[str], text_col: str, terms: Sequen
 
 def expand_terms(requests: DataFrame, keys: Sequence[str], text_col: str, synonyms: DataFrame) -> DataFrame:
     """keys, terms, codes: the synonym table's (trigger, priority, term, code) rows whose trigger the text contains, in order, once each."""
-    hit = requests.join(F.broadcast(synonyms), F.expr(f"contains({text_col}, trigger)"))
+    hit = with_terms(requests.select(*keys, text_col), text_col, synonyms, "trigger")
     ordered = F.array_sort(F.collect_list(F.struct("priority", "term", "code")))
     return hit.groupBy(*keys).agg(ordered.alias("o")).select(
         *keys, F.array_distinct(F.transform("o", lambda x: x["term"])).alias("terms"), F.array_distinct(F.transform("o", lambda x: x["code"])).alias("codes")
