@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import blank_null, join_small, materialize, release
 from tessella.llm.exact import normal_text
+from tessella.operators.ranges import unit_join
 
 #: Patterns of the base kinds, in the order of results. Quantifiers are possessive where that changes no match, and a
 #: match of emails and addresses starts at a run's start or where the last match ended, so long runs cost linear time.
@@ -23,13 +24,14 @@ PATTERNS = {
 }
 _HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: A word: a run of letters and figures with a letter. What of words may be a term: three characters, any number in scripts
-#: without case, or two letters with a capital.
-HELD = r"[\p{L}\p{N}]"
-LETTERS = r"(?=\p{N}*+\p{L})" + HELD + "++"
-TERM = rf"(?<!{HELD})(?:(?=\p{{N}}*+\p{{L}}){HELD}{{3,}}+|\p{{Lo}}++|\p{{Lu}}\p{{L}})(?!{HELD})"
+#: A word: a run of letters, figures and marks with a letter in it, as it stands in the text; what is counted and compared is its lower case.
+HELD = r"[\p{L}\p{N}\p{M}]"
+#: What of words may be a term: three characters, any number in scripts without case, or two letters with a capital.
+TERM = r"^(?:.{3,}|[\p{Lo}\p{M}]+|\p{Lu}\p{L})$"
 #: The class of all protected entities, beside the classes of each kind.
 ANY = "any"
+#: Terms and entities of one text that meet in one unit of a task's work.
+PAIRED = 2000
 _SPANS = "array<struct<start:int,stop:int,match:string>>"
 
 
@@ -113,8 +115,10 @@ def _distinct_texts(texts: DataFrame) -> tuple[DataFrame, int]:
     return join_small(keyed, repeated, "key", "left_anti").select("key", "text").unionByName(copied), keys.count()
 
 
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0)))
+def _words(text: Column, like: str | None = None) -> Column:
+    """The distinct words of a text in lower case; only those that are like a pattern as they stand, if there is one."""
+    found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(HELD + "++"), F.lit(0))), lambda w: w.rlike(r"\p{L}"))
+    return F.array_distinct(F.transform(found if like is None else F.filter(found, lambda w: w.rlike(like)), F.lower))
 
 
 def _assured(k: Column, n: Column, sure: float) -> Column:
@@ -142,7 +146,7 @@ def revealing_terms(texts: DataFrame, support: int, share: float, bits: float, c
     most = total / 2**bits
     plain = F.when(F.col("text").contains("@"), F.regexp_replace("text", PATTERNS["email"], " ")).otherwise(F.col("text"))
     entities = F.array_distinct(F.transform(F.concat(*(F.col(f"_{k}") for k in PATTERNS)), lambda s: F.lower(s["match"])))
-    terms = F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(TERM), F.lit(0)), F.lower))
+    terms = _words(plain, TERM)
     classes = F.array_compact(F.array(F.lit(ANY), *(F.when(F.size(f"_{k}") > 0, F.lit(k)) for k in PATTERNS)))
     some = base_spans(once.filter(F.col("text").rlike("[0-9@]")), "text").filter(" OR ".join(f"size(_{k}) > 0" for k in PATTERNS))
     held = materialize(some.select("key", entities.alias("entities"), classes.alias("classes"), terms.alias("terms")), "pii-held")
@@ -152,14 +156,18 @@ def revealing_terms(texts: DataFrame, support: int, share: float, bits: float, c
     often = materialize(often, "pii-entities")
     largest = often.agg(F.max("n_e")).first()[0] or 0
     sizes = {r["class"]: r["n"] for r in held.select(F.explode("classes").alias("class")).groupBy("class").agg(F.count("*").alias("n")).collect()}
-    counts = once.select(F.explode(_words(plain)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    said = materialize(held.select("key", "classes", F.explode("terms").alias("term")), "pii-said")
+    # Only words that stand beside entities in `support` texts can reveal one: just those are counted in the whole corpus.
+    likely = materialize(said.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= support).select("term"), "pii-likely")
+    counts = join_small(once.select(F.explode(_words(plain)).alias("term")), likely, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     by_entity, by_class = (F.col("n_t") <= most) & (F.col("n_t") * share <= largest), F.col("n_t") * class_share <= sizes.get(ANY, 0)
     counts = materialize(counts.filter((F.col("n_t") >= support) & (by_entity | by_class)), "pii-terms")
-    near = held.select("key", "classes", F.explode("terms").alias("term")).join(counts.hint("merge"), "term")
-    near = materialize(near, "pii-near")
+    near = materialize(join_small(said, counts, "term", "inner"), "pii-near")
 
     n_te = F.col("n_te")
-    pairs = near.filter(by_entity).join(named.join(often.hint("merge"), "entity").hint("merge"), "key").filter(F.col("n_t") * share <= F.col("n_e"))
+    # A text of many terms and many entities is cut into units of bounded size.
+    entities = materialize(join_small(named, often, "entity", "inner"), "pii-named")
+    pairs = unit_join(near.filter(by_entity).select("key", "term", "n_t"), entities, ["key"], PAIRED).filter(F.col("n_t") * share <= F.col("n_e"))
     pairs = pairs.groupBy("entity", "term", "n_t", "n_e").agg(F.count("*").alias("n_te")).filter(n_te >= support)
     chance = n_te / F.col("n_t")
     found = pairs.filter((chance >= share) & (F.log2(chance * total / F.col("n_e")) >= bits)).select("term")
@@ -173,7 +181,7 @@ def revealing_terms(texts: DataFrame, support: int, share: float, bits: float, c
     if telling:
         found = found.unionByName(with_class.filter(F.greatest(*telling, F.lit(False))).select("term"))
     out = materialize(found.distinct(), "pii-revealing")
-    release(held, often, counts, near)
+    release(held, often, said, likely, counts, near, entities)
     return out
 
 
@@ -193,11 +201,11 @@ def find_personal_data(
     out = based.withColumn("_words", F.lit(None).cast("array<string>"))
     if not terms.isEmpty():
         words = plain.select(F.xxhash64("text").alias("h"), F.explode(_words(F.col("text"))).alias("term"))
-        words = join_small(words, terms, "term", "inner").distinct().groupBy("h").agg(F.sort_array(F.collect_list("term")).alias("_words"))
+        words = join_small(words, terms, "term", "inner").distinct().groupBy("h").agg(F.collect_list("term").alias("_words"))
         words = materialize(words, "pii-words")
         out = join_small(based.withColumn("h", F.xxhash64("text")), words, "h", "left")
-    either = F.concat(F.lit(rf"(?i)(?u)(?<!{HELD})(?:"), F.array_join("_words", "|"), F.lit(rf")(?!{HELD})"))
-    out = out.withColumn("_either", F.coalesce(either, F.lit("(?!)"))).withColumn("_term", F.when(F.col("_words").isNotNull(), spans("text", F.col("_either"))))
+    located = F.filter(spans("text", HELD + "++"), lambda s: F.array_contains("_words", F.lower(s["match"])))
+    out = out.withColumn("_term", F.when(F.col("_words").isNotNull(), located))
     return out.select("row_id", "text", *(F.col(f"_{k}").alias(k) for k in PATTERNS), F.coalesce("_term", F.array().cast(_SPANS)).alias("term"))
 
 

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import verify
@@ -306,12 +307,12 @@ def brute_terms(texts, support=3, share=0.5, bits=6.0, class_share=0.3, class_bi
         key = re.sub(r"[\x20\x09-\x0d]+", " ", t or "")
         once[key] = min(once.get(key, t or ""), t or "")
     n_t, n_e, n_te = collections.Counter(), collections.Counter(), collections.Counter()
-    word = re.compile(r"[^\W_]*[^\W\d_][^\W_]*")
+    word = regex.compile(r"[\p{L}\p{N}\p{M}]+")
     for t in once.values():
         found = {(k, m.group().lower()) for k, p in PLAIN.items() for m in re.finditer(p, t) if passes(k, m.group())}
         named = {("entity", m) for _, m in found} | {("class", k) for k, _ in found} | ({("class", "any")} if found else set())
-        words = word.findall(re.sub(PLAIN["email"], " ", t))
-        terms = {w.lower() for w in words if len(w) > 2 or (len(w) == 2 and w[0].isupper())}
+        words = [w for w in word.findall(re.sub(PLAIN["email"], " ", t)) if regex.search(r"\p{L}", w)]
+        terms = {w.lower() for w in words if len(w) > 2 or regex.fullmatch(r"[\p{Lo}\p{M}]+|\p{Lu}\p{L}", w)}
         n_t.update({w.lower() for w in words})
         n_e.update(named)
         n_te.update((w, e) for w in terms for e in named)
@@ -329,8 +330,12 @@ def test_revealing_terms_equal_brute_force(spark):
     folder = "/root/testdata/sf0.01"
     texts = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect()]
     texts += [f"Zebrafink {w} bob@x.org" for w in ("heute", "morgen", "dienstag")] + [f"konto77 {i} an a{i}@b{i}.de" for i in range(9)]
+    texts += [f"İstanbulx {w} contact straße cafe\u0301x carol@y.org" for w in ("eins", "zwei", "drei", "vier", "fünf", "sechs")]
+    texts += [" ".join([*(f"t{i}q{k if i % 2 else ''}" for i in range(1500)), *(f"m{i}@n.org" for i in range(400))]) for k in range(3)]
     got = {r.term for r in pii.revealing_terms(frame(spark, texts), 3, 0.5, 6.0).collect()}
-    assert got == brute_terms(texts) and {"zebrafink", "konto77", "token"} <= got
+    assert got == brute_terms(texts) and {"zebrafink", "konto77", "token", "i\u0307stanbulx", "straße", "cafe\u0301x", "t0q"} <= got and "t1q0" not in got
+    found = {r.row_id: [r.text[s.start : s.stop] for s in r.term] for r in pii.find_personal_data(frame(spark, texts)).collect()}
+    assert found[len(texts) - 4] == ["İstanbulx", "contact", "straße", "cafe\u0301x"]
 
 
 def test_label_words_of_secrets_are_found(spark):
