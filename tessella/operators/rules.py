@@ -7,15 +7,57 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.ranges import unit_join
+from tessella.sources.scratch import settled
+
+
+def _nodes_of(day: Column, levels: int) -> Column:
+    """The nodes (level, number) of a binary tree over days from 0 that hold a day, one for each level."""
+    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda l: F.struct(l.alias("level"), F.call_function("shiftright", day, l).alias("node")))
+
+
+def _nodes_before(end: Column, levels: int) -> Column:
+    """The fewest nodes that together hold the days from 0 to end - 1: one for each bit of end."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(levels)), lambda l: F.call_function("shiftright", end, l) % 2 == 1)
+    return F.transform(bits, lambda l: F.struct(l.alias("level"), (F.call_function("shiftright", end, l) - 1).alias("node")))
+
+
+def rules_in_force(days: DataFrame, rules: DataFrame, region: str, as_of: str) -> DataFrame:
+    """days (region, as_of: different ones) with the active rules of the region and the national ones that haven't expired.
+
+    An interval join on equal keys: the days form a binary tree, a rule's time up to valid_to is the union of few of its
+    nodes, and a day lies in one node of each level, so each rule and day meet once, under their region, or not at all.
+    Neither side is broadcast or compared with all of the other.
+    """
+    r = rules.withColumnRenamed("region_code", "_rule_region").filter("active")
+    span = days.agg(F.min(as_of).alias("first"), F.coalesce(F.datediff(F.max(as_of), F.min(as_of)), F.lit(0)).alias("n")).first()
+    first, n = F.lit(span["first"]).cast("date"), span["n"] + 1
+    levels = n.bit_length()
+    own = F.struct(F.lit(False).alias("national"), F.col(region).alias("code"))
+    everywhere = F.struct(F.lit(True).alias("national"), F.lit(None).cast(days.schema[region].dataType).alias("code"))
+    d = days.withColumn("_at", F.explode(F.when(F.col(region).isNull(), F.array(everywhere)).otherwise(F.array(own, everywhere))))
+    whole = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).alias("node")))
+    in_days = F.when(F.col(as_of).isNotNull(), _nodes_of(F.datediff(as_of, first), levels)).otherwise(F.array().cast("array<struct<level:int,node:int>>"))
+    d = d.withColumn("_cell", F.explode(F.concat(whole, in_days)))
+    end = F.least(F.datediff("valid_to", first) + 1, F.lit(n))
+    cells = F.when(F.col("valid_to").isNull(), whole).when(end > 0, _nodes_before(end, levels))
+    code = F.col("_rule_region").cast(days.schema[region].dataType)
+    r = r.withColumn("_at", F.struct(F.col("_rule_region").isNull().alias("national"), code.alias("code"))).withColumn("_cell", F.explode(cells))
+    flat = lambda df: df.withColumns({"_national": F.col("_at.national"), "_code": F.coalesce(F.col("_at.code").cast("string"), F.lit("")), "_level": F.col("_cell.level"), "_node": F.col("_cell.node")}).drop("_at", "_cell")
+    return flat(d).hint("merge").join(flat(r), ["_national", "_code", "_level", "_node"]).drop("_national", "_code", "_level", "_node")
+
 
 def applicable_rules(requests: DataFrame, rules: DataFrame, region: str, as_of: str) -> DataFrame:
     """Requests with the active rules of their region and the national ones (null region), not expired; local ones first.
 
-    A rule that isn't in force yet stays, with effective false. rules is a dimension and broadcast.
+    A rule that isn't in force yet stays, with effective false. The different pairs of region and day meet the rules
+    (rules_in_force), then the requests of each pair; of a pair with very many requests or rules no task gets all.
     """
-    r = rules.withColumnRenamed("region_code", "_rule_region")
-    ok = (F.col("_rule_region").isNull() | (F.col("_rule_region") == F.col(region))) & F.col("active") & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.col(as_of)))
-    joined = requests.join(F.broadcast(r), ok)
+    day = F.to_json(F.struct(F.col(region).alias("r"), F.col(as_of).alias("d")))
+    keyed = requests.withColumn("_day", day)
+    days = settled(keyed.select("_day", region, as_of).distinct(), "rule-days")
+    found = settled(rules_in_force(days, rules, region, as_of).drop(region, as_of), "rules-in-force")
+    joined = unit_join(keyed, found, ["_day"]).drop("_day")
     return joined.withColumn("is_local", F.col("_rule_region").isNotNull()).withColumn("effective", F.col("valid_from").isNull() | (F.col("valid_from") <= F.col(as_of))).drop("_rule_region")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as X
 from tessella.operators.ranges import small_join
 from tessella.operators.vocabulary import with_hits, with_terms
+from tessella.sources.scratch import settled
 
 
 #: Elements of HTML without content: they are over where they start.
@@ -234,3 +236,37 @@ def flatten_elements(roots: DataFrame, keys: Sequence[str], kids_col: str) -> Da
         level = level.select(*keys, "path", F.posexplode("element.kids").alias("_i", "element")).select(*keys, F.concat_ws(".", "path", F.format_string("%05d", "_i")).alias("path"), "element")
         found = found.unionByName(level.select(*keys, "path", F.col("element.text").alias("text"), F.col("element.page").alias("page")))
     return found
+
+
+def tree_elements(files: DataFrame, keys: Sequence[str], json_col: str, children: Sequence[str] = ("kids", "list items"), content: str = "content", page: str = "page number") -> DataFrame:
+    """keys, path, text, page: all elements with content of the trees in a JSON column, however deep, without a schema.
+
+    The root's first kind of children begin the tree; each element has the others below it, kind by kind. path orders elements
+    as they are read: an element, then what is below it. Blanks and line ends of a text are single blanks; elements without
+    text are left out, their children aren't. A missing page is 1. Text that is no JSON, or has no tree, has no elements.
+    The tree is walked level by level: a level's elements are a table, from which the next is made until one is empty.
+    """
+    step = lambda kind: f"$[{_quoted(kind)}]"
+    name = lambda i: F.format_string("%d%08d", F.lit(children.index(i)), F.col("_i"))
+    below = lambda rows, kind: rows.select(*keys, "path", F.posexplode(F.try_variant_get("element", step(kind), "array<variant>")).alias("_i", "element")).withColumn("path", F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), name(kind))).drop("_i")
+    root = files.select(*keys, F.lit("").alias("path"), F.try_parse_json(json_col).alias("element"))
+    level, found = settled(below(root, children[0]), "tree-level"), None
+    while True:
+        said = F.trim(F.regexp_replace(F.try_variant_get("element", step(content), "string"), r"[\s\x{A0}]+", " "))
+        number = F.coalesce(F.try_variant_get("element", step(page), "int"), F.lit(1))
+        rows = level.select(*keys, "path", said.alias("text"), F.when(number == 0, 1).otherwise(number).alias("page")).filter("text <> ''")
+        found = rows if found is None else found.unionByName(rows)
+        parts = [below(level, kind) for kind in children]
+        level = settled(reduce(DataFrame.unionByName, parts), "tree-level")
+        if level.isEmpty():
+            return found
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace("\\", "\\\\").replace('"', '\\"') + '"'
+
+
+def tree_pages(elements: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, page, text: the elements' texts of each page in reading order, one a line. A page's elements come together, a file's don't."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda e: e["text"])
+    return elements.groupBy(*keys, "page").agg(F.array_join(lines, "\n").alias("text"))

@@ -264,6 +264,20 @@ def _(t: Tables) -> DataFrame:
     return text_jobs.flatten_elements(tree, ["o_custkey"], "kids")
 
 
+@query("t21_parser_trees", """WITH l AS (SELECT l_orderkey, l_returnflag, l_linestatus, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) - 1 AS i FROM lineitem),
+e AS (SELECT o_orderkey, o_orderkey % 3 + 1 AS page, '0' || format('{:08d}', 0) AS path, 'Order  of' || chr(10) || o_orderstatus AS text FROM orders WHERE o_orderkey % 4 > 0
+ UNION ALL SELECT l_orderkey, l_linenumber, '000000000.0' || format('{:08d}', i), l_returnflag FROM l WHERE l_returnflag <> 'N' UNION ALL SELECT l_orderkey, 1, '000000000.0' || format('{:08d}', i) || '.100000000', l_linestatus FROM l)
+SELECT o_orderkey, page::INT AS page, string_agg(regexp_replace(text, '\\s+', ' ', 'g'), chr(10) ORDER BY path) AS text FROM e GROUP BY 1, 2""")
+def _(t: Tables) -> DataFrame:
+    """A file for each order: the order (a fourth of them without content), in it its lines, in each of these a list item without a page."""
+    item = F.array(F.struct(F.col("l_linestatus").alias("content")))
+    line = F.struct("l_linenumber", "l_partkey", "l_returnflag", F.struct(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("content"), F.col("l_linenumber").alias("page number"), item.alias("list items")).alias("node"))
+    lines = t.lineitem.select("l_orderkey", line.alias("x")).groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["node"]).alias("kids"))
+    order = F.struct(F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit("Order  of\n"), "o_orderstatus")).alias("content"), (F.col("o_orderkey") % 3 + 1).alias("page number"), "kids")
+    files = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.to_json(F.struct(F.array(order).alias("kids"))).alias("file"))
+    return text_jobs.tree_pages(text_jobs.tree_elements(files, ["o_orderkey"], "file"), ["o_orderkey"])
+
+
 @query("w15_running_offsets", f"""WITH {LINES}, placed AS (SELECT doc_id, idx, length(line) AS n, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start FROM lines)
 SELECT doc_id, idx::INT AS idx, char_start, char_start + n AS char_end FROM placed""")
 def _(t: Tables) -> DataFrame:
