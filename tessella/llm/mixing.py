@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import WORD, blank_null, materialize
+from tessella.operators.ranges import Stretches, running_rank
 
 #: Cells of the rank histogram in which a source's cut is searched; only one cell's documents are then ordered.
 CELLS = 65536
 #: Sources beyond this number meet their documents in a merge join instead of a broadcast one.
 MAX_BROADCAST_SOURCES = 50_000
+#: Sources up to which they are ordered in one window; more are ordered by range partitions.
+ONE_TASK = 100_000
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeat: int = 3) -> DataFrame:
@@ -28,25 +31,27 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), max_rep
     lcm = 1
     for w in weights:
         lcm *= w
-    turn = F.row_number().over(Window.orderBy(F.col("source_key") == "n", "source_key")) - 1
-    weighted = by_source.withColumn("turn", turn)
+    by_source = materialize(by_source, "mix-sources")
+    few = by_source.count() <= ONE_TASK
+    by_name = [F.col("source_key") == "n", F.col("source_key")]
+    turned = by_source.withColumn("turn", F.row_number().over(Window.orderBy(*by_name))) if few else running_rank(by_source, by_name, "turn")
+    weighted = turned.withColumn("turn", F.col("turn") - 1)
     pick = F.lit(weights[-1])
     for i, w in enumerate(weights[:-1]):
         pick = F.when(F.col("turn") % len(weights) == i, w).otherwise(pick)
-    weighted = weighted.withColumn("weight", pick.cast("long"))
-    order = Window.orderBy(F.col("source_size") * (F.lit(lcm) / F.col("weight")).cast("long"), "turn")
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    capped = F.coalesce(F.sum(max_repeat * F.col("source_size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    open_weight = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    filled = weighted.withColumns({"total": F.sum("source_size").over(everything), "capped": capped, "open_weight": open_weight}).withColumn(
-        "full", max_repeat * F.col("source_size") * F.col("open_weight") <= F.col("weight") * (F.col("total") - F.col("capped"))
-    )
-    filled = filled.withColumns(
-        {
-            "rest": F.col("total") - F.coalesce(F.sum(F.when(F.col("full"), max_repeat * F.col("source_size"))).over(everything), F.lit(0)),
-            "rest_weight": F.sum(F.when(~F.col("full"), F.col("weight"))).over(everything),
-        }
-    )
+    weighted = weighted.withColumn("weight", pick.cast("long")).withColumn("most", max_repeat * F.col("source_size"))
+    weighted = weighted.withColumn("level", F.col("source_size") * (F.lit(lcm) / F.col("weight")).cast("long"))
+    if few:
+        upto = Window.orderBy("level", "turn").rowsBetween(Window.unboundedPreceding, 0)
+        levelled = weighted.withColumns({"most_upto": F.sum("most").over(upto), "weight_upto": F.sum("weight").over(upto)})
+    else:
+        levelled = Stretches(weighted.withColumn("all", F.lit(0)), "all", ["level", "turn"]).with_sum(F.col("most"), "most_upto").with_sum(F.col("weight"), "weight_upto").done().drop("all")
+    sums = lambda rows, *columns: rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in columns)).first()
+    total, all_weights = sums(weighted, "source_size", "weight")
+    capped, open_weight = F.col("most_upto") - F.col("most"), F.lit(all_weights) - F.col("weight_upto") + F.col("weight")
+    filled = materialize(levelled.withColumn("full", F.col("most") * open_weight <= F.col("weight") * (F.lit(total) - capped)), "mix-levels")
+    taken, full_weights = sums(filled.filter("full"), "most", "weight")
+    filled = filled.withColumns({"rest": F.lit(total - taken), "rest_weight": F.lit(all_weights - full_weights)})
     target = F.when(F.col("full"), (max_repeat * F.col("source_size")).cast("double")).otherwise(
         (F.col("weight") * F.col("rest")).cast("double") / F.col("rest_weight").cast("double")
     )

@@ -105,6 +105,15 @@ def test_mix_targets_and_limits(spark):
         assert abs(sum(r.mix_copies * r.mix_size for r in v) - v[0].mix_target) <= 30
 
 
+def test_very_many_sources_are_ordered_by_range(spark, monkeypatch):
+    random.seed(4)
+    rows = [(i, "w " * random.randint(0, 9), "en", random.choice([None, *map(str, range(150))]), 0) for i in range(700)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    plain = sorted((r.doc_id, r.mix_target, r.mix_copies) for r in mixing.mix_sources(d).collect())
+    monkeypatch.setattr(mixing, "ONE_TASK", 0)
+    assert plain == sorted((r.doc_id, r.mix_target, r.mix_copies) for r in mixing.mix_sources(d).collect())
+
+
 def test_spliced_counts_equal_whole_counts():
     small, random_ = tokencount.PieceCounter(PIECES, chunk=40, overlap=4), random.Random(2)
     for _ in range(400):
