@@ -90,7 +90,9 @@ def _scored(hits: DataFrame, passages: DataFrame, requests: DataFrame, key: str,
 
 
 def _hits(requests: DataFrame, segments: DataFrame, key: str, text_col: str, index: TextIndex | None) -> DataFrame:
-    found = term_hits(segments, requests.select("request_id", F.explode("terms").alias("term")), key, text_col, index)
+    """request_id, key, hits; of an index over more passages than these the others' too, which meet no passage later."""
+    terms = requests.select("request_id", F.explode("terms").alias("term"))
+    found = term_hits(segments, terms, key, text_col) if index is None else index_hits(index, terms, segments, key, text_col)
     return found.groupBy("request_id", key).agg(F.count("*").alias("hits"))
 
 

@@ -699,3 +699,16 @@ def _(t: Tables) -> DataFrame:
     out = jobs.refreshed_context(t.conversations, "conv_id", "turn", "role", "text")
     said = F.transform("turns", lambda x: F.concat_ws(":", x["turn"].cast("string"), x["role"], F.coalesce(x["text"], F.lit(""))))
     return out.select("conv_id", F.array_join(said, "|").alias("turns"))
+
+
+@query("x2_contexts_by_batch", """WITH r AS (SELECT conv_id, turn, role, substr(text, 1, 500) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id, string_agg(turn || ':' || role || ':' || coalesce(text, ''), '|' ORDER BY turn) AS turns FROM r WHERE n <= 6 GROUP BY 1""")
+def _(t: Tables) -> DataFrame:
+    """Messages in two runs, the even turns and repeats of some odd ones last: the state goes on where the first run stopped."""
+    path, rows = scratch(t), t.conversations
+    for part in (rows.filter("turn % 2 = 1"), rows.filter("turn % 2 = 0 OR conv_id % 3 = 0")):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = jobs.record_stream(t.spark, f"{path}/in", rows.schema)
+        jobs.refresh_contexts(stream, f"{path}/contexts", f"{path}/state", "conv_id", "turn", "role", "text", buckets=8).awaitTermination()
+    said = F.transform("turns", lambda x: F.concat_ws(":", x["turn"].cast("string"), x["role"], F.coalesce(x["text"], F.lit(""))))
+    return jobs.current(t.spark, f"{path}/contexts").select("conv_id", F.array_join(said, "|").alias("turns"))

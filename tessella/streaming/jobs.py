@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tessella.operators.pack import last_turns
 from tessella.sources.tables import upsert
@@ -45,7 +47,7 @@ def newest_only(rows: DataFrame, table: DataFrame | None, keys: Sequence[str], n
     return rows
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], newest: Sequence[Column], transform: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 64) -> StreamingQuery:
+def ingest(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], newest: Sequence[Column], transform: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 64, mode: str = "append") -> StreamingQuery:
     """Upsert a stream into a Parquet table in buckets of keys, then stop when all that is there has been read.
 
     Each batch rewrites only the buckets that its keys fall into, as version batch id + 1, from their newest earlier
@@ -69,7 +71,7 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str],
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def unrepeated(messages: DataFrame, keys: Sequence[str], at: str, delay: str = "1 hour") -> DataFrame:
@@ -86,3 +88,72 @@ def intake(messages: DataFrame, log: str, checkpoint: str, keys: Sequence[str],
 def refreshed_context(log: DataFrame, key: str, order: str, role: str, text: str) -> DataFrame:
     """Each conversation's last turns, from the message log."""
     return last_turns(log, key, order, role, text)
+
+
+def context_stream(messages: DataFrame, key: str, order: str, role: str, text: str, roles: Sequence[str] = ("user", "assistant"), limit: int = 6, longest: int = 500, idle: float | None = None) -> DataFrame:
+    """key, version, order, role, text: after each batch the last turns of the conversations that it touched, from keyed state.
+
+    The state of a conversation is its last `limit` turns and a counter of its versions; a message of an order that it
+    knows is a repeat. Messages may come late: they take their place by order. With `idle`, a conversation without messages
+    for so many seconds is forgotten by a timer; its next message begins a new context.
+    """
+    schema = messages.schema
+    kept = T.StructType([T.StructField("at", schema[order].dataType), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
+    out = T.StructType([schema[key], T.StructField("version", T.LongType()), schema[order], schema[role], T.StructField(text, T.StringType())])
+    rows = messages.filter(F.col(role).isin(*roles) & F.col(key).isNotNull() & F.col(order).isNotNull()).select(key, order, role, F.substring(text, 1, longest).alias(text))
+    processor = LastTurns([key, order, role, text], kept, limit, idle)
+    return rows.groupBy(key).transformWithStateInPandas(processor, out, "Update", "ProcessingTime" if idle else "None")
+
+
+class LastTurns(StatefulProcessor):
+    """Keeps the last turns of a conversation; see context_stream. columns: key, order, role, text."""
+
+    def __init__(self, columns: Sequence[str], kept: T.StructType, limit: int, idle: float | None) -> None:
+        self.columns, self.kept, self.limit, self.idle = list(columns), kept, limit, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.turns = handle.getListState("turns", self.kept)
+        self.version = handle.getValueState("version", "version long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        name, order, role, text = self.columns
+        known = {turn[0]: tuple(turn) for turn in self.turns.get()} if self.turns.exists() else {}
+        for frame in rows:
+            for at, who, said in zip(frame[order].tolist(), frame[role].tolist(), frame[text].tolist(), strict=True):
+                known.setdefault(at, (at, who, said if isinstance(said, str) else None))
+        last = [known[at] for at in sorted(known)[-self.limit :]]
+        version = (self.version.get()[0] if self.version.exists() else 0) + 1
+        self.turns.put(last)
+        self.version.update((version,))
+        if self.idle:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.idle * 1000))
+        yield pd.DataFrame({name: [key[0]] * len(last), "version": [version] * len(last), order: [t[0] for t in last], role: [t[1] for t in last], text: [t[2] for t in last]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.turns.clear()
+        self.version.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def refresh_contexts(messages: DataFrame, target: str, checkpoint: str, key: str, order: str, role: str, text: str, limit: int = 6, longest: int = 500, idle: float | None = None, buckets: int = 64) -> StreamingQuery:
+    """Keep a table of each conversation's last turns (key, version, turns) up to date with a stream of messages.
+
+    Each batch reads and writes only the conversations that it touches (their buckets of the table); a restart goes on from
+    the checkpoint's state. current() reads the table. State needs the RocksDB provider, which is set for this query only.
+    """
+    spark = messages.sparkSession
+    turns = F.array_sort(F.collect_list(F.struct(order, role, text))).alias("turns")  # `limit` at most
+    setting, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, provider)
+    try:
+        updates = context_stream(messages, key, order, role, text, limit=limit, longest=longest, idle=idle)
+        return ingest(updates, target, checkpoint, [key], [F.desc("version")], lambda rows: rows.groupBy(key, "version").agg(turns), buckets, mode="update")
+    finally:
+        spark.conf.set(setting, before)
