@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.ranges import PARTS, UNIT, divided_seats, nearest_ranks, running_rank, unit_join
-from tessella.operators.search import term_hits
-from tessella.operators.text_index import TextIndex
+from tessella.operators.text_index import TextIndex, index_hits, passing_index
 
 #: Fixed value: radius of the earth in metres.
 EARTH = 6_371_000
@@ -94,7 +93,7 @@ def link_by_area(
     kinds = F.array(F.struct(F.col("_s").alias("_name"), F.lit("same_sub_area").alias("relation"), F.lit(1.0).alias("_base")), F.struct(F.col("_a").alias("_name"), F.lit("same_area").alias("relation"), F.lit(0.86).alias("_base")))
     wanted = areas.select("_a", "_s", F.explode(kinds).alias("k")).select("_a", "_s", "k.*").filter("_name <> ''")
     names = wanted.select(F.col("_name").alias("request_id"), F.col("_name").alias("term")).distinct()
-    said = term_hits(rows, names, segment_id, text_col, index).select(F.col("request_id").alias("_name"), segment_id)
+    said = index_hits(index or passing_index(rows, segment_id, text_col), names, rows, segment_id, text_col).select(F.col("request_id").alias("_name"), segment_id)
     said = said.hint("merge").join(rows.select(segment_id, text_col), segment_id).filter(F.contains(text_col, "_name")).select("_name", segment_id)
     local = wanted.hint("merge").join(said, "_name").select("_a", "_s", segment_id, "relation", "_base")
     general = plain.orderBy(F.desc("_bonus"), "_date", segment_id).limit(2 * per_permit).select(segment_id, F.lit("general").alias("relation"), F.lit(0.62).alias("_base"))

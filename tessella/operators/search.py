@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.text_index import TextIndex, create_index, index_hits
-from tessella.sources.scratch import scratch_folder, settled
+from tessella.operators.text_index import TextIndex, index_hits, index_matches, passing_index
+from tessella.sources.scratch import settled
 
 
 def base_segments(segments: DataFrame, text_col: str, relevant: Column, date: str, from_date: Column | None = None) -> DataFrame:
@@ -20,11 +20,10 @@ def base_segments(segments: DataFrame, text_col: str, relevant: Column, date: st
 def term_hits(segments: DataFrame, terms: DataFrame, key: str, text_col: str, index: TextIndex | None = None) -> DataFrame:
     """request_id, term, key: each passage whose lower-case text contains a request's term (request_id, term); once each.
 
-    index: one over these passages or more; without one, they are indexed for this search alone. See text_index.index_hits.
+    index: one over these passages or more; without one, they are indexed for this search alone. See text_index.index_matches.
     """
     if index is None:
-        index = create_index(segments, scratch_folder(segments.sparkSession, "index"), key, text_col)
-        return index_hits(index, terms, segments, key, text_col)
+        return index_hits(passing_index(segments, key, text_col), terms, segments, key, text_col)
     return index_hits(index, terms, segments, key, text_col).hint("merge").join(segments.select(key), key, "left_semi")
 
 
@@ -84,7 +83,7 @@ def diversified(rows: DataFrame, request: str, text: str, meeting: Sequence[str]
 
 
 def _scored(hits: DataFrame, passages: DataFrame, requests: DataFrame, key: str, date: str, as_of: Column, spatial: Column, source: Column) -> DataFrame:
-    rows = hits.hint("merge").join(passages, key).hint("merge").join(requests, "request_id")
+    rows = hits.hint("merge").join(requests, "request_id").hint("merge").join(passages, key)  # passages last: they may bring texts
     score = hybrid_score(keyword_score(F.col("hits"), F.size("terms")), spatial, recency(F.col(date), as_of), source)
     return rows.withColumn("score", F.round(score, 6))
 
@@ -92,8 +91,8 @@ def _scored(hits: DataFrame, passages: DataFrame, requests: DataFrame, key: str,
 def _hits(requests: DataFrame, segments: DataFrame, key: str, text_col: str, index: TextIndex | None) -> DataFrame:
     """request_id, key, hits; of an index over more passages than these the others' too, which meet no passage later."""
     terms = requests.select("request_id", F.explode("terms").alias("term"))
-    found = term_hits(segments, terms, key, text_col) if index is None else index_hits(index, terms, segments, key, text_col)
-    return found.groupBy("request_id", key).agg(F.count("*").alias("hits"))
+    found = index_matches(index or passing_index(segments, key, text_col), terms, segments, key, text_col)
+    return found.groupBy("request_id", key).agg(F.size(F.collect_set("term")).cast("long").alias("hits"))  # a request's terms at most
 
 
 def scored_passages(
@@ -125,8 +124,10 @@ def search(
         return _scored(hits, segments.drop(text_col), some, key, date, as_of, spatial, source).select("request_id", key, "hits", "score")
 
     def best(pairs: DataFrame) -> DataFrame:
-        texts = pairs.hint("merge").join(segments, key).hint("merge").join(requests, "request_id")
-        rows = (texts if eligible is None else texts.filter(eligible)).withColumn("text_key", text_key(F.col(text_col)))
+        # A passage's key is made once, not for each request that finds it.
+        passages = segments.join(pairs.select(key).distinct().hint("merge"), key, "left_semi").withColumn("text_key", text_key(F.col(text_col)))
+        rows = pairs.hint("merge").join(requests, "request_id").hint("merge").join(passages, key)
+        rows = rows if eligible is None else rows.filter(eligible)
         return diversified(rows, "request_id", "text_key", meeting, order, limit).select("request_id", key, "hits", "score", "rank")
 
     first = settled(ranked(scores(requests), "request_id", order, ahead * limit).drop("rank"), "search-first")

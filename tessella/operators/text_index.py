@@ -92,6 +92,9 @@ def add_texts(index: TextIndex, texts: DataFrame, key: str, text_col: str) -> Te
     """
     number = index.batches() + 1
     rows = texts.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lower(text_col).alias("text"))
+    cores = index.spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # a few large files: their texts are dealt out before they are cut
+        rows = rows.repartition(cores, "key")
     tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(index.token), F.lit(0)))
     _append(index, "postings", rows.select(F.explode(tokens).alias("token"), "key", F.lit(number).alias("batch")))
     said = index.table("postings").filter(F.col("batch") == number).select("token").distinct()
@@ -110,25 +113,49 @@ def grams(c: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, F.lit(n))))
 
 
-def index_hits(index: TextIndex, terms: DataFrame, texts: DataFrame, key: str, text_col: str) -> DataFrame:
-    """request_id, term, key: each text whose lower-case form contains a request's term (request_id, term); once each.
+def passing_index(texts: DataFrame, key: str, text_col: str, token: str = r"[\p{L}\p{N}]+", gram: int = 3) -> PassingIndex:
+    """What a search needs of an index, for texts that are searched once."""
+    said = texts.filter(F.col(key).isNotNull()).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(token), F.lit(0)))).alias("token"), F.col(key).alias("key"))
+    postings = settled(said, "passing-index")
+    return PassingIndex(postings, postings.select("token").distinct().select(F.explode(grams(F.col("token"), gram)).alias("gram"), "token"), token, gram)
+
+
+@dataclass(frozen=True)
+class PassingIndex:
+    """postings (token, key) and words (gram, token) of a search's own texts."""
+
+    postings: DataFrame
+    words: DataFrame
+    token: str
+    gram: int
+
+
+def index_matches(index: TextIndex | PassingIndex, terms: DataFrame, texts: DataFrame, key: str, text_col: str) -> DataFrame:
+    """request_id, term, key: each text whose lower-case form contains a request's term (request_id, term); once or more.
 
     A term has one token or more; one without any, or a null, finds nothing. The longest token of a term and the words that
     contain it share that token's first letters as a gram. A term that is one token stands where such a word does; of other
     terms the candidates' texts (texts: key, text_col) are looked at. All joins are on equal keys.
     """
-    terms = terms.select("request_id", F.lower("term").alias("term")).distinct()
+    terms = settled(terms.select("request_id", F.lower("term").alias("term")).distinct(), "index-requests")
     pieces = F.regexp_extract_all("term", F.lit(index.token), F.lit(0))
     longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
     said = terms.select("term").distinct().filter(F.size(pieces) > 0).withColumn("piece", longest)
     said = settled(said.withColumn("gram", F.expr(f"substring(piece, 1, {index.gram})")), "index-terms")
     within = said.filter(F.length("piece") >= index.gram).hint("merge").join(index.words, "gram").filter(F.contains("token", "piece")).select("term", "piece", "token")
-    short = said.filter(F.length("piece") < index.gram)
-    for n in [r["n"] for r in short.select(F.length("piece").alias("n")).distinct().collect()]:  # fewer numbers than `gram`
+    kinds = said.agg(F.collect_set(F.when(F.length("piece") < index.gram, F.length("piece"))).alias("short"), F.count_if(F.col("term") != F.col("piece")).alias("longer")).first()
+    for n in kinds["short"]:  # fewer numbers than `gram`
         words = index.words.select("token").distinct().select("token", F.explode(grams(F.col("token"), n)).alias("gram"))
-        within = within.unionByName(short.filter(F.length("piece") == n).hint("merge").join(words, "gram").select("term", "piece", "token"))
-    found = within.hint("merge").join(index.postings, "token").select("term", "piece", F.col("key").alias(key)).distinct()
-    alone = found.filter(F.col("term") == F.col("piece")).select("term", key)
-    longer = found.filter(F.col("term") != F.col("piece")).hint("merge").join(texts.select(key, text_col), key)
-    longer = longer.filter(F.contains(F.lower(text_col), "term")).select("term", key)
-    return alone.unionByName(longer).hint("merge").join(terms, "term").select("request_id", "term", key)
+        within = within.unionByName(said.filter(F.length("piece") == n).hint("merge").join(words, "gram").select("term", "piece", "token"))
+    asked = within.hint("merge").join(terms, "term")
+    found = asked.hint("merge").join(index.postings, "token").select("request_id", "term", "piece", F.col("key").alias(key))
+    hits = found.filter(F.col("term") == F.col("piece")).select("request_id", "term", key)
+    if not kinds["longer"]:
+        return hits
+    longer = found.filter(F.col("term") != F.col("piece")).select("request_id", "term", key).distinct().hint("merge").join(texts.select(key, text_col), key)
+    return hits.unionByName(longer.filter(F.contains(F.lower(text_col), "term")).select("request_id", "term", key))
+
+
+def index_hits(index: TextIndex | PassingIndex, terms: DataFrame, texts: DataFrame, key: str, text_col: str) -> DataFrame:
+    """index_matches, each once."""
+    return index_matches(index, terms, texts, key, text_col).distinct()

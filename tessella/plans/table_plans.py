@@ -241,6 +241,12 @@ def _(t: Tables) -> DataFrame:
     return search.shortlist(t.documents, batch_terms(t), "doc_id", "text", "source", index=document_index(t))
 
 
+@query("p2_index_frequencies", r"WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS token FROM documents) SELECT token, count(*) AS texts FROM w GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    """In how many documents the stored index has each token."""
+    return document_index(t).frequencies()
+
+
 @query("o5_candidate_union", "SELECT doc_id FROM labels WHERE quality = 0 UNION SELECT doc_id FROM documents WHERE lang = 'de'")
 def _(t: Tables) -> DataFrame:
     return t.labels.filter("quality = 0").select("doc_id").union(t.documents.filter("lang = 'de'").select("doc_id")).distinct()
