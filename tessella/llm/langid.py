@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import materialize, release
+
 #: Hashed n-gram features (2**FEATURE_BITS each for orders 1 to 3 together) and bits of a codeword.
 FEATURE_BITS, ORDERS = 14, (1, 2, 3)
-#: Characters handled at once, texts decoded at once; more languages than this can't be learned.
-BLOCK, PREDICTED, MAX_LANGUAGES = 1 << 18, 256, 1000
+#: Characters handled at once, texts decoded at once, languages whose counts a task or the driver holds at once.
+BLOCK, PREDICTED, LANGUAGES = 1 << 18, 256, 1000
 UNDETERMINED = "und"
 
 
@@ -105,33 +107,43 @@ def fit_languages(labelled: DataFrame, lang_col: str = "lang", text_col: str = "
     """Learn from all rows with a language: n-gram counts per language over every whole text, summed by Spark.
 
     Each bit's classifier weighs an n-gram by its log-odds between the languages on the bit's two sides, each language
-    counting alike. The driver gets one row for each language and feature seen, at most MAX_LANGUAGES << FEATURE_BITS.
-    A bit's weight in decoding is how well it separates the languages' own n-grams.
+    counting alike. The counts are a table, of which the driver reads LANGUAGES languages at a time, twice: first for the
+    sides of each bit, then for how well a bit separates the languages' own n-grams, its weight in decoding.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = rows.mapInArrow(_count_features, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    got = counts.toPandas()
-    languages = sorted(got["lang"].unique().tolist())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} can be learned")
+    counts = materialize(counts, "language-counts")
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    size = 1 << FEATURE_BITS
     if not languages:
-        return LanguageModel([], np.zeros((0, 1)), np.zeros((1 << FEATURE_BITS, 1), np.float64), np.ones(1))
-    table = np.zeros((len(languages), 1 << FEATURE_BITS))
-    table[got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(), got["feature"].to_numpy()] = got["n"].to_numpy()
-    chance = (table + 0.5) / (table + 0.5).sum(axis=1, keepdims=True)
+        return LanguageModel([], np.zeros((0, 1)), np.zeros((size, 1), np.float64), np.ones(1))
     code = codewords(len(languages))
-    weights = np.zeros((1 << FEATURE_BITS, code.shape[1]))
-    for b in range(code.shape[1]):
-        sides = [chance[code[:, b] == s].mean(axis=0) if (code[:, b] == s).any() else np.full(1 << FEATURE_BITS, 1.0 / (1 << FEATURE_BITS)) for s in (1, -1)]
-        weights[:, b] = np.log(sides[0]) - np.log(sides[1])
-    own = (chance @ weights) * code
-    trust = np.clip(own.min(axis=0), 0.05, None)
+
+    def chances() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Some languages' codewords and chances of each n-gram, until all have come."""
+        for at in range(0, len(languages), LANGUAGES):
+            some = languages[at : at + LANGUAGES]
+            got = counts.filter(F.col("lang").between(some[0], some[-1])).toPandas()
+            table = np.full((len(some), size), 0.5)
+            table[got["lang"].map({x: i for i, x in enumerate(some)}).to_numpy(), got["feature"].to_numpy()] += got["n"].to_numpy()
+            yield code[at : at + LANGUAGES], table / table.sum(axis=1, keepdims=True)
+
+    sums = {s: np.zeros((size, code.shape[1])) for s in (1, -1)}
+    for words, chance in chances():
+        for s, total in sums.items():
+            total += chance.T @ (words == s)
+    number = {s: (code == s).sum(axis=0) for s in sums}
+    sides = {s: np.where(number[s] > 0, sums[s] / np.maximum(1, number[s]), 1.0 / size) for s in sums}
+    weights = np.log(sides[1]) - np.log(sides[-1])
+    least = np.min([((chance @ weights) * words).min(axis=0) for words, chance in chances()], axis=0)
+    release(counts)
+    trust = np.clip(least, 0.05, None)
     return LanguageModel(languages, code, weights, trust / trust.mean())
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over the task for each language: at most MAX_LANGUAGES tables of 2**FEATURE_BITS counts are held."""
+    """Sums over the task for each language: at most LANGUAGES tables of 2**FEATURE_BITS counts are held."""
     sums: dict[str, np.ndarray] = {}
 
     def rows() -> Iterator[pa.RecordBatch]:
@@ -147,7 +159,7 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             n = sums.setdefault(lang, np.zeros(1 << FEATURE_BITS, dtype=np.int64))
             for at in range(0, len(codes), BLOCK):
                 n += np.bincount(features(codes[at : at + BLOCK + overlap]), minlength=1 << FEATURE_BITS)
-        if len(sums) > MAX_LANGUAGES:
+        if len(sums) > LANGUAGES:
             yield from rows()
     yield from rows()
 

@@ -51,6 +51,32 @@ def test_nulls_empty_long_and_clashing_names(spark, rows):
     assert packed["n"] >= n
 
 
+def test_values_of_null_empty_and_long_texts(spark):
+    """Null, empty and blank texts of ODD (ids None, 1, 4), the sentence (2, twice) and the long word (3)."""
+    d = docs(spark)
+    sentence, blank, m = "der Hund und die Katze", (None, 1, 4), tokencount.PieceCounter(PIECES).model
+    lang = {r.row_id: (r.lang_pred, r.score) for r in langid.predict_languages(d, langid.fit_languages(d)).collect()}
+    assert all(lang[k] == ("und", 0) for k in blank) and lang[2][0] != "und"
+    tokens = {r.row_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.count_tokens(d, PIECES).collect()}
+    assert tokens[None] == tokens[1] == (0, 0, False) and tokens[2][1] == len(m.encode(sentence)) and tokens[3][:2] == (40_000, len(m.encode("x" * 40_000)))
+    mixed = collections.defaultdict(set)
+    for r in mixing.mix_sources(d).collect():
+        mixed[r.doc_id].add(r.mix_size)
+    assert mixed == {None: {0}, 1: {0}, 2: {5}, 3: {1}, 4: {0}}
+    words = sorted((str(r.row_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(d).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert words == sorted([*((str(k), 0, 0, sha("")) for k in blank), *[("2", 5, 0, sha(sentence))] * 2, ("3", 1, 0, sha("x" * 40_000))])
+    scores = {r.row_id: r.score for r in quality.score_quality(d, quality.fit_quality(d, d.select("doc_id"))).collect()}
+    assert scores[None] == scores[1] == scores[4] and all(0 <= v <= 1 for v in scores.values())
+    assert {sum(len(r[k]) for k in (*pii.PATTERNS, "term")) for r in pii.find_personal_data(d).collect()} == {0}
+    pieces = collections.defaultdict(list)
+    for r in packing.pack_sequences(d, BYTES).collect():
+        pieces[r.row_id].append((r.start, r.length, r.doc_tokens))
+    assert pieces[None] == pieces[1] == [(0, 1, 1)] and len(pieces[2]) == 2 and sum(n for _, n, _ in pieces[3]) == pieces[3][0][2]
+    sizes = {r.row_id: r.n_shingles for r in ngram_join.near_duplicates(d).collect()}
+    assert sizes == {None: 0, 1: 0, 2: 1, 3: 1, 4: 0}
+
+
 def test_dropped_duplicates_leave_one_row_of_each_text(spark):
     d = docs(spark)
     rows = [(r.doc_id, r.text) for r in exact.drop_exact_duplicates(d).collect()]
