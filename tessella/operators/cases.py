@@ -106,6 +106,14 @@ def location_candidates(links: DataFrame, case: str, place: str, precision: str,
     return best.withColumn("rank", rank).withColumn("is_selected", F.col("rank") == 1)
 
 
+# What each sign adds to a case's scores, the scores of identity and separation, and the parts of its quality.
+SUBJECT = {"subject": 0.62, "precise": 0.30, "issues": 0.08}
+DISPUTE = {"explicit": 0.48, "harm": 0.30, "opposed": 0.22}
+IDENTITY = {"known_place": 0.92, "has_project": 0.82, "episode_key": 0.46, "none": 0.35}
+SEPARATION = {"shared": 0.38, "stable": 0.92, "documents": 0.48, "one": 0.68}
+QUALITY = {"subject_score": 0.38, "dispute_score": 0.34, "identity_score": 0.16, "separation_score": 0.12}
+
+
 def review_cases(cases: DataFrame) -> DataFrame:
     """cases with four scores, quality, decision and sorted reasons.
 
@@ -113,11 +121,11 @@ def review_cases(cases: DataFrame) -> DataFrame:
     has_project, episode_key (booleans), shared (shared trigger paragraphs), documents.
     """
     yes = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
-    subject = F.least(F.lit(1.0), F.when(yes("subject"), 0.62).otherwise(0.0) + F.when(yes("precise"), 0.30).otherwise(0.0) + F.when(yes("issues"), 0.08).otherwise(0.0))
-    dispute = F.least(F.lit(1.0), F.when(yes("explicit"), 0.48).otherwise(0.0) + F.when(yes("harm"), 0.30).otherwise(0.0) + F.when(F.col("opposed"), 0.22).otherwise(0.0))
+    added = lambda weights, ok: F.least(F.lit(1.0), reduce(lambda a, b: a + b, (F.when(ok(c), w).otherwise(0.0) for c, w in weights.items())))
+    subject, dispute = added(SUBJECT, yes), added(DISPUTE, lambda c: F.col(c) if c == "opposed" else yes(c))
     stable = F.col("known_place") | F.col("has_project")
-    identity = F.when(F.col("known_place"), 0.92).when(F.col("has_project"), 0.82).when(F.col("episode_key"), 0.46).otherwise(0.35)
-    separation = F.when(yes("shared"), 0.38).when(stable, 0.92).when(F.col("documents") > 1, 0.48).otherwise(0.68)
+    identity = F.coalesce(*(F.when(F.col(c), w) for c, w in IDENTITY.items() if c != "none"), F.lit(IDENTITY["none"]))
+    separation = F.when(yes("shared"), SEPARATION["shared"]).when(stable, SEPARATION["stable"]).when(F.col("documents") > 1, SEPARATION["documents"]).otherwise(SEPARATION["one"])
     doubts = F.array_compact(
         F.array(
             F.when(F.col("suspicious"), F.lit("SUSPICIOUS_PLACE_TOKEN")), F.when(yes("shared"), F.lit("SHARED_TRIGGER_PARAGRAPH")),
@@ -138,7 +146,7 @@ def review_cases(cases: DataFrame) -> DataFrame:
             F.when(~marked & (F.col("decision") != "rejected"), F.lit("NO_EXPLICIT_DISPUTE_MARKER")),
         )
     )
-    quality = 0.38 * F.col("subject_score") + 0.34 * F.col("dispute_score") + 0.16 * F.col("identity_score") + 0.12 * F.col("separation_score")
+    quality = reduce(lambda a, b: a + b, (w * F.col(c) for c, w in QUALITY.items()))
     return rows.withColumn("reason_codes", F.array_sort(F.array_distinct(F.concat("_doubts", reasons)))).withColumn("quality_score", F.round(quality, 4)).drop("_doubts")
 
 

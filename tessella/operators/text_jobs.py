@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators.ranges import small_join
+from tessella.operators.ranges import Stretches, by_key_size, small_join
 from tessella.operators.vocabulary import with_hits, with_terms
 from tessella.sources.scratch import settled
 
@@ -221,11 +221,18 @@ def expand_terms(requests: DataFrame, keys: Sequence[str], text_col: str, synony
     )
 
 
-def running_offsets(parts: DataFrame, keys: Sequence[str], order: Sequence[str], text_col: str, gap: int = 1) -> DataFrame:
-    """parts with char_start, char_end in the document that joins them with `gap` characters between."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length(text_col) + gap).over(w), F.lit(0))
-    return parts.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length(text_col))
+def running_offsets(parts: DataFrame, keys: Sequence[str], order: Sequence[str], text_col: str, gap: int = 1, most: int = 1_000_000) -> DataFrame:
+    """parts with char_start, char_end in the document that joins them with `gap` characters between.
+
+    A document of more than `most` parts is cut over many tasks (ranges.Stretches); the others are windows.
+    """
+    rows, size = parts.withColumn("_doc", F.struct(*keys)), F.length(text_col)
+    usual, large = by_key_size(rows, "_doc", most)
+    upto = Window.partitionBy("_doc").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = usual.withColumn("_upto", F.sum(size + gap).over(upto))
+    if large is not None:
+        out = out.unionByName(Stretches(large, "_doc", order).with_sum(size + gap, "_upto").done())
+    return out.withColumn("char_start", F.coalesce(F.col("_upto") - size - gap, F.lit(0))).withColumn("char_end", F.col("char_start") + size).drop("_doc", "_upto")
 
 
 def flatten_elements(roots: DataFrame, keys: Sequence[str], kids_col: str) -> DataFrame:

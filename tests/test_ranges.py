@@ -7,7 +7,7 @@ from itertools import accumulate
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import cases, episodes, permits, ranges, search, text_index
+from tessella.operators import cases, episodes, permits, ranges, search, text_index, text_jobs
 
 
 def test_running_ranks(spark):
@@ -85,6 +85,18 @@ def test_one_document_over_many_tasks(spark, no_coalescing):
     assert sorted_rows.select("_part").distinct().count() > 1
 
 
+def test_offsets_of_long_documents(spark, no_coalescing):
+    r = random.Random(9)
+    rows = [(d, i, "x" * r.randrange(5)) for d, n in (("a", 300), ("b", 3), ("c", 90)) for i in range(n)]
+    parts = spark.createDataFrame(rows, "doc string, i int, t string").repartition(4)
+    got = [sorted(map(tuple, text_jobs.running_offsets(parts, ["doc"], ["i"], "t", most=most).select("doc", "i", "char_start", "char_end").collect())) for most in (10, 10**6)]
+    want, at = [], {}
+    for d, i, t in rows:
+        want.append((d, i, at.get(d, 0), at.get(d, 0) + len(t)))
+        at[d] = at.get(d, 0) + len(t) + 1
+    assert got[0] == got[1] == sorted(want)
+
+
 def distance(a, b):
     (p, x), (q, y) = ((math.radians(v) for v in z) for z in (a, b))
     s = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((y - x) / 2) ** 2
