@@ -39,7 +39,7 @@ def test_radius_join_equals_all_pairs(spark):
 
     schema = "id int, lat double, lon double"
     for radius in (150.0, 9000.0):
-        got = {(r.id, r.r_id) for r in permits.radius_join(spark.createDataFrame(a, schema), spark.createDataFrame([*b, (99, None, 126.5)], schema), radius, most_latitude=39.0).collect()}
+        got = {(r.id, r.r_id) for r in permits.radius_join(spark.createDataFrame(a, schema), spark.createDataFrame([*b, (99, None, 126.5)], schema), radius).collect()}
         assert got == {(p[0], q[0]) for p in a for q in b if metres(p, q) <= radius}
 
 
