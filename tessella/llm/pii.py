@@ -156,13 +156,12 @@ def revealing_terms(texts: DataFrame, support: int, share: float, bits: float, c
     often = materialize(often, "pii-entities")
     largest = often.agg(F.max("n_e")).first()[0] or 0
     sizes = {r["class"]: r["n"] for r in held.select(F.explode("classes").alias("class")).groupBy("class").agg(F.count("*").alias("n")).collect()}
-    said = materialize(held.select("key", "classes", F.explode("terms").alias("term")), "pii-said")
-    # Only words that stand beside entities in `support` texts can reveal one: just those are counted in the whole corpus.
-    likely = materialize(said.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= support).select("term"), "pii-likely")
-    counts = join_small(once.select(F.explode(_words(plain)).alias("term")), likely, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # Counted before anything is joined, so that words meet within each task first.
+    counts = once.select(F.explode(_words(plain)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     by_entity, by_class = (F.col("n_t") <= most) & (F.col("n_t") * share <= largest), F.col("n_t") * class_share <= sizes.get(ANY, 0)
     counts = materialize(counts.filter((F.col("n_t") >= support) & (by_entity | by_class)), "pii-terms")
-    near = materialize(join_small(said, counts, "term", "inner"), "pii-near")
+    near = held.select("key", "classes", F.explode("terms").alias("term")).join(counts.hint("merge"), "term")
+    near = materialize(near, "pii-near")
 
     n_te = F.col("n_te")
     # A text of many terms and many entities is cut into units of bounded size.
@@ -181,7 +180,7 @@ def revealing_terms(texts: DataFrame, support: int, share: float, bits: float, c
     if telling:
         found = found.unionByName(with_class.filter(F.greatest(*telling, F.lit(False))).select("term"))
     out = materialize(found.distinct(), "pii-revealing")
-    release(held, often, said, likely, counts, near, entities)
+    release(held, often, counts, near, entities)
     return out
 
 
