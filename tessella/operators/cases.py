@@ -55,7 +55,7 @@ def evidence_view(evidence: DataFrame, cases: DataFrame, places: DataFrame, case
     return joined.withColumn("position", F.row_number().over(Window.partitionBy(case).orderBy(rank, *keys)))
 
 
-def _sufficient(weights: Mapping[str, float], low: float) -> list[tuple[str, ...]]:
+def sufficient(weights: Mapping[str, float], low: float) -> list[tuple[str, ...]]:
     """The smallest sets of features whose weights reach `low` (rounded as scores are): each pair that scores enough has all of one of them."""
     found: list[tuple[str, ...]] = []
     for size in range(len(weights) + 1):
@@ -80,7 +80,7 @@ def weighted_pairs(rows: DataFrame, key: str, block: str, features: Mapping[str,
     theirs = plain.select("_block", *(F.col(c).alias(f"{c}_r") for c in ("_id", *names.values())))
     same = lambda c: F.coalesce(F.arrays_overlap(f"{c}_l", f"{c}_r") if c in arrays else F.col(f"{c}_l") == F.col(f"{c}_r"), F.lit(False))
     score = F.round(F.least(F.lit(1.0), sum((F.when(same(c), features[n][1]).otherwise(0.0) for n, c in names.items()), F.lit(0.0))), 4)
-    sets, out = [[names[n] for n in some] for some in _sufficient({n: w for n, (_, w) in features.items()}, low)], None
+    sets, out = [[names[n] for n in some] for some in sufficient({n: w for n, (_, w) in features.items()}, low)], None
     for at, some in enumerate(sets):
         l, r = mine, theirs
         for c in some:

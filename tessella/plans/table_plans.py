@@ -219,7 +219,7 @@ def _(t: Tables) -> DataFrame:
     p = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("city"), (F.col("s_suppkey") % 5).alias("ri"))
     c = t.customer.select("c_custkey", F.col("c_nationkey").alias("municipality"), ((F.col("c_nationkey") + 1) % 25).alias("place_city"), (F.col("c_custkey") % 5).alias("case_ri"), "c_mktsegment")
     features = {"place:same_ri": (F.col("ri") == F.col("case_ri"), 0.35), "city": (F.col("city") == F.col("municipality"), 0.20), "kind": (F.col("c_mktsegment") == "BUILDING", 0.08)}
-    return intake.historical_matches(p, c, "s_suppkey", "c_custkey", "city", features, match=["place:same_ri", "city"])
+    return intake.historical_matches(p, c, "s_suppkey", "c_custkey", "city", features, match=["place:same_ri", "city"], equal={"place:same_ri": ("ri", "case_ri")})
 
 
 @query("p1_base_segments", "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE (quality = 1 OR trim(coalesce(text, '')) <> '') AND (CASE WHEN doc_id % 3 > 0 THEN doc_id END IS NULL OR doc_id >= 100)")

@@ -1,9 +1,12 @@
 """Joins whose pairs are many more than their rows, against plain Python."""
 
 import random
+import re
 
 import pytest
-from tessella.operators import places
+from pyspark.sql import functions as F
+
+from tessella.operators import intake, places
 
 
 def plan(df):
@@ -25,3 +28,24 @@ def test_levels_equal_all_pairs_and_pairs_arent_grouped(spark, unit):
                 want.append((t, m, ["same_ri", "same_eup", "same_county"][level], 3 - level))
     assert sorted(map(tuple, made.collect())) == sorted(want)
     assert "Aggregate" not in plan(made)
+
+
+@pytest.mark.parametrize("least", [0.0, 0.25, 0.35, 0.6, 2.0])
+def test_historical_matches_equal_all_pairs_and_pairs_arent_grouped(spark, least):
+    r = random.Random(2)
+    p = [(i, r.choice([1, 2, 3, None]), r.choice([1, 2, None]), r.choice([1, 2, None])) for i in range(50)]
+    c = [(i, r.choice([1, 2, 3, None]), r.choice([1, 2, 3, None]), r.choice([1, 2, None]), r.choice([1, 2, None]), r.choice(["x", "y", None])) for i in range(60)]
+    features = {"place:ri": (F.col("ri") == F.col("c_ri"), 0.35), "place:eup": (F.col("eup") == F.col("c_eup"), 0.25), "city": (F.col("city") == F.col("municipality"), 0.2), "kind": (F.col("kind") == "x", 0.1)}
+    projects, known = spark.createDataFrame([*p, p[0]], "p int, city int, ri int, eup int"), spark.createDataFrame([*c, c[3]], "c int, municipality int, place_city int, c_ri int, c_eup int, kind string")
+    want = []
+    for i, city, ri, eup in p:
+        for j, m, q, c_ri, c_eup, kind in c:
+            if city is not None and city in (m, q):
+                place = 0.35 if ri is not None and ri == c_ri else 0.25 if eup is not None and eup == c_eup else 0
+                score = round(place + 0.2 * (city == m) + 0.1 * (kind == "x"), 4)
+                if score >= least:
+                    want.append((i, j, score, "place:ri" if place == 0.35 else "place:eup" if place else "city" if city == m else "none"))
+    for equal in ({}, {"place:ri": ("ri", "c_ri"), "place:eup": ("eup", "c_eup")}):
+        made = intake.historical_matches(projects, known, "p", "c", "city", features, least, ["place:ri", "place:eup", "city"], 7, equal)
+        assert sorted(map(tuple, made.collect())) == sorted(want)
+        assert not re.search(r"keys=\[p#\d+, c#", plan(made))
