@@ -55,17 +55,26 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, lat: str = "la
     visits = visits.withColumn("_x", F.explode(F.sequence("_from", "_to"))).withColumn("_x", F.pmod("_x", "_n")).drop("_n", "_from", "_to")
     homes = located(right).withColumn("_y", y).withColumn("_x", F.pmod(at(F.col(lon), F.col("_y")), cells(F.col("_y"))))
     homes = homes.select(*(F.col(c).alias(f"r_{c}") for c in right.columns), "_y", "_x")
-    pairs = unit_join(visits, homes, ["_y", "_x"], unit).withColumn("distance_m", haversine(F.col(lat), F.col(lon), F.col(f"r_{lat}"), F.col(f"r_{lon}")))
+    pairs = unit_join(visits, homes, ["_y", "_x"], unit).filter(F.abs(F.col(lat) - F.col(f"r_{lat}")) <= degrees + 1e-9)  # cheaper than the distance
+    pairs = pairs.withColumn("distance_m", haversine(F.col(lat), F.col(lon), F.col(f"r_{lat}"), F.col(f"r_{lon}")))
     return pairs.filter(F.col("distance_m") <= radius).drop("_y", "_x")
 
 
-def nearby_or_same_area(sites: DataFrame, permits: DataFrame, site_id: str, permit_id: str, area: str, radius: float, **grid: object) -> DataFrame:
-    """site, permit, distance_m, distance_status: by distance where both have coordinates, else of the same area (unknown distance)."""
+def nearby_or_same_area(sites: DataFrame, permits: DataFrame, site_id: str, permit_id: str, area: str, radius: float, unit: int = UNIT, **grid: object) -> DataFrame:
+    """site, permit, distance_m, distance_status: by distance where both have coordinates, else of the same area (unknown distance).
+
+    Areas with very many rows are joined in units (unit_join).
+    """
     lat, lon = grid.get("lat", "lat"), grid.get("lon", "lon")
-    known = radius_join(sites, permits, radius, **grid).select(site_id, F.col(f"r_{permit_id}").alias(permit_id), "distance_m", F.lit("measured").alias("distance_status"))
-    p = permits.select(F.col(permit_id), F.col(area).alias("_area"), F.col(lat).alias("_plat"), F.col(lon).alias("_plon"))
-    blind = sites.join(p, F.col(area) == F.col("_area")).filter(F.col(lat).isNull() | F.col(lon).isNull() | F.col("_plat").isNull() | F.col("_plon").isNull())
-    return known.unionByName(blind.select(site_id, permit_id, F.lit(None).cast("double").alias("distance_m"), F.lit("unknown").alias("distance_status")))
+    known = radius_join(sites, permits, radius, unit=unit, **grid).select(site_id, F.col(f"r_{permit_id}").alias(permit_id), "distance_m", F.lit("measured").alias("distance_status"))
+    where = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    s, p = sites.select(site_id, F.col(area).alias("_area"), where.alias("_located")), permits.select(permit_id, F.col(area).alias("_area"), where.alias("_located"))
+    # Blind sites meet all permits of their area, located ones the blind permits: no pair is made that both coordinates tell.
+    blind = [(s.filter("NOT _located"), p), (s.filter("_located"), p.filter("NOT _located"))]
+    for some, others in blind:
+        unknown = unit_join(some.drop("_located"), others.drop("_located"), ["_area"], unit)
+        known = known.unionByName(unknown.select(site_id, permit_id, F.lit(None).cast("double").alias("distance_m"), F.lit("unknown").alias("distance_status")))
+    return known
 
 
 def nearest_first(rows: DataFrame, key: str, distance: str, date: str, tie: str, limit: int) -> DataFrame:

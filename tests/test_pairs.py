@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import intake, places
+from tessella.operators import intake, permits, places, ranges
 
 
 def plan(df):
@@ -49,3 +49,21 @@ def test_historical_matches_equal_all_pairs_and_pairs_arent_grouped(spark, least
         made = intake.historical_matches(projects, known, "p", "c", "city", features, least, ["place:ri", "place:eup", "city"], 7, equal)
         assert sorted(map(tuple, made.collect())) == sorted(want)
         assert not re.search(r"keys=\[p#\d+, c#", plan(made))
+
+
+def test_blind_sites_meet_their_area_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "PAIRS", 50)
+    r = random.Random(3)
+    some = lambda n: [(i, r.choice(["a", "b", None]), r.choice([34.5, None]), r.choice([126.5, 127.5, None])) for i in range(n)]
+    a, b = some(80), some(60)
+    made = permits.nearby_or_same_area(spark.createDataFrame(a, "s int, area string, lat double, lon double"), spark.createDataFrame(b, "p int, area string, lat double, lon double"), "s", "p", "area", 9000, unit=5)
+    want = []
+    for s, area, lat, lon in a:
+        for p, other, y, x in b:
+            if None not in (lat, lon, y, x):
+                want += [(s, p, "measured")] if lon == x else []
+            elif area is not None and area == other:
+                want.append((s, p, "unknown"))
+    assert sorted((x.s, x.p, x.distance_status) for x in made.collect()) == sorted(want)
+    tasks = made.filter("distance_status = 'unknown'").groupBy("s", F.spark_partition_id().alias("task")).count().select("task").distinct().count()
+    assert tasks > 8
