@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.ranges import UNIT, unit_join
+from tessella.operators.ranges import UNIT, dealt_join, unit_join
 
 
 def case_rollup(rows: DataFrame, key: str, start: str, end: str, confidence: str, issues: str) -> DataFrame:
@@ -50,9 +50,11 @@ def shared_paragraphs(evidence: DataFrame, paragraph: str, case: str) -> DataFra
 def evidence_view(evidence: DataFrame, cases: DataFrame, places: DataFrame, case: str, place: str, role: str, roles: Sequence[str]) -> DataFrame:
     """Evidence with its case and the case's place where known, numbered within the case by role order, then paragraph."""
     rank = F.coalesce(*(F.when(F.col(role) == r, i) for i, r in enumerate(roles)), F.lit(len(roles)))
-    joined = evidence.join(cases, case).join(places, place, "left")
+    # Cases meet their places first: the evidence is dealt once, by case, and numbered where it lies.
+    joined = dealt_join(evidence, dealt_join(cases, places, [place], "left"), [case])
+    columns = [place, case, *(c for c in (*evidence.columns, *cases.columns, *places.columns) if c not in (place, case))]
     keys = [c for c in evidence.columns if c not in (case, role)]
-    return joined.withColumn("position", F.row_number().over(Window.partitionBy(case).orderBy(rank, *keys)))
+    return joined.select(*columns).withColumn("position", F.row_number().over(Window.partitionBy(case).orderBy(rank, *keys)))
 
 
 def sufficient(weights: Mapping[str, float], low: float) -> list[tuple[str, ...]]:

@@ -13,6 +13,8 @@ from tessella.sources.scratch import settled
 UNIT, SMALL, PARTS = 20_000, 100_000, 4096
 #: Pairs of a join for which there is one partition at least.
 PAIRS = 20_000_000
+#: Rows of a task that sorts them for a join or a window.
+TASK_ROWS = 250_000
 
 
 def small_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -20,6 +22,17 @@ def small_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     return left.join(F.broadcast(right) if right.count() <= SMALL else right.hint("merge"), list(on), how)
 
 
+def dealt_by(rows: DataFrame, keys: Sequence[str], n: int | None = None) -> DataFrame:
+    """rows dealt by keys to n partitions: as many as their counted rows call for, so that a task's rows don't grow with the table's."""
+    return rows.repartition(n or max(1, -(-rows.count() // TASK_ROWS)), *keys)
+
+
+def dealt_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Merge join of tables dealt by their counted rows; the result is dealt by `on` too."""
+    n = max(1, -(-(left.count() + right.count()) // TASK_ROWS))
+    return dealt_by(left, on, n).hint("merge").join(dealt_by(right, on, n), list(on), how)
+
+
 def unit_join(left: DataFrame, right: DataFrame, on: Sequence[str], unit: int = UNIT) -> DataFrame:
     """Inner equi-join in which no task's unit has more than about `unit` rows of a side, however many rows share a key.
 

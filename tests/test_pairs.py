@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import intake, permits, places, ranges
+from tessella.operators import cases, intake, permits, places, ranges
 
 
 def plan(df):
@@ -67,3 +67,23 @@ def test_blind_sites_meet_their_area_in_many_tasks(spark, monkeypatch):
     assert sorted((x.s, x.p, x.distance_status) for x in made.collect()) == sorted(want)
     tasks = made.filter("distance_status = 'unknown'").groupBy("s", F.spark_partition_id().alias("task")).count().select("task").distinct().count()
     assert tasks > 8
+
+
+def rows_of_tasks(df):
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect())
+
+
+def test_evidence_is_numbered_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "TASK_ROWS", 60)
+    r = random.Random(4)
+    evidence = [(r.randrange(90), i, r.choice(["a", "b", None])) for i in range(600)]
+    owners = {c: r.choice([1, 2, 3, None]) for c in range(80)}
+    table = spark.createDataFrame(evidence, "case int, paragraph int, role string")
+    made = cases.evidence_view(table, spark.createDataFrame(list(owners.items()), "case int, place int"), spark.createDataFrame([(1, "x"), (2, "y")], "place int, name string"), "case", "place", "role", ["a", "b"])
+    assert made.columns == ["place", "case", "paragraph", "role", "name", "position"]
+    want = []
+    for c, owner in owners.items():
+        mine = sorted((x for x in evidence if x[0] == c), key=lambda x: ({"a": 0, "b": 1}.get(x[2], 2), x[1]))
+        want += [(owner, c, p, role, {1: "x", 2: "y"}.get(owner), i) for i, (_, p, role) in enumerate(mine, 1)]
+    assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, want))
+    assert rows_of_tasks(made) < 200
