@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.ranges import dealt_by, dealt_join
+
 #: Fixed value: a number in prose.
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
 
@@ -99,14 +101,18 @@ def prompt_pack(reasons: DataFrame, quotes: DataFrame, timeline: DataFrame, perm
     """key, part, reason, rank, text: what a prompt may hold of each part.
 
     All tables have key, place (their order) and text; reasons and quotes also have `reason`. The first reasons of a key, the
-    first quotes of each of those (cut to `longest` characters), the first timeline entries and permits.
+    first quotes of each of those (cut to `longest` characters), the first timeline entries and permits. Tables are dealt by
+    their counted rows before they are ordered.
     """
     def first(rows: DataFrame, part: str, within: Sequence[str]) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*within).orderBy("place", "text"))
-        return rows.withColumn("rank", rank).filter(F.col("rank") <= limits[part]).withColumn("part", F.lit(part))
+        return dealt_by(rows, within).withColumn("rank", rank).filter(F.col("rank") <= limits[part]).withColumn("part", F.lit(part))
 
     kept = first(reasons, "reason", [key])
-    quoted = first(quotes.join(kept.select(key, reason), [key, reason], "left_semi"), "quote", [key, reason]).withColumn("text", F.substring("text", 1, longest))
+    # Quotes are cut before they are ordered, which gives the same ones: of texts alike up to there either will do.
+    cut = quotes.withColumn("text", F.substring("text", 1, longest))
+    rank = F.row_number().over(Window.partitionBy(key, reason).orderBy("place", "text"))
+    quoted = dealt_join(cut, kept.select(key, reason).distinct(), [key, reason], "left_semi").withColumn("rank", rank).filter(F.col("rank") <= limits["quote"]).withColumn("part", F.lit("quote"))
     parts = [kept, quoted, first(timeline, "timeline", [key]), first(permits, "permit", [key])]
     out = None
     for p in (part.drop("place") for part in parts):

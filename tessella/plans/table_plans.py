@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 from tessella.operators import audit, intake, pack, rules, search
+from tessella.operators.ranges import dealt_join
 from tessella.plans.registry import Tables, document_index, query
 from tessella.sources import readers, tables
 from tessella.sources.scratch import scratch_folder
@@ -405,7 +406,7 @@ UNION ALL SELECT o_custkey, 'timeline', NULL, d::INT, strftime(o_orderdate, '%Y-
 def _(t: Tables) -> DataFrame:
     o = t.orders.withColumnRenamed("o_orderkey", "reason")
     reasons = o.select("o_custkey", "reason", F.col("reason").alias("place"), F.col("o_orderpriority").alias("text"))
-    lines = t.lineitem.withColumnRenamed("l_orderkey", "reason").join(o.select("reason", "o_custkey"), "reason")
+    lines = dealt_join(t.lineitem.select(F.col("l_orderkey").alias("reason"), "l_linenumber", "l_returnflag", "l_linestatus"), o.select("reason", "o_custkey"), ["reason"])
     quotes = lines.select("o_custkey", "reason", F.col("l_linenumber").alias("place"), F.expr("repeat(l_returnflag || l_linestatus || ' ', 99)").alias("text"))
     timeline = o.select("o_custkey", F.col("o_orderdate").alias("place"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("text"))
     permits = o.select("o_custkey", F.col("reason").alias("place"), F.col("reason").cast("string").alias("text"))

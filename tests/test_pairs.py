@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import cases, intake, permits, places, ranges
+from tessella.operators import cases, intake, pack, permits, places, ranges
 
 
 def plan(df):
@@ -87,3 +87,14 @@ def test_evidence_is_numbered_in_tasks_of_bounded_rows(spark, monkeypatch):
         want += [(owner, c, p, role, {1: "x", 2: "y"}.get(owner), i) for i, (_, p, role) in enumerate(mine, 1)]
     assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, want))
     assert rows_of_tasks(made) < 200
+
+
+def test_prompt_parts_are_ordered_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "TASK_ROWS", 60)
+    quotes = [(i % 40, i % 80, i, "q" * 300 + str(i)) for i in range(800)]
+    reasons = spark.createDataFrame([(i % 40, i, i, "r") for i in range(80)], "k int, reason int, place int, text string")
+    other = reasons.drop("reason")
+    made = pack.prompt_pack(reasons, spark.createDataFrame(quotes, "k int, reason int, place int, text string"), other, other, "k", "reason")
+    got = sorted((x.reason, x.rank, x.text) for x in made.filter("part = 'quote'").collect())
+    assert got == [(i, 1, "q" * 220) for i in range(80)]
+    assert rows_of_tasks(made.filter("part = 'quote'")) < 40
