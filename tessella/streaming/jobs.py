@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -57,8 +56,14 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str],
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
+        rows = (transform(rows) if transform else rows).persist()  # read several times below: keyed state would be stepped anew for each
+        try:
+            write(rows, batch_id)
+        finally:
+            rows.unpersist()
+
+    def write(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
-        rows = transform(rows) if transform else rows
         bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
         touched = [row[0] for row in rows.select(bucket).distinct().collect()]
         if not touched:
@@ -98,11 +103,12 @@ def context_stream(messages: DataFrame, key: str, order: str, role: str, text: s
     for so many seconds is forgotten by a timer; its next message begins a new context.
     """
     schema = messages.schema
-    kept = T.StructType([T.StructField("at", schema[order].dataType), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
+    turn = T.StructType([T.StructField("at", schema[order].dataType), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
+    kept = T.StructType([T.StructField("version", T.LongType()), T.StructField("turns", T.ArrayType(turn))])
     out = T.StructType([schema[key], T.StructField("version", T.LongType()), schema[order], schema[role], T.StructField(text, T.StringType())])
     rows = messages.filter(F.col(role).isin(*roles) & F.col(key).isNotNull() & F.col(order).isNotNull()).select(key, order, role, F.substring(text, 1, longest).alias(text))
     processor = LastTurns([key, order, role, text], kept, limit, idle)
-    return rows.groupBy(key).transformWithStateInPandas(processor, out, "Update", "ProcessingTime" if idle else "None")
+    return rows.groupBy(key).transformWithState(processor, out, "Update", "ProcessingTime" if idle else "None")
 
 
 class LastTurns(StatefulProcessor):
@@ -113,28 +119,25 @@ class LastTurns(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.turns = handle.getListState("turns", self.kept)
-        self.version = handle.getValueState("version", "version long")
+        self.state = handle.getValueState("context", self.kept)  # one value: a conversation is read and written once a batch
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         name, order, role, text = self.columns
-        known = {turn[0]: tuple(turn) for turn in self.turns.get()} if self.turns.exists() else {}
-        for frame in rows:
-            for at, who, said in zip(frame[order].tolist(), frame[role].tolist(), frame[text].tolist(), strict=True):
-                known.setdefault(at, (at, who, said if isinstance(said, str) else None))
+        version, turns = self.state.get() or (0, [])
+        known = {turn[0]: tuple(turn) for turn in turns}
+        for row in rows:
+            known.setdefault(row[order], (row[order], row[role], row[text]))
         last = [known[at] for at in sorted(known)[-self.limit :]]
-        version = (self.version.get()[0] if self.version.exists() else 0) + 1
-        self.turns.put(last)
-        self.version.update((version,))
+        self.state.update((version + 1, last))
         if self.idle:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.idle * 1000))
-        yield pd.DataFrame({name: [key[0]] * len(last), "version": [version] * len(last), order: [t[0] for t in last], role: [t[1] for t in last], text: [t[2] for t in last]})
+        for at, who, said in last:
+            yield Row(**{name: key[0], "version": version + 1, order: at, role: who, text: said})
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.turns.clear()
-        self.version.clear()
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        self.state.clear()
         return iter([])
 
     def close(self) -> None:

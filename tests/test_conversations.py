@@ -25,3 +25,19 @@ def test_contexts_by_batch_equal_recomputed_ones(spark, tmp_path):
         want = {x.conv: [tuple(t) for t in x.turns] for x in pack.last_turns(log, "conv", "turn", "role", "text", limit=4, longest=12).collect()}
         assert {x.conv: [tuple(t) for t in x.turns] for x in jobs.current(spark, str(tmp_path / "out")).collect()} == want
     assert jobs.current(spark, str(tmp_path / "out")).agg(F.max("version")).first()[0] > 1
+
+
+def test_a_batch_is_computed_once(spark, tmp_path):
+    (tmp_path / "seen").mkdir()
+
+    def noted(k):
+        with open(tmp_path / "seen" / str(k), "a") as f:
+            f.write("x")
+        return k
+
+    spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("at")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.record_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], "k long, at long").schema)
+    note = F.udf(noted, "long").asNondeterministic()
+    jobs.ingest(stream, str(tmp_path / "out"), str(tmp_path / "state"), ["k"], [F.desc("at")], lambda rows: rows.withColumn("k", note("k")), buckets=2).awaitTermination()
+    assert sorted(x.k for x in jobs.current(spark, str(tmp_path / "out")).collect()) == list(range(20))
+    assert {(tmp_path / "seen" / str(k)).read_text() for k in range(20)} == {"x"}
