@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from tessella.operators.text_index import TextIndex, index_hits, index_matches, passing_index
 from tessella.sources.scratch import settled
 
+#: Numbers of 62 bits for the terms of a request; requests with more terms are counted by sets.
+MASKS = 8
+
 
 def base_segments(segments: DataFrame, text_col: str, relevant: Column, date: str, from_date: Column | None = None) -> DataFrame:
     """Relevant or non-empty passages, from a date on if one is given (those without a date stay)."""
@@ -90,9 +94,17 @@ def _scored(hits: DataFrame, passages: DataFrame, requests: DataFrame, key: str,
 
 def _hits(requests: DataFrame, segments: DataFrame, key: str, text_col: str, index: TextIndex | None) -> DataFrame:
     """request_id, key, hits; of an index over more passages than these the others' too, which meet no passage later."""
-    terms = requests.select("request_id", F.explode("terms").alias("term"))
-    found = index_matches(index or passing_index(segments, key, text_col), terms, segments, key, text_col)
-    return found.groupBy("request_id", key).agg(F.size(F.collect_set("term")).cast("long").alias("hits"))  # a request's terms at most
+    said = requests.select("request_id", F.explode("terms").alias("term")).groupBy("request_id").agg(F.sort_array(F.collect_set(F.lower("term"))).alias("terms"))
+    said = settled(said, "search-terms")
+    most = said.agg(F.max(F.size("terms"))).first()[0] or 0
+    terms = said.select("request_id", F.posexplode("terms").alias("i", "term")).select(F.struct("request_id", "i").alias("request_id"), "term")
+    found = index_matches(index or passing_index(segments, key, text_col), terms, segments, key, text_col).select("request_id.*", key)
+    if most > 62 * MASKS:
+        return found.groupBy("request_id", key).agg(F.size(F.collect_set("i")).cast("long").alias("hits"))  # a request's terms at most
+    # A pair's terms are bits of numbers: those are added up in a hash table, sets of strings would be sorted.
+    bit = F.expr("shiftleft(1L, i % 62)")
+    masks = [F.coalesce(F.bit_count(F.bit_or(F.when(F.expr(f"i div 62 = {n}"), bit))), F.lit(0)) for n in range(max(1, -(-most // 62)))]
+    return found.groupBy("request_id", key).agg(reduce(lambda x, y: x + y, masks).cast("long").alias("hits"))
 
 
 def scored_passages(
@@ -118,10 +130,8 @@ def search(
     other pair scores below them; for the other requests the texts of all pairs are read.
     """
     order = [F.desc("score"), F.col(key)]
-    hits = settled(_hits(requests, segments, key, text_col, index), "search-hits")
-
-    def scores(some: DataFrame) -> DataFrame:
-        return _scored(hits, segments.drop(text_col), some, key, date, as_of, spatial, source).select("request_id", key, "hits", "score")
+    scores = _scored(_hits(requests, segments, key, text_col, index), segments.drop(text_col), requests, key, date, as_of, spatial, source)
+    scores = settled(scores.select("request_id", key, "hits", "score"), "search-scores")
 
     def best(pairs: DataFrame) -> DataFrame:
         # A passage's key is made once, not for each request that finds it.
@@ -130,14 +140,14 @@ def search(
         rows = rows if eligible is None else rows.filter(eligible)
         return diversified(rows, "request_id", "text_key", meeting, order, limit).select("request_id", key, "hits", "score", "rank")
 
-    first = settled(ranked(scores(requests), "request_id", order, ahead * limit).drop("rank"), "search-first")
+    first = settled(ranked(scores, "request_id", order, ahead * limit).drop("rank"), "search-first")
     found = settled(best(first), "search-best")
     full = first.groupBy("request_id").agg(F.count("*").alias("_n")).filter(F.col("_n") == ahead * limit).select("request_id")
     few = full.join(found.groupBy("request_id").agg(F.count("*").alias("_k")).hint("merge"), "request_id", "left").filter(F.coalesce("_k", F.lit(0)) < limit)
     few = settled(few.select("request_id"), "search-few")
     if few.isEmpty():
         return found
-    return found.join(few.hint("merge"), "request_id", "left_anti").unionByName(best(scores(requests.join(few.hint("merge"), "request_id", "left_semi"))))
+    return found.join(few.hint("merge"), "request_id", "left_anti").unionByName(best(scores.join(few.hint("merge"), "request_id", "left_semi")))
 
 
 def case_groups(results: DataFrame, request: str, case: str, episode: str, evidence: str) -> DataFrame:

@@ -20,6 +20,8 @@ from tessella.sources.scratch import settled
 
 #: Bytes of text for a bucket of a new index.
 BUCKET_BYTES = 64 << 20
+#: Asked terms or words for a bucket up to which they are hashed, so that the index isn't sorted to meet them.
+HASHED = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -105,7 +107,13 @@ def add_texts(index: TextIndex, texts: DataFrame, key: str, text_col: str) -> Te
 
 def _append(index: TextIndex, kind: str, rows: DataFrame) -> None:
     by = _COLUMNS[kind][1]
-    rows.repartition(index.buckets, by).write.mode("append").format("parquet").bucketBy(index.buckets, by).saveAsTable(f"{index.name}_{kind}")
+    setting, spark = "spark.sql.maxConcurrentOutputFileWriters", index.spark
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "2")  # a task has one bucket: its rows aren't sorted to be written
+    try:
+        rows.repartition(index.buckets, by).write.mode("append").format("parquet").bucketBy(index.buckets, by).saveAsTable(f"{index.name}_{kind}")
+    finally:
+        spark.conf.set(setting, before)
 
 
 def grams(c: Column, n: int) -> Column:
@@ -142,13 +150,15 @@ def index_matches(index: TextIndex | PassingIndex, terms: DataFrame, texts: Data
     longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
     said = terms.select("term").distinct().filter(F.size(pieces) > 0).withColumn("piece", longest)
     said = settled(said.withColumn("gram", F.expr(f"substring(piece, 1, {index.gram})")), "index-terms")
-    within = said.filter(F.length("piece") >= index.gram).hint("merge").join(index.words, "gram").filter(F.contains("token", "piece")).select("term", "piece", "token")
+    buckets = index.buckets if isinstance(index, TextIndex) else int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    meet = lambda few: few.hint("shuffle_hash" if few.count() <= HASHED * buckets else "merge")
+    within = meet(said.filter(F.length("piece") >= index.gram)).join(index.words, "gram").filter(F.contains("token", "piece")).select("term", "piece", "token")
     kinds = said.agg(F.collect_set(F.when(F.length("piece") < index.gram, F.length("piece"))).alias("short"), F.count_if(F.col("term") != F.col("piece")).alias("longer")).first()
     for n in kinds["short"]:  # fewer numbers than `gram`
         words = index.words.select("token").distinct().select("token", F.explode(grams(F.col("token"), n)).alias("gram"))
         within = within.unionByName(said.filter(F.length("piece") == n).hint("merge").join(words, "gram").select("term", "piece", "token"))
-    asked = within.hint("merge").join(terms, "term")
-    found = asked.hint("merge").join(index.postings, "token").select("request_id", "term", "piece", F.col("key").alias(key))
+    asked = settled(within.hint("merge").join(terms, "term"), "index-asked")
+    found = meet(asked).join(index.postings, "token").select("request_id", "term", "piece", F.col("key").alias(key))
     hits = found.filter(F.col("term") == F.col("piece")).select("request_id", "term", key)
     if not kinds["longer"]:
         return hits

@@ -191,3 +191,16 @@ def test_search_by_bounds_equals_scoring_all(spark, ahead):
     want = search.diversified(every, "request_id", "text_key", ["src"], [F.desc("score"), F.col("k")], 3).select("request_id", "k", "hits", "score", "rank")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.count() > 6
+
+
+def test_hits_of_many_terms_and_an_unsorted_index(spark, tmp_path):
+    texts = {i: " ".join(f"w{n:03d}x" for n in range(i, 150, 7)) + " w001xw002x" for i in range(20)}
+    segments = spark.createDataFrame(sorted(texts.items()), "k long, t string")
+    wanted = {1: [f"w{n:03d}" for n in range(140)] + ["W001", "w001x"], 2: ["w003", "w00"], 3: []}
+    requests = spark.createDataFrame(sorted(wanted.items()), "request_id int, terms array<string>")
+    index = text_index.create_index(segments, str(tmp_path / "index"), "k", "t", buckets=3)
+    want = sorted((q, k, n) for q, terms in wanted.items() for k, t in texts.items() if (n := sum(x in t for x in {x.lower() for x in terms})))
+    made = search._hits(requests, segments, "k", "t", index)
+    assert sorted(map(tuple, made.collect())) == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "collect_set" not in plan and "Sort [token" not in plan
