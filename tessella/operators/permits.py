@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.ranges import PARTS, UNIT, divided_seats, nearest_ranks, running_rank, unit_join
 from tessella.operators.text_index import TextIndex, index_hits, passing_index
+from tessella.sources.scratch import settled
 
 #: Fixed value: radius of the earth in metres.
 EARTH = 6_371_000
@@ -103,8 +104,12 @@ def link_by_area(
     wanted = areas.select("_a", "_s", F.explode(kinds).alias("k")).select("_a", "_s", "k.*").filter("_name <> ''")
     names = wanted.select(F.col("_name").alias("request_id"), F.col("_name").alias("term")).distinct()
     said = index_hits(index or passing_index(rows, segment_id, text_col), names, rows, segment_id, text_col).select(F.col("request_id").alias("_name"), segment_id)
-    said = said.hint("merge").join(rows.select(segment_id, text_col), segment_id).filter(F.contains(text_col, "_name")).select("_name", segment_id)
-    local = wanted.hint("merge").join(said, "_name").select("_a", "_s", segment_id, "relation", "_base")
+    said = said.hint("merge").join(rows.select(segment_id, text_col, F.col(date).alias("_date"), bonus.alias("_bonus")), segment_id).filter(F.contains(text_col, "_name"))
+    # Who is among an area's best is among its name's best: so many rows of a name and relation go on, however many passages say it.
+    said = said.select("_name", segment_id, "_date", "_bonus", F.explode(F.array(F.lit(1.0), F.lit(0.86))).alias("_base"))
+    first = F.row_number().over(Window.partitionBy("_name", "_base").orderBy(F.round(F.col("_base") + F.col("_bonus"), 4).desc(), "_date", segment_id))
+    said = settled(said.withColumn("_n", first).filter(F.col("_n") <= per_permit).select("_name", "_base", segment_id), "area-names")
+    local = wanted.hint("merge").join(said, ["_name", "_base"]).select("_a", "_s", segment_id, "relation", "_base")
     general = plain.orderBy(F.desc("_bonus"), "_date", segment_id).limit(2 * per_permit).select(segment_id, F.lit("general").alias("relation"), F.lit(0.62).alias("_base"))
     both = local.unionByName(areas.crossJoin(F.broadcast(general)))
     both = both.groupBy("_a", "_s", segment_id).agg(F.max_by("relation", "_base").alias("relation"), F.max("_base").alias("_base"))

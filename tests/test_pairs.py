@@ -98,3 +98,20 @@ def test_prompt_parts_are_ordered_in_tasks_of_bounded_rows(spark, monkeypatch):
     got = sorted((x.reason, x.rank, x.text) for x in made.filter("part = 'quote'").collect())
     assert got == [(i, 1, "q" * 220) for i in range(80)]
     assert rows_of_tasks(made.filter("part = 'quote'")) < 40
+
+
+def test_areas_meet_the_best_passages_of_their_names(spark):
+    r = random.Random(3)
+    texts = [(i, " ".join(r.choices(["aaa", "bbb", "xxx", "yyy", "zzz", "Aaa"], k=r.randint(0, 4))), r.randrange(5), r.randrange(-2, 7)) for i in range(400)]
+    sites = [(i, r.choice(["aaa", "bbb", "nope", None]), r.choice(["xxx", "yyy", "aaa", None])) for i in range(12)]
+    made = permits.link_by_area(spark.createDataFrame(sites, "p int, a string, s string"), spark.createDataFrame(texts, "d int, t string, day int, n int"), "p", "a", "s", "d", "t", "day", "n", per_permit=4)
+    want = []
+    for p, a, s in sites:
+        scored = []
+        for d, t, day, n in texts:
+            kind, base = ("same_sub_area", 1.0) if s and s in t else ("same_area", 0.86) if a and a in t else ("general", 0.62)
+            scored.append((-round(base + min(0.08, 0.02 * n), 4), day, d, kind))
+        want += [(p, d, kind, -score, i + 1) for i, (score, _, d, kind) in enumerate(sorted(scored)[:4])]
+    assert sorted(map(tuple, made.collect())) == sorted(want)
+    read = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" not in read  # texts were met before the areas
