@@ -245,28 +245,46 @@ def flatten_elements(roots: DataFrame, keys: Sequence[str], kids_col: str) -> Da
     return found
 
 
-def tree_elements(files: DataFrame, keys: Sequence[str], json_col: str, children: Sequence[str] = ("kids", "list items"), content: str = "content", page: str = "page number") -> DataFrame:
+def tree_elements(files: DataFrame, keys: Sequence[str], json_col: str, children: Sequence[str] = ("kids", "list items"), content: str = "content", page: str = "page number", levels: int = 4) -> DataFrame:
     """keys, path, text, page: all elements with content of the trees in a JSON column, however deep, without a schema.
 
     The root's first kind of children begin the tree; each element has the others below it, kind by kind. path orders elements
     as they are read: an element, then what is below it. Blanks and line ends of a text are single blanks; elements without
     text are left out, their children aren't. A missing page is 1. Text that is no JSON, or has no tree, has no elements.
-    The tree is walked level by level: a level's elements are a table, from which the next is made until one is empty.
+    The tree is walked in rounds of `levels` levels, each level a step of one job. A round's elements are written once, and with
+    them the elements that lie deeper, from which the next round begins.
     """
-    step = lambda kind: f"$[{_quoted(kind)}]"
-    name = lambda i: F.format_string("%d%08d", F.lit(children.index(i)), F.col("_i"))
-    below = lambda rows, kind: rows.select(*keys, "path", F.posexplode(F.try_variant_get("element", step(kind), "array<variant>")).alias("_i", "element")).withColumn("path", F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), name(kind))).drop("_i")
-    root = files.select(*keys, F.lit("").alias("path"), F.try_parse_json(json_col).alias("element"))
-    level, found = settled(below(root, children[0]), "tree-level"), None
+    field = lambda name, kind: F.try_variant_get("element", f"$[{_quoted(name)}]", kind)
+    name = lambda k, i: F.concat(F.lit(str(k)), F.lpad(i.cast("string"), 8, "0"))
+    read, parts = F.col("page").isNotNull(), [f"_part{k}" for k in range(len(children))]
+
+    def step(rows: DataFrame) -> DataFrame:
+        """Elements not yet read (without a page) are read, and their children come after them, not yet read; the others stay."""
+        found = rows.select("*", *(F.coalesce(field(kind, "array<variant>"), F.array().cast("array<variant>")).alias(c) for kind, c in zip(children, parts, strict=True)))
+        sizes = [F.size(c).alias(f"_size{k}") for k, c in enumerate(parts)]
+        found = found.select(*keys, "path", "text", "page", *sizes, F.posexplode(F.flatten(F.array(F.array("element"), *parts))).alias("_i", "element"))
+        own, at, names = F.col("_i") == 0, F.col("_i") - 1, []
+        for k in range(len(children)):
+            names.append(F.when(at < F.col(f"_size{k}"), name(k, at)))
+            at = at - F.col(f"_size{k}")
+        return found.select(
+            *keys, F.when(own, F.col("path")).otherwise(F.concat_ws(".", "path", F.coalesce(*names))).alias("path"),
+            F.when(own, F.when(read, F.col("text")).otherwise(field(content, "string"))).alias("text"),
+            F.when(own, F.coalesce("page", field(page, "int"), F.lit(1))).alias("page"), F.when(~own, F.col("element")).alias("element"),
+        )
+
+    root = files.select(*keys, F.try_parse_json(json_col).alias("element")).select(*keys, F.posexplode(field(children[0], "array<variant>")).alias("_i", "element"))
+    level, elements = root.select(*keys, name(0, F.col("_i")).alias("path"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("page"), "element"), None
     while True:
-        said = F.trim(F.regexp_replace(F.try_variant_get("element", step(content), "string"), r"[\s\x{A0}]+", " "))
-        number = F.coalesce(F.try_variant_get("element", step(page), "int"), F.lit(1))
-        rows = level.select(*keys, "path", said.alias("text"), F.when(number == 0, 1).otherwise(number).alias("page")).filter("text <> ''")
-        found = rows if found is None else found.unionByName(rows)
-        parts = [below(level, kind) for kind in children]
-        level = settled(reduce(DataFrame.unionByName, parts), "tree-level")
+        for _ in range(levels):
+            level = step(level)
+        said = F.trim(F.regexp_replace("text", r"[\s\x{A0}]+", " "))
+        made = settled(level.select(*keys, "path", said.alias("text"), F.when(F.col("page") == 0, 1).otherwise(F.col("page")).alias("page"), "element"), "tree-elements")
+        rows = made.filter(read & (F.col("text") != "")).select(*keys, "path", "text", "page")
+        elements = rows if elements is None else elements.unionByName(rows)
+        level = made.filter(~read)
         if level.isEmpty():
-            return found
+            return elements
 
 
 def _quoted(name: str) -> str:

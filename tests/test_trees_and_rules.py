@@ -53,6 +53,33 @@ def test_trees_of_any_depth(spark):
     assert got[100] == [(7, "bottom")]
 
 
+def test_a_round_of_a_tree_walk_takes_several_levels(spark, monkeypatch):
+    """A tree is written once for each round, not for each level, and the rounds don't change its elements."""
+    deep = {"content": "level 9"}
+    for k in range(8, -1, -1):
+        deep = {"content": f"level {k}", "list items" if k % 2 else "kids": [{"content": " "}, deep, None, 3], "kids" if k % 2 else "list items": [{"content": f"beside {k}", "page number": 0}]}
+    files = [(i, json.dumps({"kids": [{"content": "a", "page number": "2"}, deep] * (i % 3)})) for i in range(40)]
+    written, settled = [], text_jobs.settled
+    monkeypatch.setattr(text_jobs, "settled", lambda df, name: written.append(name) or settled(df, name))
+    rows = spark.createDataFrame(files, "k int, file string")
+    made = {}
+    for levels in (1, 4, 20):
+        written.clear()
+        made[levels] = sorted(map(tuple, text_jobs.tree_elements(rows, ["k"], "file", levels=levels).collect()))
+        assert len(written) == -(-10 // levels)
+    assert made[1] == made[4] == made[20]
+    want = []
+    for i, file in files:
+        found: list = []
+        for child in json.loads(file)["kids"]:
+            read(child, "", found)
+        want += [(i, int(p), text) for p, text in found]
+    assert [(k, page, text) for k, _, text, page in made[4]] == want
+    written.clear()
+    text_jobs.tree_elements(rows.filter("k % 3 = 0"), ["k"], "file")
+    assert len(written) == 1
+
+
 def test_rules_by_intervals_equal_all_pairs(spark):
     r, day = random.Random(2), datetime.date(2020, 1, 1)
     at = lambda: r.choice([None, day + datetime.timedelta(days=r.randint(-40, 900))])
