@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 from tessella.operators import cases, places, process, text_jobs
-from tessella.operators.ranges import TASK_ROWS, dealt_by
 from tessella.plans.registry import Tables, query
 
 LINES = "lines AS (SELECT doc_id, lang, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS idx FROM documents)"
@@ -273,12 +272,10 @@ def _(t: Tables) -> DataFrame:
     """A file for each order: the order (a fourth of them without content), in it its lines, in each of these a list item without a page."""
     item = lambda x: F.array(F.struct(x["l_linestatus"].alias("content")))
     node = lambda x: F.struct(F.when(x["l_returnflag"] != "N", x["l_returnflag"]).alias("content"), x["l_linenumber"].alias("page number"), item(x).alias("list items"))
-    n = max(1, -(-t.lineitem.count() // TASK_ROWS))
-    lines = dealt_by(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus"), ["l_orderkey"], n)
-    lines = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus"))).alias("x"))
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus"))).alias("x"))
     lines = lines.select("l_orderkey", F.transform("x", node).alias("kids"))
     order = F.struct(F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit("Order  of\n"), "o_orderstatus")).alias("content"), (F.col("o_orderkey") % 3 + 1).alias("page number"), "kids")
-    files = dealt_by(t.orders, ["o_orderkey"], n).hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.to_json(F.struct(F.array(order).alias("kids"))).alias("file"))
+    files = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.to_json(F.struct(F.array(order).alias("kids"))).alias("file"))
     return text_jobs.tree_pages(text_jobs.tree_elements(files, ["o_orderkey"], "file"), ["o_orderkey"])
 
 
