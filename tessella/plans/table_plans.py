@@ -708,7 +708,7 @@ def _(t: Tables) -> DataFrame:
     return out.select("conv_id", F.array_join(said, "|").alias("turns"))
 
 
-@query("x2_contexts_by_batch", """WITH r AS (SELECT conv_id, turn, role, substr(text, 1, 500) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role IN ('user', 'assistant'))
+@query("x2_contexts_by_batch", """WITH r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role IN ('user', 'assistant'))
 SELECT conv_id, string_agg(turn || ':' || role || ':' || coalesce(text, ''), '|' ORDER BY turn) AS turns FROM r WHERE n <= 6 GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     """Messages in two runs, the even turns and repeats of some odd ones last: the state goes on where the first run stopped."""

@@ -95,18 +95,20 @@ def refreshed_context(log: DataFrame, key: str, order: str, role: str, text: str
     return last_turns(log, key, order, role, text)
 
 
-def context_stream(messages: DataFrame, key: str, order: str, role: str, text: str, roles: Sequence[str] = ("user", "assistant"), limit: int = 6, longest: int = 500, idle: float | None = None) -> DataFrame:
+def context_stream(messages: DataFrame, key: str, order: str, role: str, text: str, roles: Sequence[str] = ("user", "assistant"), limit: int = 6, longest: int | None = None, idle: float | None = None) -> DataFrame:
     """key, version, order, role, text: after each batch the last turns of the conversations that it touched, from keyed state.
 
     The state of a conversation is its last `limit` turns and a counter of its versions; a message of an order that it
-    knows is a repeat. Messages may come late: they take their place by order. With `idle`, a conversation without messages
-    for so many seconds is forgotten by a timer; its next message begins a new context.
+    knows is a repeat. Messages may come late: they take their place by order. Texts are kept whole, or
+    with `longest` their first characters. With `idle`, a conversation without messages for so many seconds is forgotten by a
+    timer; its next message begins a new context.
     """
     schema = messages.schema
     turn = T.StructType([T.StructField("at", schema[order].dataType), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
     kept = T.StructType([T.StructField("version", T.LongType()), T.StructField("turns", T.ArrayType(turn))])
     out = T.StructType([schema[key], T.StructField("version", T.LongType()), schema[order], schema[role], T.StructField(text, T.StringType())])
-    rows = messages.filter(F.col(role).isin(*roles) & F.col(key).isNotNull() & F.col(order).isNotNull()).select(key, order, role, F.substring(text, 1, longest).alias(text))
+    said = F.col(text) if longest is None else F.substring(text, 1, longest)
+    rows = messages.filter(F.col(role).isin(*roles) & F.col(key).isNotNull() & F.col(order).isNotNull()).select(key, order, role, said.alias(text))
     processor = LastTurns([key, order, role, text], kept, limit, idle)
     return rows.groupBy(key).transformWithState(processor, out, "Update", "ProcessingTime" if idle else "None")
 
@@ -144,19 +146,22 @@ class LastTurns(StatefulProcessor):
         pass
 
 
-def refresh_contexts(messages: DataFrame, target: str, checkpoint: str, key: str, order: str, role: str, text: str, limit: int = 6, longest: int = 500, idle: float | None = None, buckets: int = 64) -> StreamingQuery:
+def refresh_contexts(messages: DataFrame, target: str, checkpoint: str, key: str, order: str, role: str, text: str, limit: int = 6, longest: int | None = None, idle: float | None = None, buckets: int = 64) -> StreamingQuery:
     """Keep a table of each conversation's last turns (key, version, turns) up to date with a stream of messages.
 
     Each batch reads and writes only the conversations that it touches (their buckets of the table); a restart goes on from
-    the checkpoint's state. current() reads the table. State needs the RocksDB provider, which is set for this query only.
+    the checkpoint's state. current() reads the table. State needs the RocksDB provider, which is set for this query only, as
+    is the number of whole texts that a Python worker gets at a time.
     """
     spark = messages.sparkSession
     turns = F.array_sort(F.collect_list(F.struct(order, role, text))).alias("turns")  # `limit` at most
-    setting, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, provider)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         updates = context_stream(messages, key, order, role, text, limit=limit, longest=longest, idle=idle)
         return ingest(updates, target, checkpoint, [key], [F.desc("version")], lambda rows: rows.groupBy(key, "version").agg(turns), buckets, mode="update")
     finally:
-        spark.conf.set(setting, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)

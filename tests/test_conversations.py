@@ -27,6 +27,15 @@ def test_contexts_by_batch_equal_recomputed_ones(spark, tmp_path):
     assert jobs.current(spark, str(tmp_path / "out")).agg(F.max("version")).first()[0] > 1
 
 
+def test_contexts_keep_whole_texts(spark, tmp_path):
+    said = {1: "é" * 499 + "yz", 2: "word " * 3000 + "end", 3: "x" * 501, 4: None}
+    for turns in ((1, 3), (2, 4)):
+        spark.createDataFrame([(7, k, "user", said[k]) for k in turns], "conv long, turn int, role string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.record_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], "conv long, turn int, role string, text string").schema)
+        jobs.refresh_contexts(stream, str(tmp_path / "out"), str(tmp_path / "state"), "conv", "turn", "role", "text", buckets=2).awaitTermination()
+    assert {t.turn: t.text for t in jobs.current(spark, str(tmp_path / "out")).first().turns} == said
+
+
 def test_a_batch_is_computed_once(spark, tmp_path):
     (tmp_path / "seen").mkdir()
 
