@@ -30,6 +30,23 @@ def test_levels_equal_all_pairs_and_pairs_arent_grouped(spark, unit):
     assert "Aggregate" not in plan(made)
 
 
+def test_written_pairs_of_levels_take_little_disk(spark, tmp_path):
+    r = random.Random(7)
+    a = spark.createDataFrame([(i, r.randrange(5), 1) for i in range(2000)], "t long, ri int, county int")
+    b = spark.createDataFrame([(i, r.randrange(5), 1) for i in range(1203)], "m long, ri int, county int")
+    places.match_by_level(a, b, "t", "m", [("ri", "same_ri", 3), ("county", "same_county", 1)], ["county"]).write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).distinct().count() == 2000 * 1203
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.4 * 2000 * 1203
+
+
+def test_lists_hold_all_ids_of_rows_that_agree(spark):
+    r = random.Random(8)
+    rows = [(r.choice([i, i, None]), r.choice(["x", "y", None]), r.choice([1, None])) for i in range(900)]
+    made = places.id_lists(spark.createDataFrame(rows, "_id int, a string, b int"), ["a", "b"], 32, 100).collect()
+    assert sorted(((x._id, m.a, m.b) for m in made for x in m._ids), key=repr) == sorted(rows, key=repr)
+    assert all(m._size == len(m._ids) <= 32 and (m._size % 8 == 0 or m._size < 8) for m in made)
+
+
 @pytest.mark.parametrize("least", [0.0, 0.25, 0.35, 0.6, 2.0])
 def test_historical_matches_equal_all_pairs_and_pairs_arent_grouped(spark, least):
     r = random.Random(2)
